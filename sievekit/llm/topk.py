@@ -29,7 +29,7 @@ BLOCK_ROWS = 16_384
 QUERY_ROWS = 512
 SLICE_ROWS = 1_024
 #: Parts of the lists read in the successive steps.
-DEPTHS = (0.3, 0.5, 0.7, 1.0)
+DEPTHS = (0.5, 1.0)
 
 
 def integer_vectors(table: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -45,7 +45,8 @@ class SortedLists:
     def __init__(self, ids, values):
         import numpy as np
 
-        self.ids, self.values = ids, values.astype(np.float64)
+        exact_in_32 = float(np.abs(values).max()) ** 2 * values.shape[1] < 1 << 24
+        self.ids, self.values = ids, values.astype(np.float32 if exact_in_32 else np.float64)
         self.lists = np.sort(self.values, axis=0)
 
     def frontiers(self, query, depth: int):
@@ -59,6 +60,7 @@ class SortedLists:
         """The k best (-score, id) of best and this slice."""
         import numpy as np
 
+        query = query.astype(self.values.dtype) if float(np.abs(query).max()) ** 2 * len(query) < 1 << 24 else query
         rows = len(self.ids)
         alive, values = np.flatnonzero(self.ids != own), self.values
         last = self.frontiers(query, rows)
