@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, topk, warc
+from sievekit.llm import bpe, simhash, topk, warc
 from sievekit.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
@@ -25,6 +29,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
+    "op4_simhash": op4_simhash,
     "op7_bpe": op7_bpe,
     "op10_warc": op10_warc,
 }
