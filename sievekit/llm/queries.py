@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, simhash, topk, warc
+from sievekit.llm import bpe, simhash, suffix, topk, warc
 from sievekit.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(read_table(spark, sf_dir, "pages"))
 
@@ -31,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op4_simhash": op4_simhash,
     "op7_bpe": op7_bpe,
+    "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {
