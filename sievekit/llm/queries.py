@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, simhash, suffix, topk, warc
+from sievekit.llm import bpe, editprint, simhash, suffix, topk, warc
 from sievekit.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
@@ -34,6 +38,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op4_simhash": op4_simhash,
+    "op5_fingerprints": op5_fingerprints,
     "op7_bpe": op7_bpe,
     "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
