@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, editprint, secrets, simhash, suffix, topk, warc
+from sievekit.llm import bpe, editprint, secrets, simhash, suffix, topk, toxicity, warc
 from sievekit.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
     "op5_fingerprints": op5_fingerprints,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
