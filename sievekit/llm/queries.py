@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, editprint, secrets, simhash, suffix, topk, toxicity, warc
+from sievekit.llm import bpe, editprint, quality, secrets, simhash, suffix, topk, toxicity, warc
 from sievekit.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
     "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
 }
