@@ -24,7 +24,7 @@ from sievekit.llm.learning import HELD_OUT, fold_of, labelled, linear_score, log
 from sievekit.llm.secrets import let
 
 STEM_LETTERS = range(3, 13)
-STEMS, CANDIDATES, MIN_TOXIC_DOCS, MIN_PRECISION = 240, 20_000, 4, 0.6
+STEMS, CANDIDATES, MIN_TOXIC_DOCS, MIN_PRECISION = 240, 20_000, 4, 0.85
 LEXICON_VOTERS, PATTERN_VOTERS = 10, 5
 THRESHOLD = 0.3
 ROUNDS = 60
