@@ -31,9 +31,11 @@ from sievekit.llm.common import staged
 
 LENGTH, GRAM = 100, 24
 PIECE = 1 << 19
+#: What a task holds at a time: text, and rows that are refined window by window.
+BATCH_BYTES, TASK_ROWS = 6 << 20, 2_000
 NO_ID = -(1 << 63)
 #: Buckets in more than this share of a sample's documents are dealt out by their refined buckets too.
-COMMON_SHARE, SAMPLE_PART, SALTS = 0.002, 50, 64
+COMMON_SHARE, SAMPLE_PART, SALTS = 0.01, 50, 64
 #: Refined again within one task up to so many rows; others by a shuffle of their windows.
 GROUP_ROWS = 20_000
 SET_BITS = 32_768
@@ -143,6 +145,31 @@ def text_buffer(column):
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.array([], dtype=np.uint8)), offsets
 
 
+def by_bytes(batch, text: int):
+    """Slices of the batch that hold BATCH_BYTES of the text column, or one row."""
+    import numpy as np
+
+    _, offsets = text_buffer(batch.column(text))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def list_columns(column, *names: str):
+    """The offsets of an Arrow column of lists of structs, and the fields' values (nulls are empty)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    offsets = [0]
+    for size in sizes:
+        offsets.append(offsets[-1] + size)
+    return offsets, *(flat.field(name).to_numpy(zero_copy_only=False) if isinstance(flat, pa.StructArray) else flat for name in names)
+
+
 def batch_rows(texts, length: int, gram: int):
     """Arrays over a batch of texts: text number, first window (offset in its text), number of windows, bucket, refined bucket."""
     import numpy as np
@@ -167,7 +194,7 @@ def _scan(length: int, gram: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 2)):
             batch = pa.Table.from_batches([batch]).sort_by([("doc", "ascending"), ("th", "ascending")]).combine_chunks()
             doc, th = batch["doc"].to_numpy(), batch["th"].to_numpy()
             new = np.ones(len(doc), dtype=bool)
@@ -205,13 +232,16 @@ def _contexts(length: int):
     def contexts(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for doc, th, text, edges in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = (text or "").encode("utf-8")
-                out += [(e["h"], doc, th, e["lo"], e["n"], data[e["lo"] : e["lo"] + e["n"] + length - 1]) for e in edges]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["h", "doc", "th", "lo", "n", "data"])
+        import numpy as np
+
+        for batch in (part for whole in batches for part in by_bytes(whole, 2)):
+            buffer, at = text_buffer(batch.column(2))
+            offsets, h, lo, n = list_columns(batch.column(3), "h", "lo", "n")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            first = at[row] + lo
+            data = [buffer[a:b].tobytes() for a, b in zip(first.tolist(), (first + n + (length - 1)).tolist())]
+            doc, th = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(th), pa.array(lo), pa.array(n), pa.array(data, pa.binary())], names=["h", "doc", "th", "lo", "n", "data"])
 
     return contexts
 
@@ -243,6 +273,18 @@ def _intervals(doc, th, s, length: int):
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(th[first].astype(np.int32)), pa.array(s[first]), pa.array(s[last] + length)], names=["doc", "th", "lo", "hi"])
 
 
+def _first_and_again(windows):
+    """The arrays h, w, doc, th, s sorted, and which of them repeat an earlier place of the same window."""
+    import numpy as np
+
+    h, w, doc, th, s = windows
+    order = np.lexsort((s, th, doc, w, h))
+    h, w, doc, th, s = (x[order] for x in windows)
+    again = np.zeros(len(h), dtype=bool)
+    again[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1]) & ((doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (s[1:] != s[:-1]))
+    return (h, w, doc, th, s), again
+
+
 def _refine_groups(length: int):
     """Contexts sorted by h -> intervals of the windows that an earlier row of the same h has."""
 
@@ -251,11 +293,7 @@ def _refine_groups(length: int):
         import pyarrow as pa
 
         def done(table):
-            h, w, doc, th, s = _windows_of(table, length)
-            order = np.lexsort((s, th, doc, w, h))
-            h, w, doc, th, s = (x[order] for x in (h, w, doc, th, s))
-            again = np.zeros(len(h), dtype=bool)
-            again[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1]) & ((doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (s[1:] != s[:-1]))
+            (_, _, doc, th, s), again = _first_and_again(_windows_of(table, length))
             return _intervals(doc[again], th[again], s[again], length)
 
         held = None
@@ -266,8 +304,12 @@ def _refine_groups(length: int):
                 continue
             h = table["h"].to_numpy()
             cut = int(np.argmax(h == h[-1]))  # sorted: the last h may go on in the next batch
-            if cut:
-                yield done(table.slice(0, cut))
+            ends = np.flatnonzero(h[1 : cut + 1] != h[:cut]) + 1  # groups stay whole
+            at = 0
+            while at < cut:
+                end = int(ends[max(np.searchsorted(ends, at + TASK_ROWS, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+                yield done(table.slice(at, end - at))
+                at = end
             held = table.slice(cut)
         if held is not None and held.num_rows:
             yield done(held)
@@ -276,13 +318,21 @@ def _refine_groups(length: int):
 
 
 def _explode_windows(length: int):
+    """Contexts -> the first place of each window among some of the rows (h, w, doc, th, lo; hi null), and intervals of the other places (h null)."""
+
     def explode(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                columns = _windows_of(pa.Table.from_batches([batch.slice(at, 4096)]), length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "w", "doc", "th", "s"])
+            for at in range(0, batch.num_rows, 2 * TASK_ROWS):
+                (h, w, doc, th, s), again = _first_and_again(_windows_of(pa.Table.from_batches([batch.slice(at, 2 * TASK_ROWS)]), length))
+                gone, first = _intervals(doc[again], th[again], s[again], length), ~again
+                none, n = pa.nulls(gone.num_rows, pa.int64()), int(first.sum())
+                joined = lambda x, y: pa.concat_arrays([pa.array(x), y])
+                yield pa.RecordBatch.from_arrays(
+                    [joined(h[first], none), joined(w[first], none), joined(doc[first], gone["doc"]), joined(th[first].astype(np.int32), gone["th"]), joined(s[first], gone["lo"]), joined(pa.nulls(n, pa.int64()), gone["hi"])], names=["h", "w", "doc", "th", "lo", "hi"]
+                )
 
     return explode
 
@@ -291,11 +341,14 @@ def _cut(batches):
     """Rows doc, n_bytes, text, spans -> what is left."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 1)):
         out = []
-        for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            data, kept, end, removed, runs = (text or "").encode("utf-8"), [], 0, 0, 0
-            for lo, hi in sorted((x["lo"], x["hi"]) for x in spans or ()):
+        buffer, at = text_buffer(batch.column(1))
+        offsets, los, his = list_columns(batch.column(2), "lo", "hi")
+        for k, doc in enumerate(batch.column(0).to_pylist()):
+            data, kept, end, removed, runs = buffer[at[k] : at[k + 1]].tobytes(), [], 0, 0, 0
+            a, b = offsets[k], offsets[k + 1]
+            for lo, hi in sorted(zip(los[a:b].tolist(), his[a:b].tolist())):
                 if not runs or lo > end:
                     kept.append(data[end:lo])
                     removed, runs, end = removed + hi - lo, runs + 1, hi
@@ -331,7 +384,7 @@ def common_buckets(docs: DataFrame, length: int, gram: int) -> list[int]:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 2)):
             text, _, _, bucket, _ = batch_rows(batch.column(2), length, gram)
             pairs = np.unique(np.stack([text, bucket]), axis=1) if len(text) else np.zeros((2, 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1])], names=["h"])
@@ -365,10 +418,11 @@ def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     out = whole.unionByName(few)
     crowded = edges.where("crowded")
     if not crowded.isEmpty():
-        windows = staged(contexts(crowded).mapInArrow(_explode_windows(length), "h long, w long, doc long, th int, s long").distinct())
-        first = windows.groupBy("h", "w").agg(F.min(F.struct("doc", "th", "s")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        again = windows.join(first, ["h", "w"]).where(F.struct("doc", "th", "s") > F.col("first"))
-        out = out.unionByName(again.select("doc", "th", F.col("s").alias("lo"), (F.col("s") + length).alias("hi")))
+        windows = staged(contexts(crowded).mapInArrow(_explode_windows(length), "h long, w long, doc long, th int, lo long, hi long"))
+        place = F.struct("doc", "th", "lo")
+        first = windows.where("hi is null").groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+        again = windows.join(first, ["h", "w"]).where(place > F.col("first"))
+        out = out.unionByName(windows.where("hi is not null").select("doc", "th", "lo", "hi")).unionByName(again.select("doc", "th", "lo", (F.col("lo") + length).alias("hi")))
     return out
 
 
