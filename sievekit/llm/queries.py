@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, editprint, quality, secrets, simhash, suffix, topk, toxicity, warc
+from sievekit.llm import bpe, editprint, mixing, quality, secrets, simhash, suffix, topk, toxicity, warc
 from sievekit.llm.common import read_table
 
 
+#: Production parameters of the mixture: the share of expected tokens of each domain of the labels.
+TARGETS = {"prime": 0.8, "rough": 0.15, "toxic": 0.05}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, sf_dir, "documents"), mixing.label_domains(read_table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -48,6 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
