@@ -55,6 +55,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(read_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {
     "op2_topk": topk.ORACLE,
