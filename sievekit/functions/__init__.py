@@ -1 +1 @@
-
+"""Column functions: hashing, text, ranks and scores."""

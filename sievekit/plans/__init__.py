@@ -1,4 +1,11 @@
 """Registered queries of the engine and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from sievekit.plans import analytics, checks, retrieval, texts
+from sievekit.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "analytics", "checks", "flagship", "retrieval", "texts"]
+
+
+def flagship(spark, sf_dir):
+    """BM25 retrieval of known items, and how well it finds them."""
+    return QUERIES["bm25_recall"](spark, sf_dir)
