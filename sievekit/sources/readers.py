@@ -20,7 +20,7 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str | StructType)
     Lines are numbered within their file by the bytes before them, so files have to be small enough for one sort each; the
     text itself is parsed where it was read.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_source_file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_source_file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
     named = schema.simpleString() if isinstance(schema, StructType) else schema
     parsed = lines.withColumn("row", F.from_json("line", named, {"mode": "PERMISSIVE"})).withColumn("good", F.expr("try_parse_json(line) IS NOT NULL") & F.ltrim("line").startswith("{"))
     place = F.concat(F.col("_source_file"), F.lit(":"), F.col("pos") + 1)
@@ -29,7 +29,7 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str | StructType)
 
 def read_json_tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A document that is a list of tasks, or an object with a list under `tasks`."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     listed = F.coalesce(F.from_json("value", f"struct<tasks:array<struct<{schema}>>>")["tasks"], F.from_json("value", f"array<struct<{schema}>>"))
     return text.select(F.explode(listed).alias("t")).select("t.*")
 
