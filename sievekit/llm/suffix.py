@@ -430,7 +430,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     docs = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     repeated = not docs.groupBy("doc").count().where("count > 1").isEmpty()
-    docs = docs.withColumn("th", F.xxhash64("text").cast("int") if repeated else F.lit(0))
+    docs = docs.withColumn("th", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int") if repeated else F.lit(0))
     spans = staged(repeats(docs, length, gram))
     listed = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     marked, held = may_hold(docs, spans, "doc")
