@@ -25,7 +25,7 @@ TREES, DEPTH, CUTS, TREE_ROWS, LEAF_ROWS = 48, 3, 24, 3_000, 12
 MAX_RULES, LASSO = 320, 0.0008
 #: Frequent function words of the languages that texts come in.
 FUNCTION_WORDS = "the of and to in is that was for with la de le les des et en un une que el los las del por y der die das und mit von zu den ist nicht auf"
-STATISTICS = ("chars", "words", "word_length", "symbols", "bars", "digits", "capitals", "stops", "commas", "lines", "distinct_words", "distinct_lines", "function_words", "long_words", "frequent_word")
+STATISTICS = ("chars", "words", "word_length", "symbols", "bars", "digits", "capitals", "stops", "commas", "lines", "distinct_words", "distinct_lines", "function_words", "long_words")
 
 
 def statistics(text: Column) -> Column:
@@ -33,21 +33,18 @@ def statistics(text: Column) -> Column:
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     listed = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    known = "(?i)(?<![\\p{L}])(?:" + "|".join(FUNCTION_WORDS.split()) + ")(?![\\p{L}])"
-
     def of(x: Column) -> Column:
         chars = F.greatest(F.length(text), F.lit(1)).cast("double")
         words = F.greatest(x["words"], F.lit(1)).cast("double")
         return F.array(
             F.log1p(F.length(text).cast("double")), F.log1p(x["words"].cast("double")), (chars - words) / words, count(r"[*#%$&^~=+<>{}\[\]_@\\]") / words, count(r"\|") / words, count("[0-9]") / chars, count(r"\p{Lu}") / words,
-            count(r"[.!?](?=\s|$)") / words, count(",") / words, x["lines"] / words, x["distinct"] / words, x["distinct_lines"] / F.greatest(x["lines"], F.lit(1)), count(known) / words, count(r"\S{14,}") / words, x["most"] / words,
+            count(r"[.!?](?=\s|$)") / words, count(",") / words, x["lines"] / words, x["distinct"] / words, x["distinct_lines"] / F.greatest(x["lines"], F.lit(1)), x["known"] / words, x["long"] / words,
         )
 
     def counts(w: Column) -> Column:
-        distinct = F.array_distinct(w)
-        tens = F.slice(w, 1, 8)  # how often the first words come again: blocks of repeated words
-        most = F.array_max(F.concat(F.array(F.lit(0)), F.transform(tens, lambda t: F.size(F.array_remove(w, t)) * -1 + F.size(w))))
-        return let(lines, lambda n: F.struct(F.size(w).alias("words"), F.size(distinct).alias("distinct"), most.alias("most"), F.size(n).alias("lines"), F.size(F.array_distinct(n)).alias("distinct_lines")))
+        known = F.size(F.filter(w, lambda x: x.isin(*FUNCTION_WORDS.split())))
+        long = F.size(F.filter(w, lambda x: F.length(x) >= 14))
+        return let(lines, lambda n: F.struct(F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("distinct"), known.alias("known"), long.alias("long"), F.size(n).alias("lines"), F.size(F.array_distinct(n)).alias("distinct_lines")))
 
     return let(let(listed, counts), of)
 
@@ -117,6 +114,8 @@ def fit(x, y, seed: int = 7) -> Ensemble:
     for _ in range(TREES):  # both classes alike, so that rare ones get rules too
         part = np.concatenate([rng.choice(c, size=min(len(c), TREE_ROWS // 2), replace=False) for c in (ones, zeros)])
         grow(x[part], y[part], rng, (), rules, DEPTH)
+    if not rules:  # too few rows to split
+        return Ensemble(float(np.log(prior / (1 - prior))), [])
     ordered = sorted(rules, key=lambda r: r.terms)
     table = np.column_stack([r.holds(x) for r in ordered]).astype(np.float32)
     share = table.mean(axis=0)
