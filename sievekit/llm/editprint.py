@@ -28,7 +28,8 @@ from sievekit.llm.components import components
 
 PERIOD = 1024
 GRAM = 4
-ROWS_PER_RANGE = 4_000
+#: Ranges of doc_id that are sorted on their own: as many as rows ask for, but no more than the driver can hold the bounds of; ranges are larger beyond that.
+ROWS_PER_RANGE, MAX_RANGES = 4_000, 20_000
 BANDS, BAND_DIGITS = 24, 5
 BUCKET_ROWS = 256
 
@@ -112,7 +113,7 @@ def in_order_with_heads(docs: DataFrame) -> DataFrame:
     """docs doc_id, text -> rows b, ahead, doc_id, th, text, partitioned by b and sorted: the documents of range b in descending order, then (ahead) the one that follows them. Each text is shuffled once, besides one a range."""
     spark = docs.sparkSession
     docs = docs.withColumn("th", F.xxhash64("text"))
-    ranges = max(1, docs.count() // ROWS_PER_RANGE)
+    ranges = max(1, min(MAX_RANGES, docs.count() // ROWS_PER_RANGE))
     bounds = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
 
     @F.pandas_udf("int")
@@ -124,7 +125,7 @@ def in_order_with_heads(docs: DataFrame) -> DataFrame:
         return pd.Series(-np.searchsorted(bounds, known, side="right"), dtype="int32")
 
     dealt = docs.withColumn("b", range_of("doc_id").cast("int"))
-    # one row a range: its first document, at most ROWS_PER_RANGE-th part of the ids
+    # one row a range, its first document: MAX_RANGES rows at most
     heads = dealt.groupBy("b").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "th")).alias("x")).select("b", "x.*").orderBy("b").collect()
     follow = [(h["doc_id"], h["th"], heads[k - 1]["b"]) for k, h in enumerate(heads)]
     extra = F.broadcast(spark.createDataFrame(follow, "head long, th long, before int"))
