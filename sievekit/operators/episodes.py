@@ -25,21 +25,25 @@ def extract(turns: DataFrame, tool_role: str = "tool", actor: str = "assistant")
 
 def memory_store(episodes: DataFrame, least: int = 100) -> DataFrame:
     """Episodes with formatted_text of more than `least` characters, and how many there are before each in (traj, pos) order as their number."""
-    kept = episodes.withColumn("formatted_text", episode_text(F.col("thought"), F.col("tool"), F.col("command"), F.col("observation"))).where(F.length("formatted_text") > least)
-    return kept.withColumn("number", numbered_by(kept, ["traj", "pos"]))
+    return numbered(formatted(episodes, least), ["traj", "pos"])
 
 
-def numbered_by(rows: DataFrame, keys: list[str]) -> Column:
-    """0-based numbers in the order of keys."""
+def formatted(episodes: DataFrame, least: int = 100) -> DataFrame:
+    """Episodes with formatted_text, without those that are too short."""
+    return episodes.withColumn("formatted_text", episode_text(F.col("thought"), F.col("tool"), F.col("command"), F.col("observation"))).where(F.length("formatted_text") > least)
+
+
+def numbered_by(keys: list[str]) -> Column:
+    """0-based numbers in the order of keys, for rows that are few by construction (a limit before it)."""
     return (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long")
 
 
-def numbered_wide(rows: DataFrame, key: str, group: str) -> DataFrame:
-    """rows with number: 0-based in the order of (group, key), from per-group counts, so that no task sorts more than a group."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return rows.join(before.select(group, "__before"), group).withColumn("number", F.col("__before") + own - 1).drop("__before")
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with number: 0-based in the order of keys. Ranges are sorted each in its own task; only their sizes (one row a range) meet."""
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).persist()
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before.select("__range", "__first", "__before")), "__range").withColumn("number", F.col("__before") + F.col("__at") - F.col("__first")).drop("__range", "__at", "__first", "__before")
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -49,7 +53,7 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def assigned(rows: DataFrame, key: str, reviewers: int) -> DataFrame:
     """Each row to the reviewer of its place modulo their number."""
-    return rows.withColumn("reviewer", F.pmod(F.row_number().over(Window.orderBy(key)) - 1, F.lit(reviewers)).cast("int"))
+    return numbered(rows, [key]).withColumn("reviewer", (F.col("number") % reviewers).cast("int")).drop("number")
 
 
 def resumed(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -329,7 +329,7 @@ def shuffle_sample(spark, sf_dir):
 @query("heldout_slice", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {h(chr(39) + 'split' + chr(39), 'doc_id')}, doc_id) AS k FROM documents) WHERE k > 100 AND k <= 150")
 def heldout_slice(spark, sf_dir):
     first = table(spark, sf_dir, "documents").select("doc_id").withColumn("draw", hash52("split", F.col("doc_id"))).orderBy("draw", "doc_id").limit(150)
-    return first.withColumn("k", episodes.numbered_by(first, ["draw", "doc_id"])).where("k >= 100").select("doc_id")
+    return first.withColumn("k", episodes.numbered_by(["draw", "doc_id"])).where("k >= 100").select("doc_id")
 
 
 @query("assign_split", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 3 AS INTEGER) AS reviewer FROM labels")

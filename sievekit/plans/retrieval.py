@@ -128,7 +128,7 @@ li AS (SELECT query_id, rank, doc_id FROM dn UNION ALL SELECT query_id, rank, do
 
 def both_lists(spark, sf_dir, depth):
     d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
-    return dense.dense_topk(dense.hashed_vectors(d), text_vectors(q), depth), sparse.ranked(sparse.bm25_scores(d, q), depth)
+    return dense.dense_topk(dense.hashed_vectors(d), text_vectors(q), depth, d.count(), q.count()), sparse.ranked(sparse.bm25_scores(d, q), depth)
 
 
 @query("hybrid_rrf", f"WITH {HYBRID}, {rrf_sql('fu', 'li', 10)} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM fu")
@@ -181,9 +181,10 @@ SELECT query_id, expanded, doc_id, CAST(rank AS INTEGER) AS rank FROM dn JOIN ga
 def retrieved(spark, sf_dir, mode):
     d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
     vectors = dense.hashed_vectors(d)
-    n = d.count()
-    original = dense.dense_topk(vectors, text_vectors(q), 20, n)
-    return gate.gated_retrieval(original, variants(spark, sf_dir), mode, lambda t, k: dense.dense_topk(vectors, text_vectors(t), k, n), lambda t, k: sparse.ranked(sparse.bm25_scores(d, t), k)).select("query_id", "expanded", "doc_id", F.col("rank").cast("int").alias("rank"))
+    # block counts need no exact numbers: a query has at most four variants
+    n, asked = d.count(), q.count()
+    original = dense.dense_topk(vectors, text_vectors(q), 20, n, asked).persist()  # 2k rows a query: gate, fallback and fusion read it
+    return gate.gated_retrieval(original, variants(spark, sf_dir), mode, lambda t, k: dense.dense_topk(vectors, text_vectors(t), k, n, 4 * asked), lambda t, k: sparse.ranked(sparse.bm25_scores(d, t), k)).select("query_id", "expanded", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
 for _mode in gate.MODES:

@@ -33,13 +33,12 @@ def ep_extract(spark, sf_dir):
 
 @query("ep_format", f"WITH {EPISODES} SELECT traj, pos, length(formatted_text) AS size, md5(formatted_text) AS digest FROM fm WHERE length(formatted_text) > 100")
 def ep_format(spark, sf_dir):
-    return episodes.memory_store(episodes.extract(turns(spark, sf_dir), "user")).select("traj", "pos", F.length("formatted_text").cast("long").alias("size"), F.md5(F.col("formatted_text").cast("binary")).alias("digest"))
+    return episodes.formatted(episodes.extract(turns(spark, sf_dir), "user")).select("traj", "pos", F.length("formatted_text").cast("long").alias("size"), F.md5(F.col("formatted_text").cast("binary")).alias("digest"))
 
 
 @query("ep_id", f"WITH {EPISODES} SELECT printf('ep_%06d', row_number() OVER (ORDER BY traj, pos) - 1) AS episode_id, traj, pos FROM fm WHERE length(formatted_text) > 100")
 def ep_id(spark, sf_dir):
-    kept = episodes.memory_store(episodes.extract(turns(spark, sf_dir), "user")).drop("number")
-    return episodes.numbered_wide(kept, "pos", "traj").select(F.format_string("ep_%06d", F.col("number")).alias("episode_id"), "traj", "pos")
+    return episodes.memory_store(episodes.extract(turns(spark, sf_dir), "user")).select(F.format_string("ep_%06d", F.col("number")).alias("episode_id"), "traj", "pos")
 
 
 @query("head_tail", f"SELECT doc_id, md5({HEAD_TAIL.format('text')}) AS digest FROM documents")

@@ -52,6 +52,13 @@ def test_extract(spark):
     assert got[0].thought == "think" and len(got[1].thought) == 300
 
 
+def test_numbers_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("g")).repartition(7)
+    got = sorted((r.g, r.k, r.number) for r in episodes.numbered(rows, ["g", "k"]).collect())
+    assert [n for _, _, n in got] == list(range(1000))
+    assert episodes.numbered(rows.limit(0), ["k"]).count() == 0
+
+
 def test_bm25_pads_and_counts_repeats(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(["cat dog", "dog", "", "bird bird cat", "fish", "ant"])], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "cat cat"), (2, "nothing"), (3, "")], "query_id long, query string")
