@@ -57,9 +57,14 @@ class Classifier:
 
 def features(text: Column, stems: list[list[str]]) -> Column:
     """array<double>: the statistics, then for each list of stems the logarithms of different stems and of hits."""
-    found = [F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})({trie_pattern(x)})"), 1) for x in stems]
-    marks = [let(h, lambda y: F.array(F.log1p(F.size(F.array_distinct(y)).cast("double")), F.log1p(F.size(y).cast("double")))) for h in found]
-    return F.concat(statistics(text), *marks)
+    if not stems:
+        return statistics(text)
+
+    def marks(lower: Column) -> Column:
+        found = [F.regexp_extract_all(lower, F.lit(rf"(?<!\p{{L}})({trie_pattern(x)})"), 1) for x in stems]
+        return F.concat(*[let(h, lambda y: F.array(F.log1p(F.size(F.array_distinct(y)).cast("double")), F.log1p(F.size(y).cast("double")))) for h in found])
+
+    return F.concat(statistics(text), let(F.lower(text), marks))
 
 
 def softmax_fit(x, y, classes: int, ridge: float = 2.0, steps: int = 500):
