@@ -24,11 +24,16 @@ def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def filled(text: Column) -> Column:
+    """The text without white space around it; null if that leaves nothing."""
+    return blank_to_null(F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
 def episode_text(thought: Column, tool: Column, command: Column, observation: Column) -> Column:
     """Thought, action and observation lines; parts that are empty are left out."""
-    tool, command = blank_to_null(tool), blank_to_null(command)
+    tool, command = filled(tool), filled(command)
     action = F.when(tool.isNotNull(), F.concat(F.lit("[ACTION] "), tool, F.lit(": "), F.coalesce(command, F.lit("")))).when(command.isNotNull(), F.concat(F.lit("[ACTION] "), command))
-    return F.concat_ws("\n", F.concat(F.lit("[THOUGHT] "), blank_to_null(thought)), action, F.concat(F.lit("[OBSERVATION] "), blank_to_null(head_tail(observation))))
+    return F.concat_ws("\n", F.concat(F.lit("[THOUGHT] "), filled(thought)), action, F.concat(F.lit("[OBSERVATION] "), head_tail(filled(observation))))
 
 
 def excerpt(text: Column, size: int = 700) -> Column:
@@ -50,24 +55,25 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c.cast("string") != "", c) for c in columns])
 
 
-def slug_underscore(name: Column) -> Column:
-    """Lower case; blanks and dashes become underscores."""
-    return F.regexp_replace(F.lower(name), r"[ \-]", "_")
-
-
-def slug_plain(name: Column) -> Column:
-    """Lower case; blanks and slashes become underscores, dashes stay."""
-    return F.regexp_replace(F.lower(name), "[ /]", "_")
+def slug_signs(name: Column) -> Column:
+    """Lower case; dashes and plus signs become underscores. Blanks stay."""
+    return F.translate(F.lower(name), "-+", "__")
 
 
 def slug_words(name: Column) -> Column:
-    """Lower case; runs of other characters than letters and digits become one dash, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower case; dashes, plus signs and blanks become underscores."""
+    return F.translate(F.lower(name), "-+ ", "___")
 
 
 def slug_safe(name: Column) -> Column:
-    """Runs of characters other than letters, digits, dot, dash and underscore become one underscore; the case stays."""
-    return F.regexp_replace(name, r"[^A-Za-z0-9._\-]+", "_")
+    """Runs of other characters than letters, digits, dot, dash and underscore become one underscore, none stays at the ends; the case stays. A name without any such character is an error."""
+    safe = F.trim(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9_.\-]+", "_"), F.lit("_"))
+    return F.when((safe != "") | name.isNull(), safe).otherwise(F.raise_error(F.lit("the name gives an empty slug")).cast("string"))
+
+
+def slug_label(name: Column) -> Column:
+    """Lower case; dashes and blanks become underscores, an at sign is spelled."""
+    return F.replace(F.translate(F.lower(name), "- ", "__"), F.lit("@"), F.lit("at"))
 
 
 #: Characters that TeX treats specially, and how they are written.
@@ -83,7 +89,7 @@ def tex_escape(text: Column) -> Column:
 
 def numbered_items(reply: Column, cached: Column, most: int) -> Column:
     """The cached items, then the lines of a reply that start with a digit, from after their first '. ', together at most `most`."""
-    lines = F.filter(F.split(reply, "\n"), lambda x: x.rlike("^[0-9]"))
+    lines = F.filter(F.split(F.trim(reply), "\n"), lambda x: x.rlike("^[0-9]"))
     parsed = F.transform(lines, lambda x: F.trim(F.when(F.instr(x, ". ") > 0, F.substring(x, F.instr(x, ". ") + 2, F.length(x))).otherwise(x)))
     return F.slice(F.concat(cached, parsed), 1, most)
 
@@ -96,6 +102,28 @@ def fill_template(template: str, **fields: Column) -> Column:
     return out
 
 
+#: What a packet starts with.
+PACKET_HEAD = """## Retrieved Prior Agent Memories
+
+The following entries are retrieved from prior software-agent memory logs.
+Use them only when they are relevant to the current bug.
+"""
+
+
 def packet_text(memories: Column) -> Column:
-    """array<struct<episode_id, formatted_text>> in rank order as numbered sections."""
-    return F.array_join(F.transform(memories, lambda m, k: F.concat(F.lit("## Memory "), (k + 1).cast("string"), F.lit(" ("), m["episode_id"], F.lit(")\n"), m["formatted_text"])), "\n\n")
+    """array<struct<episode_id, task_id, formatted_text>> in rank order as numbered sections below a fixed head."""
+    field = lambda m, name: F.coalesce(m[name].cast("string"), F.lit(""))
+    sections = F.transform(memories, lambda m, k: F.concat(F.lit("\n### Memory "), (k + 1).cast("string"), F.lit(": "), field(m, "episode_id"), F.lit("\nTask ID: "), field(m, "task_id"), F.lit("\n"), field(m, "formatted_text"), F.lit("\n")))
+    return F.regexp_replace(F.concat(F.lit(PACKET_HEAD), F.array_join(sections, "")), r"^\s+|\s+$", "")
+
+
+def failure_reason(kind: Column, message: Column, verifier_error: Column, reward: Column) -> Column:
+    """Of a task: the exception, else the verifier's error, else that it was not resolved; empty for a positive reward."""
+    exception = F.trim(F.concat(F.coalesce(kind, F.lit("Exception")), F.lit(": "), F.coalesce(message, F.lit(""))))
+    return F.when(kind.isNotNull() | message.isNotNull(), exception).when(verifier_error != "", verifier_error).when(reward <= 0, "task not resolved by verifier").otherwise("")
+
+
+def runtime_seconds(elapsed: Column, started: Column, ended: Column) -> Column:
+    """Elapsed seconds if they are known and not negative, else the time between two timestamps in order, else 0."""
+    between = F.when(ended >= started, ended.cast("double") - started.cast("double"))
+    return F.coalesce(F.when(elapsed >= 0, elapsed), between, F.lit(0.0))

@@ -20,16 +20,18 @@ def with_grid(rows: DataFrame, cells: list[tuple]) -> DataFrame:
     return rows.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(float(t)).alias("threshold")) for p, t in cells]))).select("*", "cell.policy", "cell.threshold").drop("cell")
 
 
+#: Names of policies. Ties between policies go by name, so they are part of results.
+SCORE_POLICIES = ("score_only", "score_and_no_bm25_agreement", "score_or_no_bm25_agreement")
+TOP1_POLICIES = ("top1_low", "top1_low_or_no_bm25_agreement")
+MARGIN_POLICIES = ("margin_low", "margin_low_or_no_bm25_agreement")
+CONCENTRATION_POLICIES = ("concentration_low",)
+
+
 def policy_expands(policy: Column, threshold: Column) -> Column:
-    """Rows top1, margin, concentration, agrees -> whether a policy expands."""
-    low = F.col("top1") < threshold
-    return (
-        F.when(policy == "top1", low)
-        .when(policy == "top1_or_disagree", low | ~F.col("agrees"))
-        .when(policy == "top1_and_disagree", low & ~F.col("agrees"))
-        .when(policy == "margin", F.col("margin") < threshold)
-        .when(policy == "concentration", F.col("concentration") < threshold)
-    )
+    """Rows top1, margin, concentration, agrees -> whether a policy expands; null for an unknown policy. The first part of a name says what has to be low, the rest how disagreement counts."""
+    low = F.when(policy.startswith("margin"), F.col("margin") < threshold).when(policy.startswith("concentration"), F.col("concentration") < threshold).when(policy.startswith("score") | policy.startswith("top1"), F.col("top1") < threshold)
+    apart = ~F.col("agrees")
+    return F.when(policy.endswith("_or_no_bm25_agreement"), low | apart).when(policy.endswith("_and_no_bm25_agreement"), low & apart).otherwise(low)
 
 
 def evaluated(rows: DataFrame, cells: list[tuple], by: list[str]) -> DataFrame:

@@ -228,7 +228,8 @@ def cells_sql(cells) -> str:
     return "cells(policy, threshold) AS (VALUES " + ", ".join(f"('{p}', {t}::DOUBLE)" for p, t in cells) + ")"
 
 
-EXPAND = "CASE policy WHEN 'top1' THEN top1 < threshold WHEN 'top1_or_disagree' THEN top1 < threshold OR NOT agrees WHEN 'top1_and_disagree' THEN top1 < threshold AND NOT agrees WHEN 'margin' THEN margin < threshold ELSE concentration < threshold END"
+LOW = "CASE WHEN policy LIKE 'margin%' THEN margin < threshold WHEN policy LIKE 'concentration%' THEN concentration < threshold ELSE top1 < threshold END"
+EXPAND = f"CASE WHEN policy LIKE '%or_no_bm25_agreement' THEN {LOW} OR NOT agrees WHEN policy LIKE '%and_no_bm25_agreement' THEN {LOW} AND NOT agrees ELSE {LOW} END"
 
 
 def scored_sql(cells, by: str, source: str = "pairs") -> str:
@@ -237,11 +238,14 @@ def scored_sql(cells, by: str, source: str = "pairs") -> str:
   avg(CAST(CASE WHEN ex THEN hit10_b ELSE hit10_a END AS INTEGER)) AS recall10, avg(CAST(ex AS INTEGER)) AS expansion, count(*) AS n FROM ex GROUP BY ALL)"""
 
 
-TOP = lambda values: [("top1", t) for t in values]
+def crossed_cells(policies, values):
+    return [(p, t) for p in policies for t in values]
+
+
+TOP = lambda values: crossed_cells(("score_only",), values)
 COARSE, FINE = calibrate.grid(45, 80, 5), calibrate.grid(45, 80, 1)
-AGREEMENT = [(p, t) for p in ("top1", "top1_or_disagree", "top1_and_disagree") for t in COARSE]
-FEATURES = [*TOP(COARSE), *[("margin", t) for t in calibrate.grid(5, 100, 5, 1000.0)], *[("concentration", t) for t in calibrate.grid(20, 70, 5)]]
-WIDE = [(p, t) for p in ("top1", "top1_or_disagree", "top1_and_disagree") for t in FINE]
+AGREEMENT, WIDE = crossed_cells(calibrate.SCORE_POLICIES, COARSE), crossed_cells(calibrate.SCORE_POLICIES, FINE)
+FEATURES = [*crossed_cells(calibrate.TOP1_POLICIES, COARSE), *crossed_cells(calibrate.MARGIN_POLICIES, calibrate.grid(5, 100, 5, 1000.0)), *crossed_cells(calibrate.CONCENTRATION_POLICIES, calibrate.grid(20, 70, 5))]
 OUT = "policy, threshold, round(recall, 6) AS recall, round(expansion, 6) AS expansion"
 HALVES = f"{PAIRS}, hv AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY seed ORDER BY query_id) <= floor(count(*) OVER (PARTITION BY seed) / 2::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM pairs), tr AS (SELECT * FROM hv WHERE part = 'train')"
 

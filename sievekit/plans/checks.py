@@ -106,7 +106,7 @@ def join_fold(spark, sf_dir):
     """Each seed against all others: totals less the own part."""
     from sievekit.operators.calibrate import evaluated, leave_one_out
 
-    scored = evaluated(pairs(spark, sf_dir), [("top1", 0.0)], ["seed"])
+    scored = evaluated(pairs(spark, sf_dir), [("score_only", 0.0)], ["seed"])
     return leave_one_out(scored).select("test_seed", F.round("recall", 6).alias("recall"))
 
 

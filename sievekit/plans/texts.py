@@ -22,8 +22,9 @@ TURNS = """tu AS (SELECT conv_id AS traj, turn AS pos, role, text AS content, CA
   CASE WHEN turn % 3 = 0 THEN 'step ' || turn WHEN turn % 3 = 1 THEN 'p' || turn ELSE 'plain' END AS command, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 ep AS (SELECT traj, pos, left(trim(coalesce(content, '')), 300) AS thought, coalesce(tool, '') AS tool, command, CASE WHEN next_role = 'user' THEN coalesce(next_text, '') ELSE '' END AS observation FROM tu WHERE role = 'assistant')"""
 HEAD_TAIL = "CASE WHEN length({0}) > 700 THEN left({0}, 300) || chr(10) || '... [truncated] ...' || chr(10) || right({0}, 300) ELSE {0} END"
-EPISODES = TURNS + f""", fm AS (SELECT *, concat_ws(chr(10), CASE WHEN thought <> '' THEN '[THOUGHT] ' || thought END, CASE WHEN tool <> '' THEN '[ACTION] ' || tool || ': ' || command WHEN command <> '' THEN '[ACTION] ' || command END,
-  CASE WHEN observation <> '' THEN '[OBSERVATION] ' || {HEAD_TAIL.format('observation')} END) AS formatted_text FROM ep)"""
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+EPISODES = TURNS + f""", es AS (SELECT traj, pos, {STRIP.format('thought')} AS thought, tool, command, {STRIP.format('observation')} AS observation FROM ep), fm AS (SELECT *, concat_ws(chr(10), CASE WHEN thought <> '' THEN '[THOUGHT] ' || thought END, CASE WHEN tool <> '' THEN '[ACTION] ' || tool || ': ' || command WHEN command <> '' THEN '[ACTION] ' || command END,
+  CASE WHEN observation <> '' THEN '[OBSERVATION] ' || {HEAD_TAIL.format('observation')} END) AS formatted_text FROM es)"""
 
 
 @query("ep_extract", f"WITH {TURNS} SELECT traj, pos, md5(thought) AS thought, tool, command, md5(observation) AS observation FROM ep")
@@ -103,10 +104,10 @@ def excerpt(spark, sf_dir):
 NAME = "left(text, 24)"
 
 
-@query("slug", f"SELECT doc_id, regexp_replace(lower({NAME}), '[ -]', '_', 'g') AS a, regexp_replace(lower({NAME}), '[ /]', '_', 'g') AS b, regexp_replace(regexp_replace(lower({NAME}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS c, regexp_replace({NAME}, '[^A-Za-z0-9._-]+', '_', 'g') AS d FROM documents")
+@query("slug", f"SELECT doc_id, translate(lower({NAME}), '-+', '__') AS signs, translate(lower({NAME}), '-+ ', '___') AS words, trim(regexp_replace(trim({NAME}), '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe, replace(translate(lower({NAME}), '- ', '__'), '@', 'at') AS label FROM documents")
 def slug(spark, sf_dir):
     name = F.left("text", F.lit(24))
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug_underscore(name).alias("a"), text.slug_plain(name).alias("b"), text.slug_words(name).alias("c"), text.slug_safe(name).alias("d"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug_signs(name).alias("signs"), text.slug_words(name).alias("words"), text.slug_safe(name).alias("safe"), text.slug_label(name).alias("label"))
 
 
 @query("latex_escape", "SELECT doc_id, array_to_string(list_transform(string_split(left(text, 200), ''), lambda c: CASE WHEN c IN ('&', '%', '$', '#', '_', '{', '}') THEN '\\' || c WHEN c = '~' THEN '\\textasciitilde{}' WHEN c = '^' THEN '\\textasciicircum{}' WHEN c = '\\' THEN '\\textbackslash{}' ELSE c END), '') AS tex FROM documents")
@@ -137,15 +138,16 @@ def iso_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(written, "Z$", "+00:00"))).alias("seconds"))
 
 
-@query("task_rows", """SELECT event_id, coalesce(value, 0) > 100 AS success, CASE WHEN value > 50 THEN value WHEN event_id % 7 - 3 > 0 THEN CAST(event_id % 7 - 3 AS DOUBLE) ELSE 0 END AS runtime,
-CASE WHEN coalesce(value, 0) > 100 THEN NULL WHEN event_id % 3 = 0 THEN 'exception: e' || event_id % 3 WHEN event_id % 3 = 1 THEN 'verifier: v' || event_id % 3 ELSE 'reward not above the threshold' END AS failure_reason FROM events""")
+@query("task_rows", """SELECT event_id, coalesce(value, 0) > 100 AS success, CASE WHEN value > 50 THEN value WHEN event_id % 7 >= 3 THEN CAST(event_id % 7 - 3 AS DOUBLE) ELSE 0 END AS runtime,
+CASE WHEN coalesce(value, 0) > 100 THEN NULL WHEN event_id % 3 = 0 THEN 'Timeout: e' || event_id % 7 WHEN event_id % 3 = 1 THEN 'v' || event_id % 7 WHEN coalesce(value, 0) <= 0 THEN 'task not resolved by verifier' ELSE '' END AS failure_reason FROM events""")
 def task_rows(spark, sf_dir):
     """Success, runtime and reason of failure of a task result."""
-    raw = table(spark, sf_dir, "events").select("event_id", F.col("value").cast("string").alias("reward"), F.when(F.col("value") > 50, F.col("value")).alias("elapsed"), F.lit(3).alias("started"), (F.col("event_id") % 7).alias("ended"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e"), F.col("event_id") % 3)).alias("exception"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("v"), F.col("event_id") % 3)).alias("verifier"))
-    success = F.coalesce(F.expr("try_cast(reward AS DOUBLE)"), F.lit(0.0)) > 100
-    runtime = F.coalesce("elapsed", F.when(F.col("ended") > F.col("started"), (F.col("ended") - F.col("started")).cast("double")), F.lit(0.0))
-    reason = F.when(F.col("exception").isNotNull(), F.concat(F.lit("exception: "), "exception")).when(F.col("verifier").isNotNull(), F.concat(F.lit("verifier: "), "verifier")).otherwise("reward not above the threshold")
-    return raw.select("event_id", success.alias("success"), runtime.alias("runtime"), F.when(~success, reason).alias("failure_reason"))
+    k = F.col("event_id") % 7
+    at = lambda seconds: F.timestamp_seconds(seconds)
+    raw = table(spark, sf_dir, "events").select("event_id", F.col("value").cast("string").alias("reward"), F.when(F.col("value") > 50, F.col("value")).otherwise(F.lit(-1.0)).alias("elapsed"), at(F.lit(3)).alias("started"), at(k).alias("ended"), F.when(F.col("event_id") % 3 == 0, "Timeout").alias("kind"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e"), k)).alias("message"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("v"), k)).alias("verifier"))
+    reward = F.coalesce(F.expr("try_cast(reward AS DOUBLE)"), F.lit(0.0))
+    reason = text.failure_reason(F.col("kind"), F.col("message"), F.col("verifier"), reward)
+    return raw.select("event_id", (reward > 100).alias("success"), text.runtime_seconds(F.col("elapsed"), F.col("started"), F.col("ended")).alias("runtime"), F.when(~(reward > 100), reason).alias("failure_reason"))
 
 
 @query("est_calls", f"WITH {PAIRS} SELECT doc_id, CASE WHEN expanded THEN {d('nt')} % 3 + CASE WHEN {d('np')} % 3 > 0 THEN 1 ELSE 0 END ELSE 0 END AS calls FROM pairs")
@@ -154,10 +156,14 @@ def est_calls(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", F.when(F.col("expanded"), calls).otherwise(F.lit(0).cast("long")).alias("calls"))
 
 
-@query("context_text", "SELECT doc_id, '## Memory 1 (ep_' || lang || ')' || chr(10) || left(text, 30) || chr(10) || chr(10) || '## Memory 2 (ep_' || source || ')' || chr(10) || right(text, 30) AS context FROM documents")
+def memory_sql(k: int, name: str, task: str, part: str) -> str:
+    return f"chr(10) || '### Memory {k}: ' || {name} || chr(10) || 'Task ID: ' || {task} || chr(10) || {part} || chr(10)"
+
+
+@query("context_text", f"SELECT doc_id, regexp_replace('{text.PACKET_HEAD}' || {memory_sql(1, 'lang', 'doc_id', 'left(text, 30)')} || {memory_sql(2, 'source', chr(39) * 2, 'right(text, 30)')}, '^\\s+|\\s+$', '', 'g') AS context FROM documents")
 def context_text(spark, sf_dir):
-    memory = lambda c, part: F.struct(F.concat(F.lit("ep_"), c).alias("episode_id"), part.alias("formatted_text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.packet_text(F.array(memory(F.col("lang"), F.left("text", F.lit(30))), memory(F.col("source"), F.right("text", F.lit(30))))).alias("context"))
+    memory = lambda name, task, part: F.struct(name.alias("episode_id"), task.cast("string").alias("task_id"), part.alias("formatted_text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.packet_text(F.array(memory(F.col("lang"), F.col("doc_id"), F.left("text", F.lit(30))), memory(F.col("source"), F.lit(None), F.right("text", F.lit(30))))).alias("context"))
 
 
 @query("query_template", "SELECT doc_id, coalesce(source, '') || chr(10) || chr(10) || coalesce(left(text, 50), '') AS query FROM documents")
