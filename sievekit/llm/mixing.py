@@ -26,6 +26,8 @@ from sievekit.llm.secrets import let
 from sievekit.llm.toxicity import mine_stems, trie_pattern, unlike
 
 STEPS, CLOSE = 30, 1e-9
+#: The statistics that domains are told apart by, beside their stems: those that need no search through the text but one for symbols and one for bars.
+KNOWN_BY = ("chars", "words", "word_length", "symbols", "bars", "lines", "distinct_words", "distinct_lines")
 #: Labelled rows that teach at most, on average of the hash that picks them.
 TEACHING_ROWS = 8_000
 
@@ -58,13 +60,13 @@ class Classifier:
 def features(text: Column, stems: list[list[str]]) -> Column:
     """array<double>: the statistics, then for each list of stems the logarithms of different stems and of hits."""
     if not stems:
-        return statistics(text)
+        return statistics(text, KNOWN_BY)
 
     def marks(lower: Column) -> Column:
         found = [F.regexp_extract_all(lower, F.lit(rf"(?<!\p{{L}})({trie_pattern(x)})"), 1) for x in stems]
         return F.concat(*[let(h, lambda y: F.array(F.log1p(F.size(F.array_distinct(y)).cast("double")), F.log1p(F.size(y).cast("double")))) for h in found])
 
-    return F.concat(statistics(text), let(F.lower(text), marks))
+    return F.concat(statistics(text, KNOWN_BY), let(F.lower(text), marks))
 
 
 def softmax_fit(x, y, classes: int, ridge: float = 2.0, steps: int = 500):

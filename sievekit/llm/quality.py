@@ -28,24 +28,26 @@ FUNCTION_WORDS = "the of and to in is that was for with la de le les des et en u
 STATISTICS = ("chars", "words", "word_length", "symbols", "bars", "digits", "capitals", "stops", "commas", "lines", "distinct_words", "distinct_lines", "function_words", "long_words")
 
 
-def statistics(text: Column) -> Column:
-    """array<double> in the order of STATISTICS."""
+def statistics(text: Column, names: tuple[str, ...] = STATISTICS) -> Column:
+    """array<double> of the named statistics, in their order."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     listed = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    def of(x: Column) -> Column:
-        chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-        words = F.greatest(x["words"], F.lit(1)).cast("double")
-        return F.array(
-            F.log1p(F.length(text).cast("double")), F.log1p(x["words"].cast("double")), (chars - words) / words, count(r"[*#%$&^~=+<>{}\[\]_@\\]") / words, count(r"\|") / words, count("[0-9]") / chars, count(r"\p{Lu}") / words,
-            count(r"[.!?](?=\s|$)") / words, count(",") / words, x["lines"] / words, x["distinct"] / words, x["distinct_lines"] / F.greatest(x["lines"], F.lit(1)), x["known"] / words, x["long"] / words,
-        )
 
     def counts(w: Column) -> Column:
-        known = F.size(F.filter(w, lambda x: x.isin(*FUNCTION_WORDS.split())))
-        long = F.size(F.filter(w, lambda x: F.length(x) >= 14))
+        known = F.size(F.filter(w, lambda x: x.isin(*FUNCTION_WORDS.split()))) if "function_words" in names else F.lit(0)
+        long = F.size(F.filter(w, lambda x: F.length(x) >= 14)) if "long_words" in names else F.lit(0)
         return let(lines, lambda n: F.struct(F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("distinct"), known.alias("known"), long.alias("long"), F.size(n).alias("lines"), F.size(F.array_distinct(n)).alias("distinct_lines")))
 
+    def of(x: Column) -> Column:
+        chars = F.greatest(F.length(text), F.lit(1)).cast("double")
+        words = F.greatest(x["words"], F.lit(1)).cast("double")
+        every = {
+            "chars": F.log1p(F.length(text).cast("double")), "words": F.log1p(x["words"].cast("double")), "word_length": (chars - words) / words, "symbols": count(r"[*#%$&^~=+<>{}\[\]_@\\]") / words, "bars": count(r"\|") / words, "digits": count("[0-9]") / chars, "capitals": count(r"\p{Lu}") / words,
+            "stops": count(r"[.!?](?=\s|$)") / words, "commas": count(",") / words, "lines": x["lines"] / words, "distinct_words": x["distinct"] / words, "distinct_lines": x["distinct_lines"] / F.greatest(x["lines"], F.lit(1)), "function_words": x["known"] / words, "long_words": x["long"] / words,
+        }
+        return F.array(*[every[n] for n in names])
+
     return let(let(listed, counts), of)
 
 
