@@ -50,7 +50,7 @@ def ranked(scores: DataFrame, k: int, key: str = "query_id", item: str = "doc_id
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank: k rows a query; where fewer documents match, those without a score follow by id with score 0."""
-    best = ranked(bm25_scores(docs, queries), k)
+    best = ranked(bm25_scores(docs, queries), k).persist()  # at most k rows a query, read for the lists and for what they lack
     found = best.groupBy("query_id").agg(F.count("*").alias("found"), F.collect_list("doc_id").alias("ids"))
     short = queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).where(F.col("found") < k)
     # the k smallest ids (2k, as up to k of them may have matched) are enough to fill from
