@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from sievekit.llm.common import staged
 
 LENGTH, GRAM = 100, 24
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: What a task holds at a time: text, and rows that are refined window by window.
-BATCH_BYTES, TASK_ROWS = 6 << 20, 2_000
+BATCH_BYTES, TASK_ROWS = 2 << 20, 1_000
 NO_ID = -(1 << 63)
 #: Buckets in more than this share of a sample's documents are dealt out by their refined buckets too.
 COMMON_SHARE, SAMPLE_PART, SALTS = 0.01, 50, 64
@@ -146,14 +146,16 @@ def text_buffer(column):
 
 
 def by_bytes(batch, text: int):
-    """Slices of the batch that hold BATCH_BYTES of the text column, or one row."""
+    """Slices of the batch that hold BATCH_BYTES of the text column, or one row. What a slice needed goes back to the system before the next."""
     import numpy as np
+    import pyarrow as pa
 
     _, offsets = text_buffer(batch.column(text))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
         yield batch.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
         at = end
 
 
