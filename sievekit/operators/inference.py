@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.hashing import hash52, uniform
 
+#: Replicates of the reference: intervals of one method, paired bootstraps, gate intervals and sign flips.
+CI_DRAWS, PAIR_DRAWS, GATE_DRAWS = 2_000, 5_000, 10_000
+
 
 def value_table(rows: DataFrame, value: str) -> DataFrame:
     """value -> low, high: the places [low, high) its rows take in the order of values. Values of hits and of their differences are few."""
@@ -49,14 +52,14 @@ def interpolated_interval(level: float = 0.95) -> list:
     return [F.expr(f"percentile(mean, {q})").alias("low"), F.expr(f"percentile(mean, {1 - q})").alias("high")]
 
 
-def interval_nearest(rows: DataFrame, value: str, draws: int, name: str = "boot") -> DataFrame:
+def interval_nearest(rows: DataFrame, value: str, draws: int = CI_DRAWS, name: str = "boot") -> DataFrame:
     """observed, low, high by nearest rank."""
     means = replicates(rows, value, draws, name)
     low, high = (nearest_rank(means, q, draws).select(F.col("v").alias(n)) for q, n in ((0.025, "low"), (0.975, "high")))
     return rows.agg(F.avg(value).alias("observed")).crossJoin(low).crossJoin(high)
 
 
-def paired_two_sided(rows: DataFrame, delta: str, draws: int, name: str = "pair06") -> DataFrame:
+def paired_two_sided(rows: DataFrame, delta: str, draws: int = PAIR_DRAWS, name: str = "pair06") -> DataFrame:
     """Nearest-rank interval; p is twice the smaller tail, at most 1."""
     means = replicates(rows, delta, draws, name)
     low, high = (nearest_rank(means, q, draws).select(F.col("v").alias(n)) for q, n in ((0.025, "low"), (0.975, "high")))
@@ -64,17 +67,17 @@ def paired_two_sided(rows: DataFrame, delta: str, draws: int, name: str = "pair0
     return rows.agg(F.avg(delta).alias("observed")).crossJoin(low).crossJoin(high).crossJoin(p)
 
 
-def paired_one_sided(rows: DataFrame, delta: str, draws: int, name: str = "pair11") -> DataFrame:
+def paired_one_sided(rows: DataFrame, delta: str, draws: int = PAIR_DRAWS, name: str = "pair11") -> DataFrame:
     """Interpolated interval; p is the tail against the sign of the observed difference."""
     means = replicates(rows, delta, draws, name).agg(*interpolated_interval(), F.avg((F.col("mean") <= 0).cast("double")).alias("under"), F.avg((F.col("mean") >= 0).cast("double")).alias("over"))
     return rows.agg(F.avg(delta).alias("observed")).crossJoin(means).select("observed", "low", "high", F.when(F.col("observed") >= 0, F.col("under")).otherwise(F.col("over")).alias("p"))
 
 
-def interval_interpolated(rows: DataFrame, value: str, draws: int, name: str = "ci28") -> DataFrame:
+def interval_interpolated(rows: DataFrame, value: str, draws: int = GATE_DRAWS, name: str = "ci28") -> DataFrame:
     return rows.agg(F.avg(value).alias("observed")).crossJoin(replicates(rows, value, draws, name).agg(*interpolated_interval()))
 
 
-def sign_flip(rows: DataFrame, key: str, delta: str, draws: int, name: str = "flip") -> DataFrame:
+def sign_flip(rows: DataFrame, key: str, delta: str, draws: int = GATE_DRAWS, name: str = "flip") -> DataFrame:
     """p = (c + 1) / (draws + 1) for means of randomly signed differences at least as far from 0 as the observed one. Zero differences have no sign to flip and are left out of the draws."""
     seen = rows.agg(F.avg(delta).alias("observed"), F.count("*").alias("n"))
     flips = rows.where(F.col(delta) != 0).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))

@@ -149,11 +149,11 @@ def deltas(spark, sf_dir):
     return pairs(spark, sf_dir).select("query_id", F.col("hit_b").cast("int").alias("hit"), (F.col("hit_b").cast("int") - F.col("hit_a").cast("int")).alias("delta"))
 
 
-def boot_sql(value: str, name: str) -> str:
+def boot_sql(value: str, name: str, draws: int = DRAWS) -> str:
     place = h(f"'{name}'", "rep", "i") + " % n"
     return f"""{PAIRS}, src AS (SELECT CAST({value} AS DOUBLE) AS v FROM pairs), n AS (SELECT count(*) AS n FROM src),
 vt AS (SELECT v, sum(count(*)) OVER (ORDER BY v) - count(*) AS low, sum(count(*)) OVER (ORDER BY v) AS high FROM src GROUP BY v),
-dr AS (SELECT rep, {place} AS place FROM range({DRAWS}) r(rep), n, LATERAL (SELECT unnest(range(n.n)) AS i)),
+dr AS (SELECT rep, {place} AS place FROM range({draws}) r(rep), n, LATERAL (SELECT unnest(range(n.n)) AS i)),
 means AS (SELECT rep, avg(v) AS mean FROM dr JOIN vt ON place >= low AND place < high GROUP BY rep), ob AS (SELECT avg(v) AS observed FROM src)"""
 
 
@@ -195,6 +195,44 @@ def sign_flip(spark, sf_dir):
     return rounded(inference.sign_flip(deltas(spark, sf_dir), "query_id", "delta", DRAWS), "observed", "p")
 
 
+# the same at the reference's replicate counts: the operators' defaults
+def near_sql(draws: int) -> str:
+    place = lambda k: f"(SELECT mean FROM (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS k FROM means) WHERE k = {k})"
+    return f"{place(int(0.025 * draws) + 1)} AS low, {place(min(draws, int(0.975 * draws) + 1))} AS high"
+
+
+@query("boot_ci_full", f"WITH {boot_sql(HIT, 'boot', inference.CI_DRAWS)} SELECT {R6('observed low high')} FROM (SELECT observed, {near_sql(inference.CI_DRAWS)} FROM ob)")
+def boot_ci_full(spark, sf_dir):
+    return rounded(inference.interval_nearest(deltas(spark, sf_dir), "hit"), "observed", "low", "high")
+
+
+@query("boot_pair_two_sided_full", f"WITH {boot_sql(DELTA, 'pair06', inference.PAIR_DRAWS)} SELECT {R6('observed low high p')} FROM (SELECT observed, {near_sql(inference.PAIR_DRAWS)}, (SELECT least(1, 2 * least(avg(CAST(mean <= 0 AS INTEGER)), avg(CAST(mean >= 0 AS INTEGER)))) FROM means) AS p FROM ob)")
+def boot_pair_two_sided_full(spark, sf_dir):
+    return rounded(inference.paired_two_sided(deltas(spark, sf_dir), "delta"), "observed", "low", "high", "p")
+
+
+@query("boot_pair_one_sided_full", f"WITH {boot_sql(DELTA, 'pair11', inference.PAIR_DRAWS)} SELECT {R6('observed low high p')} FROM (SELECT observed, {INTER}, CASE WHEN observed >= 0 THEN (SELECT avg(CAST(mean <= 0 AS INTEGER)) FROM means) ELSE (SELECT avg(CAST(mean >= 0 AS INTEGER)) FROM means) END AS p FROM ob)")
+def boot_pair_one_sided_full(spark, sf_dir):
+    return rounded(inference.paired_one_sided(deltas(spark, sf_dir), "delta"), "observed", "low", "high", "p")
+
+
+@query("boot_ci_interpolated_full", f"WITH {boot_sql(DELTA, 'ci28', inference.GATE_DRAWS)} SELECT {R6('observed low high')} FROM (SELECT observed, {INTER} FROM ob)")
+def boot_ci_interpolated_full(spark, sf_dir):
+    return rounded(inference.interval_interpolated(deltas(spark, sf_dir), "delta"), "observed", "low", "high")
+
+
+@query("ci_excludes_zero_full", f"WITH {boot_sql(DELTA, 'ci28', inference.GATE_DRAWS)} SELECT low > 0 OR high < 0 AS excludes_zero FROM (SELECT {INTER})")
+def ci_excludes_zero_full(spark, sf_dir):
+    return inference.interval_interpolated(deltas(spark, sf_dir), "delta").select(((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
+
+
+@query("sign_flip_full", f"""WITH {PAIRS}, src AS (SELECT query_id, {DELTA} AS v FROM pairs), ob AS (SELECT avg(v) AS observed, count(*) AS n FROM src),
+fl AS (SELECT rep, sum(CASE WHEN {h("'flip'", 'rep', 'query_id')} / 4503599627370496::DOUBLE < 0.5::DOUBLE THEN v ELSE -v END) AS total FROM src, range({inference.GATE_DRAWS}) r(rep) WHERE v <> 0 GROUP BY rep)
+SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs(coalesce(total, 0) / n::DOUBLE) >= abs(observed) - 1e-15) + 1) / {inference.GATE_DRAWS + 1}::DOUBLE, 6) AS p FROM range({inference.GATE_DRAWS}) r(rep) LEFT JOIN fl USING (rep), ob GROUP BY observed""")
+def sign_flip_full(spark, sf_dir):
+    return rounded(inference.sign_flip(deltas(spark, sf_dir), "query_id", "delta"), "observed", "p")
+
+
 @query("percentiles", f"WITH {PAIRS} SELECT seed, round(quantile_cont(top1, 0.025), 6) AS p025, round(quantile_cont(top1, 0.5), 6) AS p50, round(quantile_cont(top1, 0.975), 6) AS p975 FROM pairs GROUP BY 1")
 def percentiles(spark, sf_dir):
     return pairs(spark, sf_dir).groupBy("seed").agg(*[F.round(F.expr(f"percentile(top1, {q})"), 6).alias(n) for q, n in ((0.025, "p025"), (0.5, "p50"), (0.975, "p975"))])

@@ -153,6 +153,30 @@ def test_resampling(spark):
     assert statistics.mean(means) == pytest.approx(0.25, abs=0.03)
 
 
+def test_resampling_at_the_references_size(spark):
+    """The registered full queries against draws made one by one."""
+    import hashlib
+
+    from sievekit.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    from sievekit.plans.analytics import deltas
+
+    rows = [(r.query_id, r.hit, r.delta) for r in deltas(spark, sf).collect()]
+    n, h = len(rows), lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+    hits, diffs = sorted(r[1] for r in rows), sorted(r[2] for r in rows)
+    means = lambda values, draws, name: sorted(sum(values[h(name, rep, i) % n] for i in range(n)) / n for rep in range(draws))
+    m = means(hits, 2000, "boot")
+    got = QUERIES["boot_ci_full"](spark, sf).first()
+    assert (got.low, got.high) == (round(m[50], 6), round(m[1950], 6))
+    m = means(diffs, 5000, "pair06")
+    got = QUERIES["boot_pair_two_sided_full"](spark, sf).first()
+    assert (got.low, got.high, got.p) == (round(m[125], 6), round(m[4875], 6), round(min(1, 2 * min(sum(x <= 0 for x in m), sum(x >= 0 for x in m)) / 5000), 6))
+    seen = abs(sum(diffs)) / n
+    far = sum(abs(sum(d if h("flip", rep, q) / 2**52 < 0.5 else -d for q, _, d in rows if d)) / n >= seen - 1e-15 for rep in range(10000))
+    assert QUERIES["sign_flip_full"](spark, sf).first().p == round((far + 1) / 10001, 6)
+
+
 def test_validators(spark):
     rows = spark.createDataFrame([(1, "a", True), (2, None, None), (2, "z", False)], "id long, v string, ok boolean")
     assert validate.required(rows, "id", ["v"]).count() == 1
