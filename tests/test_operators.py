@@ -40,6 +40,24 @@ def test_numbered(spark):
     assert one(spark, text.numbered_items(reply, F.array(F.lit("kept")), 3)) == ["kept", "first", "fourth"]
 
 
+def test_whole_texts(spark):
+    """The full text queries against plain versions: what lies behind the first characters counts too."""
+    import re
+
+    from sievekit.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert max(len(r.text) for r in docs.values()) > 200
+    got = lambda name, column: {r.doc_id: r[column] for r in QUERIES[name](spark, sf).collect()}
+    tex = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", **{c: "\\" + c for c in "&%$#_{}"}}
+    assert got("latex_escape_full", "tex") == {i: "".join(tex.get(c, c) for c in r.text) for i, r in docs.items()}
+    assert got("query_template_full", "query") == {i: f"{r.source}\n\n{r.text}" for i, r in docs.items()}
+    assert got("context_text_full", "context") == {i: (text.PACKET_HEAD + f"\n### Memory 1: {r.lang}\nTask ID: {i}\n{r.text}\n" + f"\n### Memory 2: {r.source}\nTask ID: \n{r.text}\n").strip(" \t\n\r\f\v") for i, r in docs.items()}
+    items = lambda reply: [x.split(". ", 1)[-1].strip(" ") for x in reply.split("\n") if re.match("[0-9]", x)][:2]
+    assert got("parse_numbered_full", "items") == {i: "|".join(items(f"1. {r.text}\n 2. lost\n3. third")) for i, r in docs.items()}
+
+
 def test_episode_text(spark):
     assert one(spark, text.episode_text(F.lit("t"), F.lit(None).cast("string"), F.lit("ls"), F.lit(""))) == "[THOUGHT] t\n[ACTION] ls"
     assert one(spark, text.episode_text(F.lit(""), F.lit("bash"), F.lit("ls"), F.lit("out"))) == "[ACTION] bash: ls\n[OBSERVATION] out"
