@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, mixing, secrets, simhash, toxicity
+from sievekit.llm import bpe, mixing, nearcopies, secrets, toxicity
 from sievekit.llm.common import read_table, staged
 
 #: Shares of expected tokens by the quality label's domains.
@@ -22,10 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the row with the least doc_id stays. Rows of a null doc_id stay."""
-    kept = simhash.near_duplicates(docs.where("doc_id is not null")).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    single = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return single.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each component of texts that are linked by a Jaccard likeness of 0.8 or more of their five-word shingles one row stays, that of the least doc_id; rows of null ids come last."""
+    return nearcopies.one_of_each(docs, words=5, least=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("mixture", mix_domains), ("token_ids", encode)]
 
-#: Classifiers, XXH64 fingerprints and byte pair merges have no SQL form: the stages are tested against plain versions.
+#: Classifiers, shingle sets and byte pair merges have no SQL form: the stages are tested against plain versions.
 ORACLE_SQL = None
 
 

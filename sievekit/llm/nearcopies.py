@@ -1,0 +1,123 @@
+"""Near copies by the Jaccard likeness of word shingles: MinHash bands make candidates, and every link is verified on the whole sets.
+
+Each distinct set of shingles is one node. Of 32 bands of 4 minima two sets of likeness 0.8 share none with chance 5e-8,
+likelier ones less. In each bucket of a band every node is compared with one of them, picked by a hash of bucket and node, so that a node
+meets other ones in other bands. Then the nodes of a bucket that are not yet in one component are compared each with each: pairs
+within a component cannot change it, so a large group of copies costs about one comparison a node and band, and no row is dropped.
+Groups that share a band but hang together by few links are compared in full.
+
+Null texts are empty; texts without words are one node.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievekit.llm.common import staged
+from sievekit.llm.components import components
+from sievekit.llm.simhash import SEED
+
+WORDS, LEAST = 5, 0.8
+BANDS, BAND_ROWS = 32, 4
+CHUNK = 4096
+
+
+def shingle_set(text: str, words: int = WORDS):
+    """The sorted distinct XXH64 hashes of the text's shingles of so many words; shorter texts are one shingle."""
+    import numpy as np
+    import xxhash
+
+    tokens = text.encode("utf-8").lower().split()
+    if not tokens:
+        return np.array([], dtype=np.uint64)
+    shingles = {b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def band_keys(hashes) -> list[int]:
+    """One signed long a band, of the minima of a shingle set under BANDS * BAND_ROWS orders."""
+    import numpy as np
+    import xxhash
+
+    rng = np.random.default_rng(SEED)
+    a, b = (rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), CHUNK):
+        mixed = hashes[k : k + CHUNK, None] * (a | np.uint64(1)) + b
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _sets(words: int):
+    def made(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(t.as_py() or "", words) for t in part.column(1)]
+                nodes = [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["row", "node", "bands", "hashes", "size"])
+
+    return made
+
+
+def _linked(least: float):
+    def compared(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            us, vs = [], []
+            for u, v, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= least * (len(x) + len(y) - both) - 1e-9:
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return compared
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs u, v and sets node, hashes -> the pairs of at least that Jaccard likeness."""
+    one, two = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("u", "v"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(_linked(least), "u long, v long")
+
+
+def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """sets node (distinct), bands, hashes, size -> u, v: links of at least that likeness, enough of them to connect all that are."""
+    keyed = sets.where("size > 0").select(F.explode("bands").alias("key"), "node", "size")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = staged(keyed.join(sizes, "key"))
+    fits = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9
+    heads = shared.groupBy("key").agg(F.min_by(F.struct("node", "size"), F.xxhash64("key", "node")).alias("h"))
+    first = shared.join(heads, "key").where((F.col("node") != F.col("h.node")) & fits(F.col("size"), F.col("h.size")))
+    first = staged(first.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct())
+    near = staged(verified(first, sets, least))
+    rooted = staged(shared.join(components(near), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = staged(rooted.join(split, "key"))
+    other = rest.select("key", F.col("node").alias("o_node"), F.col("size").alias("o_size"), F.col("root").alias("o_root"))
+    crossed = rest.join(other, "key").where((F.col("root") < F.col("o_root")) & fits(F.col("size"), F.col("o_size")))
+    crossed = crossed.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    return near.unionByName(verified(crossed, sets, least))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """The columns of docs: one row of each component of near copies, that of the least doc_id; null ids come last and equal ones in any order."""
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    sets = staged(rows.select(F.col("__row").alias("row"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_sets(words), "row long, node long, bands array<long>, hashes binary, size long"))
+    nodes = staged(sets.groupBy("node").agg(F.min("row").alias("row"))).join(sets.drop("node"), "row").select("node", "bands", "hashes", "size")
+    roots = components(links(staged(nodes), least))
+    named = sets.select("row", "node").join(roots, "node", "left").select(F.col("row").alias("__row"), F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col(f"`{doc_id}`").isNull().alias("unnamed"), F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("row"))
+    kept = rows.select("__row", f"`{doc_id}`").join(named, "__row").groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievekit.llm import bpe, editprint, mixing, secrets, simhash, suffix, topk, warc
+from sievekit.llm import bpe, editprint, mixing, nearcopies, secrets, simhash, suffix, topk, warc
 from sievekit.llm.components import components
 from sievekit.llm.learning import fold_of
 from sievekit.llm.queries import ORACLE, QUERIES
@@ -337,3 +337,29 @@ def test_pipeline_against_plain_versions(spark, docs, texts):
     whole = {r.doc_id: r.text for r in mixed.collect()}
     for r in ids.limit(40).collect():
         assert codec.decode(list(r.ids)) == whole[r.doc_id] and r.n_tokens == len(r.ids)
+
+
+def test_near_copies_by_shingles(spark):
+    """One row of each component at five words and 0.8: chains, repeated ids, null ids and a crowded bucket."""
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice(string.ascii_lowercase) for _ in range(6))
+    rows = []
+    for k in range(12):
+        words = [word() for _ in range(60 + 10 * k)]
+        for j in range(8):
+            rows.append((100 * k + j, " ".join(words)))
+            words = list(words)
+            for _ in range(1 + k % 3):
+                words[rnd.randrange(len(words))] = word()
+    base = [word() for _ in range(300)]
+    rows += [(5000 + j, " ".join(base[:j] + [word()] + base[j + 1 :])) for j in range(200)]
+    rows += [(7, "same id and text"), (7, "same id and text"), (None, "no id"), (None, "no id"), (None, "same id and text"), (8, ""), (None, None)]
+    sets = [frozenset(nearcopies.shingle_set(t or "").tolist()) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    roots = reachable(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if alike(sets[a], sets[b])])
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(roots[k], []).append((i is None, i))
+    want = sorted((min(g) for g in groups.values()), key=str)
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    assert sorted(((r.doc_id is None, r.doc_id) for r in got), key=str) == want and len(want) < len(rows) / 4
