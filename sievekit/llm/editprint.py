@@ -3,9 +3,9 @@
 All texts share one random walk: at step j, standing on character x, a walker goes on to the next character iff the
 random bit r(j, x) is set, and otherwise stays for a step. Written down step by step, the characters under the
 walker are the embedding; a few edits between two texts become a few differing steps, as walks that are apart by some characters soon
-meet again. A fingerprint samples the steps j(k) = k + k * k / 4 and keeps 4 bits of a hash of the
+meet again. A fingerprint samples every STRIDE-th step and keeps 4 bits of a hash of the
 four characters from the walker on, as a hexadecimal digit; it ends where the text does, so it covers whole
-texts and grows with the square root of their length. The likeness of two fingerprints is the share of equal digits,
+texts, each part alike, and grows with their length. The likeness of two fingerprints is the share of equal digits,
 digits beyond the end of the shorter one counting as different.
 
 near_classes() finds texts of like fingerprints: bands of sampled digits make candidates, which are verified.
@@ -18,7 +18,6 @@ document is its own next one. Empty tables give no rows. Other columns are not r
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from sievekit.llm.components import components
 
 PERIOD = 1024
 GRAM = 4
+#: Steps of the walk from sample to sample; a character takes about two.
+STRIDE = 8
 #: Ranges of doc_id that are sorted on their own: as many as rows ask for, but no more than the driver can hold the bounds of; ranges are larger beyond that.
 ROWS_PER_RANGE, MAX_RANGES = 4_000, 20_000
 BANDS, BAND_DIGITS = 24, 5
@@ -73,11 +74,8 @@ class Walk:
         """The fingerprint of a text's code points, whose walk is steps."""
         import numpy as np
 
-        total = steps[-1]
-        k = np.arange(int(2 * (total + 4) ** 0.5) + 2, dtype=np.int64)
-        samples = k + k * k // 4
-        samples = samples[samples < total].tolist()
-        at = np.array([bisect_right(steps, j) - 1 for j in samples], dtype=np.int64)
+        samples = np.arange(0, steps[-1], STRIDE, dtype=np.int64)
+        at = np.searchsorted(np.array(steps, dtype=np.int64), samples, side="right") - 1
         padded = np.append(codes, np.zeros(GRAM, dtype=codes.dtype)).astype(np.uint64)
         mixed = np.zeros(len(at), dtype=np.uint64)
         for g in range(GRAM):

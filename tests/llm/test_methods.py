@@ -363,3 +363,13 @@ def test_near_copies_by_shingles(spark):
     want = sorted((min(g) for g in groups.values()), key=str)
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
     assert sorted(((r.doc_id is None, r.doc_id) for r in got), key=str) == want and len(want) < len(rows) / 4
+
+
+def test_parts_of_a_text_weigh_alike():
+    """The last third replaced costs about a third of the digits, whatever the length."""
+    rnd, walk = random.Random(11), editprint.Walk()
+    for n in (3000, 60000):
+        text, other = ("".join(rnd.choice(string.ascii_lowercase) for _ in range(n)) for _ in range(2))
+        own = walk.fingerprint(text)
+        last = editprint.likeness(own, walk.fingerprint(text[: n - n // 3] + other[: n // 3]))
+        assert last == pytest.approx(2 / 3 + 1 / 48, abs=0.04)
