@@ -8,7 +8,7 @@ four characters from the walker on, as a hexadecimal digit; it ends where the te
 texts, each part alike, and grows with their length. The likeness of two fingerprints is the share of equal digits,
 digits beyond the end of the shorter one counting as different.
 
-near_classes() finds texts of like fingerprints: bands of sampled digits make candidates, which are verified.
+with_classes() finds texts of like fingerprints: bands of sampled digits make candidates, which are verified.
 
 Null texts are empty. An empty text has the empty fingerprint; two empty ones are alike (1.0). Documents are ordered by doc_id descending, null ids
 last, then by a hash of the text; the last one's next document is the first. Equal rows are neighbours each. A single
@@ -22,6 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.llm import nearcopies
 from sievekit.llm.common import staged
 from sievekit.llm.components import components
 
@@ -32,7 +33,6 @@ STRIDE = 8
 #: Ranges of doc_id that are sorted on their own: as many as rows ask for, but no more than the driver can hold the bounds of; ranges are larger beyond that.
 ROWS_PER_RANGE, MAX_RANGES = 4_000, 20_000
 BANDS, BAND_DIGITS = 24, 5
-BUCKET_ROWS = 256
 
 
 def _random(n: int, salt: int):
@@ -196,51 +196,46 @@ def band_positions(band: int, length: int) -> list[int]:
     return sorted({int(x) % max(1, length) for x in _random(BAND_DIGITS, 1000 + band)})
 
 
-def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, fingerprint -> doc_id, class_id: the least doc_id that links of at least that likeness reach. Candidates share a band of sampled digits; all candidates are verified. Links that share no band are not found (a pair of likeness 0.9 shares none of 24 bands of 5 digits with chance 1e-9, one of 0.8 with 7e-5)."""
-    table = staged(prints)
-    nodes = staged(table.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"))
-
-    def banded(batches):
-        import math
+def _banded(batches):
+    import math
 
-        import pyarrow as pa
+    import pyarrow as pa
+    import xxhash
 
-        for batch in batches:
-            keys, prints_, ids = [], [], []
-            for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size = int(math.log(max(1, len(text)), 1.25))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part, rows = batch.slice(at, 500), []
+            for text in part.column(1).to_pylist():
+                size, keys = int(math.log(max(1, len(text)), 1.25)), []
                 for level in (size, size + 1):  # prints of like lengths meet in one of their two classes
                     base = max(1, int(1.25 ** (level - 1)))
                     for band in range(BANDS):
                         chosen = "".join(text[p] if p < len(text) else "-" for p in band_positions(band, base))
-                        keys.append(f"{level}:{band}:{chosen}")
-                        prints_.append(text)
-                        ids.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(prints_, pa.string()), pa.array(ids, pa.int64())], names=["key", "fingerprint", "node"])
+                        key = xxhash.xxh64_intdigest(f"{level}:{band}:{chosen}")
+                        keys.append(key - (1 << 64) if key >> 63 else key)
+                rows.append((keys, text.encode(), len(text)))
+            kinds = [pa.list_(pa.int64()), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=["node", "bands", "hashes", "size"])
 
-    def verified(batches):
-        import pyarrow as pa
 
-        held_key, held, us, vs = None, [], [], []
-        for batch in batches:
-            us, vs = [], []
-            for key, text, node in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if key != held_key:
-                    held_key, held = key, []
-                linked = False
-                for other, o in held:  # leaders of the bucket's classes so far; a member of a class needs no further link in this bucket
-                    if likeness(text, other) >= least:
-                        us.append(o)
-                        vs.append(node)
-                        linked = True
-                if not linked or len(held) < BUCKET_ROWS:
-                    held.append((text, node))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    keyed = nodes.select("fingerprint", "node").mapInArrow(banded, "key string, fingerprint string, node long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(shared, "key").repartition("key").sortWithinPartitions("key", "node").select("key", "fingerprint", "node").mapInArrow(verified, "u long, v long")
-    classes = components(pairs)
-    named = nodes.join(classes, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
-    return table.join(named, "fingerprint", "left").select("doc_id", "class_id")
+def _share(x, y) -> float:
+    """likeness() of two prints as arrays."""
+    n, most = min(len(x), len(y)), max(len(x), len(y))
+    return int((x[:n] == y[:n]).sum()) / max(1, most)
+
+
+def with_classes(table: DataFrame, least: float = 0.8) -> DataFrame:
+    """table with doc_id and fingerprint (read more than once: staged) -> its columns and class_id: the least doc_id that links of at least that likeness reach, null where that meets null ids only. Candidates share a band of sampled digits; all pairs of a bucket that are not yet in one class are verified, however large it is. Links that share no band are not found (a pair of likeness 0.9 shares none of 24 bands of 5 digits with chance 1e-9, one of 0.8 with 7e-5)."""
+    node = F.xxhash64("fingerprint")
+    nodes = staged(table.groupBy(node.alias("node")).agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least_id")))
+    bands = staged(nodes.select("node", "fingerprint").mapInArrow(_banded, "node long, bands array<long>, hashes binary, size long"))
+    roots = components(nearcopies.links(bands, least, _share, "u1"))
+    rooted = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    rooted = staged(rooted)
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select(F.col("node").alias("__node"), "class_id")
+    return table.withColumn("__node", node).join(named, "__node").select(*table.columns, "class_id")
+
+
+def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint -> doc_id, class_id, as with_classes() has them."""
+    return with_classes(staged(prints), least).select("doc_id", "class_id")

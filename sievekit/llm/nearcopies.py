@@ -68,7 +68,15 @@ def _sets(words: int):
     return made
 
 
-def _linked(least: float):
+def jaccard(x, y) -> float:
+    """Of two sorted arrays without repeats."""
+    import numpy as np
+
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _linked(least: float, alike, kind: str):
     def compared(batches):
         import numpy as np
         import pyarrow as pa
@@ -76,9 +84,8 @@ def _linked(least: float):
         for batch in batches:
             us, vs = [], []
             for u, v, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= least * (len(x) + len(y) - both) - 1e-9:
+                x, y = (np.frombuffer(s.as_buffer(), dtype=kind) for s in (x, y))
+                if alike(x, y) >= least - 1e-12:
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -86,14 +93,14 @@ def _linked(least: float):
     return compared
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs u, v and sets node, hashes -> the pairs of at least that Jaccard likeness."""
+def verified(pairs: DataFrame, sets: DataFrame, least: float, alike=jaccard, kind: str = "u8") -> DataFrame:
+    """pairs u, v and sets node, hashes -> the pairs of at least that likeness."""
     one, two = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("u", "v"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(_linked(least), "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "u_hashes", "v_hashes").mapInArrow(_linked(least, alike, kind), "u long, v long")
 
 
-def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """sets node (distinct), bands, hashes, size -> u, v: links of at least that likeness, enough of them to connect all that are."""
+def links(sets: DataFrame, least: float = LEAST, alike=jaccard, kind: str = "u8") -> DataFrame:
+    """sets node (distinct), bands, hashes, size -> u, v: links of at least that likeness, enough of them to connect all that are and share a band. alike compares two arrays of that kind; sizes further apart than least are never alike."""
     keyed = sets.where("size > 0").select(F.explode("bands").alias("key"), "node", "size")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     shared = staged(keyed.join(sizes, "key"))
@@ -101,14 +108,14 @@ def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
     heads = shared.groupBy("key").agg(F.min_by(F.struct("node", "size"), F.xxhash64("key", "node")).alias("h"))
     first = shared.join(heads, "key").where((F.col("node") != F.col("h.node")) & fits(F.col("size"), F.col("h.size")))
     first = staged(first.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct())
-    near = staged(verified(first, sets, least))
+    near = staged(verified(first, sets, least, alike, kind))
     rooted = staged(shared.join(components(near), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = staged(rooted.join(split, "key"))
     other = rest.select("key", F.col("node").alias("o_node"), F.col("size").alias("o_size"), F.col("root").alias("o_root"))
     crossed = rest.join(other, "key").where((F.col("root") < F.col("o_root")) & fits(F.col("size"), F.col("o_size")))
     crossed = crossed.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    return near.unionByName(verified(crossed, sets, least))
+    return near.unionByName(verified(crossed, sets, least, alike, kind))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:

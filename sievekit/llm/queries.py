@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.llm import bpe, editprint, mixing, quality, secrets, simhash, suffix, topk, toxicity, warc
-from sievekit.llm.common import read_table
+from sievekit.llm.common import read_table, staged
 
 
 #: Production parameters of the mixture: the share of expected tokens of each domain of the labels.
@@ -32,7 +32,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    return editprint.with_classes(staged(editprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,3 +373,26 @@ def test_parts_of_a_text_weigh_alike():
         own = walk.fingerprint(text)
         last = editprint.likeness(own, walk.fingerprint(text[: n - n // 3] + other[: n // 3]))
         assert last == pytest.approx(2 / 3 + 1 / 48, abs=0.04)
+
+
+def test_near_classes_of_a_crowded_bucket(spark, monkeypatch):
+    """Over 256 chained prints share a band; the last joins the class through one print in the middle of it."""
+    monkeypatch.setattr(editprint, "band_positions", lambda band, length: [0, 1, 2, 3, 4])
+    rnd = random.Random(12)
+    text, rows = ["0"] * 100, []
+    for k in range(320):
+        rows.append((k, "".join(text)))
+        text[5 + rnd.randrange(95)] = rnd.choice("123456789abcdef")
+    far = list(rows[270][1])
+    for k in range(5, 24):
+        far[k] = "z"
+    rows.append((900, "".join(far)))
+    rows.append((901, "00000" + "y" * 95))
+    want = reachable(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if editprint.likeness(rows[a][1], rows[b][1]) >= 0.8])
+    got = {r.doc_id: r.class_id for r in editprint.near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert got == {i: rows[want[k]][0] for k, (i, _) in enumerate(rows)} and got[900] == 0 and got[901] == 901
+
+
+def test_op5_names_classes(spark):
+    own = QUERIES["op5_fingerprints"](spark, SF)
+    assert "class_id" in own.columns and own.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
