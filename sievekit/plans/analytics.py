@@ -423,6 +423,38 @@ def set_symdiff(spark, sf_dir):
     return a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2))).groupBy("doc_id").agg(F.count_distinct("s").alias("n")).where("n = 1").select("doc_id")
 
 
+# the same over whole tables
+ALL = "SELECT doc_id FROM documents"
+
+
+def whole_sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+
+
+@query("set_union_full", f"{ALL} UNION ALL {B}")
+def set_union_full(spark, sf_dir):
+    a, b = whole_sets(spark, sf_dir)
+    return a.unionByName(b)
+
+
+@query("set_intersect_full", f"{ALL} INTERSECT {B}")
+def set_intersect_full(spark, sf_dir):
+    a, b = whole_sets(spark, sf_dir)
+    return a.intersect(b)
+
+
+@query("set_except_full", f"{ALL} EXCEPT ALL {B}")
+def set_except_full(spark, sf_dir):
+    a, b = whole_sets(spark, sf_dir)
+    return a.exceptAll(b)
+
+
+@query("set_symdiff_full", f"({ALL} EXCEPT {B}) UNION ({B} EXCEPT {ALL})")
+def set_symdiff_full(spark, sf_dir):
+    a, b = whole_sets(spark, sf_dir)
+    return a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2))).groupBy("doc_id").agg(F.count_distinct("s").alias("n")).where("n = 1").select("doc_id")
+
+
 @query("set_distinct", "SELECT DISTINCT lang, source FROM documents")
 def set_distinct(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("lang", "source").distinct()

@@ -68,6 +68,11 @@ def join_semi(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(known, "doc_id", "left_semi").agg(F.count("*").alias("n"))
 
 
+@query("join_semi_full", "SELECT count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+def join_semi_full(spark, sf_dir):
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("n"))
+
+
 @query("join_anti", "SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS first, any_value(n) AS n FROM (SELECT doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE k <= 10")
 def join_anti(spark, sf_dir):
     """The first ten missing keys, and how many there are."""

@@ -108,6 +108,30 @@ def top1_score(spark, sf_dir):
     return dense.dense_topk(vector_rows(spark, sf_dir), mixed_queries(spark, sf_dir), 1).groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top1"))
 
 
+# the same for every 20th row, those without a successor included
+def all_mixed_queries(spark, sf_dir):
+    """Vectors of every 20th row, mixed with the next one's as in mixed_queries(); the own one where none follows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    follow = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    mixed = F.zip_with("embedding", F.coalesce("other", "embedding"), lambda a, b: a.cast("double") * 0.7 + b.cast("double") * 0.3)
+    return e.where(F.col("vec_id") % 20 == 0).join(follow, "vec_id", "left").select(F.col("vec_id").alias("query_id"), dense.unit(mixed).alias("vector"))
+
+
+ALL_MIXED = """mx AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, coalesce(b.embedding, a.embedding)), lambda p: CAST(p[1] AS DOUBLE) * 0.7::DOUBLE + CAST(p[2] AS DOUBLE) * 0.3::DOUBLE) AS r FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
+vq AS (SELECT query_id, list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) AS v FROM mx), ev AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+
+
+@query("dense_topk_full", f"WITH {ALL_MIXED}, {dense_sql('dn', 'vq', 'ev', 10)} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM dn")
+def dense_topk_full(spark, sf_dir):
+    found = dense.dense_topk(vector_rows(spark, sf_dir), all_mixed_queries(spark, sf_dir), 10)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("top1_score_full", f"WITH {ALL_MIXED}, {dense_sql('dn', 'vq', 'ev', 1)} SELECT query_id, round(score, 6) AS top1 FROM dn")
+def top1_score_full(spark, sf_dir):
+    return dense.dense_topk(vector_rows(spark, sf_dir), all_mixed_queries(spark, sf_dir), 1).groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top1"))
+
+
 @query("dense_build", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS norm2 FROM embeddings")
 def dense_build(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"), F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm2"))

@@ -109,6 +109,16 @@ def test_dense_blocks(spark, monkeypatch):
     assert dense.dense_topk(vectors.limit(0), queries, 4).count() == 0
 
 
+def test_every_twentieth_row_asks(spark):
+    from sievekit.plans import QUERIES
+    from sievekit.plans.retrieval import all_mixed_queries
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.query_id for r in all_mixed_queries(spark, sf).collect()} == {i for i in ids if i % 20 == 0}
+    assert {r.query_id for r in QUERIES["top1_score_full"](spark, sf).collect()} == {i for i in ids if i % 20 == 0}
+
+
 def test_gate_skips_scoring(spark):
     original = spark.createDataFrame([(1, 5, 0.9, 1), (1, 6, 0.8, 2), (2, 7, 0.1, 1)], "query_id long, doc_id long, score double, rank int")
     variants = spark.createDataFrame([(1, "trace", 0, "a"), (2, "trace", 0, "b"), (2, "paraphrase", 0, "c")], "query_id long, kind string, ord int, text string")
