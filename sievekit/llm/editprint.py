@@ -17,12 +17,13 @@ document is its own next one. Empty tables give no rows. Other columns are not r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm import nearcopies
+from sievekit.llm import buckets
 from sievekit.llm.common import staged
 from sievekit.llm.components import components
 
@@ -32,7 +33,10 @@ GRAM = 4
 STRIDE = 8
 #: Ranges of doc_id that are sorted on their own: as many as rows ask for, but no more than the driver can hold the bounds of; ranges are larger beyond that.
 ROWS_PER_RANGE, MAX_RANGES = 4_000, 20_000
-BANDS, BAND_DIGITS = 24, 5
+#: Digits of 4 bits that a band samples: 8 of them make a key of 32 bits.
+BANDS, BAND_DIGITS = 24, 8
+#: Prints of a tile are compared as one array up to this size, beyond it one by one.
+SQUARE_BYTES = 64 << 20
 
 
 def _random(n: int, salt: int):
@@ -191,47 +195,84 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(printed, "doc_id long, fingerprint string")
 
 
-def band_positions(band: int, length: int) -> list[int]:
-    """The digits that a band samples of a fingerprint of that length class: shared by all prints whose length rounds to the same power of 1.25."""
-    return sorted({int(x) % max(1, length) for x in _random(BAND_DIGITS, 1000 + band)})
+def _records():
+    """For each sampled digit the places that are its choice for longer and longer prints: the choice among n places is the last record before n of a random order of all places, so two prints choose alike as often as they overlap."""
+    out = []
+    for k in range(BANDS * BAND_DIGITS):
+        places, at = [], 0
+        for x in _random(96, 1000 + (k << 20)).tolist():
+            places.append(at)
+            at = int((at + 1) / ((x + 1) / 2**64))
+            if at >= 1 << 40:
+                break
+        out.append(places)
+    return out
 
 
-def _banded(batches):
-    import math
+def sampled(text: str) -> list[str]:
+    """The digits that each band samples of a print that is not empty. Two prints agree in a sampled digit with the chance of their likeness."""
+    from bisect import bisect_left
+
+    n = len(text)
+    digits = "".join([text[places[bisect_left(places, n) - 1]] for places in _places()])
+    return [digits[k : k + BAND_DIGITS] for k in range(0, len(digits), BAND_DIGITS)]
+
+
+@functools.cache
+def _places():
+    return _records()
 
+
+def _banded(batches):
     import pyarrow as pa
     import xxhash
 
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            part, rows = batch.slice(at, 500), []
-            for text in part.column(1).to_pylist():
-                size, keys = int(math.log(max(1, len(text)), 1.25)), []
-                for level in (size, size + 1):  # prints of like lengths meet in one of their two classes
-                    base = max(1, int(1.25 ** (level - 1)))
-                    for band in range(BANDS):
-                        chosen = "".join(text[p] if p < len(text) else "-" for p in band_positions(band, base))
-                        key = xxhash.xxh64_intdigest(f"{level}:{band}:{chosen}")
-                        keys.append(key - (1 << 64) if key >> 63 else key)
-                rows.append((keys, text.encode(), len(text)))
-            kinds = [pa.list_(pa.int64()), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=["node", "bands", "hashes", "size"])
-
-
-def _share(x, y) -> float:
-    """likeness() of two prints as arrays."""
-    n, most = min(len(x), len(y)), max(len(x), len(y))
-    return int((x[:n] == y[:n]).sum()) / max(1, most)
+            part = batch.slice(at, 500)
+            keys = [[xxhash.xxh64_intdigest(f"{k}:{x}") for k, x in enumerate(sampled(t) if t else [])] for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[x - (1 << 64) if x >> 63 else x for x in row] for row in keys], pa.list_(pa.int64())), pa.array([len(t) for t in part.column(1).to_pylist()], pa.int64())], names=["node", "bands", "bytes"])
+
+
+def print_search(least: float):
+    """Rows of prints: which others have at least that likeness."""
+
+    def table(data: list):
+        import numpy as np
+
+        sizes = np.array([len(x) for x in data])
+        rows = [np.frombuffer(x, dtype=np.uint8) for x in data]
+        longest = int(sizes.max())
+        square = None
+        if longest * len(data) <= SQUARE_BYTES:
+            square = np.zeros((len(data), longest), dtype=np.uint8)
+            for k, x in enumerate(rows):
+                square[k, : len(x)] = x
+
+        def alike(k, others):
+            most = np.maximum(sizes[others], sizes[k])
+            kept = np.minimum(sizes[others], sizes[k]) >= least * most - 1e-9
+            left, n = others[kept], int(sizes[k])
+            if square is not None:
+                same = (square[left, :n] == square[k, :n]).sum(axis=1)
+            else:
+                same = np.array([int((rows[j][:n] == rows[k][: sizes[j]]).sum()) for j in left], dtype=np.int64)
+            kept[kept] = same >= least * most[kept] - 1e-9
+            return kept
+
+        return alike
+
+    return table
 
 
 def with_classes(table: DataFrame, least: float = 0.8) -> DataFrame:
-    """table with doc_id and fingerprint (read more than once: staged) -> its columns and class_id: the least doc_id that links of at least that likeness reach, null where that meets null ids only. Candidates share a band of sampled digits; all pairs of a bucket that are not yet in one class are verified, however large it is. Links that share no band are not found (a pair of likeness 0.9 shares none of 24 bands of 5 digits with chance 1e-9, one of 0.8 with 7e-5)."""
+    """table with doc_id and fingerprint (read more than once: staged) -> its columns and class_id: the least doc_id that links of at least that likeness reach, null where that meets null ids only. Candidates share a band of sampled digits; all pairs of a bucket that are not yet in one class are verified, however large it is. Links that share no band are not found (a pair of likeness 0.9 shares none of 24 bands of 8 digits with chance 1e-6, one of 0.8 with 1e-2)."""
     node = F.xxhash64("fingerprint")
     nodes = staged(table.groupBy(node.alias("node")).agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least_id")))
-    bands = staged(nodes.select("node", "fingerprint").mapInArrow(_banded, "node long, bands array<long>, hashes binary, size long"))
-    roots = components(nearcopies.links(bands, least, _share, "u1"))
-    rooted = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    rooted = staged(rooted)
+    bands = nodes.select("node", "fingerprint").mapInArrow(_banded, "node long, bands array<long>, bytes long")
+    keyed = staged(bands.select(F.explode("bands").alias("key"), "node", "bytes"))
+    roots = components(buckets.links(keyed, nodes.select("node", F.col("fingerprint").cast("binary").alias("data")), print_search(least)))
+    rooted = staged(nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select(F.col("node").alias("__node"), "class_id")
     return table.withColumn("__node", node).join(named, "__node").select(*table.columns, "class_id")
 
