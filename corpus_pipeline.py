@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, mixing, nearcopies, secrets, toxicity
+from sievekit.llm import bpe, mixing, secrets, simhash, toxicity
 from sievekit.llm.common import read_table, staged
 
 #: Shares of expected tokens by the quality label's domains.
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts that are linked by a Jaccard likeness of 0.8 or more of their five-word shingles one row stays, that of the least doc_id; rows of null ids come last."""
-    return nearcopies.one_of_each(docs, words=5, least=0.8)
+    return simhash.near_copies(docs, words=5, least=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
