@@ -2,19 +2,23 @@
 
 Three base patterns (assign, access, hex) are matched leftmost and without overlap, each on its own; their spans always
 count. Beside them, maximal tokens of at least MIN_TOKEN encoding characters that no base span overlaps are
-tested. The encoding is inferred from the characters (hex, base32, base36, base62, base64; tokens of one class of
-character are words or numbers and are not tested). Under the hypothesis that the token's symbols are random,
-three tests give p-values: chi-squared uniformity over the encoding's alphabet, the number of runs above and below its
-middle, and the serial correlation of neighbours; Fisher's method combines them. A token is cleared when randomness is
-rejected. Rejections are controlled for false discovery (a cleared token that was random) by Benjamini-Hochberg within
-each class of lengths, as short tokens say less; what is not rejected is a span of kind random.
+tested, if they hold a letter. The encoding is inferred from the characters (hex, base32, base36, base62, base64, or letters only). Three tests measure how
+far a token is from random symbols of its encoding: chi-squared uniformity over the alphabet, the number of runs above and below the alphabet's
+middle, and the serial correlation of neighbours. Each is standardised by its mean and variance under randomness, exact for the length and alphabet, and
+the logarithm of their common distance is the token's score.
+
+A token is a discovery if it is too random to be an ordinary identifier. Its p-value is the chance that an ordinary one (words of natural letter
+frequencies in the encoding's style, numbers, separators) scores as low; the distribution is simulated once for each encoding and class of lengths,
+with a fixed seed, for the least length of the class, which is the least telling. Benjamini-Hochberg within each class of lengths then
+bounds the expected share of ordinary tokens among those reported by FALSE_DISCOVERIES; what passes is a span of kind random.
 
 Null texts are empty: no spans. Positions are code points, end exclusive. Rows that repeat are scanned each; a null doc_id is
-kept. Empty tables give no rows. Other columns are not read.
+kept. Empty tables give no rows. Very long texts and tokens are read whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,13 +33,23 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_TOKEN = 6, 20
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
-#: Inferred in this order: name, pattern of the whole token, alphabet.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters from frequent to rare ones: alphabets are ordered so, which sets ordinary text apart from random symbols in runs and neighbours too.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+BOTH = "".join(c + c.upper() for c in FREQUENT)
+#: Inferred in this order: name, pattern of the whole token, alphabet; then of its ordinary tokens: whether words start with capitals, and what stands between parts.
 ENCODINGS = (
-    ("hex", "[0-9a-f]+|[0-9A-F]+", DIGITS + "abcdef"), ("base32", "[A-Z2-7]+", UPPER + "234567"), ("base36", "[0-9a-z]+", DIGITS + LOWER), ("base36", "[0-9A-Z]+", DIGITS + LOWER),
-    ("base62", "[0-9A-Za-z]+", DIGITS + LOWER + UPPER), ("base64", "[0-9A-Za-z+/]+", UPPER + LOWER + DIGITS + "+/"), ("base64url", "[0-9A-Za-z_-]+", UPPER + LOWER + DIGITS + "-_"),
+    ("hex", "[0-9a-f]+|[0-9A-F]+", DIGITS + "eadcfb", False, ""), ("lower", "[a-z]+", FREQUENT, False, ""), ("base32", "[A-Z2-7]+", FREQUENT.upper() + "234567", False, ""),
+    ("base36", "[0-9a-z]+|[0-9A-Z]+", FREQUENT + DIGITS, False, ""), ("letters", "[A-Za-z]+", BOTH, True, ""), ("base62", "[0-9A-Za-z]+", BOTH + DIGITS, True, ""),
+    ("base64", "[0-9A-Za-z+/]+", BOTH + DIGITS + "+/", True, "/"), ("base64url", "[0-9A-Za-z_-]+", BOTH + DIGITS + "-_", True, "_"), ("mixed", ".+", BOTH + DIGITS + "+/-_", True, "/"),
 )
-#: The share of cleared tokens that may have been random.
+#: Ordinary tokens: a letter is less frequent than the one before it by this factor (which gives the coincidence of natural languages), words have so many letters, a number of so many digits follows with that chance.
+LETTER_DECAY, WORD_LETTERS, NUMBER_DIGITS, NUMBER_CHANCE = 0.877, (3, 9), (1, 4), 0.35
+SIMULATED, STEP, TAIL = 2_000, 32, 0.005
+#: The least lengths of the classes; longer tokens are in the last one.
+CLASSES = (20, 23, 32, 46, 64, 91, 128)
+OFFSET = 0.25
+#: The expected share of ordinary tokens among those reported.
 FALSE_DISCOVERIES = 0.05
 BINS, BIN_WIDTH = 240, 0.05
 SUM_BLOCK = 256
@@ -94,46 +108,107 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def chi_squared_tail(x: Column, degrees: Column) -> Column:
-    """P(X > x) of a chi-squared variable, by Wilson and Hilferty's cube root."""
-    part = 2 / (9 * degrees)
-    return normal_tail((F.pow(x / degrees, F.lit(1 / 3)) - (1 - part)) / F.sqrt(part))
+def ordinary_text(encoding: int, rng) -> str:
+    """Parts of ordinary identifiers in the style of an encoding, one after the other."""
+    import numpy as np
+
+    name, _, alphabet, capitals, between = ENCODINGS[encoding]
+    upper = name == "base32"
+    letters = [c for c in FREQUENT if c in alphabet.lower()]
+    digits = [c for c in alphabet if c.isdigit()]
+    share = LETTER_DECAY ** np.arange(len(letters))
+    text, size, most = [], 0, SIMULATED * STEP + CLASSES[-1]
+    drawn = "".join(rng.choice(letters, size=2 * most, p=share / share.sum()))
+    for n, number, figures, capital, at in zip(rng.integers(WORD_LETTERS[0], WORD_LETTERS[1] + 1, most).tolist(), (rng.random(most) < NUMBER_CHANCE).tolist(), rng.integers(NUMBER_DIGITS[0], NUMBER_DIGITS[1] + 1, most).tolist(), (rng.random(most) < 0.7).tolist(), rng.integers(0, most, most).tolist()):
+        part = drawn[at : at + n]
+        part = part.upper() if upper else part.capitalize() if capitals and capital else part
+        if number and digits:
+            part += "".join(rng.choice(digits, size=figures))
+        text.append(part + between)
+        size += len(text[-1])
+        if size >= most:
+            break
+    return "".join(text)
+
+
+@functools.cache
+def calibration() -> tuple[list[float], list[float]]:
+    """Mean and deviation of an ordinary token's score for each encoding and class of lengths. The deviation is the larger of the standard one and that which gives the lower TAIL its place."""
+    import numpy as np
+
+    rng, means, spreads = np.random.default_rng(17), [], []
+    for e in range(len(ENCODINGS)):
+        alphabet = ENCODINGS[e][2]
+        codes = np.array([alphabet.index(c) for c in ordinary_text(e, rng)])
+        for n in CLASSES:
+            scores = np.sort(plain_scores(np.stack([codes[k * STEP : k * STEP + n] for k in range(SIMULATED)]), len(alphabet)))
+            means.append(float(scores.mean()))
+            spreads.append(float(max(scores.std(), (scores.mean() - scores[int(TAIL * SIMULATED)]) / 2.5758)))
+    return means, spreads
+
+
+def plain_scores(values, size: int):
+    """battery()'s scores of rows of symbols of an alphabet of that size."""
+    import numpy as np
+
+    n = values.shape[1]
+    counts = np.stack([(values == v).sum(axis=1) for v in range(size)], axis=1)
+    uniform = np.maximum(((counts**2).sum(axis=1) * size / n - n - (size - 1)) / np.sqrt(2 * (size - 1) * (n - 1) / n), 0)
+    high = values > (size - 1) / 2
+    runs = ((high[:, 1:] != high[:, :-1]).sum(axis=1) - (n - 1) / 2) / np.sqrt((n - 1) / 4)
+    off = values - values.mean(axis=1, keepdims=True)
+    power = (off**2).sum(axis=1)
+    serial = np.where(power > 0, ((off[:, 1:] * off[:, :-1]).sum(axis=1) / np.maximum(power, 1e-9) + 1 / n) * np.sqrt(n), np.sqrt(n))
+    return np.log(np.sqrt(uniform**2 + runs**2 + serial**2) + OFFSET)
+
+
+def encoding_of(token: Column) -> Column:
+    """The number of the encoding."""
+    number = F.lit(len(ENCODINGS) - 1)
+    for k in reversed(range(len(ENCODINGS) - 1)):
+        number = F.when(token.rlike(f"^(?:{ENCODINGS[k][1]})$"), F.lit(k)).otherwise(number)
+    return number
+
+
+def score(values: Column, size: Column) -> Column:
+    """The logarithm of how far symbols are from random ones, in deviations of the three tests."""
+    n = F.size(values).cast("double")
+    squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(values, lambda w: w == v)).cast("double"), F.lit(2.0)))
+    uniform = F.greatest((squares * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n), F.lit(0.0))
+    middle = (size - 1) / 2
+    pairs = lambda body: F.zip_with(F.slice(values, 2, F.size(values) - 1), F.slice(values, 1, F.size(values) - 1), body)
+    changes = F.size(F.filter(pairs(lambda b, a: (a > middle) != (b > middle)), lambda x: x))
+    runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+
+    def correlated(average: Column) -> Column:
+        power = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - average) * (v - average))
+        shared = F.aggregate(pairs(lambda b, a: (a - average) * (b - average)), F.lit(0.0), lambda a, v: a + v)
+        return F.when(power > 0, (shared / power + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+
+    serial = let(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n, correlated)
+    return F.log(F.sqrt(uniform * uniform + runs * runs + serial * serial) + OFFSET)
 
 
 def battery(token: Column) -> Column:
-    """The combined p-value of a token under randomness, or null if it is not tested."""
-    alphabet = F.lit(None).cast("string")
-    for _, pattern, letters in reversed(ENCODINGS):
-        alphabet = F.when(token.rlike(f"^(?:{pattern})$"), F.lit(letters)).otherwise(alphabet)
-    # mixed classes: words, and runs of digits or dashes, are no encodings
-    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    folded = F.when(token.rlike("^(?:[0-9A-F]+|[0-9A-Z]+)$") & ~token.rlike("^[A-Z2-7]+$"), F.lower(token)).otherwise(token)
+    """The chance that an ordinary identifier looks as random as the token; null for a token without a letter."""
+    means, spreads = (F.array(*map(F.lit, x)) for x in calibration())
+    alphabets = F.array(*[F.lit(x[2]) for x in ENCODINGS])
+    folds = F.array(*[F.lit(x[0] in ("hex", "base36")) for x in ENCODINGS])
 
     def tested(x: Column) -> Column:
-        values, size = x["values"], x["size"].cast("double")
-        n = F.size(values)
-        middle = (size - 1) / 2
-        squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(values, lambda w: w == v)).cast("double"), F.lit(2.0)))
-        uniform = chi_squared_tail(squares * size / n - n, size - 1)
-        high = F.size(F.filter(values, lambda v: v > middle)).cast("double")
-        low = n - high
-        changes = F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda k: (F.get(values, k) > middle) != (F.get(values, k - 1) > middle)))
-        mean = 2 * high * low / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        runs = F.when(spread > 0, 2 * normal_tail(F.abs((changes + 1 - mean) / F.sqrt(spread)))).otherwise(F.lit(1e-12))
-        average = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-        power = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - average) * (v - average))
-        shared = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, k: a + (F.get(values, k) - average) * (F.get(values, k - 1) - average))
-        serial = F.when(power > 0, 2 * normal_tail(F.abs((shared / power + 1 / n) * F.sqrt(n.cast("double"))))).otherwise(F.lit(1e-12))
-        logs = -F.ln(F.greatest(uniform, F.lit(1e-12))) - F.ln(F.greatest(F.least(runs, F.lit(1.0)), F.lit(1e-12))) - F.ln(F.greatest(F.least(serial, F.lit(1.0)), F.lit(1e-12)))
-        return let(logs, lambda s: F.exp(-s) * (1 + s + s * s / 2))  # chi-squared with 6 degrees, at 2s
+        alphabet, cell = F.get(alphabets, x["encoding"]), x["encoding"] * len(CLASSES) + length_class(F.length(x["token"]))
+        symbols = let(F.when(F.get(folds, x["encoding"]), F.lower(x["token"])).otherwise(x["token"]), lambda t: F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1))
+        return let(symbols, lambda v: normal_tail((F.get(means, cell) - score(v, F.length(alphabet).cast("double"))) / F.get(spreads, cell)))
 
-    symbols = let(F.struct(alphabet.alias("a"), folded.alias("t")), lambda y: F.struct(F.transform(F.filter(F.split(y["t"], ""), lambda c: c != ""), lambda c: F.instr(y["a"], c) - 1).alias("values"), F.length(y["a"]).alias("size")))
-    return F.when(mixed & alphabet.isNotNull(), let(symbols, tested))
+    return F.when(token.rlike("[A-Za-z]"), let(F.struct(token.alias("token"), encoding_of(token).alias("encoding")), tested))
 
 
 def length_class(size: Column) -> Column:
-    return F.floor(F.log2(size.cast("double")) * 2).cast("int")
+    """The place in CLASSES of the last length that is not over the size."""
+    number = F.lit(0)
+    for k, least in enumerate(CLASSES):
+        number = F.when(size >= least, F.lit(k)).otherwise(number)
+    return number
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -151,21 +226,20 @@ def scanned(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__found", F.explode(F.array(both))).withColumns({"__base": F.col("__found.base"), "__tokens": F.col("__found.tokens")}).drop("__found")
 
 
-def clearing_levels(scan: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[int, float]:
-    """Per length class the p-value up to which tokens are cleared: Benjamini-Hochberg over counts of p-values in BINS bins, at most some 60 classes."""
+def reporting_levels(scan: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[int, float]:
+    """For each class of lengths the p-value up to which tokens are reported: Benjamini-Hochberg over counts of p-values in BINS bins."""
     p = F.greatest(F.col("t.p"), F.lit(1e-12))
     bins = scan.select(F.explode("__tokens").alias("t")).select(F.col("t.cls").alias("cls"), F.least(F.floor(-F.log10(p) / BIN_WIDTH), F.lit(BINS - 1)).cast("int").alias("bin")).groupBy("cls", "bin").agg(F.count("*").alias("n"))
     smallest_first = Window.partitionBy("cls").orderBy(F.desc("bin"))
     ranked = bins.withColumns({"rank": F.sum("n").over(smallest_first), "all": F.sum("n").over(Window.partitionBy("cls")), "edge": F.pow(F.lit(10.0), -F.col("bin") * BIN_WIDTH)})
     passed = ranked.where(F.col("edge") <= F.col("rank") * rate / F.col("all")).groupBy("cls").agg(F.max("edge").alias("edge"))
-    return {r["cls"]: r["edge"] for r in passed.collect()}
+    return {r["cls"]: r["edge"] for r in passed.collect()}  # a row for each of CLASSES at most
 
 
 def all_spans(levels: dict[int, float]) -> Column:
-    """Base spans and tokens not cleared, sorted by start, then kind."""
-    pairs = [x for cls, level in sorted(levels.items()) for x in (F.lit(cls), F.lit(level))]
-    level = (lambda c: F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*pairs), lambda k, _: k == c["cls"])), F.lit(0)), F.lit(0.0))) if pairs else (lambda c: F.lit(0.0))
-    kept = F.transform(F.filter(F.col("__tokens"), lambda c: c["p"] > level(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    """Base spans and reported tokens, sorted by start, then kind."""
+    level = F.array(*[F.lit(levels.get(k, -1.0)) for k in range(len(CLASSES))])
+    kept = F.transform(F.filter(F.col("__tokens"), lambda c: c["p"] <= F.get(level, c["cls"])), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return F.array_sort(F.concat(F.col("__base"), kept))
 
 
@@ -179,13 +253,15 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     scan = staged(scanned(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text").drop("text"))
     count = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     base, spans = F.col("__base"), F.col("__spans")
-    return scan.withColumn("__spans", all_spans(clearing_levels(scan))).select("doc_id", count(base, 0).alias("n_assign"), count(base, 1).alias("n_access"), count(base, 2).alias("n_hex"), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"), count(spans, 3).alias("n_random"))
+    return scan.withColumn("__spans", all_spans(reporting_levels(scan))).select("doc_id", count(base, 0).alias("n_assign"), count(base, 1).alias("n_access"), count(base, 2).alias("n_hex"), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"), count(spans, 3).alias("n_random"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of its text replaced by MASK; overlapping spans are one."""
     columns = docs.columns
-    levels = clearing_levels(staged(scanned(docs.select(F.col(f"`{text}`").alias("text")), "text").select("__tokens").where(F.size("__tokens") > 0)))
+    # texts are scanned once: what was found is written beside them, and masking reads it back
+    marked = staged(scanned(docs, text))
+    levels = reporting_levels(marked.select("__tokens"))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
     def masked(t: Column, spans: Column) -> Column:
@@ -196,5 +272,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         pieces = let(heads, lambda h: F.concat(F.transform(h, lambda x, k: F.substring(t, F.when(k == 0, 1).otherwise(x["before"] + 1), x["start"] - F.when(k == 0, 0).otherwise(x["before"]))), F.array(F.substring(t, last + 1, F.length(t)))))
         return F.array_join(pieces, MASK)
 
-    marked = scanned(docs, text).withColumn("__spans", F.explode(F.array(all_spans(levels))))
+    marked = marked.withColumn("__spans", all_spans(levels))
     return marked.withColumn(text, F.when(F.size("__spans") > 0, let(body, lambda t: masked(t, F.col("__spans")))).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in columns])

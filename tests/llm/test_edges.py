@@ -82,6 +82,8 @@ def test_secrets(odd, none):
     got = secrets.find_secrets(odd).collect()
     assert len(got) == len(ROWS) and {r.spans for r in got} == {""}
     assert secrets.find_secrets(none).count() == 0
+    long = odd.sparkSession.createDataFrame([(1, "Ab3" * 40_000), (2, "x " * 50_000 + "token=abcdefgh")], "doc_id long, text string")
+    assert {r.doc_id: (r.spans, r.n_random) for r in secrets.find_secrets(long).collect()} == {1: ("", 0), 2: ("assign:100000:100014", 0)}
     assert secrets.redact(odd).columns == odd.columns
     assert secrets.redact(odd).exceptAll(odd).count() == 0 and secrets.redact(none).count() == 0
 
