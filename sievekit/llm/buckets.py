@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import staged
+from sievekit.llm.common import release, staged
 from sievekit.llm.components import components
 
 TILE_ROWS, TILE_BYTES = 2048, 16 << 20
@@ -78,26 +78,32 @@ def _linked(table: Table):
     return linked
 
 
-def _compared(rows: DataFrame, payload: DataFrame, table: Table) -> DataFrame:
-    """rows key, a, b (tiles), node, root, tile, and payload node, data -> u, v."""
-    whole = rows.join(payload.select("node", "data"), "node").select("key", "a", "b", "node", "root", "tile", "data")
+def _compared(rows: DataFrame, held: DataFrame | Column, table: Table) -> DataFrame:
+    """rows key, a, b (tiles), node, root, tile, and the payloads (node, data, or a Column of node) -> u, v."""
+    whole = rows.withColumn("data", held) if isinstance(held, Column) else rows.join(held, "node")
+    whole = whole.select("key", "a", "b", "node", "root", "tile", "data")
     return whole.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_linked(table), "u long, v long")
 
 
-def links(keyed: DataFrame, payload: DataFrame, table: Table) -> DataFrame:
-    """keyed: key, node (longs, distinct), bytes; payload: node, data (both read more than once: staged) -> u, v: links that connect all nodes that are alike and share a key, through such nodes."""
+def links(keyed: DataFrame, payload: Column | Callable[[DataFrame], DataFrame], table: Table) -> DataFrame:
+    """keyed: key, node (longs, distinct), bytes (read twice: staged) -> u, v: links that connect all nodes that are alike and share a key, through such nodes.
+
+    payload: a binary Column of node, or a function from the nodes that share any bucket (node) to their payloads (node, data).
+    """
     members = F.bit_xor(F.xxhash64("node"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), members.alias("members"), F.min("node").alias("lo"))
-    buckets = buckets.where("n > 1").groupBy("n", "members", "lo").agg(F.min(F.struct("key", "bytes")).alias("x"))
+    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), members.alias("members"), F.min("node").alias("lo"))
+    found = found.where("n > 1").groupBy("n", "members", "lo").agg(F.min(F.struct("key", "bytes")).alias("x"))
     tiles = F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("x.bytes") / TILE_BYTES)).cast("int")
-    buckets = buckets.select("x.key", tiles.alias("tiles"))
-    shared = staged(keyed.select("key", "node").join(buckets, "key").withColumn("tile", F.pmod(F.xxhash64("key", "node", F.lit("tile")), F.col("tiles")).cast("int")))
-    near = staged(_compared(shared.select("key", F.col("tile").alias("a"), F.col("tile").alias("b"), "node", F.col("node").alias("root"), "tile"), payload, table))
+    shared = staged(keyed.select("key", "node").join(found.select("x.key", tiles.alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("key", "node", F.lit("tile")), F.col("tiles")).cast("int")))
+    held = payload if isinstance(payload, Column) else staged(payload(shared.select("node").distinct()))
+    near = staged(_compared(shared.select("key", F.col("tile").alias("a"), F.col("tile").alias("b"), "node", F.col("node").alias("root"), "tile"), held, table))
     crowded = shared.where("tiles > 1")
-    if crowded.isEmpty():
-        return near
-    rooted = staged(crowded.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    pairs = rooted.join(split, "key").withColumn("o", other).where("o <> tile").select("key", F.least("tile", "o").alias("a"), F.greatest("tile", "o").alias("b"), "node", "root", "tile")
-    return near.unionByName(_compared(pairs, payload, table))
+    if not crowded.isEmpty():
+        rooted = staged(crowded.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        pairs = rooted.join(split, "key").withColumn("o", other).where("o <> tile").select("key", F.least("tile", "o").alias("a"), F.greatest("tile", "o").alias("b"), "node", "root", "tile")
+        within, near = near, staged(near.unionByName(_compared(pairs, held, table)))
+        release(rooted, within)
+    release(shared, *([] if isinstance(held, Column) else [held]))
+    return near

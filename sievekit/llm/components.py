@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import staged
+from sievekit.llm.common import release, staged
 
 
 def _least_of_neighbours(edges: DataFrame) -> DataFrame:
@@ -37,5 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = staged(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _done(edges):
-        edges = staged(_step(_step(edges, large=True), large=False))
+        before, edges = edges, staged(_step(_step(edges, large=True), large=False))
+        release(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

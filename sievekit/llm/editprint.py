@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import buckets
-from sievekit.llm.common import staged
+from sievekit.llm.common import release, small, staged
 from sievekit.llm.components import components
 
 PERIOD = 1024
@@ -112,40 +112,47 @@ def likeness(a: str, b: str) -> float:
 
 
 def in_order_with_heads(docs: DataFrame) -> DataFrame:
-    """docs doc_id, text -> rows b, ahead, doc_id, th, text, partitioned by b and sorted: the documents of range b in descending order, then (ahead) the one that follows them. Each text is shuffled once, besides one a range."""
+    """docs doc_id, text -> rows b, ahead, doc_id, packed (the text, compressed), partitioned by b and sorted: the documents of range b in descending order, then (ahead) the one that follows them. Each text is shuffled once, besides one a range."""
     spark = docs.sparkSession
     docs = docs.withColumn("th", F.xxhash64("text"))
     ranges = max(1, min(MAX_RANGES, docs.count() // ROWS_PER_RANGE))
     bounds = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
 
-    @F.pandas_udf("int")
-    def range_of(ids):
+    def dealt(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import zstandard
 
-        known = ids.fillna(-np.inf).to_numpy(dtype=float)
-        return pd.Series(-np.searchsorted(bounds, known, side="right"), dtype="int32")
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            known = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            b = -np.searchsorted(bounds, np.where(np.isnan(known), -np.inf, known), side="right").astype(np.int32)
+            texts = [pack(t.as_buffer()) for t in batch.column(2)] if batch.num_columns > 2 else [b""] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(b), batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["b", "doc_id", "th", "packed"])
 
-    dealt = docs.withColumn("b", range_of("doc_id").cast("int"))
+    placed = "b int, doc_id long, th long, packed binary"
     # one row a range, its first document: MAX_RANGES rows at most
-    heads = dealt.groupBy("b").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "th")).alias("x")).select("b", "x.*").orderBy("b").collect()
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "th")).alias("x")
+    heads = docs.select("doc_id", "th").mapInArrow(dealt, placed).groupBy("b").agg(first).select("b", "x.*").orderBy("b").collect()
     follow = [(h["doc_id"], h["th"], heads[k - 1]["b"]) for k, h in enumerate(heads)]
-    extra = F.broadcast(spark.createDataFrame(follow, "head long, th long, before int"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = dealt.join(extra, (key == extra["head"]) & (dealt["th"] == extra["th"]), "left").select("doc_id", dealt["th"], "text", F.explode(F.filter(F.array(F.struct("b", F.lit(False).alias("ahead")), F.struct(F.col("before").alias("b"), F.lit(True).alias("ahead"))), lambda x: x["b"].isNotNull())).alias("place"))
-    return rows.select("place.*", "doc_id", "th", "text").repartition("b").sortWithinPartitions("b", "ahead", F.desc_nulls_last("doc_id"), F.desc("th"))
+    extra = F.broadcast(spark.createDataFrame(follow, "head long, head_th long, before int"))
+    rows = docs.select("doc_id", "th", F.col("text").cast("binary").alias("text")).mapInArrow(dealt, placed)
+    places = F.filter(F.array(F.struct("b", F.lit(False).alias("ahead")), F.struct(F.col("before").alias("b"), F.lit(True).alias("ahead"))), lambda x: x["b"].isNotNull())
+    rows = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("th") == F.col("head_th")), "left").select("doc_id", "th", "packed", F.explode(places).alias("place"))
+    return rows.select("place.*", "doc_id", "th", "packed").repartition("b").sortWithinPartitions("b", "ahead", F.desc_nulls_last("doc_id"), F.desc("th"))
 
 
 def _compared(batches):
     import pyarrow as pa
+    import zstandard
 
-    walk, held = Walk(), None
+    walk, held, unpack = Walk(), None, zstandard.ZstdDecompressor().decompress
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     for batch in batches:
         out = []
-        for b, ahead, doc_id, text in zip(batch["b"].to_pylist(), batch["ahead"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
-            text = text.as_py()
+        for b, ahead, doc_id, text in zip(batch["b"].to_pylist(), batch["ahead"].to_pylist(), batch["doc_id"].to_pylist(), batch["packed"]):
+            text = unpack(text.as_buffer()).decode("utf-8")
             codes = code_points(text)
             steps = walk.steps(codes.astype("u1").tobytes())
             print_ = walk.digits(codes, steps)
@@ -178,7 +185,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    rows = in_order_with_heads(docs).select("b", "ahead", "doc_id", "text")
+    rows = in_order_with_heads(docs).select("b", "ahead", "doc_id", "packed")
     return rows.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -230,8 +237,10 @@ def _banded(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            keys = [[xxhash.xxh64_intdigest(f"{k}:{x}") for k, x in enumerate(sampled(t) if t else [])] for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[x - (1 << 64) if x >> 63 else x for x in row] for row in keys], pa.list_(pa.int64())), pa.array([len(t) for t in part.column(1).to_pylist()], pa.int64())], names=["node", "bands", "bytes"])
+            prints = part.column(3).to_pylist()
+            keys = [[xxhash.xxh64_intdigest(f"{k}:{x}") for k, x in enumerate(sampled(t) if t else [])] for t in prints]
+            signed = [[x - (1 << 64) if x >> 63 else x for x in row] for row in keys]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(signed, pa.list_(pa.int64())), pa.array([len(t) for t in prints], pa.int64())], names=["row", "node", "doc_id", "bands", "bytes"])
 
 
 def print_search(least: float):
@@ -268,12 +277,23 @@ def print_search(least: float):
 def with_classes(table: DataFrame, least: float = 0.8) -> DataFrame:
     """table with doc_id and fingerprint (read more than once: staged) -> its columns and class_id: the least doc_id that links of at least that likeness reach, null where that meets null ids only. Candidates share a band of sampled digits; all pairs of a bucket that are not yet in one class are verified, however large it is. Links that share no band are not found (a pair of likeness 0.9 shares none of 24 bands of 8 digits with chance 1e-6, one of 0.8 with 1e-2)."""
     node = F.xxhash64("fingerprint")
-    nodes = staged(table.groupBy(node.alias("node")).agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least_id")))
-    bands = nodes.select("node", "fingerprint").mapInArrow(_banded, "node long, bands array<long>, bytes long")
-    keyed = staged(bands.select(F.explode("bands").alias("key"), "node", "bytes"))
-    roots = components(buckets.links(keyed, nodes.select("node", F.col("fingerprint").cast("binary").alias("data")), print_search(least)))
-    rooted = staged(nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select(F.col("node").alias("__node"), "class_id")
+    rows = table.select(node.alias("node"), "doc_id", "fingerprint")
+    bands = staged(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "node", "doc_id", "fingerprint").mapInArrow(_banded, "row long, node long, doc_id long, bands array<long>, bytes long"))
+    # equal prints are one node, that of their first row; only these rows' keys are shuffled, and the prints only of nodes that share a bucket
+    firsts = staged(bands.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")))
+    keyed = staged(bands.select("row", "bands", "bytes").join(firsts.select("row", "node"), "row").select(F.explode("bands").alias("key"), "node", "bytes"))
+    release(bands)
+
+    def payload(members: DataFrame) -> DataFrame:
+        found = rows.join(small(members), "node", "left_semi").select("node", F.col("fingerprint").cast("binary").alias("data"))
+        return found.dropDuplicates(["node"])
+
+    near = buckets.links(keyed, payload, print_search(least))
+    release(keyed)
+    rooted = staged(firsts.select("node", "least_id").join(components(near), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
+    release(firsts, near)
+    named = staged(rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select(F.col("node").alias("__node"), "class_id"))
+    release(rooted)
     return table.withColumn("__node", node).join(named, "__node").select(*table.columns, "class_id")
 
 

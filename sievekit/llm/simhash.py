@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import buckets
-from sievekit.llm.common import staged
+from sievekit.llm.common import release, small, staged
 from sievekit.llm.components import components
 
 WORDS, SEED = 3, 42
@@ -147,9 +147,10 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             keys = np.concatenate([((fps & m) ^ s) * np.uint64(0x9E3779B97F4A7C15) for m, s in zip(masks, salts)])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.tile(signed, len(masks))), pa.array(np.full(len(keys), 8))], names=["key", "node", "bytes"])
 
-    fps = nodes.select("fp")
-    payload = fps.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("data"))
-    return buckets.links(staged(fps.mapInArrow(keyed, "key long, node long, bytes long")), payload, _by_fingerprint(max_bits))
+    rows = staged(nodes.select("fp").mapInArrow(keyed, "key long, node long, bytes long"))
+    out = buckets.links(rows, F.unhex(F.lpad(F.hex("node"), 16, "0")), _by_fingerprint(max_bits))
+    release(rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -197,22 +198,40 @@ def band_keys(hashes) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def _sets(words: int):
-    def made(batches):
+def _banded(words: int):
+    """row, text -> row, node (a hash of the shingle set), bands, bytes of its payload."""
+
+    def banded(batches):
         import pyarrow as pa
         import xxhash
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                nodes, bands, sizes = [], [], []
+                for text in part.column(1):
+                    hashes = shingle_set(text.as_py() or "", words)
+                    nodes.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+                    bands.append(band_keys(hashes) if len(hashes) else [])
+                    sizes.append(8 * (PARTS + len(hashes)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["row", "node", "bands", "bytes"])
+
+    return banded
+
+
+def _payloads(words: int):
+    """node, text -> node, data: the wide fingerprint and the shingle set."""
+
+    def packed(batches):
+        import pyarrow as pa
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t.as_py() or "", words) for t in part.column(1)]
-                columns = {
-                    "row": part.column(0), "node": pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()), "bands": pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                    "data": pa.array([wide_fingerprint(s) + s.tobytes() for s in sets], pa.binary()),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([wide_fingerprint(s) + s.tobytes() for s in sets], pa.binary())], names=["node", "data"])
 
-    return made
+    return packed
 
 
 def set_search(least: float):
@@ -246,12 +265,20 @@ def set_search(least: float):
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
     """The columns of docs: one row of each component of near copies, that of the least doc_id; null ids come last and equal ones in any order. Texts without words are one component."""
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
-    sets = staged(rows.select(F.col("__row").alias("row"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_sets(words), "row long, node long, bands array<long>, data binary"))
-    firsts = sets.groupBy("node").agg(F.min("row").alias("row")).select("row")
-    nodes = sets.join(firsts, "row", "left_semi")
-    keyed = staged(nodes.select(F.explode("bands").alias("key"), "node", F.octet_length("data").cast("long").alias("bytes")))
-    roots = components(buckets.links(keyed, nodes, set_search(least)))
+    body = F.col(f"`{text}`").cast("string").alias("text")
+    light = staged(rows.select(F.col("__row").alias("row"), body).mapInArrow(_banded(words), "row long, node long, bands array<long>, bytes long"))
+    # texts of one shingle set are one node, that of their first row; sets are made, and shuffled, only for nodes that share a bucket
+    firsts = staged(light.groupBy("node").agg(F.min("row").alias("row")))
+    keyed = staged(light.join(firsts.select("row"), "row", "left_semi").select(F.explode("bands").alias("key"), "node", "bytes"))
+
+    def payload(members: DataFrame) -> DataFrame:
+        first = small(members.join(firsts, "node").select("node", F.col("row").alias("__row")))
+        return rows.select("__row", body).join(first, "__row").select("node", "text").mapInArrow(_payloads(words), "node long, data binary")
+
+    near = buckets.links(keyed, payload, set_search(least))
+    release(keyed, firsts)
+    roots = components(near)
     order = F.struct(F.col(f"`{doc_id}`").isNull().alias("unnamed"), F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("row"))
-    named = sets.select("row", "node").join(roots, "node", "left").select(F.col("row").alias("__row"), F.coalesce("root", "node").alias("__root"))
+    named = light.select("row", "node").join(roots, "node", "left").select(F.col("row").alias("__row"), F.coalesce("root", "node").alias("__root"))
     kept = rows.select("__row", f"`{doc_id}`").join(named, "__row").groupBy("__root").agg(F.min(order).alias("x")).select(F.col("x.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
