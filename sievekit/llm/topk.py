@@ -1,21 +1,22 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists, in blocks.
 
-Each block of candidates keeps one list a dimension, sorted by component; a query reads list d from its top
-(or from its bottom, where the query's component is negative), so that its contributions only fall. After
-reading all lists to one depth, a candidate's upper bound takes the frontier's contribution wherever the
-candidate was not met yet, and its lower bound the list's last one. Candidates whose upper bound stays
-under the k-th lower bound are out; reading goes deeper in steps for the rest and stops when no outsider can
-qualify, when the scores of what is left are resolved. The k-th lower bound is carried from slice to
-slice of the block, so later slices stop early.
-
-Queries and candidates meet as blocks of bounded size (QUERY_ROWS x BLOCK_ROWS); each pair of blocks is a
-task's work and gives k rows a query, and a last ranking merges them.
+Each slice of candidates keeps one list a dimension, sorted by component. A query reads list d from its top (or from its bottom,
+where the query's component is negative), so that its contributions only fall. All lists are read down to a common contribution,
+the frontier, which falls in steps: what a candidate has been met with so far is summed, a list that it was not met in yet
+adds the frontier at most (less, if the list's top is lower) and the list's last entry at least. That gives every candidate an upper and a
+lower bound. Reading stops when no more than a few candidates have an upper bound that reaches the k-th score found so far or the
+k-th lower bound; only these are looked up and their scores resolved. Slices of a block grow, so that the few entries of the first ones
+give the large ones a bound to stop at. Entries that no step reached are never multiplied.
+
+Candidates are dealt to blocks once, by a hash. Every query goes to every block, where it is one row: queries stream past a block
+that a task holds (BLOCK_ROWS candidates), k rows a query come out, and a last ranking merges them. Queries are so much of the table as the caller
+says, hence rows shuffled are candidates + queries * blocks.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part; neither do rows with a
 null id. Vectors are compared with those of the same length. Rows that repeat an id are candidates each,
 but never for a query of the same id; a query id that repeats is answered once for each of its rows,
 merged. Components are floor(scale * x) as 64-bit integers; scores must fit in 2^53. Ties go to the smaller id.
-Empty tables give no rows.
+Empty tables give no rows. Columns of any other name are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 512
-SLICE_ROWS = 1_024
-#: Parts of the lists read in the successive steps.
-DEPTHS = (0.5, 1.0)
+#: Rows of the slices that a block is read in: the last holds the rest.
+SLICES = (512, 3_584)
+#: The frontiers of successive steps, in parts of the mean top of a query's lists; after the last one lists are read to their ends.
+FRONTIERS = (0.45, 0.25, 0.12, 0.03, -0.1)
+#: Candidates that are resolved when so many are left, as a part of the slice, beside k.
+FEW = 1 / 64
 
 
 def integer_vectors(table: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -45,76 +48,126 @@ class SortedLists:
     def __init__(self, ids, values):
         import numpy as np
 
-        exact_in_32 = float(np.abs(values).max()) ** 2 * values.shape[1] < 1 << 24
-        self.ids, self.values = ids, values.astype(np.float32 if exact_in_32 else np.float64)
-        self.lists = np.sort(self.values, axis=0)
+        self.ids, self.values = ids, values.astype(np.float64)
+        self.order = np.ascontiguousarray(np.argsort(self.values, axis=0, kind="stable").T)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(self.values.T, self.order, axis=1))
+
+    def depths(self, query, frontier: float):
+        """How many entries of each list contribute more than the frontier: a binary search in all lists at once."""
+        import numpy as np
 
-    def frontiers(self, query, depth: int):
-        """The contribution at a depth (from 1) of each list as the query reads it."""
+        n, rows = len(self.ids), np.arange(len(query))
+        # read from the top where the component is positive: the place of an entry that is k-th to be read
+        low, high = np.zeros(len(query), dtype=np.int64), np.where(query != 0, n, n if frontier < 0 else 0)
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            at = np.where(query >= 0, n - 1 - middle, middle)
+            more = open_ & (self.sorted[rows, np.clip(at, 0, n - 1)] * query > frontier)
+            low, high = np.where(more, middle + 1, low), np.where(open_ & ~more, middle, high)
+        return low
+
+    def entries(self, query, first, last):
+        """(row numbers, contributions, list numbers) of the entries from place first to place last of each list as the query reads it."""
         import numpy as np
 
-        rows = len(self.ids)
-        return query * np.where(query >= 0, self.lists[rows - depth], self.lists[depth - 1])
+        n = len(self.ids)
+        spans = [(d, n - b, n - a) if q >= 0 else (d, a, b) for d, (q, a, b) in enumerate(zip(query.tolist(), first.tolist(), last.tolist())) if b > a]
+        rows = np.concatenate([self.order[d, a:b] for d, a, b in spans])
+        lists = np.repeat([d for d, _, _ in spans], [b - a for _, a, b in spans])
+        return rows, np.concatenate([self.sorted[d, a:b] for d, a, b in spans]) * query[lists], lists
 
-    def search(self, query, own: int, k: int, best: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        """The k best (-score, id) of best and this slice."""
+    def search(self, query, own: int, k: int, best: list[tuple[float, int]]) -> tuple[list[tuple[float, int]], int]:
+        """The k best (-score, id) of best and this slice, and how many entries were read."""
         import numpy as np
 
-        query = query.astype(self.values.dtype) if float(np.abs(query).max()) ** 2 * len(query) < 1 << 24 else query
-        rows = len(self.ids)
-        alive, values = np.flatnonzero(self.ids != own), self.values
-        last = self.frontiers(query, rows)
-        for part in DEPTHS:
-            depth = max(1, math.ceil(rows * part))
-            if not len(alive):
-                return best
-            contributions = (values if len(alive) == rows else values[alive]) * query
-            if depth == rows:
+        n, dims = self.values.shape
+        tops = query * np.where(query >= 0, self.sorted[:, -1], self.sorted[:, 0])
+        floors = query * np.where(query >= 0, self.sorted[:, 0], self.sorted[:, -1])
+        seen, met, sunk, depth = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(dims, dtype=np.int64)
+        others = self.ids != own
+        alive, unit, whole = np.flatnonzero(others), float(np.abs(tops).mean()), bool(len(best) < k)
+        for part in FRONTIERS:
+            if len(alive) <= max(k, n * FEW):
                 break
-            frontier = self.frontiers(query, depth)
-            upper = np.maximum(contributions, frontier).sum(axis=1)
+            frontier = unit * part
+            reached = np.maximum(depth, self.depths(query, frontier))
+            if (reached > depth).any():
+                rows, gained, lists = self.entries(query, depth, reached)
+                seen += np.bincount(rows, gained, n)
+                met += np.bincount(rows, minlength=n)
+                if whole:
+                    sunk += np.bincount(rows, floors[lists], n)
+                depth = reached
+            # a list that was read shows the frontier at most from here on, another one its top
+            upper = seen - met * frontier + np.minimum(tops, frontier).sum()
             bound = -best[k - 1][0] if len(best) >= k else -math.inf
-            if len(best) < k <= len(alive):
-                lower = np.where(contributions >= frontier, contributions, last).sum(axis=1)
-                bound = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = alive[upper >= bound]
-        scores = contributions.sum(axis=1)
+            if whole and others.sum() >= k:
+                lower = (seen - sunk + floors.sum())[others]
+                bound = max(bound, np.partition(lower, len(lower) - k)[len(lower) - k])
+            alive = alive[upper[alive] >= bound - 1e-6]
+        scores = self.values[alive] @ query
         if len(scores) > k:
             kth = np.partition(scores, len(scores) - k)[len(scores) - k]
             alive, scores = alive[scores >= kth], scores[scores >= kth]
-        return sorted([*best, *zip((-scores).tolist(), self.ids[alive].tolist())])[:k]
+        return sorted([*best, *zip((-scores).tolist(), self.ids[alive].tolist())])[:k], int(depth.sum())
+
+
+class Block:
+    """The candidates of one block and length, in growing slices."""
+
+    def __init__(self, ids, values):
+        ends = [0]
+        while ends[-1] < len(ids):
+            ends.append(min(len(ids), ends[-1] + SLICES[len(ends) - 1]) if len(ends) <= len(SLICES) else len(ids))
+        self.slices = [SortedLists(ids[a:b], values[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def search(self, query, own: int, k: int) -> tuple[list[tuple[float, int]], int]:
+        best, read = [], 0
+        for lists in self.slices:
+            best, more = lists.search(query, own, k, best)
+            read += more
+        return best, read
+
 
+def _searched(k: int):
+    """Rows b, size, asks, vec_id, v sorted by the first three: the candidates of a block, then the queries that are asked of it."""
 
-def _block_search(k: int):
-    def search(key, queries, candidates):
+    def search(batches):
         import numpy as np
-        import pandas as pd
-
-        out = []
-        if len(queries) and len(candidates):
-            candidates = candidates.sort_values("vec_id")
-            matrix, ids = np.stack(candidates["v"].to_list()), candidates["vec_id"].to_numpy()
-            best = [[] for _ in range(len(queries))]
-            asked = list(zip(queries["vec_id"].tolist(), np.stack(queries["v"].to_list()).astype(np.float64)))
-            for at in range(0, len(ids), SLICE_ROWS):
-                lists = SortedLists(ids[at : at + SLICE_ROWS], matrix[at : at + SLICE_ROWS])
-                best = [lists.search(q, own, k, b) for (own, q), b in zip(asked, best)]
-            out = [(own, other, -int(negative)) for (own, _), b in zip(asked, best) for negative, other in b]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        import pyarrow as pa
+
+        now, ids, rows, block, out = None, [], [], None, []
+        for batch in batches:
+            b, size, asks, vec_id = (batch.column(c).to_pylist() for c in range(4))
+            vectors = batch.column(4)
+            for j in range(batch.num_rows):
+                if now != (b[j], size[j]):
+                    now, ids, rows, block = (b[j], size[j]), [], [], None
+                vector = vectors[j].values.to_numpy()
+                if not asks[j]:
+                    ids.append(vec_id[j])
+                    rows.append(vector)
+                elif ids:
+                    if block is None:
+                        block = Block(np.array(ids), np.stack(rows))
+                        rows = []
+                    best, read = block.search(vector.astype(np.float64), vec_id[j], k)
+                    out += [(vec_id[j], other, -int(negative), read) for negative, other in best]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], names=["query_id", "vec_id", "score", "entries_read"])
+            out = []
 
     return search
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for every row that is_query holds for, the k best other rows of the table."""
-    vectors = integer_vectors(table.withColumn("__query", F.coalesce(is_query, F.lit(False))), vec_id, vector, scale)
-    asked = integer_vectors(table.where(is_query), vec_id, vector, scale)
-    blocks, groups = max(1, math.ceil(vectors.count() / BLOCK_ROWS)), max(1, math.ceil(asked.count() / QUERY_ROWS))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumns({"size": F.size("v"), "g": dealt(groups)}).withColumn("b", cells(blocks))
-    right = vectors.withColumns({"size": F.size("v"), "b": dealt(blocks)}).withColumn("g", cells(groups))
-    found = left.groupBy("size", "g", "b").cogroup(right.groupBy("size", "g", "b")).applyInPandas(_block_search(k), "query_id long, vec_id long, score long")
+    vectors, asked = integer_vectors(table, vec_id, vector, scale), integer_vectors(table.where(is_query), vec_id, vector, scale)
+    blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
+    number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    held = vectors.select(number.alias("b"), F.size("v").alias("size"), F.lit(False).alias("asks"), "vec_id", "v")
+    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.size("v").alias("size"), F.lit(True).alias("asks"), "vec_id", "v")
+    dealt = held.unionByName(queries).repartition(blocks, "b").sortWithinPartitions("b", "size", "asks", "vec_id")
+    found = dealt.mapInArrow(_searched(k), "query_id long, vec_id long, score long, entries_read long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
