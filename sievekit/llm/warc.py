@@ -3,7 +3,7 @@
 Reading: each task takes a byte range of a file, finds every place where the record magic stands, and emits
 candidate record -> successor offsets (header end + Content-Length + 4). Within a range, chains are followed
 backwards at once, so that a candidate points at the first offset that its chain reaches beyond the range.
-Pointer jumping over these few offsets, from offset 0 of each file, then keeps only reachable ones: a magic
+Pointer jumping over these few offsets, from offset 0 of each file and however few ranges it has, then keeps only reachable ones: a magic
 inside a payload starts no chain that the file start reaches, unless a real record is there. Tasks walk the
 reachable chain of their range and emit its records.
 
@@ -29,7 +29,8 @@ URN = "urn:sievekit:page:"
 #: A record of each group of equal payloads is broadcast up to so many groups (under 100 bytes each); more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 MIN_REVISIT_BYTES = 1000
-BLOCK_BYTES = 16 << 20
+#: Bytes of a range, and ranges that a task reads one after the other.
+BLOCK_BYTES, TASK_RANGES = 4 << 20, 8
 DEAD = -1
 
 
@@ -53,7 +54,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     rows = pages.select(F.col(f"`{page_id}`").alias("page"), F.col(f"`{url}`").cast("string").alias("target"), payload_of(F.col(f"`{payload}`")).alias("body"))
     rows = rows.withColumns({"digest": F.sha1(body.cast("binary")), "bytes": F.octet_length(body).cast("long")})
     rows = rows.join(groups, ["digest", "bytes"], "left")
-    named = F.coalesce(page.cast("string"), F.lit("null"))
+    named = F.coalesce(F.concat(F.lit("="), F.url_encode(page.cast("string"))), F.lit("null"))
     revisit = F.col("keeper").isNotNull() & (page.isNull() | (page != F.col("keeper")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, body))
@@ -62,7 +63,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         CRLF, F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit(f"WARC-Record-ID: <{URN}"), named, F.lit(">")), F.lit("WARC-Date: 2024-01-01T00:00:00Z"), F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: <{URN}"), F.col("keeper").cast("string"), F.lit(">"))),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: <{URN}="), F.url_encode(F.col("keeper").cast("string")), F.lit(">"))),
         F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
     rows.select(F.concat(head, F.lit(CRLF * 2), block).alias("value")).write.option("lineSep", CRLF * 2).text(path)
@@ -115,8 +116,7 @@ def _candidates(batches):
     import pyarrow as pa
 
     for batch in batches:
-        paths, offs, exits = [], [], []
-        for r in batch.to_pylist():
+        for r in batch.to_pylist():  # one range is held at a time
             source, start, end = _Source(r["path"], r["length"]), r["start"], r["end"]
             source.load(start, end + (1 << 16))
             block, found, k = source.data, [], source.data.find(MAGIC)
@@ -127,10 +127,7 @@ def _candidates(batches):
             out: dict[int, int] = {}
             for at, after in zip(reversed(found), reversed(follow)):
                 out[at] = after if after >= end or after == DEAD else out.get(after, DEAD)
-            paths += [r["path"]] * len(found)
-            offs += found
-            exits += [out[at] for at in found]
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(offs, pa.int64()), pa.array(exits, pa.int64())], names=["path", "off", "exit"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array([out[at] for at in found], pa.int64())], names=["path", "off", "exit"])
 
 
 def _records(batches):
@@ -140,10 +137,10 @@ def _records(batches):
     import pyarrow as pa
 
     names = ["path", "off", "record_type", "record_id", "refers_to", "payload_bytes", "payload_digest"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            source, at = _Source(r["path"], r["length"]), r["off"]
+        for r in batch.to_pylist():  # one range is held at a time
+            rows, source, at = [], _Source(r["path"], r["length"]), r["off"]
             source.load(at, r["end"])
             while at < r["end"]:
                 header = source.header(at)
@@ -161,16 +158,13 @@ def _records(batches):
                         raise ValueError(f"damaged archive: {r['path']}, offset {at}: the payload's digest is {digest}, not {told}")
                 rows.append((r["path"], at, kind, _field(header, b"WARC-Record-ID"), _field(header, b"WARC-Refers-To"), size, digest))
                 at = after
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def reachable_offsets(candidates: DataFrame, files: DataFrame, rounds: int) -> DataFrame:
     """path, off that the start of a file reaches in under 2^rounds steps of path, off -> exit. Candidates that no exit names are left out before the first round."""
     entries = candidates.select("path", F.col("exit").alias("off")).where(F.col("exit") > 0).distinct()
     reached = files.select("path", F.lit(0).cast("long").alias("off"))
-    if not rounds:
-        return reached
     jumps = staged(candidates.where("off = 0").unionByName(candidates.join(entries, ["path", "off"], "left_semi").where("off > 0")))
     for _ in range(rounds):
         further = reached.join(jumps, ["path", "off"]).select("path", F.col("exit").alias("off"))
@@ -183,13 +177,13 @@ def reachable_offsets(candidates: DataFrame, files: DataFrame, rounds: int) -> D
 def read_archives(spark, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """path, off, record_type, record_id, refers_to, payload_bytes, payload_digest (lower-case hex SHA-1) of every record of the files in path."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
-    longest = files.agg(F.max("length")).first()[0]
-    blocks = math.ceil((longest or 0) / block_bytes)
     size = F.lit(block_bytes)
+    longest, every = files.agg(F.max("length"), F.sum(F.ceil(F.col("length") / size))).first()
+    blocks = math.ceil((longest or 0) / block_bytes)
     ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, size.cast("long")))).withColumn("end", F.least(F.col("start") + size, F.col("length")))
-    tasks = spark.sparkContext.defaultParallelism * 4
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((every or 0) / TASK_RANGES))
     candidates = staged(ranges.repartition(tasks).mapInArrow(_candidates, "path string, off long, exit long"))
-    reached = reachable_offsets(candidates, files, math.ceil(math.log2(blocks)) if blocks > 1 else 0)
+    reached = reachable_offsets(candidates, files, max(1, math.ceil(math.log2(max(1, blocks)))))
     chains = reached.join(files, "path").where("off < length").withColumn("end", F.least((F.floor(F.col("off") / size) + 1) * size, F.col("length")))
     return chains.select("path", "length", "off", "end").repartition(tasks).mapInArrow(_records, "path string, off long, record_type string, record_id string, refers_to string, payload_bytes long, payload_digest string")
 
@@ -199,9 +193,9 @@ def roundtrip(pages: DataFrame, page_id: str = "page_id", url: str = "url", payl
     path = scratch(pages.sparkSession)
     write_archives(pages, path, page_id, url, payload, least_bytes)
     kind = pages.schema[page_id].dataType
-    page = lambda c: F.regexp_extract(F.col(c), f"{URN}(-?\\w+)>", 1)
+    page = lambda c: F.url_decode(F.regexp_extract(F.col(c), f"{URN}=([^>]*)>", 1))
     return read_archives(pages.sparkSession, path, block_bytes).select(
-        F.when(page("record_id") != "null", page("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast(kind).alias("refers_to")
+        F.when(~F.col("record_id").endswith(f"{URN}null>"), page("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast(kind).alias("refers_to")
     )
 
 
