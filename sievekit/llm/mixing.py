@@ -2,19 +2,23 @@
 
 A classifier fitted on a labelled table gives every document a posterior over domains. Each document then gets
 a nonnegative rate (its expected number of copies), so that the domains' expected token totals, sum of rate * tokens *
-posterior, come closest to the targets in least squares, moving rates from 1 as little as that needs. The fit is
-a projected gradient descent: all a step needs from the documents are the totals and their Gram matrix over the documents whose
-rate can still move, so each step is one aggregation, and what a document has to know of the steps
-so far is a short list of vectors, from which its rate follows as a Column.
+posterior, come closest to the targets in least squares, moving rates from 1 as little as that needs.
 
-Null texts are empty: no tokens, and a rate that follows from their posterior. Labels that are null or outside the targets'
+The fit is a projected gradient descent. Documents whose posteriors fall into one cell of a grid share a rate, and a cell's tokens and token-weighted posteriors, summed over
+all documents in one distributed aggregation, are all that the descent needs: the totals it works with are exact, and the cells are at most about CELLS
+however many documents there are. A step moves the rate of a cell against the gradient, per token (the gradient in the metric that weighs a rate by its cell's tokens), by one over the
+gradient's Lipschitz constant in that metric, the largest eigenvalue of a domains x domains matrix, and puts rates back to their bounds; it starts ahead of the last rates, by momentum, unless that would raise the error, which no step does.
+
+Null texts are empty: no tokens, and the rate of their cell. Labels that are null or outside the targets'
 domains do not teach. Ids that repeat in the labelled table count once (with the least domain); rows that repeat in the documents count each. A domain of
-targets that no label has is never predicted, and its target is missed. Without any usable labels all posteriors are equal.
-Empty tables give no rows. Very long texts are read whole.
+targets that no label has is never predicted, and its target is missed: a target that is missed by more than MISSED is a warning. Without any usable labels all posteriors are equal.
+Empty tables give no rows. Very long texts are read whole. Columns of docs pass whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +29,11 @@ from sievekit.llm.quality import statistics
 from sievekit.llm.secrets import let
 from sievekit.llm.toxicity import mine_stems, trie_pattern, unlike
 
-STEPS, CLOSE = 30, 1e-9
+#: Steps of the descent at most, and the share of the tokens by which totals may miss their targets when it stops.
+STEPS, CLOSE, MISSED = 20_000, 1e-9, 1e-3
+ROOM = 1.02
+#: Cells of the grid of posteriors, about.
+CELLS = 50_000
 #: The statistics that domains are told apart by, beside their stems: those that need no search through the text but one for symbols and one for bars.
 KNOWN_BY = ("chars", "words", "word_length", "symbols", "bars", "lines", "distinct_words", "distinct_lines")
 #: Labelled rows that teach at most, on average of the hash that picks them.
@@ -56,6 +64,10 @@ class Classifier:
 
         return let(F.array(*forms), shares)
 
+    def membership(self, text: Column) -> Column:
+        """struct<tokens (words), posterior>."""
+        return let(self.features(text), lambda x: F.struct(F.round(F.expm1(F.get(x, 1))).cast("long").alias("tokens"), self.posterior(x).alias("posterior")))
+
 
 def features(text: Column, stems: list[list[str]]) -> Column:
     """array<double>: the statistics, then for each list of stems the logarithms of different stems and of hits."""
@@ -121,69 +133,96 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str
 
 
 def members(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tokens (words), posterior."""
+    """doc_id, tokens (words), posterior, cell."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    both = let(classifier.features(body), lambda x: F.struct(F.round(F.expm1(F.get(x, 1))).cast("long").alias("tokens"), classifier.posterior(x).alias("posterior")))
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(F.array(both)).alias("m")).select("doc_id", "m.tokens", "m.posterior")
+    found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(F.array(classifier.membership(body))).alias("m"))
+    return found.select("doc_id", "m.tokens", "m.posterior", cell_of(F.col("m.posterior"), len(classifier.domains)).alias("cell"))
+
+
+def grid(domains: int) -> int:
+    """Steps from 0 to 1 of the grid: as many as leave at most CELLS cells."""
+    steps = 1
+    while steps < 1024 and math.comb(steps + domains, max(domains - 1, 0)) <= CELLS:
+        steps += 1
+    return steps
+
 
+def cell_of(posterior: Column, domains: int) -> Column:
+    """A string that names the cell."""
+    return F.array_join(F.transform(posterior, lambda p: F.round(p * grid(domains)).cast("int").cast("string")), ",")
 
-def rate_of(posterior: Column, moves: list[list[float]], least: float, most: float | None) -> Column:
-    """The rate of a document after the moves of the projected descent."""
-    rate = F.greatest(F.lit(1.0), F.lit(least))
-    for move in moves:
-        slope = F.lit(0.0)
-        for d, m in enumerate(move):
-            slope = slope + F.lit(float(m)) * F.get(posterior, d)
-        # each step is bound once, so the expression grows with the steps and not with their power
-        rate = let(rate - slope, lambda r: F.greatest(F.lit(least), r if most is None else F.least(r, F.lit(most))))
-    return rate
+
+@dataclass
+class Fit:
+    cells: list[str]
+    rates: list[float]
+    targets: list[float]
+    reached: list[float]
+    errors: list[float]  # half the squared miss before each step, and after the last
 
 
-def fit_rates(table: DataFrame, shares: list[float], total: float | None = None, least: float = 0.0, most: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
-    """(moves, targets, reached totals) for a staged table of tokens and posteriors. total: the expected tokens of the mixture, by default those of the table, or, with least > 0, as many as the targets need."""
+def descend(tokens, sums, targets, least: float, most: float | None):
+    """(rates, errors) of cells with so many tokens and sums of tokens by domain."""
+    import numpy as np
+
+    rates = np.full(len(tokens), max(1.0, least))
+    used = tokens > 0
+    mean = sums[used] / tokens[used][:, None]
+    if not used.any():
+        return rates, []
+    step = 1 / np.linalg.eigvalsh(mean.T @ sums[used])[-1]
+    moved = lambda at: np.clip(at - step * (mean @ (at @ sums[used] - targets)), least, most)
+    error = lambda at: float(((at @ sums[used] - targets) ** 2).sum()) / 2
+    now = ahead = rates[used]
+    errors, t = [error(now)], 1.0
+    for _ in range(STEPS):
+        if np.abs(now @ sums[used] - targets).sum() <= CLOSE * targets.sum():
+            break
+        new = moved(ahead)
+        if error(new) > errors[-1]:  # momentum went too far: the plain step from here, which cannot raise the error
+            new, t = moved(now), 1.0
+        t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead, now, t = new + (t - 1) / t_next * (new - now), new, t_next
+        errors.append(error(now))
+        if len(errors) > 500 and errors[-500] - errors[-1] <= 1e-9 * errors[-1]:
+            break
+    rates[used] = now
+    return rates, errors
+
+
+def fit_rates(table: DataFrame, shares: list[float], total: float | None = None, least: float = 0.0, most: float | None = None) -> Fit:
+    """For a staged table of tokens, posterior and cell. total: the expected tokens of the mixture, by default those of the table, or, with least > 0, as many as the targets need."""
     import numpy as np
 
     k = len(shares)
-    p = [F.get("posterior", d) for d in range(k)]
-    tokens = F.col("tokens").cast("double")
-
-    def sums(moves):
-        rate = rate_of(F.col("posterior"), moves, least, most)
-        free = (rate > least) & (F.lit(True) if most is None else rate < most)
-        rows = table.withColumns({"__rate": rate, "__free": F.when(free, 1.0).otherwise(0.0)})
-        out = rows.agg(*[F.sum(F.col("__rate") * tokens * x) for x in p], *[F.sum(F.col("__free") * tokens * p[a] * p[b]) for a in range(k) for b in range(k)], *[F.sum(tokens * p[a] * p[b]) for a in range(k) for b in range(k)]).first()
-        values = np.array([float(v or 0.0) for v in out])
-        return values[:k], values[k : k + k * k].reshape(k, k), values[k + k * k :].reshape(k, k)
-
-    reached, free, every = natural, _, _ = sums([])
-    weights = np.array(shares, dtype=float) / sum(shares)
+    weight = F.col("tokens").cast("double")
+    found = table.groupBy("cell").agg(F.sum(weight).alias("t"), *[F.sum(weight * F.get("posterior", d)).alias(f"s{d}") for d in range(k)]).orderBy("cell").collect()  # at most about CELLS rows
+    tokens = np.array([r["t"] or 0.0 for r in found])
+    sums = np.array([[r[f"s{d}"] or 0.0 for d in range(k)] for r in found]).reshape(len(found), k)
+    natural, weights = sums.sum(axis=0), np.array(shares, dtype=float) / sum(shares)
     if total is None:
-        # with rates of at least `least` a domain cannot shrink below that: the mixture grows until every target is at or over it
-        total = float(natural.sum()) if least <= 0 else float(max(least * n / w for n, w in zip(natural, weights) if w > 0))
+        # with rates of at least `least` a domain cannot shrink below that: the mixture grows until every target is a little over it, as texts that hold a little of a full domain have to grow as well
+        total = float(natural.sum()) if least <= 0 else ROOM * float(max(least * n / w for n, w in zip(natural, weights) if w > 0))
     targets = weights * total
-    moves, best = [], (np.inf, [])
-    for _ in range(STEPS):
-        miss = reached - targets
-        error = float(np.abs(miss).sum() / max(1.0, total))
-        if error < best[0]:
-            best = (error, list(moves))
-        if error < CLOSE:
-            break
-        # rates on a bound may leave it: the first step and steps without free documents use all of them
-        gram = free if np.trace(free) > 1e-9 * np.trace(every) and moves else every
-        gram = gram + np.eye(k) * max(1e-9, 1e-6 * np.trace(every) / k)
-        moves.append(np.linalg.solve(gram, miss).tolist())
-        reached, free, _ = sums(moves)
-    moves = best[1] if best[1] or best[0] < np.inf else moves
-    return moves, targets.tolist(), sums(moves)[0].tolist()
+    rates, errors = descend(tokens, sums, targets, least, most)
+    reached = rates @ sums if len(found) else np.zeros(k)
+    if np.abs(reached - targets).sum() > MISSED * max(1.0, total):
+        warnings.warn(f"expected tokens of the domains are {reached.round(1).tolist()}, not {targets.round(1).tolist()}", stacklevel=2)
+    return Fit([r["cell"] for r in found], rates.tolist(), targets.tolist(), reached.tolist(), errors)
+
+
+def rated(table: DataFrame, fit: Fit) -> DataFrame:
+    """table with a cell -> with its rate; the rates are a row a cell and are broadcast."""
+    rates = table.sparkSession.createDataFrame(list(zip(fit.cells, fit.rates)), "cell string, rate double")
+    return table.join(F.broadcast(rates), "cell")
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", total: float | None = None, least: float = 0.0, most: float | None = None) -> DataFrame:
     """doc_id, tokens, p_<domain> for each domain, rate."""
     domains = sorted(targets)
     table = staged(members(docs, train(docs, labelled, domains, doc_id, text), doc_id, text))
-    moves, _, _ = fit_rates(table, [targets[d] for d in domains], total, least, most)
-    return table.select("doc_id", "tokens", *[F.get("posterior", k).alias(f"p_{d}") for k, d in enumerate(domains)], rate_of(F.col("posterior"), moves, least, most).alias("rate"))
+    fit = fit_rates(table, [targets[d] for d in domains], total, least, most)
+    return rated(table, fit).select("doc_id", "tokens", *[F.get("posterior", k).alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -193,16 +232,14 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", total: float | None = None, least: float = 0.0, most: float | None = None) -> DataFrame:
-    """docs with each row repeated as its rate says."""
-    columns = docs.columns
+    """docs with each row repeated as its rate says. Texts are classified once and written beside what that gave."""
     domains = sorted(targets)
     classifier = train(docs, labelled, domains, doc_id, text)
-    table = staged(members(docs, classifier, doc_id, text))
-    moves, _, _ = fit_rates(table, [targets[d] for d in domains], total, least, most)
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rated = docs.withColumn("__posterior", F.explode(F.array(let(classifier.features(body), classifier.posterior))))
-    number = copies(rate_of(F.col("__posterior"), moves, least, most), F.col(f"`{doc_id}`"))
-    return rated.withColumn("__copy", F.explode(F.sequence(F.lit(0), number))).where(F.col("__copy") > 0).select(*[F.col(f"`{c}`") for c in columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    table = staged(docs.select(own, F.explode(F.array(classifier.membership(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).alias("m")).select("own", "m.tokens", "m.posterior", cell_of(F.col("m.posterior"), len(domains)).alias("cell")))
+    fit = fit_rates(table, [targets[d] for d in domains], total, least, most)
+    number = copies(F.col("rate"), F.col("own").getField(doc_id))
+    return rated(table, fit).withColumn("copy", F.explode(F.sequence(F.lit(0), number))).where(F.col("copy") > 0).select("own.*")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
