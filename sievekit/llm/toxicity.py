@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Word stems that mark toxic texts are mined from a bounded sample of labelled rows. They make lexicon voters (each
-holds a share of the stems and speaks when a text has one of them) beside pattern voters (several different stems,
-many hits, dense hits, shouting, no hit at all). A generative label model then sees the votes only, no labels: expectation maximisation estimates
-how often each voter speaks on toxic and on clean texts, and the correlations of voters within each class, which
+Three lexicons that mark toxic texts are mined from a bounded sample of labelled rows, each from another view of the words: how they begin, whole words,
+and how they end. They make lexicon voters by view and length; pattern voters look at how hits stand in the text (several different ones, many, dense, next to a
+word of address, shouted, with marks of exclamation) and at texts without any hit. A voter speaks or is silent. A generative label model then sees the votes only, no labels: expectation
+maximisation estimates how often each voter speaks on toxic and on clean texts, and the correlations of voters within each class, which
 discount what dependent voters say together. A linear classifier is trained on its posterior labels and scores every text, as a Column.
 
 Null texts are empty and score as such. Null doc_ids are scored and in no fold. Repeated rows are scored each. Very long texts
@@ -25,7 +25,12 @@ from sievekit.llm.secrets import let
 
 STEM_LETTERS = range(3, 13)
 STEMS, CANDIDATES, MIN_TOXIC_DOCS, MIN_PRECISION = 240, 20_000, 4, 0.85
-LEXICON_VOTERS, PATTERN_VOTERS = 10, 5
+#: Views of a word that lexicons are mined from: its beginnings, itself, its endings; the lengths that are its short, middle and long entries start at these.
+VIEWS, LENGTHS = ("begins", "is", "ends"), (0, 5, 7)
+END_LETTERS = range(4, 7)
+LEXICON_VOTERS, PATTERN_VOTERS = len(VIEWS) * len(LENGTHS), 7
+#: Words that address a reader, in the languages that texts come in.
+ADDRESS = "you your yours yourself thou tu toi vous votre te usted tú vosotros du dich dir ihr euch"
 THRESHOLD = 0.3
 ROUNDS = 60
 
@@ -37,8 +42,20 @@ def unlike(sample: DataFrame) -> DataFrame:
     return sample.withColumn("least", F.when(F.size(least) == 3, least).otherwise(F.array(F.xxhash64("text")))).groupBy("least", "y").agg(F.min_by("text", "doc_id").alias("text")).select("text", "y")
 
 
-def counted(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
-    """text -> stem, docs: how many texts have a word that starts with the stem (one of those wanted). Batches are counted before the shuffle."""
+def parts_of(word: str, views: tuple[str, ...]) -> set[tuple[str, str]]:
+    """(view, part) of a word for every part that a lexicon could hold."""
+    out = set()
+    if "begins" in views:
+        out |= {("begins", word[:n]) for n in STEM_LETTERS if n <= len(word)}
+    if "is" in views and len(word) >= STEM_LETTERS[0]:
+        out.add(("is", word))
+    if "ends" in views:
+        out |= {("ends", word[-n:]) for n in END_LETTERS if n <= len(word)}
+    return out
+
+
+def counted(texts: DataFrame, views: tuple[str, ...], wanted: frozenset[tuple[str, str]] | None = None) -> DataFrame:
+    """text -> view, part, docs: how many texts have a word with that part (one of those wanted). Batches are counted before the shuffle."""
 
     def count(batches):
         from collections import Counter
@@ -49,34 +66,43 @@ def counted(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame
         for batch in batches:
             counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                stems = {w[:n] for w in set(words(text.lower())) for n in STEM_LETTERS if n <= len(w)}
-                counts.update(stems if wanted is None else stems & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "docs"])
+                parts = {p for w in set(words(text.lower())) for p in parts_of(w, views)}
+                counts.update(parts if wanted is None else parts & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in counts], pa.string()), pa.array([p[1] for p in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["view", "part", "docs"])
 
-    return texts.select("text").mapInArrow(count, "stem string, docs long").groupBy("stem").agg(F.sum("docs").alias("docs"))
+    return texts.select("text").mapInArrow(count, "view string, part string, docs long").groupBy("view", "part").agg(F.sum("docs").alias("docs"))
 
 
-def mine_stems(texts: DataFrame, toxic_docs: int, clean_docs: int) -> list[str]:
-    """At most STEMS stems, best first by the likelihood ratio of their counts, which has to hold for as many tries as there are stems; none starts with another."""
+def mine_lexicons(texts: DataFrame, toxic_docs: int, clean_docs: int, views: tuple[str, ...] = VIEWS) -> list[list[str]]:
+    """For each view at most STEMS parts, best first by the likelihood ratio of their counts, which has to hold for as many tries as there are parts; no beginning starts with another, no ending ends with another."""
     import math
 
-    toxic = counted(texts.where("y >= 0.5")).cache()
+    toxic = counted(texts.where("y >= 0.5"), views).cache()
     tries = toxic.count()
-    often = {r["stem"]: r["docs"] for r in toxic.where(F.col("docs") >= MIN_TOXIC_DOCS).orderBy(F.desc("docs"), "stem").limit(CANDIDATES).collect()}
+    often = {(r["view"], r["part"]): r["docs"] for r in toxic.where(F.col("docs") >= MIN_TOXIC_DOCS).orderBy(F.desc("docs"), "part", "view").limit(CANDIDATES).collect()}
     toxic.unpersist()
-    clean = {r["stem"]: r["docs"] for r in counted(texts.where("y < 0.5"), frozenset(often)).collect()} if often else {}
+    clean = {(r["view"], r["part"]): r["docs"] for r in counted(texts.where("y < 0.5"), views, frozenset(often)).collect()} if often else {}
     prior = (toxic_docs + 1) / (toxic_docs + clean_docs + 2)
 
-    def gain(stem: str) -> float:
-        t, c = often[stem], clean.get(stem, 0)
+    def gain(part: tuple[str, str]) -> float:
+        t, c = often[part], clean.get(part, 0)
         share = t / (t + c)
         return t * math.log(share / prior) + (c * math.log((1 - share) / (1 - prior)) if c else 0) if share >= MIN_PRECISION else 0.0
 
-    chosen: list[str] = []
-    for stem in sorted(often, key=lambda x: (-gain(x), -len(x), x)):
-        if len(chosen) < STEMS and gain(stem) > math.log(tries) and not any(stem.startswith(s) or s.startswith(stem) for s in chosen):
-            chosen.append(stem)
-    return chosen
+    def covers(view: str, a: str, b: str) -> bool:
+        return a.startswith(b) or b.startswith(a) if view == "begins" else a.endswith(b) or b.endswith(a) if view == "ends" else a == b
+
+    chosen: dict[str, list[str]] = {v: [] for v in views}
+    for part in sorted(often, key=lambda x: (-gain(x), -len(x[1]), x)):
+        view, text = part
+        if len(chosen[view]) < STEMS and gain(part) > math.log(tries) and not any(covers(view, text, other) for other in chosen[view]):
+            chosen[view].append(text)
+    return [chosen[v] for v in views]
+
+
+def mine_stems(texts: DataFrame, in_docs: int, out_docs: int) -> list[str]:
+    """The lexicon of word beginnings alone."""
+    return mine_lexicons(texts, in_docs, out_docs, ("begins",))[0]
 
 
 @dataclass
@@ -90,8 +116,10 @@ class LabelModel:
     def posterior(self, votes):
         import numpy as np
 
-        # a voter that is silent abstains; texts without any stem have a voter of their own
-        return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (np.log(self.speaks[1] / self.speaks[0]) / self.discount))
+        # silence is evidence too, as far as the voter speaks on texts of one class more than on those of the other
+        spoken = np.log(self.speaks[1] / self.speaks[0]) / self.discount
+        silent = np.log((1 - self.speaks[1]) / (1 - self.speaks[0])) / self.discount
+        return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (spoken - silent) + silent.sum())
 
 
 def fit_label_model(votes, prior: float) -> LabelModel:
@@ -120,15 +148,15 @@ def fit_label_model(votes, prior: float) -> LabelModel:
 
 @dataclass
 class Scorer:
-    stems: list[str]
+    lexicons: list[list[str]]
     intercept: float
     weights: list[float]
     model: LabelModel | None = None
 
     def score(self, text: Column) -> Column:
-        if not self.stems:
+        if not self.weights:
             return linear_score(self.intercept, [])
-        return let(features(text, self.stems), lambda x: linear_score(self.intercept, [(w, F.get(x, k)) for k, w in enumerate(self.weights)]))
+        return let(features(text, self.lexicons), lambda x: linear_score(self.intercept, [(w, F.get(x, k)) for k, w in enumerate(self.weights)]))
 
 
 def trie_pattern(stems: list[str]) -> str:
@@ -142,20 +170,33 @@ def trie_pattern(stems: list[str]) -> str:
     return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
-def features(text: Column, stems: list[str]) -> Column:
-    """array<double>: the voters (0 or 1), then logarithms of different stems and of hits."""
-    lexicons = [stems[k::LEXICON_VOTERS] for k in range(LEXICON_VOTERS)]
-    hits = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})({trie_pattern(stems)})"), 1)
-    words = F.greatest(F.octet_length(text) / 6, F.lit(1.0))
+def by_length(lexicon: list[str]) -> list[list[str]]:
+    """A lexicon's short, middle and long parts."""
+    ends = [*LENGTHS[1:], 1 << 30]
+    return [[x for x in lexicon if a <= len(x) < b] for a, b in zip(LENGTHS, ends)]
+
+
+def features(text: Column, lexicons: list[list[str]]) -> Column:
+    """array<double>: the voters (0 or 1), lexicons first, then logarithms of different hits and of all hits."""
+    begins, whole, ends = lexicons
+    lower = F.lower(text)
+    found = F.regexp_extract_all(lower, F.lit(rf"(?<!\p{{L}})({trie_pattern(begins)})"), 1) if begins else F.array().cast("array<string>")
+    words = F.regexp_extract_all(lower, F.lit(r"(\p{L}+)"), 1)
     shouting = F.length(F.regexp_replace(text, "[^A-Z]", "")) * 2 > F.length(text)
+    exclaiming = F.contains(text, F.lit("!!"))
+    is_in = lambda x, parts: F.arrays_overlap(x, F.array(*map(F.lit, parts))) if parts else F.lit(False)
 
-    def of(h: Column) -> Column:
-        kinds, count = F.size(F.array_distinct(h)), F.size(h)
-        lexicon = [F.arrays_overlap(h, F.array(*map(F.lit, words_))) if words_ else F.lit(False) for words_ in lexicons]
-        patterns = [kinds >= 2, count >= 3, count * 100 > words, shouting, count == 0]
-        return F.array(*[v.cast("double") for v in [*lexicon, *patterns]], F.log1p(kinds.cast("double")), F.log1p(count.cast("double")))
+    def of(x: Column) -> Column:
+        hits, known = x["hits"], x["words"]
+        kinds, count, size = F.size(F.array_distinct(hits)), F.size(hits), F.size(known)
+        tails = lambda n: F.transform(known, lambda w: F.when(F.length(w) >= n, F.right(w, F.lit(n))).otherwise(""))
+        ending = lambda parts: F.array_max(F.array(F.lit(False), *[is_in(tails(n), own) for n in END_LETTERS if (own := [p for p in parts if len(p) == n])]))
+        lexicon = [*[is_in(hits, p) for p in by_length(begins)], *[is_in(known, p) for p in by_length(whole)], *[ending(p) for p in by_length(ends)]]
+        addressed = (count > 0) & F.arrays_overlap(known, F.array(*map(F.lit, ADDRESS.split())))
+        patterns = [kinds >= 2, count >= 3, count * 100 > size, addressed, shouting, exclaiming, count == 0]
+        return F.array(*[F.coalesce(v, F.lit(False)).cast("double") for v in [*lexicon, *patterns]], F.log1p(kinds.cast("double")), F.log1p(count.cast("double")))
 
-    return let(hits, of)
+    return let(F.struct(found.alias("hits"), words.alias("words")), of)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Scorer:
@@ -165,14 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sample = staged(unlike(labelled(docs, labels, "toxic", text, doc_id)))
     counts = sample.agg(F.count("*").alias("n"), F.count_if(F.col("y") >= 0.5).alias("toxic")).first()
     prior = (counts["toxic"] + 1) / (counts["n"] + 2)
-    stems = mine_stems(sample, counts["toxic"], counts["n"] - counts["toxic"]) if counts["toxic"] else []
-    if not stems:
+    lexicons = mine_lexicons(sample, counts["toxic"], counts["n"] - counts["toxic"]) if counts["toxic"] else []
+    if not any(lexicons):
         return Scorer([], float(np.log(prior / (1 - prior))), [])
-    x = np.array([r[0] for r in sample.select(features(F.col("text"), stems)).collect()])
+    x = np.array([r[0] for r in sample.select(features(F.col("text"), lexicons)).collect()])
     votes = x[:, : LEXICON_VOTERS + PATTERN_VOTERS]
     model = fit_label_model(votes, prior)
     intercept, weights = logistic(x, model.posterior(votes))
-    return Scorer(stems, intercept, weights.tolist(), model)
+    return Scorer(lexicons, intercept, weights.tolist(), model)
 
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
