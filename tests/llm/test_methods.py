@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievekit.llm import bpe, buckets, editprint, mixing, secrets, simhash, suffix, topk, warc
+from sievekit.llm import bpe, buckets, editprint, mixing, quality, secrets, simhash, suffix, topk, toxicity, warc
 from sievekit.llm.components import components
 from sievekit.llm.learning import fold_of
-from sievekit.llm.queries import ORACLE, QUERIES
+from sievekit.llm.queries import ORACLE, QUERIES, TARGETS
 
 SF = "/root/testdata/sf0.001"
 
@@ -304,16 +304,38 @@ def test_topk(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == want
 
 
-def test_topk_bounds_hold():
+def best_of(ids, values, query, own, k):
+    return sorted((-float(values[j] @ query), int(ids[j])) for j in range(len(ids)) if ids[j] != own)[:k]
+
+
+def test_topk_reads_less_than_all():
+    """Skewed vectors: lists are read a part of the way, in steps, and the answers are whole; ties and negative components too."""
     rng = np.random.default_rng(8)
+    values = np.floor(256 * rng.normal(size=(6000, 16)) * 0.6 ** np.arange(16)).astype(int)
+    values[100:120] = values[100]
+    block = topk.Block(np.arange(6000), values)
+    for own in (100, 0, 5, 777):
+        best, read = block.search(values[own].astype(float), own, 5)
+        assert best == best_of(np.arange(6000), values, values[own], own, 5)
+        assert 0 < read < 0.6 * values.size
+    for own in range(0, 60, 7):  # small blocks and flat lists
+        lists = topk.SortedLists(np.arange(40), rng.integers(-2, 3, size=(40, 3)))
+        assert lists.search(lists.values[own % 40], own, 5, [])[0] == best_of(lists.ids, lists.values, lists.values[own % 40], own, 5)
+
+
+def test_topk_depths_and_entries():
+    rng = np.random.default_rng(18)
     lists = topk.SortedLists(np.arange(300), rng.integers(-90, 90, size=(300, 8)))
     query = rng.integers(-90, 90, size=8).astype(float)
-    for depth in (1, 50, 299):
-        frontier = lists.frontiers(query, depth)
-        contributions = lists.values * query
-        met = np.argsort(np.argsort(-contributions, axis=0, kind="stable"), axis=0) < depth
-        assert np.all(np.where(met, contributions, frontier) <= np.maximum(contributions, frontier))
-        assert np.all(contributions[~met] <= np.broadcast_to(frontier, contributions.shape)[~met])
+    query[3] = 0
+    contributions = lists.values * query
+    for frontier in (4000.0, 100.0, 0.0, -50.0, -9000.0):
+        depth = lists.depths(query, frontier)
+        assert depth.tolist() == (contributions > frontier).sum(axis=0).tolist()
+        if depth.any():
+            rows, gained, of = lists.entries(query, np.zeros(8, dtype=int), depth)
+            assert sorted(zip(of.tolist(), rows.tolist())) == sorted((d, j) for j, d in zip(*np.nonzero(contributions > frontier)))
+            assert gained.tolist() == contributions[rows, of].tolist()
 
 
 def test_warc_rejects_magic_in_payloads(spark):
@@ -327,6 +349,23 @@ def test_warc_rejects_magic_in_payloads(spark):
         assert all((got[k][2] == "response") == (len(h) < 1000 or last[h] == k) for k, _, h in rows)
 
 
+def test_warc_rounds_by_default(spark):
+    """Several ranges of the default size in one file, records that span some, and ids of any letters."""
+    big = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "y" * (9 << 20)
+    rows = [("a/b>c d", "u", big), ("null", "u", "z" * 3000), (None, "u", "z" * 3000), ("é=", "u", big + "2"), *[(f"k{k}", "u", f"{k} " * 30_000) for k in range(60)]]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.roundtrip(pages).collect()}
+    assert got == {i: (len(h), "revisit" if i is None else "response", "null" if i is None else None) for i, _, h in rows}
+
+
+def test_jumping_from_one_range(spark):
+    """A file of one range is reached through its candidates too."""
+    rows = spark.createDataFrame([("f", 0, 40), ("f", 40, 90), ("f", 60, -1), ("g", 0, -1)], "path string, off long, exit long")
+    files = spark.createDataFrame([("f", 90), ("g", 50)], "path string, length long")
+    got = {(r.path, r.off) for r in warc.reachable_offsets(rows, files, 2).collect()}
+    assert got == {("f", 0), ("f", 40), ("f", 90), ("g", 0)}
+
+
 def test_warc_damage_is_an_error(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     part = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part") and p.stat().st_size)
@@ -346,6 +385,45 @@ def test_held_out_accuracy(spark, name, label):
     assert (neg >= 0.3).mean() < 0.05 if label == "toxic" else (pos < 0.7).mean() < 0.05
 
 
+def test_label_model_recovers_voters():
+    """Votes drawn from known rates and a pair of voters that copy each other: rates, prior order and posteriors come back without labels."""
+    rng = np.random.default_rng(21)
+    n, lex, every = 20_000, toxicity.LEXICON_VOTERS, toxicity.LEXICON_VOTERS + toxicity.PATTERN_VOTERS
+    truth = rng.random(n) < 0.15
+    speaks = np.stack([rng.uniform(0.005, 0.03, every), rng.uniform(0.3, 0.8, every)])
+    votes = (rng.random((n, every)) < np.where(truth[:, None], speaks[1], speaks[0])).astype(float)
+    votes[:, lex + 1] = votes[:, lex]
+    model = toxicity.fit_label_model(votes, 0.15)
+    free = [k for k in range(every) if k not in (lex, lex + 1)]
+    assert np.abs(model.speaks[1][free] - speaks[1][free]).max() < 0.06 and np.abs(model.speaks[0][free] - speaks[0][free]).max() < 0.02
+    assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.98
+    assert model.discount[lex] > 1.5 and max(model.discount[free]) < 1.5
+
+
+def test_voters_against_held_out_truth(spark):
+    """Voters of every view exist, abstain on most clean texts, and speak more on held-out toxic texts than the label model's clean rate; their estimated order follows the truth."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scorer = toxicity.train(docs, labels)
+    assert sum(map(bool, scorer.lexicons)) == len(toxicity.VIEWS)
+    held = docs.join(labels, "doc_id").where(fold_of(F.col("doc_id")) == 2).select(toxicity.features(F.col("text"), scorer.lexicons).alias("x"), "toxic").collect()
+    x, y = np.array([r.x for r in held])[:, : toxicity.LEXICON_VOTERS], np.array([r.toxic for r in held])
+    used = [k for k in range(x.shape[1]) if x[:, k].sum() >= 5]
+    assert len(used) >= 5 and all(x[y == 0, k].mean() < 0.1 and x[y == 1, k].mean() > 2 * x[y == 0, k].mean() for k in used)
+    # of two voters the label model puts far apart on toxic texts, the truth has the same one ahead
+    told, true = scorer.model.speaks[1][: x.shape[1]], x[y == 1].mean(axis=0)
+    assert all((told[a] > told[b]) == (true[a] > true[b]) for a in used for b in used if abs(told[a] - told[b]) > 0.35)
+
+
+def test_rules_in_columns(spark):
+    """Compiled rules are the rules."""
+    rng = np.random.default_rng(22)
+    x = rng.random((50, len(quality.STATISTICS)))
+    rules = [quality.Rule(tuple((int(f), bool(rng.integers(2)), float(rng.random())) for f in rng.choice(x.shape[1], size=3, replace=False))) for _ in range(30)]
+    table = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "k int, x array<double>").orderBy("k").select(*[r.column(F.col("x")).alias(str(j)) for j, r in enumerate(rules)])
+    assert np.array(table.collect()).tolist() == np.column_stack([r.holds(x) for r in rules]).tolist()
+
+
 def test_folds(spark):
     import zlib
 
@@ -358,12 +436,54 @@ def test_rates_meet_targets(spark, least):
     rng = np.random.default_rng(9)
     p = rng.dirichlet([0.3, 0.3, 0.3], size=400)
     tokens = rng.integers(0, 900, size=400)
-    table = spark.createDataFrame([(int(t), row.tolist()) for t, row in zip(tokens, p)], "tokens long, posterior array<double>").cache()
-    moves, targets, reached = mixing.fit_rates(table, [0.6, 0.3, 0.1], least=least)
-    assert reached == pytest.approx(targets, rel=1e-3)
-    rates = np.array([r[0] for r in table.select(mixing.rate_of(F.col("posterior"), moves, least, None)).collect()])
-    assert rates.min() >= least
-    assert (rates * tokens) @ p == pytest.approx(targets, rel=1e-3)
+    table = spark.createDataFrame([(int(t), row.tolist()) for t, row in zip(tokens, p)], "tokens long, posterior array<double>").withColumn("cell", mixing.cell_of(F.col("posterior"), 3)).cache()
+    fit = mixing.fit_rates(table, [0.6, 0.3, 0.1], least=least)
+    assert fit.reached == pytest.approx(fit.targets, rel=1e-3)
+    assert all(b <= a * (1 + 1e-12) for a, b in zip(fit.errors, fit.errors[1:]))
+    rows = mixing.rated(table, fit).collect()
+    rates, tokens, p = (np.array([r[c] for r in rows]) for c in ("rate", "tokens", "posterior"))
+    assert len(rows) == 400 and rates.min() >= least
+    assert (rates * tokens) @ p == pytest.approx(fit.targets, rel=1e-3)
+
+
+def test_descent_is_the_plain_one():
+    """The optimum of the plain descent (rate - step * gradient / tokens, put back to the bounds, without momentum), also where targets are out of reach; no step raises the error."""
+    rng = np.random.default_rng(19)
+    p, tokens = rng.dirichlet([0.5, 0.5, 0.5], size=30), rng.integers(1, 90, size=30).astype(float)
+    sums = p * tokens[:, None]
+    for targets in (np.array([900.0, 100.0, 1.0]), np.array([500.0, 300.0, 200.0])):
+        rates, errors = mixing.descend(tokens, sums, targets, 0.2, 3.0)
+        plain, step = np.ones(30), 1 / np.linalg.eigvalsh((sums / tokens[:, None]).T @ sums)[-1]
+        for _ in range(20_000):
+            plain = np.clip(plain - step * (sums @ (plain @ sums - targets)) / tokens, 0.2, 3.0)
+        assert rates @ sums == pytest.approx(plain @ sums, rel=1e-3)
+        assert errors[-1] <= errors[0] and all(b <= a * (1 + 1e-12) for a, b in zip(errors, errors[1:]))
+        assert rates.min() >= 0.2 and rates.max() <= 3
+
+
+def test_whole_mixture_meets_targets(spark):
+    """The query's expected tokens by domain, summed plainly from its rows, are the targets; the classifier's posteriors follow held labels."""
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op1_mixing"](spark, sf).collect()
+    total = sum(r.tokens for r in rows)
+    for domain, share in TARGETS.items():
+        assert sum(r.rate * r.tokens * r[f"p_{domain}"] for r in rows) == pytest.approx(share * total, rel=1e-3)
+    assert all(r.rate >= 0 and abs(sum(r[f"p_{d}"] for d in TARGETS) - 1) < 1e-9 for r in rows)
+    words = {r.doc_id: len(r.text.split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.tokens for r in rows} == words
+    domains = {r.doc_id: r.domain for r in mixing.label_domains(spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    hits = [max(TARGETS, key=lambda d: r[f"p_{d}"]) == domains[r.doc_id] for r in rows if domains.get(r.doc_id)]
+    assert np.mean(hits) > 0.85
+
+
+def test_posterior_in_columns(spark):
+    rng = np.random.default_rng(20)
+    model = mixing.Classifier(["a", "b", "c"], rng.normal(size=3).tolist(), rng.normal(size=(3, 4)).tolist(), [])
+    x = rng.normal(size=(20, 4))
+    got = [r[0] for r in spark.createDataFrame([(row.tolist(),) for row in x], "x array<double>").select(model.posterior(F.col("x"))).collect()]
+    z = x @ np.array(model.weights).T + np.array(model.bias)
+    want = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    assert np.allclose(got, want)
 
 
 def test_copies_follow_rates(spark):
