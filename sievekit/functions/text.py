@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HEAD_TAIL_LIMIT, HEAD_TAIL_PART = 700, 300
 TRUNCATED = "\n... [truncated] ...\n"
@@ -77,13 +81,15 @@ def slug_label(name: Column) -> Column:
 
 
 #: Characters that TeX treats specially, and how they are written.
-TEX = (("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"))
+TEX = {
+    "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}",
+    "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}",
+}
 
 
 def tex_escape(text: Column) -> Column:
     """Character by character, so that a replacement is never replaced again."""
-    special = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", **dict(TEX)}
-    table = F.create_map(*[F.lit(x) for pair in special.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in TEX.items() for x in pair])
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(table[c], c)), "")
 
 
@@ -96,10 +102,8 @@ def numbered_items(reply: Column, cached: Column, most: int) -> Column:
 
 def fill_template(template: str, **fields: Column) -> Column:
     """{name} marks of the template replaced by the fields; null fields are empty."""
-    out = F.lit(template)
-    for name, value in fields.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    return out
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(fields[x], F.lit("")) if k % 2 and x in fields else F.lit("{" + x + "}" if k % 2 else x) for k, x in enumerate(parts)])
 
 
 #: What a packet starts with.
@@ -127,3 +131,24 @@ def runtime_seconds(elapsed: Column, started: Column, ended: Column) -> Column:
     """Elapsed seconds if they are known and not negative, else the time between two timestamps in order, else 0."""
     between = F.when(ended >= started, ended.cast("double") - started.cast("double"))
     return F.coalesce(F.when(elapsed >= 0, elapsed), between, F.lit(0.0))
+
+
+def _written(value: float, sign: str = "") -> str | None:
+    return f"{100.0 * value:{sign}.1f}"
+
+
+@F.pandas_udf(StringType())
+def percent(value: pd.Series) -> pd.Series:
+    """100 times the value with one decimal, rounded as the binary number is (a decimal tie in Spark's own formats goes up); two dashes for null. For the few rows of a report."""
+    return value.map(lambda x: "--" if pd.isna(x) else _written(x))
+
+
+@F.pandas_udf(StringType())
+def signed_percent(value: pd.Series) -> pd.Series:
+    """percent() with a sign, + for 0 too."""
+    return value.map(lambda x: "--" if pd.isna(x) else _written(x, "+"))
+
+
+def percent_range(mean: Column, spread: Column) -> Column:
+    """The mean, and the deviation where there is one; two dashes without a mean."""
+    return F.when(mean.isNull() | spread.isNull(), percent(mean)).otherwise(F.concat(percent(mean), F.lit(r" $\pm$ "), percent(spread)))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions.hashing import hash52
 from sievekit.functions.ranks import dot
 from sievekit.functions.text import tokens
+from sievekit.operators.blocks import first_k, id_ranks, ranked, streamed
 
 BUCKETS = 64
-QUERY_BLOCK, VECTOR_BLOCK = 256, 8_192
+BLOCK_ROWS, PRODUCT_ROWS = 16_384, 256
 
 
 def unit(vector: Column) -> Column:
@@ -22,49 +21,43 @@ def unit(vector: Column) -> Column:
 
 
 def hashed_vectors(texts: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """key, embedding: counts of token hashes, normalised. Stands in for a model where none can be loaded."""
-    counted = texts.select(key, F.explode(tokens(F.col(text))).alias("t")).select(key, (hash52(F.col("t")) % buckets).cast("int").alias("b")).groupBy(key, "b").agg(F.count("*").alias("n"))
-    listed = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0)).cast("double"))
-    return listed.select(key, raw.alias("raw")).select(key, unit(F.col("raw")).alias("embedding"))
+    """key, embedding: counts of token hashes, normalised. Stands in for a model where none can be loaded. Texts without tokens have none. Counted within the row: no shuffle."""
+    hashed = F.transform(tokens(F.col(text)), lambda t: (hash52(t) % buckets).cast("int"))
+    listed = texts.select(key, F.explode(F.array(hashed)).alias("h")).where(F.size("h") > 0)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter("h", lambda x: x == b)).cast("double"))
+    return listed.select(key, F.explode(F.array(raw)).alias("raw")).select(key, unit(F.col("raw")).alias("embedding"))
 
 
-def _search(k: int):
-    def search(key, queries, vectors):
+def _products(k: int):
+    def matrix(column):
         import numpy as np
-        import pandas as pd
-
-        columns = ["query_id", "doc_id", "score"]
-        if not len(queries) or not len(vectors):
-            return pd.DataFrame(columns=columns)
-        vectors = vectors.sort_values("doc_id")
-        ids, base = vectors["doc_id"].to_numpy(), np.stack(vectors["embedding"].to_list()).astype(float)
-        scores = np.round(np.stack(queries["vector"].to_list()).astype(float) @ base.T, 12)
-        out = []
-        for query, row in zip(queries["query_id"], scores):
-            rounded = np.round(row, 9)
-            least = np.partition(rounded, -min(k, len(row)))[-min(k, len(row))]
-            at = np.flatnonzero(rounded >= least)
-            at = at[np.lexsort((ids[at], -rounded[at]))][:k]
-            out += [(query, ids[j], row[j]) for j in at]
-        return pd.DataFrame(out, columns=columns)
-
-    return search
-
-
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, n_vectors: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """vectors doc_id, embedding; queries query_id, vector -> query_id, doc_id, score, rank: the k largest inner products, ties to the smaller doc_id.
-
-    Queries meet vectors in blocks of bounded size, each a matrix product in one task; every block gives k rows a query and
-    a last ranking merges them. Nothing is broadcast.
-    """
-    blocks = max(1, math.ceil((n_vectors or vectors.count()) / VECTOR_BLOCK))
-    groups = max(1, math.ceil((n_queries or queries.count()) / QUERY_BLOCK))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", "vector", dealt("query_id", groups).alias("g")).withColumn("b", cells(blocks))
-    right = vectors.select("doc_id", "embedding", dealt("doc_id", blocks).alias("b")).withColumn("g", cells(groups))
-    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *vectors.schema.fields]}
-    found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(_search(k), f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+        lists = column.combine_chunks()
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+    def build(block):
+        import numpy as np
+        import pyarrow as pa
+
+        base, ids = matrix(block["v"]).T, id_ranks(block["doc_id"].combine_chunks())
+
+        def answer(asked):
+            queries, at, found, scores = matrix(asked["v"]), [], [], []
+            for first in range(0, len(queries), PRODUCT_ROWS):
+                for j, row in enumerate(np.round(queries[first : first + PRODUCT_ROWS] @ base, 12), first):
+                    best = first_k(row, ids, k)
+                    at += [j] * len(best)
+                    found += best.tolist()
+                    scores += row[best].tolist()
+            return pa.array(at, pa.int64()), pa.array(found, pa.int64()), scores
+
+        return answer
+
+    return build
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, n_vectors: int | None = None) -> DataFrame:
+    """vectors doc_id, embedding; queries query_id, vector, all of one length -> query_id, doc_id, score, rank: the k largest inner products, ties to the smaller doc_id. Rows without a vector take no part."""
+    held = vectors.where("embedding is not null").select("doc_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("v"))
+    return ranked(streamed(held, asked, vectors.count() if n_vectors is None else n_vectors, BLOCK_ROWS, _products(k), ["v"]), k)

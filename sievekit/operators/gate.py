@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.hashing import uniform
 from sievekit.operators.fusion import as_list, rrf
+from sievekit.sources.writers import exists
 
 MODES = ("selective", "always", "traces", "paraphrases", "dense", "random")
 THRESHOLD, RANDOM_RATE = 0.65, 0.46
@@ -44,6 +46,23 @@ def cache_misses(queries: DataFrame, cache: DataFrame) -> DataFrame:
     return queries.join(cache.select(F.col("query_key")).distinct(), cache_key(F.col("query")) == F.col("query_key"), "left_anti")
 
 
+def expanded(queries: DataFrame, generated: DataFrame, path: str) -> DataFrame:
+    """queries query_id, query; generated query_id, kind, ord, text; path: a cache table query_key, kind, ord, text, asker, run that runs share -> query_id, kind, ord, text, asked.
+
+    Queries whose trimmed text the cache holds take its texts (asked is false: no calls). For each other text the least query_id asks, and what it was given is
+    appended to the cache, an empty row if nothing; queries of the same text share it.
+    """
+    spark, run = queries.sparkSession, uuid.uuid4().hex
+    keyed = queries.select("query_id", cache_key(F.col("query")).alias("query_key"))
+    missing = keyed.join(spark.read.parquet(path).select("query_key").distinct(), "query_key", "left_anti") if exists(spark, path) else keyed
+    askers = missing.groupBy("query_key").agg(F.min("query_id").alias("query_id"))
+    new = askers.join(generated, "query_id", "left").select("query_key", "kind", "ord", "text", F.col("query_id").alias("asker"), F.lit(run).alias("run"))
+    new.write.mode("append").parquet(path)
+    found = keyed.join(spark.read.schema(new.schema).parquet(path), "query_key", "left")
+    asked = F.coalesce((F.col("run") == run) & (F.col("asker") == F.col("query_id")), F.lit(False))
+    return found.select("query_id", "kind", "ord", "text", asked.alias("asked"))
+
+
 def gated_retrieval(original: DataFrame, variants: DataFrame, mode: str, dense: Callable[[DataFrame, int], DataFrame], sparse: Callable[[DataFrame, int], DataFrame], k: int = 10, threshold: float = THRESHOLD, rate: float = RANDOM_RATE, seed: int = 42) -> DataFrame:
     """original: query_id, doc_id, score, rank at depth 2k; variants: query_id, kind, ord, text -> query_id, expanded, doc_id, rank.
 

@@ -1,44 +1,71 @@
-"""Resampling inference with draws that depend on replicate and position only. The three paired procedures differ on purpose."""
+"""Resampling inference with draws that depend on replicate and name only. The three paired procedures differ on purpose.
+
+Resampled columns are hits or differences of hits: a resample is known by how often it holds each value, which is a multinomial draw on the
+counts of the values. Rows are read once, for these counts; replicates cost a binomial draw a value, whatever the number of rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.functions.hashing import hash52, uniform
+from sievekit.functions.hashing import uniform
 
 #: Replicates of the reference: intervals of one method, paired bootstraps, gate intervals and sign flips.
 CI_DRAWS, PAIR_DRAWS, GATE_DRAWS = 2_000, 5_000, 10_000
-
-
-def value_table(rows: DataFrame, value: str) -> DataFrame:
-    """value -> low, high: the places [low, high) its rows take in the order of values. Values of hits and of their differences are few."""
-    counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v"))
-    return counts.select("v", (upto - F.col("c")).alias("low"), upto.alias("high"))
+#: Different values that a resampled column may have.
+MOST_VALUES = 64
+#: A binomial draw is looked for within so many deviations of its mean, and so many whole numbers more.
+REACH = 12
+#: Coefficients of Lanczos' approximation of the gamma function, for g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_factorial(x: Column) -> Column:
+    x = x.cast("double")
+    series = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        series = series + F.lit(c) / (x + float(k))
+    return F.lit(0.5 * math.log(2 * math.pi)) + (x + 0.5) * F.log(x + 7.5) - (x + 7.5) + F.log(series)
+
+
+def binomial(reps: DataFrame, name: str, step: int, share: float) -> DataFrame:
+    """reps rep, m, ... -> with k, a draw of the binomial distribution of m trials: the first k whose cumulated probability is over the replicate's uniform number."""
+    if not 0 < share < 1:
+        return reps.withColumn("k", F.col("m") if share >= 1 else F.lit(0).cast("long"))
+    m, k, p = F.col("m"), F.col("k"), F.lit(share)
+    reach = REACH * (F.sqrt(m * p * (1 - p)) + 1)
+    low, high = F.greatest(F.floor(m * p - reach), F.lit(0)).cast("long"), F.least(F.ceil(m * p + reach), m).cast("long")
+    chance = F.exp(log_factorial(m) - log_factorial(k) - log_factorial(m - k) + k * math.log(share) + (m - k) * math.log1p(-share))
+    # replicates share few numbers of trials: a table of cumulated chances for each of them
+    cells = reps.select("m").distinct().select("m", high.alias("high"), F.explode(F.sequence(low, high)).alias("k")).withColumn("chance", chance)
+    upto = F.sum("chance").over(Window.partitionBy("m").orderBy("k"))
+    cells = cells.select("m", "k", upto.alias("upto"), F.when(k == F.col("high"), 2.0).otherwise(upto).alias("end"), F.col("chance"))
+    cells = cells.select("m", "k", F.lag("end", 1, -1.0).over(Window.partitionBy("m").orderBy("k")).alias("start"), "end")
+    drawn = reps.withColumn("u", uniform(name, F.col("rep"), F.lit(step)))
+    return drawn.join(cells, "m").where((F.col("u") >= F.col("start")) & (F.col("u") < F.col("end"))).drop("u", "start", "end")
+
+
+def value_counts(rows: DataFrame, value: str) -> list[tuple[float, int]]:
+    """Values in their order with their counts; more than MOST_VALUES are an error."""
+    found = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).orderBy("v").limit(MOST_VALUES + 1).collect()
+    if len(found) > MOST_VALUES:
+        raise ValueError(f"{value} has more than {MOST_VALUES} values")
+    return [(r["v"], r["n"]) for r in found]
 
 
 def replicates(rows: DataFrame, value: str, draws: int, name: str) -> DataFrame:
-    """rep, mean: the means of `draws` resamples with replacement, as large as rows.
-
-    The rows are only read for their counts of values; the places drawn are matched with the few ranges of places that values take.
-    """
-    spark = rows.sparkSession
-    table = value_table(rows, value).collect() if value_is_small(rows, value) else None
-    n = sum(r["c"] if "c" in r else r["high"] - r["low"] for r in table) if table else rows.count()
-    drawn = spark.range(draws).withColumnRenamed("id", "rep").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))) if n else F.explode(F.array().cast("array<long>")))
-    drawn = drawn.withColumn("place", hash52(name, F.col("rep"), F.col("i")) % max(1, n))
-    picked = F.lit(None).cast("double")
-    for r in table or []:
-        picked = F.when((F.col("place") >= r["low"]) & (F.col("place") < r["high"]), F.lit(r["v"])).otherwise(picked)
-    return drawn.groupBy("rep").agg(F.avg(picked).alias("mean"))
-
-
-def value_is_small(rows: DataFrame, value: str, most: int = 1_000) -> bool:
-    """Resampled columns are hits or differences of hits: more than a few values is an error."""
-    if rows.select(value).distinct().limit(most + 1).count() > most:
-        raise ValueError(f"{value} has more than {most} values")
-    return True
+    """rep, mean: the means of `draws` resamples with replacement, as large as rows. Nulls are left out; without rows means are null."""
+    counts = value_counts(rows, value)
+    n = left = sum(c for _, c in counts)
+    reps = rows.sparkSession.range(draws).select(F.col("id").alias("rep"), F.lit(n).cast("long").alias("m"), F.lit(0.0).alias("total"))
+    for step, (v, c) in enumerate(counts[:-1]):
+        reps = binomial(reps, name, step, c / left).select("rep", (F.col("m") - F.col("k")).alias("m"), (F.col("total") + F.col("k") * F.lit(v)).alias("total"))
+        left -= c
+    last = counts[-1][0] if counts else 0.0
+    return reps.select("rep", F.try_divide(F.col("total") + F.col("m") * F.lit(last), F.lit(float(n))).alias("mean"))
 
 
 def nearest_rank(means: DataFrame, q: float, draws: int) -> DataFrame:
@@ -56,7 +83,7 @@ def interval_nearest(rows: DataFrame, value: str, draws: int = CI_DRAWS, name: s
     """observed, low, high by nearest rank."""
     means = replicates(rows, value, draws, name)
     low, high = (nearest_rank(means, q, draws).select(F.col("v").alias(n)) for q, n in ((0.025, "low"), (0.975, "high")))
-    return rows.agg(F.avg(value).alias("observed")).crossJoin(low).crossJoin(high)
+    return rows.agg(F.avg(value).alias("observed")).crossJoin(low).crossJoin(high)  # a row each
 
 
 def paired_two_sided(rows: DataFrame, delta: str, draws: int = PAIR_DRAWS, name: str = "pair06") -> DataFrame:
@@ -64,7 +91,7 @@ def paired_two_sided(rows: DataFrame, delta: str, draws: int = PAIR_DRAWS, name:
     means = replicates(rows, delta, draws, name)
     low, high = (nearest_rank(means, q, draws).select(F.col("v").alias(n)) for q, n in ((0.025, "low"), (0.975, "high")))
     p = means.agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("mean") <= 0).cast("double")), F.avg((F.col("mean") >= 0).cast("double")))).alias("p"))
-    return rows.agg(F.avg(delta).alias("observed")).crossJoin(low).crossJoin(high).crossJoin(p)
+    return rows.agg(F.avg(delta).alias("observed")).crossJoin(low).crossJoin(high).crossJoin(p)  # a row each
 
 
 def paired_one_sided(rows: DataFrame, delta: str, draws: int = PAIR_DRAWS, name: str = "pair11") -> DataFrame:
@@ -77,12 +104,16 @@ def interval_interpolated(rows: DataFrame, value: str, draws: int = GATE_DRAWS,
     return rows.agg(F.avg(value).alias("observed")).crossJoin(replicates(rows, value, draws, name).agg(*interpolated_interval()))
 
 
-def sign_flip(rows: DataFrame, key: str, delta: str, draws: int = GATE_DRAWS, name: str = "flip") -> DataFrame:
-    """p = (c + 1) / (draws + 1) for means of randomly signed differences at least as far from 0 as the observed one. Zero differences have no sign to flip and are left out of the draws."""
-    seen = rows.agg(F.avg(delta).alias("observed"), F.count("*").alias("n"))
-    flips = rows.where(F.col(delta) != 0).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    signed = F.when(uniform(name, F.col("rep"), F.col(key)) < 0.5, F.col(delta)).otherwise(-F.col(delta)).cast("double")
-    sums = flips.groupBy("rep").agg(F.sum(signed).alias("total"))
-    found = rows.sparkSession.range(draws).withColumnRenamed("id", "rep").join(sums, "rep", "left").crossJoin(seen)
-    far = F.abs(F.coalesce("total", F.lit(0.0)) / F.col("n")) >= F.abs("observed") - 1e-15
-    return found.groupBy("observed").agg(((F.count_if(far) + 1) / F.lit(draws + 1.0)).alias("p"))
+def sign_flip(rows: DataFrame, delta: str, draws: int = GATE_DRAWS, name: str = "flip") -> DataFrame:
+    """p = (c + 1) / (draws + 1) for means of randomly signed differences at least as far from 0 as the observed one. Of the differences of one size a binomial number turns positive."""
+    counts: dict[float, int] = {}
+    every, total = 0, 0.0
+    for v, c in value_counts(rows, delta):
+        counts[abs(v)] = counts.get(abs(v), 0) + c
+        every, total = every + c, total + v * c
+    reps = rows.sparkSession.range(draws).select(F.col("id").alias("rep"), F.lit(0.0).alias("total"))
+    for step, (size, c) in enumerate(sorted((v, c) for v, c in counts.items() if v)):
+        reps = binomial(reps.withColumn("m", F.lit(c).cast("long")), name, step, 0.5).select("rep", (F.col("total") + (2 * F.col("k") - F.lit(c)) * F.lit(size)).alias("total"))
+    observed = total / every if every else None
+    far = F.abs(F.col("total") / F.lit(float(every or 1))) >= F.lit(abs(observed or 0.0) - 1e-15)
+    return reps.agg(F.lit(observed).cast("double").alias("observed"), ((F.count_if(far) + 1) / F.lit(draws + 1.0)).alias("p"))

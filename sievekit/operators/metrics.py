@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.functions.ranks import hit_at
+
 
 def rate(condition: Column) -> Column:
     """The share of rows for which a condition holds; null counts as no."""
@@ -78,3 +82,15 @@ def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key: the one with the largest order."""
     names = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("x")).select(key, "x.*")
+
+
+def run_method(method: str, queries: DataFrame, retrieve: Callable[[DataFrame, int], DataFrame], k: int = 10) -> DataFrame:
+    """queries query_id, query, target_id; retrieve(queries, k) -> query_id, doc_id, rank (any retriever). One row a query: method, query_id, query, target_id, retrieved_ids in rank order, hit_1, hit_k."""
+    lists = retrieve(queries.select("query_id", "query"), k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved_ids"))
+    rows = queries.select("query_id", "query", "target_id").join(lists, "query_id", "left")
+    return rows.select(F.lit(method).alias("method"), "query_id", "query", "target_id", F.coalesce("retrieved_ids", F.slice(F.array("target_id"), 1, 0)).alias("retrieved_ids")).withColumns({f"hit_{n}": hit_at(F.col("retrieved_ids"), F.col("target_id"), d) for n, d in (("1", 1), ("k", k))})
+
+
+def summary(detailed: DataFrame, k: int = 10) -> DataFrame:
+    """method, n_queries, recall_1, recall_<k> of run_method()'s rows."""
+    return detailed.groupBy("method").agg(F.count("*").alias("n_queries"), F.avg(F.col("hit_1").cast("double")).alias("recall_1"), F.avg(F.col("hit_k").cast("double")).alias(f"recall_{k}"))

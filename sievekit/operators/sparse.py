@@ -1,4 +1,4 @@
-"""BM25 over an inverted table of postings."""
+"""BM25. Statistics of terms are aggregated over all documents; scoring deals documents, not terms, to tasks, so a common term is no hot key."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.text import tokens
+from sievekit.operators.blocks import first_k, id_ranks, ranked, streamed
 
 #: The defaults of the public Okapi implementation that results have to match.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BLOCK_ROWS = 16_384
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -22,35 +24,80 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def term_weights(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, df: counted in the map tasks before the shuffle, which moves a row a term and task."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_weights(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf: negative idf is replaced by EPSILON times the mean idf of all terms."""
-    counted = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
+    counted = frequencies.crossJoin(F.broadcast(stats))  # stats is one row
     raw = counted.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of documents that share a term with the query. Query terms that repeat count again.
-
-    Postings meet only the query's terms: the join on terms keeps postings out that no query asks for before they are shuffled.
-    """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    stats, posted = corpus_stats(docs), postings(docs)
-    weighted = asked.join(term_weights(posted, stats), "term")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.join(posted, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def ranked(scores: DataFrame, k: int, key: str = "query_id", item: str = "doc_id") -> DataFrame:
-    """The k best of each key by rounded score, ties to the smaller item; adds rank."""
-    order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), item)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _index(k: int, avgdl: float):
+    """A block's inverted table: postings sorted by term, each with its part of the score."""
+
+    def build(block):
+        import numpy as np
+        import pyarrow as pa
+
+        listed = block["terms"].combine_chunks()
+        n = len(listed)
+        sizes = np.diff(listed.offsets.to_numpy())
+        coded = listed.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        place = dict(zip(words, range(len(words))))
+        keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+        terms, docs = keys // n, keys % n
+        starts = np.searchsorted(terms, np.arange(len(place) + 1))
+        parts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / avgdl))
+        ids = id_ranks(block["doc_id"].combine_chunks())
+
+        def answer(asked):
+            at, found, scores = [], [], []
+            for j, (terms_asked, weights) in enumerate(zip(asked["terms"].to_pylist(), asked["weights"].to_pylist())):
+                total, met = np.zeros(n), np.zeros(n, dtype=bool)
+                for word, weight in zip(terms_asked, weights):
+                    if (t := place.get(word)) is not None:
+                        own = docs[starts[t] : starts[t + 1]]
+                        total[own] += weight * parts[starts[t] : starts[t + 1]]
+                        met[own] = True
+                rows = np.flatnonzero(met)
+                best = rows[first_k(total[rows], ids[rows], k)]
+                at += [j] * len(best)
+                found += best.tolist()
+                scores += total[best].tolist()
+            return pa.array(at, pa.int64()), pa.array(found, pa.int64()), scores
+
+        return answer
+
+    return build
+
+
+class Index:
+    """What scoring needs of a corpus, computed once for any number of query sets: the statistics of terms, kept, and the number of documents and their mean length."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        self.n_docs, self.avgdl = corpus_stats(docs).first()
+        self.weights = term_weights(document_frequencies(docs), corpus_stats(docs)).persist()
+
+    def matched(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, doc_id, score, rank: the k best documents that share a term with the query. Query terms that repeat count again."""
+        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+        weighted = asked.join(self.weights, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("qf") * F.col("idf")).alias("w")))).alias("x"))
+        lists = weighted.select("query_id", F.col("x.term").alias("terms"), F.col("x.w").alias("weights"))
+        held = self.docs.select("doc_id", tokens(F.col("text")).alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
+        found = streamed(held, lists, self.n_docs, BLOCK_ROWS, _index(k, float(self.avgdl or 1.0)), ["terms", "weights"])
+        return ranked(found, k)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank: k rows a query; where fewer documents match, those without a score follow by id with score 0."""
-    best = ranked(bm25_scores(docs, queries), k).persist()  # at most k rows a query, read for the lists and for what they lack
+    best = Index(docs).matched(queries, k).persist()  # at most k rows a query, read for the lists and for what they lack
     found = best.groupBy("query_id").agg(F.count("*").alias("found"), F.collect_list("doc_id").alias("ids"))
     short = queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).where(F.col("found") < k)
     # the k smallest ids (2k, as up to k of them may have matched) are enough to fill from

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.ranks import tolerance
@@ -52,18 +52,19 @@ def reconciled(told: DataFrame, found: DataFrame, keys: list[str], value: str, m
 
 
 def unchanged(source: DataFrame, labelled: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """A failure for each source field that differs, compared as text."""
-    a = source.select(key, *[F.col(f).cast("string").alias(f"a_{f}") for f in fields])
-    b = labelled.select(key, *[F.col(f).cast("string").alias(f"b_{f}") for f in fields])
-    differs = F.explode(F.filter(F.array(*[F.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull()))
-    return failed(a.join(b, key).select(key, differs.alias("field")), "unchanged", F.col(key), F.col("field"))
+    """A failure for each source field that differs, compared as text, and for each row that only one side has."""
+    side = lambda rows, name: rows.select(key, F.lit(True).alias(name), *[F.col(f).cast("string").alias(f"{name}_{f}") for f in fields])
+    both = side(source, "a").join(side(labelled, "b"), key, "full_outer")
+    differs = F.filter(F.array(*[F.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    what = F.when(F.col("b").isNull(), F.array(F.lit("row gone"))).when(F.col("a").isNull(), F.array(F.lit("row new"))).otherwise(differs)
+    return failed(both.select(key, F.explode(what).alias("field")), "unchanged", F.col(key), F.col("field"))
 
 
 def gate_meta(rows: DataFrame, key: str) -> DataFrame:
-    """Expanded rows need traces, paraphrases, several lists and calls; others must have none."""
+    """Expanded rows need traces, paraphrases, several lists and calls; others must have none. A count that is missing is a failure."""
     full = (F.col("n_traces") >= 1) & (F.col("n_paraphrases") >= 1) & (F.col("n_lists") > 1) & (F.col("calls") >= 1)
     none = (F.col("n_traces") == 0) & (F.col("n_paraphrases") == 0) & (F.col("n_lists") <= 1) & (F.col("calls") == 0)
-    return failed(rows.where(~F.when(F.col("expanded"), full).otherwise(none)), "meta", F.col(key), F.col("expanded"))
+    return failed(rows.where(~F.coalesce(F.when(F.col("expanded"), full).otherwise(none), F.lit(False))), "meta", F.col(key), F.col("expanded"))
 
 
 def phrases(docs: DataFrame, key: str, text: str, needed: list[str], banned: list[str]) -> DataFrame:
@@ -101,6 +102,42 @@ def complete(rows: DataFrame, group: str, size: int, groups: list[int]) -> DataF
     return failed(expected.join(counts, group, "left").where(F.coalesce("n", F.lit(0)) != size), "complete", F.col(group), F.coalesce("n", F.lit(0)))
 
 
+def forbidden(rows: DataFrame, key: str, json: str, fields: list[str]) -> DataFrame:
+    """A failure for each field that a JSON object must not have, be its value null or not."""
+    names = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    return failed(rows.select(key, F.explode(F.array_intersect(F.array(*map(F.lit, fields)), names)).alias("field")), "forbidden", F.col(key), F.col("field"))
+
+
+def rendered(rows: DataFrame, key: str, line: Column, document: DataFrame, text: str) -> DataFrame:
+    """A failure for each row whose rendered line is not a line of the document (rows of a text column, cut at line ends; white space at the ends does not count)."""
+    lines = document.select(F.explode(F.split(text, "\n")).alias("l")).select(F.trim("l").alias("__line")).distinct()
+    told = rows.select(key, F.trim(line).alias("__told"))
+    return failed(told.join(lines, F.col("__told") == F.col("__line"), "left_anti"), "table", F.col(key), F.col("__told"))
+
+
+def same_files(told: DataFrame, found: DataFrame) -> DataFrame:
+    """Manifests path, bytes, sha256: a failure for each file that is gone, unlisted, or of another size or content."""
+    side = lambda rows, n: rows.select("path", F.col("bytes").alias(f"{n}_bytes"), F.col("sha256").alias(f"{n}_sha256"))
+    both = side(told, "told").join(side(found, "found"), "path", "full_outer")
+    what = F.when(F.col("found_sha256").isNull(), "gone").when(F.col("told_sha256").isNull(), "unlisted").when(F.col("told_bytes") != F.col("found_bytes"), "size").when(F.col("told_sha256") != F.col("found_sha256"), "sha256")
+    return failed(both.withColumn("what", what).where(F.col("what").isNotNull()), "manifest", F.col("path"), F.col("what"))
+
+
+def provenance(inventory: DataFrame, produced: DataFrame, sources: DataFrame) -> DataFrame:
+    """inventory: table, source (one row a pair); produced: table; sources: source. A failure for each table without an entry, entry without its table, and source that does not exist."""
+    entries = inventory.select("table").distinct()
+    untold = failed(produced.select("table").distinct().join(entries, "table", "left_anti"), "provenance", F.col("table"), F.lit("no entry"))
+    unmade = failed(entries.join(produced.select("table").distinct(), "table", "left_anti"), "provenance", F.col("table"), F.lit("no table"))
+    missing = inventory.join(sources.select("source").distinct(), "source", "left_anti")
+    return untold.unionByName(unmade).unionByName(failed(missing, "provenance", F.col("table"), F.concat(F.lit("no source "), F.col("source"))))
+
+
+def scanned_files(files: DataFrame, pattern: str, excluded: list[str]) -> DataFrame:
+    """files path, line, value (numbered lines): a failure for each line that the pattern is found in, but for files whose name is excluded."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return failed(files.where(F.col("value").rlike(pattern) & ~name.isin(*excluded)), "scan", F.concat_ws(":", name, "line"), F.lit(pattern))
+
+
 def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
@@ -108,3 +145,18 @@ def report(*checks: DataFrame) -> DataFrame:
 def rolled_up(checks: DataFrame) -> DataFrame:
     """check, severity -> failures."""
     return checks.groupBy("check", "severity").agg(F.count("*").alias("n"))
+
+
+def readiness(checks: DataFrame, required: dict[str, bool], evidence: int = 5) -> DataFrame:
+    """name, status (pass or fail), required, evidence (the first keys that failed, in their order), blocking: a line for each named check, whether it has failures or not. Warnings fail no check."""
+    failures = checks.where("severity = 'failure'").select(F.col("check").alias("name"), "key")
+    first = failures.distinct().withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("key"))).where(F.col("k") <= evidence)
+    bad = first.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("evidence"))
+    listed = checks.sparkSession.createDataFrame(list(required.items()), "name string, required boolean")
+    status = F.when(F.col("evidence").isNotNull(), "fail").otherwise("pass")
+    return listed.join(bad, "name", "left").select("name", status.alias("status"), "required", F.coalesce("evidence", F.lit("")).alias("evidence"), (F.col("required") & (status == "fail")).alias("blocking"))
+
+
+def exit_status(checks: DataFrame) -> int:
+    """1 if any check failed, else 0: what a verifier's process returns."""
+    return int(not checks.where("severity = 'failure'").isEmpty())

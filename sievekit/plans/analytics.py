@@ -141,96 +141,76 @@ def agg_max_depth(spark, sf_dir):
     return lists.groupBy("seed").agg(F.max(F.size("ids")).alias("depth"))
 
 
-# resampling: 60 draws, so that the SQL stays cheap
-DRAWS = 60
-
-
+# resampling, at the replicate counts of the operators
 def deltas(spark, sf_dir):
     return pairs(spark, sf_dir).select("query_id", F.col("hit_b").cast("int").alias("hit"), (F.col("hit_b").cast("int") - F.col("hit_a").cast("int")).alias("delta"))
 
 
-def boot_sql(value: str, name: str, draws: int = DRAWS) -> str:
-    place = h(f"'{name}'", "rep", "i") + " % n"
-    return f"""{PAIRS}, src AS (SELECT CAST({value} AS DOUBLE) AS v FROM pairs), n AS (SELECT count(*) AS n FROM src),
-vt AS (SELECT v, sum(count(*)) OVER (ORDER BY v) - count(*) AS low, sum(count(*)) OVER (ORDER BY v) AS high FROM src GROUP BY v),
-dr AS (SELECT rep, {place} AS place FROM range({draws}) r(rep), n, LATERAL (SELECT unnest(range(n.n)) AS i)),
-means AS (SELECT rep, avg(v) AS mean FROM dr JOIN vt ON place >= low AND place < high GROUP BY rep), ob AS (SELECT avg(v) AS observed FROM src)"""
-
-
-HIT, DELTA = "hit_b", "CAST(hit_b AS INTEGER) - CAST(hit_a AS INTEGER)"
-NEAR = f"(SELECT mean FROM (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS k FROM means) WHERE k = {int(0.025 * DRAWS) + 1}) AS low, (SELECT mean FROM (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS k FROM means) WHERE k = {min(DRAWS, int(0.975 * DRAWS) + 1)}) AS high"
-INTER = "(SELECT quantile_cont(mean, 0.025) FROM means) AS low, (SELECT quantile_cont(mean, 0.975) FROM means) AS high"
-R6 = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
-
-
-@query("boot_ci", f"WITH {boot_sql(HIT, 'boot')} SELECT {R6('observed low high')} FROM (SELECT observed, {NEAR} FROM ob)")
-def boot_ci(spark, sf_dir):
-    return rounded(inference.interval_nearest(deltas(spark, sf_dir), "hit", DRAWS), "observed", "low", "high")
-
-
-@query("boot_pair_two_sided", f"WITH {boot_sql(DELTA, 'pair06')} SELECT {R6('observed low high p')} FROM (SELECT observed, {NEAR}, (SELECT least(1, 2 * least(avg(CAST(mean <= 0 AS INTEGER)), avg(CAST(mean >= 0 AS INTEGER)))) FROM means) AS p FROM ob)")
-def boot_pair_two_sided(spark, sf_dir):
-    return rounded(inference.paired_two_sided(deltas(spark, sf_dir), "delta", DRAWS), "observed", "low", "high", "p")
-
-
-@query("boot_pair_one_sided", f"WITH {boot_sql(DELTA, 'pair11')} SELECT {R6('observed low high p')} FROM (SELECT observed, {INTER}, CASE WHEN observed >= 0 THEN (SELECT avg(CAST(mean <= 0 AS INTEGER)) FROM means) ELSE (SELECT avg(CAST(mean >= 0 AS INTEGER)) FROM means) END AS p FROM ob)")
-def boot_pair_one_sided(spark, sf_dir):
-    return rounded(inference.paired_one_sided(deltas(spark, sf_dir), "delta", DRAWS), "observed", "low", "high", "p")
+LF = "(0.9189385332046727::DOUBLE + (({0}) + 0.5::DOUBLE) * ln(({0}) + 7.5::DOUBLE) - (({0}) + 7.5::DOUBLE) + ln(" + repr(inference.LANCZOS[0]) + "::DOUBLE" + "".join(f" + {c!r}::DOUBLE / (({{0}}) + {k}::DOUBLE)" for k, c in enumerate(inference.LANCZOS[1:], 1)) + "))"
 
 
-@query("boot_ci_interpolated", f"WITH {boot_sql(DELTA, 'ci28')} SELECT {R6('observed low high')} FROM (SELECT observed, {INTER} FROM ob)")
-def boot_ci_interpolated(spark, sf_dir):
-    return rounded(inference.interval_interpolated(deltas(spark, sf_dir), "delta", DRAWS), "observed", "low", "high")
+def binomial_sql(name: str, reps: str, share: str, draw: str, step: int) -> str:
+    """CTEs to {name}: rep, m, k, total for the CTE reps (rep, m, total), where share is the one value of a scalar query between 0 and 1."""
+    lf = lambda x: LF.format(f"CAST({x} AS DOUBLE)")
+    return f"""{name}_p AS (SELECT DISTINCT m, {share} AS p FROM {reps}),
+{name}_w AS (SELECT m, p, CAST(greatest(floor(m * p - {inference.REACH} * (sqrt(m * p * (1 - p)) + 1)), 0) AS BIGINT) AS lo, CAST(least(ceil(m * p + {inference.REACH} * (sqrt(m * p * (1 - p)) + 1)), m) AS BIGINT) AS hi FROM {name}_p),
+{name}_k AS (SELECT m, p, hi, unnest(range(lo, hi + 1)) AS k FROM {name}_w),
+{name}_c AS (SELECT m, k, hi, sum(exp({lf('m')} - {lf('k')} - {lf('m - k')} + k * ln(p) + (m - k) * ln(1 - p))) OVER (PARTITION BY m ORDER BY k) AS upto FROM {name}_k),
+{name}_e AS (SELECT m, k, CASE WHEN k = hi THEN 2 ELSE upto END AS fin FROM {name}_c),
+{name}_i AS (SELECT m, k, fin, lag(fin, 1, -1) OVER (PARTITION BY m ORDER BY k) AS start FROM {name}_e),
+{name}_u AS (SELECT rep, m, total, {h(f"'{draw}'", 'rep', str(step))} / 4503599627370496::DOUBLE AS u FROM {reps}),
+{name} AS (SELECT rep, m, total, k FROM {name}_u JOIN {name}_i USING (m) WHERE u >= start AND u < fin)"""
 
 
-@query("ci_excludes_zero", f"WITH {boot_sql(DELTA, 'ci28')} SELECT low > 0 OR high < 0 AS excludes_zero FROM (SELECT {INTER})")
-def ci_excludes_zero(spark, sf_dir):
-    return inference.interval_interpolated(deltas(spark, sf_dir), "delta", DRAWS).select(((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
+def boot_sql(value: str, name: str, draws: int) -> str:
+    """Means of resamples of values of -1, 0 and 1: how many are the least value, then how many of the rest the next one. A value that no row has is drawn with a chance of 0."""
+    return f"""{PAIRS}, src AS (SELECT CAST({value} AS DOUBLE) AS v FROM pairs), ct AS (SELECT v, count(*) AS c, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS vs FROM src GROUP BY v), n AS (SELECT count(*) AS n FROM src),
+r0 AS (SELECT rep, n AS m, 0::DOUBLE AS total FROM range({draws}) r(rep), n), {binomial_sql('b0', 'r0', "(SELECT max(c) FILTER (i = 0) / max(n)::DOUBLE FROM ct, n)", name, 0)},
+r1 AS (SELECT rep, m - k AS m, total + k * (SELECT v FROM ct WHERE i = 0) AS total FROM b0), {binomial_sql('b1', '(SELECT * FROM r1 WHERE (SELECT max(vs) FROM ct) > 2)', "(SELECT max(c) FILTER (i = 1) / (max(n) - max(c) FILTER (i = 0))::DOUBLE FROM ct, n)", name, 1)},
+r2 AS (SELECT rep, m - k AS m, total + k * (SELECT v FROM ct WHERE i = 1) AS total FROM b1 UNION ALL SELECT rep, m, total FROM r1 WHERE (SELECT max(vs) FROM ct) <= 2),
+means AS (SELECT rep, (total + m * (SELECT max(v) FROM ct)) / (SELECT n FROM n) AS mean FROM r2), ob AS (SELECT avg(v) AS observed FROM src)"""
 
 
-@query("sign_flip", f"""WITH {PAIRS}, src AS (SELECT query_id, {DELTA} AS v FROM pairs), ob AS (SELECT avg(v) AS observed, count(*) AS n FROM src),
-fl AS (SELECT rep, sum(CASE WHEN {h("'flip'", 'rep', 'query_id')} / 4503599627370496::DOUBLE < 0.5::DOUBLE THEN v ELSE -v END) AS total FROM src, range({DRAWS}) r(rep) WHERE v <> 0 GROUP BY rep)
-SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs(coalesce(total, 0) / n::DOUBLE) >= abs(observed) - 1e-15) + 1) / {DRAWS + 1}::DOUBLE, 6) AS p FROM range({DRAWS}) r(rep) LEFT JOIN fl USING (rep), ob GROUP BY observed""")
-def sign_flip(spark, sf_dir):
-    return rounded(inference.sign_flip(deltas(spark, sf_dir), "query_id", "delta", DRAWS), "observed", "p")
+HIT, DELTA = "CAST(hit_b AS INTEGER)", "CAST(hit_b AS INTEGER) - CAST(hit_a AS INTEGER)"
+INTER = "(SELECT quantile_cont(mean, 0.025) FROM means) AS low, (SELECT quantile_cont(mean, 0.975) FROM means) AS high"
+R6 = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
 
 
-# the same at the reference's replicate counts: the operators' defaults
 def near_sql(draws: int) -> str:
     place = lambda k: f"(SELECT mean FROM (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS k FROM means) WHERE k = {k})"
     return f"{place(int(0.025 * draws) + 1)} AS low, {place(min(draws, int(0.975 * draws) + 1))} AS high"
 
 
-@query("boot_ci_full", f"WITH {boot_sql(HIT, 'boot', inference.CI_DRAWS)} SELECT {R6('observed low high')} FROM (SELECT observed, {near_sql(inference.CI_DRAWS)} FROM ob)")
-def boot_ci_full(spark, sf_dir):
+@query("boot_ci", f"WITH {boot_sql(HIT, 'boot', inference.CI_DRAWS)} SELECT {R6('observed low high')} FROM (SELECT observed, {near_sql(inference.CI_DRAWS)} FROM ob)")
+def boot_ci(spark, sf_dir):
     return rounded(inference.interval_nearest(deltas(spark, sf_dir), "hit"), "observed", "low", "high")
 
 
-@query("boot_pair_two_sided_full", f"WITH {boot_sql(DELTA, 'pair06', inference.PAIR_DRAWS)} SELECT {R6('observed low high p')} FROM (SELECT observed, {near_sql(inference.PAIR_DRAWS)}, (SELECT least(1, 2 * least(avg(CAST(mean <= 0 AS INTEGER)), avg(CAST(mean >= 0 AS INTEGER)))) FROM means) AS p FROM ob)")
-def boot_pair_two_sided_full(spark, sf_dir):
+@query("boot_pair_two_sided", f"WITH {boot_sql(DELTA, 'pair06', inference.PAIR_DRAWS)} SELECT {R6('observed low high p')} FROM (SELECT observed, {near_sql(inference.PAIR_DRAWS)}, (SELECT least(1, 2 * least(avg(CAST(mean <= 0 AS INTEGER)), avg(CAST(mean >= 0 AS INTEGER)))) FROM means) AS p FROM ob)")
+def boot_pair_two_sided(spark, sf_dir):
     return rounded(inference.paired_two_sided(deltas(spark, sf_dir), "delta"), "observed", "low", "high", "p")
 
 
-@query("boot_pair_one_sided_full", f"WITH {boot_sql(DELTA, 'pair11', inference.PAIR_DRAWS)} SELECT {R6('observed low high p')} FROM (SELECT observed, {INTER}, CASE WHEN observed >= 0 THEN (SELECT avg(CAST(mean <= 0 AS INTEGER)) FROM means) ELSE (SELECT avg(CAST(mean >= 0 AS INTEGER)) FROM means) END AS p FROM ob)")
-def boot_pair_one_sided_full(spark, sf_dir):
+@query("boot_pair_one_sided", f"WITH {boot_sql(DELTA, 'pair11', inference.PAIR_DRAWS)} SELECT {R6('observed low high p')} FROM (SELECT observed, {INTER}, CASE WHEN observed >= 0 THEN (SELECT avg(CAST(mean <= 0 AS INTEGER)) FROM means) ELSE (SELECT avg(CAST(mean >= 0 AS INTEGER)) FROM means) END AS p FROM ob)")
+def boot_pair_one_sided(spark, sf_dir):
     return rounded(inference.paired_one_sided(deltas(spark, sf_dir), "delta"), "observed", "low", "high", "p")
 
 
-@query("boot_ci_interpolated_full", f"WITH {boot_sql(DELTA, 'ci28', inference.GATE_DRAWS)} SELECT {R6('observed low high')} FROM (SELECT observed, {INTER} FROM ob)")
-def boot_ci_interpolated_full(spark, sf_dir):
+@query("boot_ci_interpolated", f"WITH {boot_sql(DELTA, 'ci28', inference.GATE_DRAWS)} SELECT {R6('observed low high')} FROM (SELECT observed, {INTER} FROM ob)")
+def boot_ci_interpolated(spark, sf_dir):
     return rounded(inference.interval_interpolated(deltas(spark, sf_dir), "delta"), "observed", "low", "high")
 
 
-@query("ci_excludes_zero_full", f"WITH {boot_sql(DELTA, 'ci28', inference.GATE_DRAWS)} SELECT low > 0 OR high < 0 AS excludes_zero FROM (SELECT {INTER})")
-def ci_excludes_zero_full(spark, sf_dir):
+@query("ci_excludes_zero", f"WITH {boot_sql(DELTA, 'ci28', inference.GATE_DRAWS)} SELECT low > 0 OR high < 0 AS excludes_zero FROM (SELECT {INTER})")
+def ci_excludes_zero(spark, sf_dir):
     return inference.interval_interpolated(deltas(spark, sf_dir), "delta").select(((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 
 
-@query("sign_flip_full", f"""WITH {PAIRS}, src AS (SELECT query_id, {DELTA} AS v FROM pairs), ob AS (SELECT avg(v) AS observed, count(*) AS n FROM src),
-fl AS (SELECT rep, sum(CASE WHEN {h("'flip'", 'rep', 'query_id')} / 4503599627370496::DOUBLE < 0.5::DOUBLE THEN v ELSE -v END) AS total FROM src, range({inference.GATE_DRAWS}) r(rep) WHERE v <> 0 GROUP BY rep)
-SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs(coalesce(total, 0) / n::DOUBLE) >= abs(observed) - 1e-15) + 1) / {inference.GATE_DRAWS + 1}::DOUBLE, 6) AS p FROM range({inference.GATE_DRAWS}) r(rep) LEFT JOIN fl USING (rep), ob GROUP BY observed""")
-def sign_flip_full(spark, sf_dir):
-    return rounded(inference.sign_flip(deltas(spark, sf_dir), "query_id", "delta"), "observed", "p")
+@query("sign_flip", f"""WITH {PAIRS}, src AS (SELECT {DELTA} AS v FROM pairs), ob AS (SELECT avg(v) AS observed, count(*) AS n, count(*) FILTER (v <> 0) AS c FROM src),
+r0 AS (SELECT rep, c AS m, 0 AS total FROM range({inference.GATE_DRAWS}) r(rep), ob), {binomial_sql('b0', 'r0', "0.5::DOUBLE", 'flip', 0)}
+SELECT round(observed, 6) AS observed, round((count(*) FILTER (abs((2 * k - m) / n::DOUBLE) >= abs(observed) - 1e-15) + 1) / {inference.GATE_DRAWS + 1}::DOUBLE, 6) AS p FROM b0, ob GROUP BY observed""")
+def sign_flip(spark, sf_dir):
+    return rounded(inference.sign_flip(deltas(spark, sf_dir), "delta"), "observed", "p")
 
 
 @query("percentiles", f"WITH {PAIRS} SELECT seed, round(quantile_cont(top1, 0.025), 6) AS p025, round(quantile_cont(top1, 0.5), 6) AS p50, round(quantile_cont(top1, 0.975), 6) AS p975 FROM pairs GROUP BY 1")
@@ -392,11 +372,11 @@ def first_n_per_label(spark, sf_dir):
     return labelled.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("query_id"))).where("k <= 2").select("label", "query_id")
 
 
-A, B = "SELECT doc_id FROM documents WHERE doc_id % 3 = 0", "SELECT doc_id FROM labels"
+A, B = "SELECT doc_id FROM documents", "SELECT doc_id FROM labels"
 
 
 def two_sets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
 
 
 @query("set_union", f"{A} UNION ALL {B}")
@@ -423,38 +403,6 @@ def set_symdiff(spark, sf_dir):
     return a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2))).groupBy("doc_id").agg(F.count_distinct("s").alias("n")).where("n = 1").select("doc_id")
 
 
-# the same over whole tables
-ALL = "SELECT doc_id FROM documents"
-
-
-def whole_sets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-
-
-@query("set_union_full", f"{ALL} UNION ALL {B}")
-def set_union_full(spark, sf_dir):
-    a, b = whole_sets(spark, sf_dir)
-    return a.unionByName(b)
-
-
-@query("set_intersect_full", f"{ALL} INTERSECT {B}")
-def set_intersect_full(spark, sf_dir):
-    a, b = whole_sets(spark, sf_dir)
-    return a.intersect(b)
-
-
-@query("set_except_full", f"{ALL} EXCEPT ALL {B}")
-def set_except_full(spark, sf_dir):
-    a, b = whole_sets(spark, sf_dir)
-    return a.exceptAll(b)
-
-
-@query("set_symdiff_full", f"({ALL} EXCEPT {B}) UNION ({B} EXCEPT {ALL})")
-def set_symdiff_full(spark, sf_dir):
-    a, b = whole_sets(spark, sf_dir)
-    return a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2))).groupBy("doc_id").agg(F.count_distinct("s").alias("n")).where("n = 1").select("doc_id")
-
-
 @query("set_distinct", "SELECT DISTINCT lang, source FROM documents")
 def set_distinct(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("lang", "source").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievekit.functions.ranks import tolerance
-from sievekit.functions.text import table_cell
+from sievekit.functions.text import percent, percent_range, signed_percent, table_cell
 from sievekit.operators import episodes, metrics, validate
 from sievekit.plans.analytics import AUDIT, RESULTS, audit, results
 from sievekit.plans.fixtures import KNOWN, PAIRS, d, draw, known_items, pairs, table
@@ -62,14 +62,8 @@ def join_case(spark, sf_dir):
     return rows.select("query_id", F.coalesce(table_cell(F.col("query")), "query_id").alias("query"), "hit_a", "hit_b")
 
 
-@query("join_semi", "SELECT count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("join_semi", "SELECT count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 def join_semi(spark, sf_dir):
-    known = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
-    return table(spark, sf_dir, "labels").join(known, "doc_id", "left_semi").agg(F.count("*").alias("n"))
-
-
-@query("join_semi_full", "SELECT count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
-def join_semi_full(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("n"))
 
 
@@ -176,10 +170,11 @@ def v_recon(spark, sf_dir):
     return validate.reconciled(*told_and_found(spark, sf_dir), ["seed"], "v")
 
 
-@query("v_immutable", sql("unchanged", "doc_id", "'source'", "FROM documents WHERE doc_id % 17 = 0"))
+@query("v_immutable", sql("unchanged", "doc_id", "CASE WHEN doc_id % 23 = 5 THEN 'row gone' ELSE 'source' END", "FROM documents WHERE doc_id % 17 = 0 OR doc_id % 23 = 5"))
 def v_immutable(spark, sf_dir):
     source = documents(spark, sf_dir).select("doc_id", "source")
-    return validate.unchanged(source, source.withColumn("source", F.when(F.col("doc_id") % 17 == 0, F.concat("source", F.lit("!"))).otherwise(F.col("source"))), "doc_id", ["source"])
+    labelled = source.withColumn("source", F.when(F.col("doc_id") % 17 == 0, F.concat("source", F.lit("!"))).otherwise(F.col("source"))).where("doc_id % 23 <> 5")
+    return validate.unchanged(source, labelled, "doc_id", ["source"])
 
 
 @query("v_blank", f"WITH {AUDIT} " + sql("blank", "doc_id", "'clear'", "FROM audit WHERE clear <> 'uncertain'"))
@@ -187,10 +182,10 @@ def v_blank(spark, sf_dir):
     return validate.blank(audit(spark, sf_dir).withColumn("clear", F.when(F.col("clear") == "uncertain", "  ").otherwise(F.col("clear"))), "doc_id", ["clear"])
 
 
-@query("v_meta", f"WITH {PAIRS} " + sql("meta", "doc_id", "expanded", f"FROM pairs WHERE {d('odd')} % 10 = 0"))
+@query("v_meta", f"WITH {PAIRS} " + sql("meta", "doc_id", "expanded", f"FROM pairs WHERE {d('odd')} % 10 = 0 OR doc_id % 29 = 7"))
 def v_meta(spark, sf_dir):
     odd, e = draw("odd") % 10 == 0, F.col("expanded")
-    rows = pairs(spark, sf_dir).select("doc_id", "expanded", F.when(e, 2).otherwise(0).alias("n_traces"), F.when(e, 2).otherwise(0).alias("n_paraphrases"), F.when(e, 7).otherwise(1).alias("n_lists"), F.when(odd, F.when(e, 0).otherwise(1)).otherwise(F.when(e, 3).otherwise(0)).alias("calls"))
+    rows = pairs(spark, sf_dir).select("doc_id", "expanded", F.when(e, 2).otherwise(0).alias("n_traces"), F.when(e, 2).otherwise(0).alias("n_paraphrases"), F.when(e, 7).otherwise(1).alias("n_lists"), F.when(F.col("doc_id") % 29 != 7, F.when(odd, F.when(e, 0).otherwise(1)).otherwise(F.when(e, 3).otherwise(0))).alias("calls"))
     return validate.gate_meta(rows, "doc_id")
 
 
@@ -221,6 +216,49 @@ def v_dim(spark, sf_dir):
     return validate.dimension(rows, "vec_id", "embedding", 64)
 
 
+@query("v_forbidden", sql("forbidden", "doc_id", "f", "FROM (SELECT doc_id, 'reward' AS f FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'success' FROM documents WHERE doc_id % 7 = 0)"))
+def v_forbidden(spark, sf_dir):
+    """Result fields in rows that must not have any, with and without a value."""
+    row = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ', "reward": null').otherwise(""), F.when(F.col("doc_id") % 7 == 0, ', "success": true').otherwise(""), F.lit("}"))
+    return validate.forbidden(documents(spark, sf_dir).select("doc_id", row.alias("row")), "doc_id", "row", ["reward", "success", "runtime_seconds"])
+
+
+@query("v_table", f"WITH {PAIRS}, r AS (SELECT seed, avg(CAST(hit_a AS INTEGER)) AS a, avg(CAST(hit_b AS INTEGER)) AS b FROM pairs GROUP BY 1) " + sql("table", "seed", "'seed ' || CAST(seed AS VARCHAR) || ' & ' || printf('%.1f', 100 * a) || ' & ' || printf('%+.1f', 100 * (b - a)) || ' ' || chr(92) || chr(92)", "FROM r WHERE seed IN (43, 47)"))
+def v_table(spark, sf_dir):
+    """Metrics as the rows of a rendered table show them; the table lacks one seed and shows another one wrong."""
+    found = pairs(spark, sf_dir).groupBy("seed").agg(metrics.rate(F.col("hit_a")).alias("a"), metrics.rate(F.col("hit_b")).alias("b"))
+    line = lambda a, b: F.concat(F.lit("seed "), F.col("seed").cast("string"), F.lit(" & "), percent(a), F.lit(" & "), signed_percent(b - a), F.lit(r" \\"))
+    shown = found.where("seed <> 43").withColumn("a", F.col("a") + F.when(F.col("seed") == 47, 0.01).otherwise(0.0)).select(line(F.col("a"), F.col("b")).alias("text"))
+    return validate.rendered(found, "seed", line(F.col("a"), F.col("b")), shown, "text")
+
+
+@query("v_provenance", """WITH i AS (SELECT DISTINCT source AS tab, lang AS src FROM documents WHERE source <> 'src4') SELECT 'provenance' AS "check", 'failure' AS severity, 'src4' AS key, 'no entry' AS detail
+UNION ALL SELECT 'provenance', 'failure', 'src6', 'no table' UNION ALL SELECT 'provenance', 'failure', tab, 'no source de' FROM i WHERE src = 'de'""")
+def v_provenance(spark, sf_dir):
+    """An inventory of sources as tables and languages as what they come from: one table unlisted, one not made, one source gone."""
+    d = documents(spark, sf_dir)
+    inventory = d.where("source <> 'src4'").select(F.col("source").alias("table"), F.col("lang").alias("source")).distinct()
+    return validate.provenance(inventory, d.where("source <> 'src6'").select(F.col("source").alias("table")), d.where("lang <> 'de'").select(F.col("lang").alias("source")))
+
+
+@query("percent_cells", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%.1f', 100 * (event_id % 64 / 64::DOUBLE)) END AS share, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%+.1f', 100 * (event_id % 64 / 64::DOUBLE - 0.25::DOUBLE)) END AS signed, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%.1f', 100 * (event_id % 64 / 64::DOUBLE)) || CASE WHEN event_id % 5 = 0 THEN '' ELSE ' $' || chr(92) || 'pm$ ' || printf('%.1f', 100 * (event_id % 9 / 16::DOUBLE)) END END AS spread FROM events WHERE event_id < 500")
+def percent_cells(spark, sf_dir):
+    x = F.when(F.col("event_id") % 6 != 0, F.col("event_id") % 64 / 64.0)
+    spread = F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 9 / 16.0)
+    rows = table(spark, sf_dir, "events").where("event_id < 500").select("event_id", x.alias("x"), spread.alias("s"))
+    return rows.select("event_id", percent("x").alias("share"), signed_percent(F.col("x") - 0.25).alias("signed"), percent_range(F.col("x"), F.col("s")).alias("spread"))
+
+
+@query("v_readiness", """WITH b AS (SELECT 'domain' AS name, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE lang NOT IN ('en', 'de', 'fr') UNION ALL SELECT 'reference', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+e AS (SELECT name, string_agg(key, ',' ORDER BY key) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY key) AS k FROM b) WHERE k <= 5 GROUP BY name)
+SELECT c.name, CASE WHEN e.name IS NULL THEN 'pass' ELSE 'fail' END AS status, c.required, coalesce(evidence, '') AS evidence, c.required AND e.name IS NOT NULL AS blocking FROM (VALUES ('domain', true), ('reference', false), ('unique', true), ('pattern', true)) c(name, required) LEFT JOIN e ON e.name = c.name""")
+def v_readiness(spark, sf_dir):
+    """The roll-up: required and optional checks with evidence, and whether they block; warnings do not."""
+    d = documents(spark, sf_dir)
+    checks = validate.report(v_domain(spark, sf_dir), v_refint(spark, sf_dir), validate.unique(d.select("doc_id"), ["doc_id"]), v_text(spark, sf_dir))
+    return validate.readiness(checks, {"domain": True, "reference": False, "unique": True, "pattern": True})
+
+
 @query("v_rollup", f"WITH {RESULTS} SELECT 'domain' AS \"check\", 'failure' AS severity, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'de', 'fr') HAVING count(*) > 0 UNION ALL SELECT 'reference', 'failure', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) HAVING count(*) > 0")
 def v_rollup(spark, sf_dir):
     return validate.rolled_up(validate.report(v_domain(spark, sf_dir), v_refint(spark, sf_dir)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where the session names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sievekit-")
+    return f"{base.rstrip('/')}/sievekit-{uuid.uuid4().hex}"
+
+
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query (words 5 to 16 of every tenth document, which is its target)."""
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 10 == 0)
+    """query_id, query (words 5 to 16 of every 20th document, which is its target; all documents are searched)."""
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 20 == 0)
     return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 5, 12), " ").alias("query"))
 
 
@@ -51,7 +60,7 @@ def tok(column: str) -> str:
     return TOK.format(column)
 
 
-KNOWN = f"kq AS (SELECT doc_id AS query_id, array_to_string(({tok('text')})[5:16], ' ') AS query FROM documents WHERE doc_id % 10 = 0)"
+KNOWN = f"kq AS (SELECT doc_id AS query_id, array_to_string(({tok('text')})[5:16], ' ') AS query FROM documents WHERE doc_id % 20 = 0)"
 PAIRS = f"""raw AS (SELECT doc_id, doc_id % 8 + 42 AS seed, printf('q_%07d', doc_id) AS query_id, CAST({d('d')} % 14 + 1 AS INTEGER) AS base,
   CASE WHEN {d('same')} % 3 = 0 THEN CAST({d('e')} % 14 + 1 AS INTEGER) ELSE CAST({d('d')} % 14 + 1 AS INTEGER) END AS "full", CAST({d('b')} % 40 + 1 AS INTEGER) AS sparse,
   ({d('t')} % 50000 + 40000) / CAST(100000 AS DOUBLE) AS top1, ({d('m')} % 2000) / CAST(20000 AS DOUBLE) AS margin, ({d('c')} % 7000 + 1000) / CAST(10000 AS DOUBLE) AS concentration, {d('a')} % 2 = 0 AS agrees FROM documents),

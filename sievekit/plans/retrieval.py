@@ -17,10 +17,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSTINGS = f"""tk AS (SELECT doc_id, {tok('text')} AS terms FROM documents),
-po AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM tk), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM po GROUP BY ALL),
-st AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avgdl FROM tk),
-rw AS (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM tf, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw)"""
+po AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM tk), tf AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM po GROUP BY ALL),
+st AS MATERIALIZED (SELECT count(*) AS n_docs, avg(len(terms)) AS avgdl FROM tk),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+rw AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, st), mn AS MATERIALIZED (SELECT avg(raw) AS mean FROM rw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM rw, mn)"""
 
 
 def bm25_sql(name: str, queries: str, depth: int) -> str:
@@ -50,7 +51,7 @@ def rrf_sql(name: str, lists: str, k: int) -> str:
 @query("bm25_build", f"WITH {POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_build(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return sparse.term_weights(sparse.postings(d), sparse.corpus_stats(d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse.term_weights(sparse.document_frequencies(d), sparse.corpus_stats(d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("corpus_stats", f"WITH tk AS (SELECT {tok('text')} AS terms FROM documents) SELECT count(*) AS n_docs, round(avg(len(terms)), 6) AS avgdl FROM tk")
@@ -81,15 +82,14 @@ def bm25_recall(spark, sf_dir):
 
 
 def mixed_queries(spark, sf_dir):
-    """Vectors of every 25th row, mixed with the next one's: 0.7 own + 0.3 next, normalised."""
+    """Vectors of every 20th row, mixed with the next one's: 0.7 own + 0.3 next, normalised; the own one where none follows."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    own = e.where(F.col("vec_id") % 25 == 0)
     follow = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    mixed = F.zip_with("embedding", "other", lambda a, b: a.cast("double") * 0.7 + b.cast("double") * 0.3)
-    return own.join(follow, "vec_id").select(F.col("vec_id").alias("query_id"), dense.unit(mixed).alias("vector"))
+    mixed = F.zip_with("embedding", F.coalesce("other", "embedding"), lambda a, b: a.cast("double") * 0.7 + b.cast("double") * 0.3)
+    return e.where(F.col("vec_id") % 20 == 0).join(follow, "vec_id", "left").select(F.col("vec_id").alias("query_id"), dense.unit(mixed).alias("vector"))
 
 
-MIXED = """mx AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * 0.7::DOUBLE + CAST(p[2] AS DOUBLE) * 0.3::DOUBLE) AS r FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 25 = 0),
+MIXED = """mx AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, coalesce(b.embedding, a.embedding)), lambda p: CAST(p[1] AS DOUBLE) * 0.7::DOUBLE + CAST(p[2] AS DOUBLE) * 0.3::DOUBLE) AS r FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
 vq AS (SELECT query_id, list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) AS v FROM mx), ev AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
 
@@ -108,30 +108,6 @@ def top1_score(spark, sf_dir):
     return dense.dense_topk(vector_rows(spark, sf_dir), mixed_queries(spark, sf_dir), 1).groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top1"))
 
 
-# the same for every 20th row, those without a successor included
-def all_mixed_queries(spark, sf_dir):
-    """Vectors of every 20th row, mixed with the next one's as in mixed_queries(); the own one where none follows."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    follow = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    mixed = F.zip_with("embedding", F.coalesce("other", "embedding"), lambda a, b: a.cast("double") * 0.7 + b.cast("double") * 0.3)
-    return e.where(F.col("vec_id") % 20 == 0).join(follow, "vec_id", "left").select(F.col("vec_id").alias("query_id"), dense.unit(mixed).alias("vector"))
-
-
-ALL_MIXED = """mx AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, coalesce(b.embedding, a.embedding)), lambda p: CAST(p[1] AS DOUBLE) * 0.7::DOUBLE + CAST(p[2] AS DOUBLE) * 0.3::DOUBLE) AS r FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
-vq AS (SELECT query_id, list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) AS v FROM mx), ev AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
-
-
-@query("dense_topk_full", f"WITH {ALL_MIXED}, {dense_sql('dn', 'vq', 'ev', 10)} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM dn")
-def dense_topk_full(spark, sf_dir):
-    found = dense.dense_topk(vector_rows(spark, sf_dir), all_mixed_queries(spark, sf_dir), 10)
-    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
-
-
-@query("top1_score_full", f"WITH {ALL_MIXED}, {dense_sql('dn', 'vq', 'ev', 1)} SELECT query_id, round(score, 6) AS top1 FROM dn")
-def top1_score_full(spark, sf_dir):
-    return dense.dense_topk(vector_rows(spark, sf_dir), all_mixed_queries(spark, sf_dir), 1).groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top1"))
-
-
 @query("dense_build", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS norm2 FROM embeddings")
 def dense_build(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"), F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm2"))
@@ -152,7 +128,8 @@ li AS (SELECT query_id, rank, doc_id FROM dn UNION ALL SELECT query_id, rank, do
 
 def both_lists(spark, sf_dir, depth):
     d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
-    return dense.dense_topk(dense.hashed_vectors(d), text_vectors(q), depth, d.count(), q.count()), sparse.ranked(sparse.bm25_scores(d, q), depth)
+    index = sparse.Index(d)
+    return dense.dense_topk(dense.hashed_vectors(d), text_vectors(q), depth, index.n_docs), index.matched(q, depth)
 
 
 @query("hybrid_rrf", f"WITH {HYBRID}, {rrf_sql('fu', 'li', 10)} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM fu")
@@ -171,7 +148,7 @@ def rrf(spark, sf_dir):
 
 def variants(spark, sf_dir):
     """query_id, kind, ord, text: two traces from the successor of the target, two paraphrases of the query."""
-    follow = docs(spark, sf_dir).where(F.col("doc_id") % 10 == 1).select((F.col("doc_id") - 1).alias("query_id"), tokens(F.col("text")).alias("w"))
+    follow = docs(spark, sf_dir).where(F.col("doc_id") % 20 == 1).select((F.col("doc_id") - 1).alias("query_id"), tokens(F.col("text")).alias("w"))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     traces = follow.select("query_id", F.explode(F.array(F.struct(F.lit(0).alias("ord"), part(5, 24).alias("text")), F.struct(F.lit(1).alias("ord"), part(17, 24).alias("text")))).alias("x")).select("query_id", F.lit("trace").alias("kind"), "x.ord", "x.text")
     words = known_items(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("w"))
@@ -181,7 +158,7 @@ def variants(spark, sf_dir):
     return traces.unionByName(phrases).where("text <> ''")
 
 
-VARIANTS = f"""sw AS (SELECT doc_id - 1 AS query_id, {tok('text')} AS w FROM documents WHERE doc_id % 10 = 1), qw AS (SELECT query_id, {tok('query')} AS w FROM kq),
+VARIANTS = f"""sw AS (SELECT doc_id - 1 AS query_id, {tok('text')} AS w FROM documents WHERE doc_id % 20 = 1), qw AS (SELECT query_id, {tok('query')} AS w FROM kq),
 va AS (SELECT * FROM (SELECT query_id, 'trace' AS kind, 0 AS ord, array_to_string(w[5:28], ' ') AS text FROM sw UNION ALL SELECT query_id, 'trace', 1, array_to_string(w[17:40], ' ') FROM sw
   UNION ALL SELECT query_id, 'paraphrase', 0, array_to_string(list_filter(w, lambda x, i: i % 2 = 0), ' ') FROM qw UNION ALL SELECT query_id, 'paraphrase', 1, array_to_string(list_reverse(w), ' ') FROM qw) WHERE text <> '')"""
 
@@ -202,25 +179,82 @@ li AS (SELECT query_id, rank, doc_id FROM dn JOIN ga USING (query_id) WHERE expa
 SELECT query_id, expanded, doc_id, CAST(rank AS INTEGER) AS rank FROM dn JOIN ga USING (query_id) WHERE NOT expanded AND rank <= 10 UNION ALL SELECT query_id, true, doc_id, CAST(rank AS INTEGER) FROM fu"""
 
 
+class Retriever:
+    """What all modes share: the corpus's vectors and index, and the original lists (2k rows a query, kept: gate, fallback and fusion read them)."""
+
+    def __init__(self, spark, sf_dir):
+        d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
+        self.index, self.vectors, self.variants = sparse.Index(d), dense.hashed_vectors(d).persist(), variants(spark, sf_dir)
+        self.original = self.dense(q, 20).persist()
+
+    def dense(self, queries, k):
+        return dense.dense_topk(self.vectors, text_vectors(queries), k, self.index.n_docs)
+
+    def run(self, mode):
+        return gate.gated_retrieval(self.original, self.variants, mode, self.dense, self.index.matched).select("query_id", "expanded", "doc_id", F.col("rank").cast("int").alias("rank"))
+
+
 def retrieved(spark, sf_dir, mode):
-    d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
-    vectors = dense.hashed_vectors(d)
-    # block counts need no exact numbers: a query has at most four variants
-    n, asked = d.count(), q.count()
-    original = dense.dense_topk(vectors, text_vectors(q), 20, n, asked).persist()  # 2k rows a query: gate, fallback and fusion read it
-    return gate.gated_retrieval(original, variants(spark, sf_dir), mode, lambda t, k: dense.dense_topk(vectors, text_vectors(t), k, n, 4 * asked), lambda t, k: sparse.ranked(sparse.bm25_scores(d, t), k)).select("query_id", "expanded", "doc_id", F.col("rank").cast("int").alias("rank"))
+    return Retriever(spark, sf_dir).run(mode)
 
 
 for _mode in gate.MODES:
     query(f"retrieve_{_mode}", mode_sql(_mode))(lambda spark, sf_dir, mode=_mode: retrieved(spark, sf_dir, mode))
 
 
+@query("run_method", f"""WITH {KNOWN}, {POSTINGS}, {bm25_sql('bm', 'kq', 10)}, p AS (SELECT kq.query_id, min(rank) FILTER (doc_id = kq.query_id) AS place FROM kq LEFT JOIN bm USING (query_id) GROUP BY 1)
+SELECT 'sparse' AS method, count(*) AS n_queries, round(avg(CAST(coalesce(place <= 1, false) AS INTEGER)), 6) AS recall_1, round(avg(CAST(coalesce(place <= 10, false) AS INTEGER)), 6) AS recall_10 FROM p""")
+def run_method(spark, sf_dir):
+    """The generic runner over a retrieval function, here BM25 without padding."""
+    q = known_items(spark, sf_dir).withColumn("target_id", F.col("query_id"))
+    detailed = metrics.run_method("sparse", q, sparse.Index(docs(spark, sf_dir)).matched, 10)
+    return metrics.summary(detailed, 10).select("method", "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_10")])
+
+
+SUITE = ("selective", "always", "dense")
+SEEDS = (42, 43)
+
+
+def suite_sql() -> str:
+    one = lambda mode: f"""SELECT '{mode}' AS mode, query_id, bool_or(expanded) AS expanded, min(rank) FILTER (doc_id = query_id) AS place FROM ({mode_sql(mode)}) GROUP BY query_id"""
+    return f"""WITH r AS ({' UNION ALL '.join(one(m) for m in SUITE)}) SELECT mode, query_id // 20 % {len(SEEDS)} + {SEEDS[0]} AS seed, count(*) AS n_queries, round(avg(CAST(coalesce(place <= 1, false) AS INTEGER)), 6) AS recall_1,
+  round(avg(CAST(coalesce(place <= 10, false) AS INTEGER)), 6) AS recall_10, round(avg(CAST(expanded AS INTEGER)), 6) AS expansion FROM r GROUP BY ALL"""
+
+
+@query("run_suite", suite_sql())
+def run_suite(spark, sf_dir):
+    """Modes x seeds over one index: queries carry the seed of their partition."""
+    shared = Retriever(spark, sf_dir)
+    rows = None
+    for mode in SUITE:
+        run = shared.run(mode).withColumn("mode", F.lit(mode))
+        rows = run if rows is None else rows.unionByName(run)
+    placed = rows.groupBy("mode", "query_id").agg(F.bool_or("expanded").alias("expanded"), F.min(F.when(F.col("doc_id") == F.col("query_id"), F.col("rank"))).alias("place"))
+    seeded = placed.withColumn("seed", F.floor(F.col("query_id") / 20) % len(SEEDS) + SEEDS[0])
+    hit = lambda k: F.round(F.avg(F.coalesce(F.col("place") <= k, F.lit(False)).cast("double")), 6)
+    return seeded.groupBy("mode", "seed").agg(F.count("*").alias("n_queries"), hit(1).alias("recall_1"), hit(10).alias("recall_10"), F.round(F.avg(F.col("expanded").cast("double")), 6).alias("expansion"))
+
+
 @query("gates", f"""WITH {PAIRS} SELECT doc_id, top1 < 0.65::DOUBLE AS selective, true AS always, false AS dense, {h(chr(39) + 'gate' + chr(39), '42', 'doc_id')} / 4503599627370496::DOUBLE < 0.46::DOUBLE AS random FROM pairs""")
 def gates(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", *[gate.expands(m, F.col("top1"), F.col("doc_id")).alias(m) for m in ("selective", "always", "dense", "random")])
 
 
-@query("expansion_cache_misses", f"WITH {KNOWN}, c AS (SELECT DISTINCT trim(query) AS key FROM kq WHERE query_id % 3 = 0) SELECT query_id FROM kq WHERE trim(query) NOT IN (SELECT key FROM c)")
+@query("expansion_cache_misses", f"WITH {KNOWN}, c AS (SELECT DISTINCT trim(query) AS key FROM kq WHERE query_id % 60 = 0) SELECT query_id FROM kq WHERE trim(query) NOT IN (SELECT key FROM c)")
 def expansion_cache_misses(spark, sf_dir):
     q = known_items(spark, sf_dir)
-    return gate.cache_misses(q, q.where("query_id % 3 = 0").select(gate.cache_key(F.col("query")).alias("query_key"))).select("query_id")
+    return gate.cache_misses(q, q.where("query_id % 60 = 0").select(gate.cache_key(F.col("query")).alias("query_key"))).select("query_id")
+
+
+@query("expansion_cache", f"""WITH {KNOWN}, {VARIANTS}, k AS (SELECT kq.query_id, trim(query) AS key FROM kq), v AS (SELECT key, kind, ord, text, k.query_id FROM va JOIN k USING (query_id)),
+a AS (SELECT DISTINCT key FROM k WHERE query_id % 60 = 0), f AS (SELECT key, min(query_id) AS query_id FROM k GROUP BY 1)
+SELECT k.query_id, CAST(count(v.text) AS INTEGER) AS n_texts, k.query_id IN (SELECT query_id FROM f) AND key NOT IN (SELECT key FROM a) AS asked FROM k LEFT JOIN f USING (key) LEFT JOIN v ON v.query_id = f.query_id GROUP BY 1, 3""")
+def expansion_cache(spark, sf_dir):
+    """A cache that two runs share: the first asks for every third query, the second finds these and writes back what it had to ask for."""
+    from sievekit.plans.fixtures import scratch
+
+    q, path = known_items(spark, sf_dir), scratch(spark)
+    generated = variants(spark, sf_dir)
+    gate.expanded(q.where("query_id % 60 = 0"), generated, path)
+    told = gate.expanded(q, generated, path)
+    return told.groupBy("query_id", "asked").agg(F.count("text").cast("int").alias("n_texts")).select("query_id", "n_texts", "asked")

@@ -101,26 +101,6 @@ def excerpt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.excerpt(F.col("text")).cast("binary")).alias("digest"))
 
 
-NAME = "left(text, 24)"
-
-
-@query("slug", f"SELECT doc_id, translate(lower({NAME}), '-+', '__') AS signs, translate(lower({NAME}), '-+ ', '___') AS words, trim(regexp_replace(trim({NAME}), '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe, replace(translate(lower({NAME}), '- ', '__'), '@', 'at') AS label FROM documents")
-def slug(spark, sf_dir):
-    name = F.left("text", F.lit(24))
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug_signs(name).alias("signs"), text.slug_words(name).alias("words"), text.slug_safe(name).alias("safe"), text.slug_label(name).alias("label"))
-
-
-@query("latex_escape", "SELECT doc_id, array_to_string(list_transform(string_split(left(text, 200), ''), lambda c: CASE WHEN c IN ('&', '%', '$', '#', '_', '{', '}') THEN '\\' || c WHEN c = '~' THEN '\\textasciitilde{}' WHEN c = '^' THEN '\\textasciicircum{}' WHEN c = '\\' THEN '\\textbackslash{}' ELSE c END), '') AS tex FROM documents")
-def latex_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.tex_escape(F.left("text", F.lit(200))).alias("tex"))
-
-
-@query("parse_numbered", "SELECT doc_id, array_to_string(list_transform(list_filter(string_split('1. ' || left(text, 40) || chr(10) || ' 2. lost' || chr(10) || '3. third', chr(10)), lambda x: regexp_matches(x, '^[0-9]')), lambda x: trim(CASE WHEN instr(x, '. ') > 0 THEN substr(x, instr(x, '. ') + 2) ELSE x END))[1:2], '|') AS items FROM documents")
-def parse_numbered(spark, sf_dir):
-    reply = F.concat(F.lit("1. "), F.left("text", F.lit(40)), F.lit("\n 2. lost\n3. third"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.numbered_items(reply, F.array().cast("array<string>"), 2), "|").alias("items"))
-
-
 @query("norm_label", "SELECT doc_id, lower(trim(coalesce(CASE WHEN doc_id % 3 = 0 THEN '  YES ' WHEN doc_id % 3 = 1 THEN 'No' END, ''))) AS label FROM documents")
 def norm_label(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 3 == 0, "  YES ").when(F.col("doc_id") % 3 == 1, "No")
@@ -160,43 +140,31 @@ def memory_sql(k: int, name: str, task: str, part: str) -> str:
     return f"chr(10) || '### Memory {k}: ' || {name} || chr(10) || 'Task ID: ' || {task} || chr(10) || {part} || chr(10)"
 
 
-@query("context_text", f"SELECT doc_id, regexp_replace('{text.PACKET_HEAD}' || {memory_sql(1, 'lang', 'doc_id', 'left(text, 30)')} || {memory_sql(2, 'source', chr(39) * 2, 'right(text, 30)')}, '^\\s+|\\s+$', '', 'g') AS context FROM documents")
-def context_text(spark, sf_dir):
-    memory = lambda name, task, part: F.struct(name.alias("episode_id"), task.cast("string").alias("task_id"), part.alias("formatted_text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.packet_text(F.array(memory(F.col("lang"), F.col("doc_id"), F.left("text", F.lit(30))), memory(F.col("source"), F.lit(None), F.right("text", F.lit(30))))).alias("context"))
-
-
-@query("query_template", "SELECT doc_id, coalesce(source, '') || chr(10) || chr(10) || coalesce(left(text, 50), '') AS query FROM documents")
-def query_template(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.fill_template("{repo}\n\n{problem_statement}", repo=F.col("source"), problem_statement=F.left("text", F.lit(50))).alias("query"))
-
-
-# the same over whole texts, and slugs of a column of names
-@query("slug_full", "SELECT p_partkey, translate(lower(p_name), '-+', '__') AS signs, translate(lower(p_name), '-+ ', '___') AS words, trim(regexp_replace(trim(p_name), '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe, replace(translate(lower(p_name), '- ', '__'), '@', 'at') AS label FROM part")
-def slug_full(spark, sf_dir):
+@query("slug", "SELECT p_partkey, translate(lower(p_name), '-+', '__') AS signs, translate(lower(p_name), '-+ ', '___') AS words, trim(regexp_replace(trim(p_name), '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe, replace(translate(lower(p_name), '- ', '__'), '@', 'at') AS label FROM part")
+def slug(spark, sf_dir):
     name = F.col("p_name")
     return table(spark, sf_dir, "part").select("p_partkey", text.slug_signs(name).alias("signs"), text.slug_words(name).alias("words"), text.slug_safe(name).alias("safe"), text.slug_label(name).alias("label"))
 
 
-@query("latex_escape_full", "SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c IN ('&', '%', '$', '#', '_', '{', '}') THEN '\\' || c WHEN c = '~' THEN '\\textasciitilde{}' WHEN c = '^' THEN '\\textasciicircum{}' WHEN c = '\\' THEN '\\textbackslash{}' ELSE c END), '') AS tex FROM documents")
-def latex_escape_full(spark, sf_dir):
+@query("latex_escape", "SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c IN ('&', '%', '$', '#', '_', '{', '}') THEN '\\' || c WHEN c = '~' THEN '\\textasciitilde{}' WHEN c = '^' THEN '\\textasciicircum{}' WHEN c = '\\' THEN '\\textbackslash{}' ELSE c END), '') AS tex FROM documents")
+def latex_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.tex_escape(F.col("text")).alias("tex"))
 
 
-@query("parse_numbered_full", "SELECT doc_id, array_to_string(list_transform(list_filter(string_split('1. ' || text || chr(10) || ' 2. lost' || chr(10) || '3. third', chr(10)), lambda x: regexp_matches(x, '^[0-9]')), lambda x: trim(CASE WHEN instr(x, '. ') > 0 THEN substr(x, instr(x, '. ') + 2) ELSE x END))[1:2], '|') AS items FROM documents")
-def parse_numbered_full(spark, sf_dir):
+@query("parse_numbered", "SELECT doc_id, array_to_string(list_transform(list_filter(string_split('1. ' || text || chr(10) || ' 2. lost' || chr(10) || '3. third', chr(10)), lambda x: regexp_matches(x, '^[0-9]')), lambda x: trim(CASE WHEN instr(x, '. ') > 0 THEN substr(x, instr(x, '. ') + 2) ELSE x END))[1:2], '|') AS items FROM documents")
+def parse_numbered(spark, sf_dir):
     reply = F.concat(F.lit("1. "), F.col("text"), F.lit("\n 2. lost\n3. third"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.numbered_items(reply, F.array().cast("array<string>"), 2), "|").alias("items"))
 
 
-@query("context_text_full", f"SELECT doc_id, regexp_replace('{text.PACKET_HEAD}' || {memory_sql(1, 'lang', 'doc_id', 'text')} || {memory_sql(2, 'source', chr(39) * 2, 'text')}, '^\\s+|\\s+$', '', 'g') AS context FROM documents")
-def context_text_full(spark, sf_dir):
+@query("context_text", f"SELECT doc_id, regexp_replace('{text.PACKET_HEAD}' || {memory_sql(1, 'lang', 'doc_id', 'text')} || {memory_sql(2, 'source', chr(39) * 2, 'text')}, '^\\s+|\\s+$', '', 'g') AS context FROM documents")
+def context_text(spark, sf_dir):
     memory = lambda name, task: F.struct(name.alias("episode_id"), task.cast("string").alias("task_id"), F.col("text").alias("formatted_text"))
     return table(spark, sf_dir, "documents").select("doc_id", text.packet_text(F.array(memory(F.col("lang"), F.col("doc_id")), memory(F.col("source"), F.lit(None)))).alias("context"))
 
 
-@query("query_template_full", "SELECT doc_id, coalesce(source, '') || chr(10) || chr(10) || coalesce(text, '') AS query FROM documents")
-def query_template_full(spark, sf_dir):
+@query("query_template", "SELECT doc_id, coalesce(source, '') || chr(10) || chr(10) || coalesce(text, '') AS query FROM documents")
+def query_template(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.fill_template("{repo}\n\n{problem_statement}", repo=F.col("source"), problem_statement=F.col("text")).alias("query"))
 
 

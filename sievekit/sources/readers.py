@@ -14,17 +14,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_jsonl_strict(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """Rows with _source_file, _source_line and _error, which names file and line of a line that is no JSON object.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 1, blank lines counted), value of text files that may be split over any number of tasks: a line's number is its place in its split, and the lines of the splits before it in the file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("path", "block", "first", before.alias("before"))  # a row a split
+    return lines.join(offsets, ["path", "block"]).select("path", (F.col("id") - F.col("first") + F.col("before") + 1).cast("int").alias("line"), "value")
+
 
-    Lines are numbered within their file by the bytes before them, so files have to be small enough for one sort each; the
-    text itself is parsed where it was read.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_source_file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Rows with _source_file, _source_line and _error, which names file and line of a line that is no JSON object. Blank lines are skipped."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "").select(F.col("path").alias("_source_file"), F.col("line").alias("_source_line"), F.col("value").alias("__line"))
     named = schema.simpleString() if isinstance(schema, StructType) else schema
-    parsed = lines.withColumn("row", F.from_json("line", named, {"mode": "PERMISSIVE"})).withColumn("good", F.expr("try_parse_json(line) IS NOT NULL") & F.ltrim("line").startswith("{"))
-    place = F.concat(F.col("_source_file"), F.lit(":"), F.col("pos") + 1)
-    return parsed.select("row.*", "_source_file", (F.col("pos") + 1).alias("_source_line"), F.when(~F.col("good"), F.concat(place, F.lit(": not a JSON object"))).alias("_error"))
+    parsed = lines.withColumn("row", F.from_json("__line", named, {"mode": "PERMISSIVE"})).withColumn("good", F.expr("try_parse_json(__line) IS NOT NULL") & F.ltrim("__line").startswith("{"))
+    place = F.concat(F.col("_source_file"), F.lit(":"), F.col("_source_line"))
+    return parsed.select("row.*", "_source_file", "_source_line", F.when(~F.col("good"), F.concat(place, F.lit(": not a JSON object"))).alias("_error"))
 
 
 def read_json_tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -82,3 +87,25 @@ def tex_table(lines: DataFrame, text: str = "value") -> DataFrame:
     rows = lines.where(F.contains(text, F.lit("&")) & F.contains(text, F.lit(r"\\")))
     cells = F.transform(F.split(F.regexp_replace(text, r"\\\\.*$", ""), r"(?<!\\)&"), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\\(?:textbf|emph|texttt)\{([^}]*)\}", "$1"), r"\\([%&_#$])", "$1")))
     return rows.select(cells.alias("cells"))
+
+
+def npy_vectors(files: DataFrame) -> DataFrame:
+    """ids (array<long>), content (binary: a .npy array of two dimensions) -> id, vector (array<double>)."""
+
+    def unpacked(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for ids, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                array = np.load(io.BytesIO(content), allow_pickle=False)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(array.astype(float)), pa.list_(pa.float64()))], names=["id", "vector"])
+
+    return files.select("ids", "content").mapInArrow(unpacked, "id long, vector array<double>")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """What write_npy() wrote. Plain .npy files are read by npy_vectors(spark.read.format("binaryFile")...) with their ids beside them."""
+    return npy_vectors(spark.read.parquet(path))

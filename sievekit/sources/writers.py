@@ -21,11 +21,15 @@ def write_csv(rows: DataFrame, path: str, columns: list[str], overwrite: bool =
     rows.select(*columns).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     """Appends the rows whose keys the table does not have yet; run again it appends nothing. Returns how many."""
     spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    there = exists(spark, path)
     new = resumed(rows, spark.read.parquet(path), keys) if there else rows
     new = new.dropDuplicates(keys).cache()
     n = new.count()
@@ -35,6 +39,19 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     return n
 
 
+def checkpointed(rows: DataFrame, path: str, key: str, every: int) -> int:
+    """Appends rows in the order of a unique key, at most `every` of them a commit, and goes on after what the table holds: a run that breaks off loses no more than one commit's work. Returns the number of commits."""
+    commits = 0
+    while True:
+        spark = rows.sparkSession
+        last = spark.read.parquet(path).agg(F.max(key)).first()[0] if exists(spark, path) else None
+        rest = (rows if last is None else rows.where(F.col(key) > F.lit(last))).orderBy(key).limit(every)
+        if rest.isEmpty():
+            return commits
+        rest.write.mode("append").parquet(path)
+        commits += 1
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, bytes, sha256 of the files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
@@ -55,9 +72,37 @@ def tex_rows(rows: DataFrame, columns: list[Column]) -> DataFrame:
     return rows.select(F.concat(F.concat_ws(" & ", *[F.coalesce(c.cast("string"), F.lit("--")) for c in columns]), F.lit(r" \\")).alias("value"))
 
 
-def write_tex(rows: DataFrame, path: str, head: list[str], columns: list[Column]) -> None:
-    """A small report table: collected and written as one file by the driver's Spark."""
+#: Rows of a report table: it is one file.
+REPORT_ROWS = 10_000
+
+
+def write_tex(rows: DataFrame, path: str, head: list[str], columns: list[Column], order: list[str], overwrite: bool = False) -> None:
+    """A report table as one file, its rows in the order given; more than REPORT_ROWS of them are an error."""
     spark = rows.sparkSession
-    lines = [r["value"] for r in tex_rows(rows, columns).collect()]
+    lines = [r["value"] for r in tex_rows(rows.orderBy(*order).limit(REPORT_ROWS + 1), columns).collect()]
+    if len(lines) > REPORT_ROWS:
+        raise ValueError(f"a report table has at most {REPORT_ROWS} rows")
     text = "\n".join([r"\begin{tabular}{" + "l" * len(head) + "}", r"\toprule", " & ".join(head) + r" \\", r"\midrule", *lines, r"\bottomrule", r"\end{tabular}"])
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def write_npy(rows: DataFrame, path: str, key: str, vector: str) -> None:
+    """Vectors as .npy arrays (little-endian doubles, C order) beside their keys, an array for each batch of a task; written as rows name, key list, bytes of the array, through Spark's commit protocol."""
+
+    def packed(batches):
+        import io
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(1)
+            if not batch.num_rows:
+                continue
+            array = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(batch.num_rows, -1)
+            held = io.BytesIO()
+            np.save(held, array, allow_pickle=False)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.npy"]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([held.getvalue()], pa.binary())], names=["name", "ids", "content"])
+
+    rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(packed, "name string, ids array<long>, content binary").write.mode("errorifexists").parquet(path)

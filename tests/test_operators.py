@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions import ranks, text
 from sievekit.operators import calibrate, dense, episodes, fusion, gate, inference, metrics, sparse, validate
-from sievekit.sources import append_new, manifest, read_any, read_csv, read_jsonl, read_jsonl_strict, result_files, seed_runs, tex_table, write_csv, write_json, write_jsonl, write_tex
+from sievekit.sources import append_new, checkpointed, manifest, numbered_lines, read_any, read_csv, read_jsonl, read_jsonl_strict, result_files, seed_runs, tex_table, write_csv, write_json, write_jsonl, write_tex
 from sievekit.streaming import answer_stream
 
 
@@ -51,11 +51,11 @@ def test_whole_texts(spark):
     assert max(len(r.text) for r in docs.values()) > 200
     got = lambda name, column: {r.doc_id: r[column] for r in QUERIES[name](spark, sf).collect()}
     tex = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", **{c: "\\" + c for c in "&%$#_{}"}}
-    assert got("latex_escape_full", "tex") == {i: "".join(tex.get(c, c) for c in r.text) for i, r in docs.items()}
-    assert got("query_template_full", "query") == {i: f"{r.source}\n\n{r.text}" for i, r in docs.items()}
-    assert got("context_text_full", "context") == {i: (text.PACKET_HEAD + f"\n### Memory 1: {r.lang}\nTask ID: {i}\n{r.text}\n" + f"\n### Memory 2: {r.source}\nTask ID: \n{r.text}\n").strip(" \t\n\r\f\v") for i, r in docs.items()}
+    assert got("latex_escape", "tex") == {i: "".join(tex.get(c, c) for c in r.text) for i, r in docs.items()}
+    assert got("query_template", "query") == {i: f"{r.source}\n\n{r.text}" for i, r in docs.items()}
+    assert got("context_text", "context") == {i: (text.PACKET_HEAD + f"\n### Memory 1: {r.lang}\nTask ID: {i}\n{r.text}\n" + f"\n### Memory 2: {r.source}\nTask ID: \n{r.text}\n").strip(" \t\n\r\f\v") for i, r in docs.items()}
     items = lambda reply: [x.split(". ", 1)[-1].strip(" ") for x in reply.split("\n") if re.match("[0-9]", x)][:2]
-    assert got("parse_numbered_full", "items") == {i: "|".join(items(f"1. {r.text}\n 2. lost\n3. third")) for i, r in docs.items()}
+    assert got("parse_numbered", "items") == {i: "|".join(items(f"1. {r.text}\n 2. lost\n3. third")) for i, r in docs.items()}
 
 
 def test_episode_text(spark):
@@ -83,9 +83,39 @@ def test_bm25_pads_and_counts_repeats(spark):
     got = sparse.bm25_topk(docs, queries, 3).orderBy("query_id", "rank").collect()
     assert [r.doc_id for r in got if r.query_id == 1] == [0, 3, 1]
     assert [(r.doc_id, r.score) for r in got if r.query_id == 2] == [(0, 0.0), (1, 0.0), (2, 0.0)]
-    single = sparse.bm25_scores(docs, spark.createDataFrame([(1, "cat")], "query_id long, query string")).collect()
-    double = {r.doc_id: r.score for r in sparse.bm25_scores(docs, queries).where("query_id = 1").collect()}
-    assert all(double[r.doc_id] == pytest.approx(2 * r.score) for r in single)
+    index = sparse.Index(docs)
+    single = index.matched(spark.createDataFrame([(1, "cat")], "query_id long, query string"), 9).collect()
+    double = {r.doc_id: r.score for r in index.matched(queries, 9).where("query_id = 1").collect()}
+    assert len(single) == 2 and all(double[r.doc_id] == pytest.approx(2 * r.score) for r in single)
+
+
+@pytest.mark.parametrize("rows", [16_384, 7])
+def test_bm25_blocks(spark, rows, monkeypatch):
+    """Documents in several blocks, a word that all of them have, ids that tie: the plain formula's lists."""
+    import math
+    import random
+
+    monkeypatch.setattr(sparse, "BLOCK_ROWS", rows)
+    rnd = random.Random(3)
+    docs = {k: ["the", *(rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 9)))] for k in range(60)} | {60: [], 61: ["zzz"]}
+    asked = {k: [rnd.choice("abcdefghijthe") for _ in range(4)] + ["the", "nowhere"] for k in range(9)}
+    frame = lambda x, i, t: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{i} long, {t} string")
+    got = sparse.Index(frame(docs, "doc_id", "text")).matched(frame(asked, "query_id", "query"), 5).orderBy("query_id", "rank").collect()
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {t: sum(t in d for d in docs.values()) for d in docs.values() for t in d}
+    raw = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    score = lambda q, d: sum(idf[t] * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in q if t in d)
+    want = [(q, k + 1, i) for q, words in asked.items() for k, i in enumerate(sorted((i for i, d in docs.items() if set(d) & set(words)), key=lambda i: (-round(score(words, docs[i]), 9), i))[:5])]
+    assert [(r.query_id, r["rank"], r.doc_id) for r in got] == want
+
+
+def test_generic_runner(spark):
+    queries = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "c", 9)], "query_id long, query string, target_id long")
+    lists = spark.createDataFrame([(1, 7, 1), (1, 5, 2), (2, 5, 1), (2, 8, 2)], "query_id long, doc_id long, rank int")
+    rows = metrics.run_method("m", queries, lambda q, k: lists, 2).orderBy("query_id").collect()
+    assert [(r.retrieved_ids, r.hit_1, r.hit_k) for r in rows] == [([7, 5], True, True), ([5, 8], False, True), ([], False, False)]
+    assert metrics.summary(metrics.run_method("m", queries, lambda q, k: lists, 2), 2).first().recall_2 == pytest.approx(2 / 3)
 
 
 def test_rrf_ties(spark):
@@ -101,8 +131,8 @@ def test_dense_blocks(spark, monkeypatch):
     x = rng.integers(-3, 4, size=(60, 5)).astype(float)
     vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, embedding array<double>")
     queries = vectors.where("doc_id < 7").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
-    monkeypatch.setattr(dense, "VECTOR_BLOCK", 16)
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(dense, "PRODUCT_ROWS", 3)
     got = dense.dense_topk(vectors, queries, 4).orderBy("query_id", "rank").collect()
     want = [(q, d) for q in range(7) for d in sorted(range(60), key=lambda d: (-(x[q] @ x[d]), d))[:4]]
     assert [(r.query_id, r.doc_id) for r in got] == want
@@ -111,12 +141,12 @@ def test_dense_blocks(spark, monkeypatch):
 
 def test_every_twentieth_row_asks(spark):
     from sievekit.plans import QUERIES
-    from sievekit.plans.retrieval import all_mixed_queries
+    from sievekit.plans.retrieval import mixed_queries
 
     sf = "/root/testdata/sf0.001"
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
-    assert {r.query_id for r in all_mixed_queries(spark, sf).collect()} == {i for i in ids if i % 20 == 0}
-    assert {r.query_id for r in QUERIES["top1_score_full"](spark, sf).collect()} == {i for i in ids if i % 20 == 0}
+    assert {r.query_id for r in mixed_queries(spark, sf).collect()} == {i for i in ids if i % 20 == 0}
+    assert {r.query_id for r in QUERIES["top1_score"](spark, sf).collect()} == {i for i in ids if i % 20 == 0}
 
 
 def test_gate_skips_scoring(spark):
@@ -174,35 +204,60 @@ def test_resampling(spark):
     rows = spark.createDataFrame([(f"q{k}", 1 if k % 4 == 0 else 0) for k in range(80)], "query_id string, delta int")
     got = inference.paired_one_sided(rows, "delta", 200).first()
     assert got.low <= got.observed <= got.high and got.p == 0.0
-    assert inference.sign_flip(rows, "query_id", "delta", 200).first().p == pytest.approx(1 / 201)
+    assert inference.sign_flip(rows, "delta", 200).first().p == pytest.approx(1 / 201)
     zero = rows.withColumn("delta", F.lit(0))
-    assert inference.sign_flip(zero, "query_id", "delta", 50).first().p == 1.0
+    assert inference.sign_flip(zero, "delta", 50).first().p == 1.0
     means = [r["mean"] for r in inference.replicates(rows, "delta", 200, "x").collect()]
     assert statistics.mean(means) == pytest.approx(0.25, abs=0.03)
 
 
-def test_resampling_at_the_references_size(spark):
-    """The registered full queries against draws made one by one."""
+def uniform_of(*parts):
     import hashlib
 
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def plain_binomial(m, share, u):
+    """The first k whose cumulated probability is over u, from exact binomial coefficients."""
+    import math
+    from fractions import Fraction
+
+    p, upto = Fraction(share), Fraction(0)
+    for k in range(m + 1):
+        upto += math.comb(m, k) * p**k * (1 - p) ** (m - k)
+        if upto > u:
+            return k
+    return m
+
+
+def test_draws_follow_exact_probabilities(spark):
+    for m, share in ((40, 0.3), (7, 0.9), (1, 0.5)):
+        reps = spark.range(60).select(F.col("id").alias("rep"), F.lit(m).cast("long").alias("m"))
+        got = {r.rep: r.k for r in inference.binomial(reps, "t", 3, share).collect()}
+        assert got == {rep: plain_binomial(m, share, uniform_of("t", rep, 3)) for rep in range(60)}
+
+
+def test_resamples_are_as_wide_as_they_should_be(spark):
+    """Means of many multinomial draws have the mean and the deviation of resampling with replacement, also for many rows."""
+    for n in (200, 2_000_000):
+        rows = spark.range(n).select(F.when(F.col("id") % 10 == 0, -1).when(F.col("id") % 10 < 4, 1).otherwise(0).alias("delta"))
+        means = [r["mean"] for r in inference.replicates(rows, "delta", 2000, "w").collect()]
+        spread = ((0.4 - 0.2**2) / n) ** 0.5
+        assert len(means) == 2000 and statistics.mean(means) == pytest.approx(0.2, abs=4 * spread / 2000**0.5)
+        assert statistics.stdev(means) == pytest.approx(spread, rel=0.08)
+    assert inference.interval_nearest(rows.limit(0), "delta", 20).first().observed is None
+    flips = inference.sign_flip(spark.range(100).select(F.when(F.col("id") < 60, 1).otherwise(-1).alias("d")), "d").first()
+    assert flips.p == pytest.approx(0.0569, abs=0.01)  # of 100 fair signs at least 60 or at most 40 are positive
+
+
+def test_queries_draw_as_often_as_the_reference(spark, monkeypatch):
     from sievekit.plans import QUERIES
 
-    sf = "/root/testdata/sf0.001"
-    from sievekit.plans.analytics import deltas
-
-    rows = [(r.query_id, r.hit, r.delta) for r in deltas(spark, sf).collect()]
-    n, h = len(rows), lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
-    hits, diffs = sorted(r[1] for r in rows), sorted(r[2] for r in rows)
-    means = lambda values, draws, name: sorted(sum(values[h(name, rep, i) % n] for i in range(n)) / n for rep in range(draws))
-    m = means(hits, 2000, "boot")
-    got = QUERIES["boot_ci_full"](spark, sf).first()
-    assert (got.low, got.high) == (round(m[50], 6), round(m[1950], 6))
-    m = means(diffs, 5000, "pair06")
-    got = QUERIES["boot_pair_two_sided_full"](spark, sf).first()
-    assert (got.low, got.high, got.p) == (round(m[125], 6), round(m[4875], 6), round(min(1, 2 * min(sum(x <= 0 for x in m), sum(x >= 0 for x in m)) / 5000), 6))
-    seen = abs(sum(diffs)) / n
-    far = sum(abs(sum(d if h("flip", rep, q) / 2**52 < 0.5 else -d for q, _, d in rows if d)) / n >= seen - 1e-15 for rep in range(10000))
-    assert QUERIES["sign_flip_full"](spark, sf).first().p == round((far + 1) / 10001, 6)
+    asked = []
+    monkeypatch.setattr(inference, "replicates", lambda rows, value, draws, name: asked.append(draws) or rows.select(F.lit(0).alias("rep"), F.lit(0.5).alias("mean")))
+    for name in ("boot_ci", "boot_pair_two_sided", "boot_pair_one_sided", "boot_ci_interpolated", "ci_excludes_zero"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [2000, 5000, 5000, 10000, 10000]
 
 
 def test_validators(spark):
@@ -213,6 +268,13 @@ def test_validators(spark):
     told, found = (spark.createDataFrame([(1, x)], "k long, v double") for x in (0.5, 0.5 + 2e-9))
     assert validate.reconciled(told, found, ["k"], "v").count() == 1
     assert validate.reconciled(told, told, ["k"], "v").count() == 0
+    meta = spark.createDataFrame([(1, True, 1, 1, 2, 1), (2, True, 1, None, 2, 1), (3, False, 0, 0, 1, None), (4, None, 0, 0, 1, 0)], "id long, expanded boolean, n_traces int, n_paraphrases int, n_lists int, calls int")
+    assert sorted(r.key for r in validate.gate_meta(meta, "id").collect()) == ["2", "3"]
+    assert {(r.key, r.detail) for r in validate.unchanged(spark.range(3), spark.range(1, 4), "id", []).collect()} == {("0", "row gone"), ("3", "row new")}
+    checks = validate.unique(rows, ["id"])
+    assert validate.exit_status(checks) == 1 and validate.exit_status(checks.limit(0)) == 0
+    assert [(r.name, r.status, r.blocking) for r in validate.readiness(checks, {"unique": True, "other": True}).orderBy("name").collect()] == [("other", "pass", False), ("unique", "fail", True)]
+    assert [r.detail for r in validate.forbidden(spark.createDataFrame([(1, '{"a": null, "b": 1}'), (2, "{}"), (3, None)], "id long, j string"), "id", "j", ["a", "c"]).collect()] == ["a"]
 
 
 def test_files(spark, tmp_path):
@@ -224,7 +286,9 @@ def test_files(spark, tmp_path):
     write_csv(rows, f"{tmp_path}/x.csv", ["id", "name"])
     assert {r.id for r in read_csv(spark, f"{tmp_path}/x.csv").collect()} == {"1", "2"}
     write_json(rows, f"{tmp_path}/x.json")
-    write_tex(rows, f"{tmp_path}/x.tex", ["id", "name"], [F.col("id"), F.col("name")])
+    write_tex(rows, f"{tmp_path}/x.tex", ["id", "name"], [F.col("id"), F.col("name")], ["id"])
+    with pytest.raises(Exception, match="already exists"):
+        write_tex(rows, f"{tmp_path}/x.tex", ["id"], [F.col("id")], ["id"])
     assert any("2 & --" in r.value for r in spark.read.text(f"{tmp_path}/x.tex").collect())
     assert append_new(rows, f"{tmp_path}/t", ["id"]) == 2 and append_new(rows, f"{tmp_path}/t", ["id"]) == 0
     assert manifest(spark, f"{tmp_path}/x.csv", "*.csv").count() >= 1
@@ -232,6 +296,25 @@ def test_files(spark, tmp_path):
         read_any(spark, "x.xml", "id long")
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Many splits of files, blank lines and a last line without an end."""
+    for name, n in (("a.txt", 900), ("b.txt", 1)):
+        (tmp_path / name).write_text("\n".join(f"{name} {k}" if k % 5 else "" for k in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = numbered_lines(spark, str(tmp_path)).where("value <> ''").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 721 and all(r.value == f"{r.path.rsplit('/', 1)[1]} {r.line}" for r in got)
+
+
+def test_checkpoints_resume(spark, tmp_path):
+    rows = spark.range(70)
+    assert checkpointed(rows.where("id < 40"), f"{tmp_path}/t", "id", 25) == 2
+    assert checkpointed(rows, f"{tmp_path}/t", "id", 25) == 2
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/t").collect()) == list(range(70))
+
+
 def test_strict_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\n\nnot json\n{"id": 3}\n')
     got = read_jsonl_strict(spark, str(tmp_path / "a.jsonl"), "id long").orderBy("_source_line").collect()
