@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
 #: Rows of the slices that a block is read in: the last holds the rest.
-SLICES = (512, 3_584)
+SLICES = (1_024,)
 #: The frontiers of successive steps, in parts of the mean top of a query's lists; after the last one lists are read to their ends.
-FRONTIERS = (0.45, 0.25, 0.12, 0.03, -0.1)
+FRONTIERS = (0.25, 0.1, 0.0, -0.1)
 #: Candidates that are resolved when so many are left, as a part of the slice, beside k.
-FEW = 1 / 64
+FEW = 1 / 8
 
 
 def integer_vectors(table: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -166,7 +166,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec_
     number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     held = vectors.select(number.alias("b"), F.size("v").alias("size"), F.lit(False).alias("asks"), "vec_id", "v")
     queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.size("v").alias("size"), F.lit(True).alias("asks"), "vec_id", "v")
-    dealt = held.unionByName(queries).repartition(blocks, "b").sortWithinPartitions("b", "size", "asks", "vec_id")
+    dealt = held.unionByName(queries).repartition(4 * blocks, "b").sortWithinPartitions("b", "size", "asks", "vec_id")
     found = dealt.mapInArrow(_searched(k), "query_id long, vec_id long, score long, entries_read long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
