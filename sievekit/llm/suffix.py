@@ -15,7 +15,7 @@ row end at once.
 Repeats within one batch of documents are settled before any shuffle, so a passage that many documents
 share sends a row a batch. Buckets that a sample finds very common are dealt by their refined buckets as well.
 
-Null texts are empty. doc_id null comes before all others. Rows that repeat a doc_id and its text are the same document and all get
+Null texts are empty. doc_id null comes before all others; an id of -2^63 counts as null. Rows that repeat a doc_id and its text are the same document and all get
 its result; rows that repeat a doc_id with other texts are ordered by a hash of the text. Texts shorter than `length` lose
 nothing. Very long texts are read in pieces. Empty tables give no rows. Other columns are not read.
 """
@@ -32,10 +32,10 @@ from sievekit.llm.common import staged
 LENGTH, GRAM = 100, 24
 PIECE = 1 << 18
 #: What a task holds at a time: text, and rows that are refined window by window.
-BATCH_BYTES, TASK_ROWS = 2 << 20, 1_000
+BATCH_BYTES, TASK_ROWS = 1 << 20, 1_000
 NO_ID = -(1 << 63)
-#: Buckets in more than this share of a sample's documents are dealt out by their refined buckets too.
-COMMON_SHARE, SAMPLE_PART, SALTS = 0.01, 50, 64
+#: Buckets in more than this share of a sample's documents, or of more than so many documents by the sample, are dealt out by their refined buckets too.
+COMMON_SHARE, COMMON_DOCS, SAMPLE_PART, SALTS = 0.01, 20_000, 50, 64
 #: Refined again within one task up to so many rows; others by a shuffle of their windows.
 GROUP_ROWS = 20_000
 SET_BITS = 32_768
@@ -378,7 +378,7 @@ def may_hold(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, C
 
 
 def common_buckets(docs: DataFrame, length: int, gram: int) -> list[int]:
-    """Buckets that more than COMMON_SHARE of a sample of the documents have: under 1 / COMMON_SHARE times the rows of a document. They only decide how rows are dealt."""
+    """Buckets that a sample of the documents finds in more than COMMON_SHARE of them, or in more than COMMON_DOCS of all documents, the most common 10,000 first. They only decide how rows are dealt."""
     part = docs.where(F.pmod(F.xxhash64("doc", "th"), F.lit(SAMPLE_PART)) == 0)
     size = part.count()
 
@@ -391,7 +391,7 @@ def common_buckets(docs: DataFrame, length: int, gram: int) -> list[int]:
             pairs = np.unique(np.stack([text, bucket]), axis=1) if len(text) else np.zeros((2, 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1])], names=["h"])
 
-    common = part.select("doc", "th", "text").mapInArrow(scan, "h long").groupBy("h").count().where(F.col("count") > max(10, COMMON_SHARE * size))
+    common = part.select("doc", "th", "text").mapInArrow(scan, "h long").groupBy("h").count().where(F.col("count") > max(10, min(COMMON_SHARE * size, COMMON_DOCS / SAMPLE_PART)))
     return [r[0] for r in common.orderBy(F.desc("count")).limit(10_000).collect()]
 
 
