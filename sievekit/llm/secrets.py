@@ -256,13 +256,12 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return scan.withColumn("__spans", all_spans(reporting_levels(scan))).select("doc_id", count(base, 0).alias("n_assign"), count(base, 1).alias("n_access"), count(base, 2).alias("n_hex"), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"), count(spans, 3).alias("n_random"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of its text replaced by MASK; overlapping spans are one."""
-    columns = docs.columns
+def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
+    """docs with every span of its text replaced by MASK; overlapping spans are one. length: a column that is set to the text's new length where a text changed. Null texts stay null; an empty table gives an empty one."""
     # texts are scanned once: what was found is written beside them, and masking reads it back
-    marked = staged(scanned(docs, text))
-    levels = reporting_levels(marked.select("__tokens"))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    marked = staged(scanned(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), body.alias("body")), "body"))
+    spans = all_spans(reporting_levels(marked.select("__tokens")))
 
     def masked(t: Column, spans: Column) -> Column:
         # a span opens a masked run unless an earlier one reaches over its start; runs end where their last span does
@@ -272,5 +271,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         pieces = let(heads, lambda h: F.concat(F.transform(h, lambda x, k: F.substring(t, F.when(k == 0, 1).otherwise(x["before"] + 1), x["start"] - F.when(k == 0, 0).otherwise(x["before"]))), F.array(F.substring(t, last + 1, F.length(t)))))
         return F.array_join(pieces, MASK)
 
-    marked = marked.withColumn("__spans", all_spans(levels))
-    return marked.withColumn(text, F.when(F.size("__spans") > 0, let(body, lambda t: masked(t, F.col("__spans")))).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in columns])
+    new = marked.select("own", F.when(F.size(spans) > 0, let(spans, lambda s: masked(F.col("body"), s))).alias("new"))
+    own = lambda c: F.col("own").getField(c)
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+    out = {text: F.coalesce("new", own(text).cast("string"))} | ({length: F.when(F.col("new").isNotNull(), F.length("new").cast(kind[length])).otherwise(own(length))} if length else {})
+    return new.select(*[out.get(c, own(c)).alias(c) for c in docs.columns])

@@ -264,21 +264,22 @@ def set_search(least: float):
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
     """The columns of docs: one row of each component of near copies, that of the least doc_id; null ids come last and equal ones in any order. Texts without words are one component."""
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
-    body = F.col(f"`{text}`").cast("string").alias("text")
-    light = staged(rows.select(F.col("__row").alias("row"), body).mapInArrow(_banded(words), "row long, node long, bands array<long>, bytes long"))
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")))
+    body = F.col("own").getField(text).cast("string").alias("text")
+    light = staged(rows.select("row", body).mapInArrow(_banded(words), "row long, node long, bands array<long>, bytes long"))
     # texts of one shingle set are one node, that of their first row; sets are made, and shuffled, only for nodes that share a bucket
     firsts = staged(light.groupBy("node").agg(F.min("row").alias("row")))
     keyed = staged(light.join(firsts.select("row"), "row", "left_semi").select(F.explode("bands").alias("key"), "node", "bytes"))
 
     def payload(members: DataFrame) -> DataFrame:
-        first = small(members.join(firsts, "node").select("node", F.col("row").alias("__row")))
-        return rows.select("__row", body).join(first, "__row").select("node", "text").mapInArrow(_payloads(words), "node long, data binary")
+        first = small(members.join(firsts, "node"))
+        return rows.select("row", body).join(first, "row").select("node", "text").mapInArrow(_payloads(words), "node long, data binary")
 
     near = buckets.links(keyed, payload, set_search(least))
     release(keyed, firsts)
     roots = components(near)
-    order = F.struct(F.col(f"`{doc_id}`").isNull().alias("unnamed"), F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("row"))
-    named = light.select("row", "node").join(roots, "node", "left").select(F.col("row").alias("__row"), F.coalesce("root", "node").alias("__root"))
-    kept = rows.select("__row", f"`{doc_id}`").join(named, "__row").groupBy("__root").agg(F.min(order).alias("x")).select(F.col("x.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = light.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+    id_ = F.col("own").getField(doc_id)
+    order = F.struct(id_.isNull().alias("unnamed"), id_.alias("id"), F.col("row"))
+    kept = rows.select("row", order.alias("x")).join(named, "row").groupBy("root").agg(F.min("x").alias("x")).select("x.row")
+    return rows.join(kept, "row", "left_semi").select("own.*")

@@ -225,6 +225,8 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that score THRESHOLD or more."""
+    """docs without the rows that score THRESHOLD or more. Labels that teach nothing (every score is the prior) reject no row."""
     scorer = train(docs, labels, text, doc_id)
+    if not scorer.weights:
+        return docs
     return docs.where(scorer.score(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) < THRESHOLD)
