@@ -1,7 +1,8 @@
 """The training-data pipeline: toxicity, near-duplicates, secrets, mixture, token ids.
 
 Each stage takes what the one before kept, as written to Parquet and read again. All but the last return the columns of
-documents.
+documents, and any others that came with them. In every stage null texts are empty ones, null ids are kept, rows that repeat are rows each (but for
+near-duplicates, where one stays), and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by a mark; n_chars follows where a text changed."""
-    masked = secrets.redact(docs.withColumn("__was", F.length("text")))
-    return masked.withColumn("n_chars", F.when(F.length("text") != F.col("__was"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secrets.redact(docs, length="n_chars")
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
