@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievekit.operators.episodes import numbered
+
 
 def grid(low: int, high: int, step: int, scale: float = 100.0) -> list[float]:
     """Thresholds from whole numbers, both ends in."""
@@ -42,10 +44,11 @@ def evaluated(rows: DataFrame, cells: list[tuple], by: list[str]) -> DataFrame:
 
 
 def split_half(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """rows with part: train for the first floor(n / 2) of each group in the order of the key, test for the rest."""
-    order = Window.partitionBy(by).orderBy(key)
-    n = F.count("*").over(Window.partitionBy(by))
-    return rows.withColumn("part", F.when(F.row_number().over(order) <= F.floor(n / 2), "train").otherwise("test"))
+    """rows with part: train for the first floor(n / 2) of each group in the order of the key, test for the rest. Rows are numbered by ranges of both, so a large group is not sorted in one task."""
+    placed = numbered(rows, [by, key])
+    groups = placed.groupBy(by).agg(F.min("number").alias("__first"), F.count("*").alias("__n"))
+    part = F.when(F.col("number") - F.col("__first") < F.floor(F.col("__n") / 2), "train").otherwise("test")
+    return placed.join(groups, by).withColumn("part", part).select(*[F.col(f"`{c}`") for c in rows.columns], "part")
 
 
 def chosen(scored: DataFrame, by: list[str], order: list[Column], budget: float | None = None) -> DataFrame:
