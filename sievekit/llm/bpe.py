@@ -67,12 +67,36 @@ class _Words(dict):
         self.clear()
 
 
+#: What a vocabulary file has to say of itself, as PATTERN and the merges are all that is done to a text.
+SUPPORTED = {
+    "normalizer": (None,), "pre_tokenizer.type": ("ByteLevel",), "pre_tokenizer.add_prefix_space": (False,), "pre_tokenizer.use_regex": (None, True), "post_processor": (None,), "decoder.type": ("ByteLevel",),
+    "model.type": ("BPE",), "model.dropout": (None, 0), "model.unk_token": (None,), "model.continuing_subword_prefix": (None, ""), "model.end_of_word_suffix": (None, ""), "model.byte_fallback": (None, False), "model.ignore_merges": (None, False),
+}
+
+
+def unsupported(file: dict) -> list[str]:
+    """The settings of a vocabulary file that would give other ids than this codec does."""
+    out = []
+    for name, good in SUPPORTED.items():
+        part, _, field = name.partition(".")
+        value = file.get(part)
+        value = (value or {}).get(field) if field else value
+        if value not in good:
+            out.append(f"{name} = {value!r}")
+    for token in file["added_tokens"]:
+        out += [f"{flag} of {token['content']}" for flag in ("single_word", "lstrip", "rstrip", "normalized") if token.get(flag)]
+    return out
+
+
 class Codec:
     def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        unlike = unsupported(file)
+        if unlike:
+            raise ValueError(f"{path} asks for what this codec does not do: {', '.join(unlike)}")
         vocab = file["model"]["vocab"]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}

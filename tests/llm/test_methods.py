@@ -41,6 +41,18 @@ def test_bpe_equals_the_library(texts):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_bpe_refuses_other_settings(tmp_path):
+    import json
+
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert bpe.unsupported(file) == []
+    file["normalizer"], file["pre_tokenizer"]["add_prefix_space"], file["added_tokens"][0]["lstrip"] = {"type": "NFC"}, True, True
+    (tmp_path / "v.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError, match="normalizer.*add_prefix_space.*lstrip"):
+        bpe.Codec(str(tmp_path / "v.json"))
+
+
 def test_bpe_long_words_merge_alike():
     codec = bpe.Codec(bpe.default_vocabulary())
     rnd = random.Random(2)
