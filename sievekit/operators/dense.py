@@ -11,7 +11,7 @@ from sievekit.functions.text import tokens
 from sievekit.operators.blocks import first_k, id_ranks, ranked, streamed
 
 BUCKETS = 64
-BLOCK_ROWS, PRODUCT_ROWS = 16_384, 256
+BLOCK_ROWS, PRODUCT_ROWS = 4_096, 256
 
 
 def unit(vector: Column) -> Column:

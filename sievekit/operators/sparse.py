@@ -10,7 +10,7 @@ from sievekit.operators.blocks import first_k, id_ranks, ranked, streamed
 
 #: The defaults of the public Okapi implementation that results have to match.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 4_096
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -83,7 +83,8 @@ class Index:
     def __init__(self, docs: DataFrame):
         self.docs = docs
         self.n_docs, self.avgdl = corpus_stats(docs).first()
-        self.weights = term_weights(document_frequencies(docs), corpus_stats(docs)).persist()
+        stats = docs.sparkSession.createDataFrame([(self.n_docs, self.avgdl)], "n_docs long, avgdl double")
+        self.weights = term_weights(document_frequencies(docs), stats).persist()
 
     def matched(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, doc_id, score, rank: the k best documents that share a term with the query. Query terms that repeat count again."""

@@ -89,7 +89,7 @@ def test_bm25_pads_and_counts_repeats(spark):
     assert len(single) == 2 and all(double[r.doc_id] == pytest.approx(2 * r.score) for r in single)
 
 
-@pytest.mark.parametrize("rows", [16_384, 7])
+@pytest.mark.parametrize("rows", [4_096, 7])
 def test_bm25_blocks(spark, rows, monkeypatch):
     """Documents in several blocks, a word that all of them have, ids that tie: the plain formula's lists."""
     import math
