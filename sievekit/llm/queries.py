@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, editprint, mixing, quality, secrets, simhash, suffix, topk, toxicity, warc
+from sievekit.llm import bpe, divergence, editprint, forest, mixing, quality, quantize, secrets, simhash, suffix, topk, toxicity, warc
 from sievekit.llm.common import read_table, staged
 
 
@@ -55,6 +55,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.coded(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,9 +84,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
+    "op11_codes": op11_codes,
+    "op12_divergence": op12_divergence,
+    "op13_forest": op13_forest,
     "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {
     "op2_topk": topk.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_codes": quantize.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_forest": forest.ORACLE,
 }

@@ -508,7 +508,7 @@ def test_oracle(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         db.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     own, want = QUERIES[name](spark, SF).toPandas(), db.execute(ORACLE[name]).df()
     columns = sorted(own.columns)
