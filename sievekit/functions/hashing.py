@@ -15,3 +15,11 @@ def hash52(*parts: Column | str) -> Column:
 def uniform(*parts: Column | str) -> Column:
     """A double in [0, 1) from hash52."""
     return hash52(*parts).cast("double") / float(1 << 52)
+
+
+def two_uniforms(*parts: Column | str) -> tuple[Column, Column]:
+    """Two doubles in (0, 1), never 0 or 1, from the first and the next 52 bits of one MD5."""
+    columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    digest = F.md5(F.concat_ws("|", *columns).cast("binary"))
+    first, second = ((F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / float(1 << 52) for at in (1, 14))
+    return first, second

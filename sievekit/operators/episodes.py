@@ -33,6 +33,51 @@ def formatted(episodes: DataFrame, least: int = 100) -> DataFrame:
     return episodes.withColumn("formatted_text", episode_text(F.col("thought"), F.col("tool"), F.col("command"), F.col("observation"))).where(F.length("formatted_text") > least)
 
 
+def memory_target(n_memory: int, n_eval: int, multiplier: float = 3.0) -> int:
+    """How many episodes a collection goes on for: a multiple of what memory and evaluation need, but no fewer."""
+    return max(n_memory + n_eval, int((n_memory + n_eval) * multiplier))
+
+
+def collected(turns: DataFrame, n_memory: int, n_eval: int, multiplier: float = 3.0, least: int = 100, tool_role: str = "tool", first: int = 64, growth: int = 4) -> DataFrame:
+    """Episodes of the trajectories from the lowest id up to the one in which the collection's target is reached, that one as a whole; number: 0-based in (traj, pos) order. Ids are whole numbers; null ones are left out.
+
+    Ranges of ids are read in their order, each `growth` times as wide as the one before; the count of episodes is carried from range to range, and nothing
+    beyond the range that reaches the target is read. Ranges are filters on the id, which the scan of a table that is laid out by it prunes files and row groups by.
+    Fewer episodes than memory and evaluation need are an error; fewer than the target are all there are.
+    """
+    needed, target = n_memory + n_eval, memory_target(n_memory, n_eval, multiplier)
+    low, high = turns.agg(F.min("traj"), F.max("traj")).first()
+    if low is None:
+        raise ValueError(f"only 0 episodes, {needed} are needed")
+    until = lambda a, b: formatted(extract(turns.where((F.col("traj") >= a) & (F.col("traj") < b)), tool_role), least)
+    count, at, width, end = 0, low, first, high + 1
+    while at <= high:
+        ahead = until(at, at + width)
+        found = ahead.groupBy("traj").agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0] or 0
+        if count + found >= target:
+            end = cut_after(ahead.groupBy("traj").agg(F.count("*").alias("n")), "traj", "n", target - count) + 1
+            count = target
+            break
+        count, at, width = count + found, at + width, width * growth
+    if count < needed:
+        raise ValueError(f"only {count} episodes, {needed} are needed")
+    return numbered(until(low, end), ["traj", "pos"])
+
+
+def cut_after(sizes: DataFrame, key: str, size: str, total: int, parts: int = 64) -> int:
+    """The least key, a whole number, up to which sizes add up to total; sizes (a row a key) must add up to that. The interval is cut into parts again and again, of which only the sums meet."""
+    low, high = sizes.agg(F.min(key), F.max(key)).first()
+    while low < high:
+        step = -(-(high - low + 1) // parts)
+        part = F.floor((F.col(key) - F.lit(low)) / F.lit(step)).cast("long")
+        sums = dict(sizes.where((F.col(key) >= low) & (F.col(key) <= high)).groupBy(part.alias("p")).agg(F.sum(size)).collect())  # at most `parts` rows
+        k = 0
+        while total > sums.get(k, 0):
+            total, k = total - sums.get(k, 0), k + 1
+        low, high = low + k * step, min(high, low + (k + 1) * step - 1)
+    return low
+
+
 def numbered_by(keys: list[str]) -> Column:
     """0-based numbers in the order of keys, for rows that are few by construction (a limit before it)."""
     return (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long")

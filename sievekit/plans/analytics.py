@@ -146,20 +146,21 @@ def deltas(spark, sf_dir):
     return pairs(spark, sf_dir).select("query_id", F.col("hit_b").cast("int").alias("hit"), (F.col("hit_b").cast("int") - F.col("hit_a").cast("int")).alias("delta"))
 
 
-LF = "(0.9189385332046727::DOUBLE + (({0}) + 0.5::DOUBLE) * ln(({0}) + 7.5::DOUBLE) - (({0}) + 7.5::DOUBLE) + ln(" + repr(inference.LANCZOS[0]) + "::DOUBLE" + "".join(f" + {c!r}::DOUBLE / (({{0}}) + {k}::DOUBLE)" for k, c in enumerate(inference.LANCZOS[1:], 1)) + "))"
-
-
 def binomial_sql(name: str, reps: str, share: str, draw: str, step: int) -> str:
-    """CTEs to {name}: rep, m, k, total for the CTE reps (rep, m, total), where share is the one value of a scalar query between 0 and 1."""
-    lf = lambda x: LF.format(f"CAST({x} AS DOUBLE)")
-    return f"""{name}_p AS (SELECT DISTINCT m, {share} AS p FROM {reps}),
-{name}_w AS (SELECT m, p, CAST(greatest(floor(m * p - {inference.REACH} * (sqrt(m * p * (1 - p)) + 1)), 0) AS BIGINT) AS lo, CAST(least(ceil(m * p + {inference.REACH} * (sqrt(m * p * (1 - p)) + 1)), m) AS BIGINT) AS hi FROM {name}_p),
-{name}_k AS (SELECT m, p, hi, unnest(range(lo, hi + 1)) AS k FROM {name}_w),
-{name}_c AS (SELECT m, k, hi, sum(exp({lf('m')} - {lf('k')} - {lf('m - k')} + k * ln(p) + (m - k) * ln(1 - p))) OVER (PARTITION BY m ORDER BY k) AS upto FROM {name}_k),
-{name}_e AS (SELECT m, k, CASE WHEN k = hi THEN 2 ELSE upto END AS fin FROM {name}_c),
-{name}_i AS (SELECT m, k, fin, lag(fin, 1, -1) OVER (PARTITION BY m ORDER BY k) AS start FROM {name}_e),
-{name}_u AS (SELECT rep, m, total, {h(f"'{draw}'", 'rep', str(step))} / 4503599627370496::DOUBLE AS u FROM {reps}),
-{name} AS (SELECT rep, m, total, k FROM {name}_u JOIN {name}_i USING (m) WHERE u >= start AND u < fin)"""
+    """CTEs to {name}: rep, m, k, total for the CTE reps (rep, m, total), where share is the one value of a scalar query between 0 and 1: inversion for small means, else transformed rejection, the first try that is accepted."""
+    st = lambda x: f"(CASE WHEN {x} < 10 THEN {inference.STIRLING!r}[CAST({x} AS INTEGER) + 1] ELSE (1 / 12::DOUBLE - (1 / 360::DOUBLE - 1 / 1260::DOUBLE / (({x} + 1) * ({x} + 1))) / (({x} + 1) * ({x} + 1))) / ({x} + 1) END)"
+    half = lambda t, at: f"(CAST(('0x' || substr(md5(concat_ws('|', '{draw}', rep, {step}, {t})), {at}, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+    return f"""{name}_s AS (SELECT rep, m, total, CAST(m AS DOUBLE) AS n, least(s, 1 - s) AS p, s > 0.5 AS turned FROM {reps}, (SELECT {share} AS s)),
+{name}_g AS (SELECT *, sqrt(n * p * (1 - p)) AS s, 1.15::DOUBLE + 2.53::DOUBLE * sqrt(n * p * (1 - p)) AS b, p / (1 - p) AS r, floor((n + 1) * p) AS o FROM {name}_s WHERE n * p >= {inference.LEAST_MEAN}),
+{name}_y AS (SELECT *, -0.0873::DOUBLE + 0.0248::DOUBLE * b + 0.01::DOUBLE * p AS a, 0.92::DOUBLE - 4.2::DOUBLE / b AS sq, (2.83::DOUBLE + 5.1::DOUBLE / b) * s AS al, (o + 0.5::DOUBLE) * ln((o + 1) / (r * (n - o + 1))) + {st('o')} + {st('(n - o)')} AS top FROM {name}_g),
+{name}_u AS (SELECT *, u - 0.5::DOUBLE AS w, 0.5::DOUBLE - abs(u - 0.5::DOUBLE) AS us FROM (SELECT *, {half('t', 1)} AS u, {half('t', 14)} AS v FROM {name}_y, range({inference.TRIES}) tries(t))),
+{name}_k AS (SELECT *, floor((2 * a / us + b) * w + n * p + 0.5::DOUBLE) AS k FROM {name}_u),
+{name}_a AS (SELECT rep, t, k FROM (SELECT * FROM {name}_k WHERE k >= 0 AND k <= n OR us >= 0.07 AND v <= sq) WHERE us >= 0.07 AND v <= sq OR ln(v * al / (a / (us * us) + b)) <= top + (n + 1) * ln(1 + (k - o) / (n - k + 1)) + (k + 0.5::DOUBLE) * ln(r * (n - k + 1) / (k + 1)) - {st('k')} - {st('(n - k)')}),
+{name}_f AS (SELECT rep, arg_min(k, t) AS k FROM {name}_a GROUP BY rep),
+{name}_q AS (SELECT rep, n, p, {half('0', 1)} AS u, unnest(range({inference.MOST_SMALL + 1})) AS k FROM {name}_s WHERE n * p < {inference.LEAST_MEAN} AND n > 0 AND p > 0),
+{name}_h AS (SELECT rep, k, u, n, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))) OVER (PARTITION BY rep ORDER BY k) AS upto FROM {name}_q WHERE k <= n),
+{name}_v AS (SELECT rep, min(k) AS k FROM {name}_h WHERE u <= upto OR k = n GROUP BY rep),
+{name} AS (SELECT rep, m, total, CAST(CASE WHEN turned THEN n - coalesce(f.k, v.k, 0) ELSE coalesce(f.k, v.k, 0) END AS BIGINT) AS k FROM {name}_s LEFT JOIN {name}_f f USING (rep) LEFT JOIN {name}_v v USING (rep))"""
 
 
 def boot_sql(value: str, name: str, draws: int) -> str:
@@ -215,7 +216,7 @@ def sign_flip(spark, sf_dir):
 
 @query("percentiles", f"WITH {PAIRS} SELECT seed, round(quantile_cont(top1, 0.025), 6) AS p025, round(quantile_cont(top1, 0.5), 6) AS p50, round(quantile_cont(top1, 0.975), 6) AS p975 FROM pairs GROUP BY 1")
 def percentiles(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy("seed").agg(*[F.round(F.expr(f"percentile(top1, {q})"), 6).alias(n) for q, n in ((0.025, "p025"), (0.5, "p50"), (0.975, "p975"))])
+    return rounded(inference.quantiles(pairs(spark, sf_dir), ["seed"], "top1", {"p025": 0.025, "p50": 0.5, "p975": 0.975}), "p025", "p50", "p975")
 
 
 @query("mean_std", f"WITH {PAIRS} SELECT seed, round(avg(top1), 6) AS mean, round(stddev_samp(top1), 6) AS std, count(top1) AS n FROM pairs GROUP BY 1")

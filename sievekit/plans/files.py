@@ -78,12 +78,12 @@ def src_csv(spark, sf_dir):
     return sources.read_csv(spark, path).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("snk_csv", "SELECT source, doc_id FROM documents")
+@query("snk_csv", "SELECT coalesce(source, '') AS source, doc_id, md5(coalesce(text, '')) AS digest, CAST(length(coalesce(text, '')) AS BIGINT) AS size FROM documents")
 def snk_csv(spark, sf_dir):
-    """Fields in a fixed order below a header."""
+    """Fields in a fixed order below a header, whole texts among them."""
     path = scratch(spark)
-    sources.write_csv(rows(spark, sf_dir), path, ["source", "doc_id"])
-    return sources.read_csv(spark, path).select("source", F.col("doc_id").cast("long").alias("doc_id"))
+    sources.write_csv(table(spark, sf_dir, "documents"), path, ["source", "text", "doc_id"])
+    return sources.read_csv(spark, path).select("source", F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("size"))
 
 
 @query("src_parquet", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS size FROM embeddings")

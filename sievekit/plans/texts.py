@@ -178,3 +178,14 @@ def trajectory_limit(spark, sf_dir):
     from sievekit.sources import trajectories
 
     return trajectories(turns(spark, sf_dir), 20).groupBy("traj").agg(F.count("*").alias("n"))
+
+
+MEMORY, EVALUATION = 8, 2
+
+
+@query("trajectory_episodes", f"""WITH {EPISODES}, kept AS (SELECT traj, pos FROM fm WHERE length(formatted_text) > 100), sizes AS (SELECT traj, count(*) AS n FROM kept GROUP BY 1),
+upto AS (SELECT traj, sum(n) OVER (ORDER BY traj) - n AS before FROM sizes) SELECT printf('ep_%06d', row_number() OVER (ORDER BY traj, pos) - 1) AS episode_id, traj, pos FROM kept JOIN upto USING (traj) WHERE before < {episodes.memory_target(MEMORY, EVALUATION)}""")
+def trajectory_episodes(spark, sf_dir):
+    """Trajectories are read until they hold three times the episodes that memory and evaluation need."""
+    found = episodes.collected(turns(spark, sf_dir), MEMORY, EVALUATION, tool_role="user")
+    return found.select(F.format_string("ep_%06d", F.col("number")).alias("episode_id"), "traj", "pos")

@@ -40,8 +40,10 @@ def read_json_tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A header, and every field a string."""
-    return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+    """A header, and every field a string; an empty field is ''. Doubled quotes, blanks at the ends of fields and line ends inside them are text."""
+    options = {"header": True, "inferSchema": False, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+    found = spark.read.options(**options).csv(path)
+    return found.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in found.columns])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

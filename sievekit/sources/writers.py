@@ -18,7 +18,9 @@ def write_json(report: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], overwrite: bool = False) -> None:
-    rows.select(*columns).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+    """A header and the columns in this order; quotes inside a field are doubled, blanks at its ends and line ends kept. read_csv() gives the same text back; nulls come back as empty fields."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(*[F.col(f"`{c}`") for c in columns]).write.mode("overwrite" if overwrite else "errorifexists").options(**options).csv(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

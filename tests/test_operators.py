@@ -211,30 +211,93 @@ def test_resampling(spark):
     assert statistics.mean(means) == pytest.approx(0.25, abs=0.03)
 
 
-def uniform_of(*parts):
+def uniforms_of(*parts):
     import hashlib
 
-    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+    digits = hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    return [(int(digits[at : at + 13], 16) + 0.5) / 2**52 for at in (0, 13)]
 
 
-def plain_binomial(m, share, u):
-    """The first k whose cumulated probability is over u, from exact binomial coefficients."""
+def exact_chances(m, share):
     import math
     from fractions import Fraction
 
-    p, upto = Fraction(share), Fraction(0)
-    for k in range(m + 1):
-        upto += math.comb(m, k) * p**k * (1 - p) ** (m - k)
+    p = Fraction(share)
+    return [math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(m + 1)]
+
+
+def plain_inversion(m, share, u):
+    """The first k whose cumulated probability is over u, from exact binomial coefficients."""
+    if share > 0.5:
+        return m - plain_inversion(m, 1 - share, u)
+    upto = 0
+    for k, chance in enumerate(exact_chances(m, share)):
+        upto += chance
         if upto > u:
             return k
     return m
 
 
-def test_draws_follow_exact_probabilities(spark):
-    for m, share in ((40, 0.3), (7, 0.9), (1, 0.5)):
+def test_small_draws_follow_exact_probabilities(spark):
+    for m, share in ((30, 0.3), (7, 0.9), (1, 0.5), (0, 0.3), (5, 0.0), (5, 1.0)):
         reps = spark.range(60).select(F.col("id").alias("rep"), F.lit(m).cast("long").alias("m"))
         got = {r.rep: r.k for r in inference.binomial(reps, "t", 3, share).collect()}
-        assert got == {rep: plain_binomial(m, share, uniform_of("t", rep, 3)) for rep in range(60)}
+        assert got == {rep: plain_inversion(m, share, uniforms_of("t", rep, 3, 0)[0]) for rep in range(60)}
+
+
+def test_rejected_draws_have_the_exact_distribution(spark):
+    """Chi-squared of 20,000 draws against exact chances, on both sides of a half, just over the bound of the method and far from it."""
+    for m, share in ((40, 0.3), (25, 0.6), (400, 0.5), (1000, 0.02)):
+        reps = spark.range(20_000).select(F.col("id").alias("rep"), F.lit(m).cast("long").alias("m"))
+        found = {r.k: r["count"] for r in inference.binomial(reps, "chi", 0, share).groupBy("k").count().collect()}
+        cells, met, chance = [], 0, 0.0
+        for k, c in enumerate(exact_chances(m, share)):
+            met, chance = met + found.pop(k, 0), chance + float(c)
+            if chance * 20_000 >= 10:
+                cells.append((met, chance * 20_000))
+                met, chance = 0, 0.0
+        cells[-1] = (cells[-1][0] + met, cells[-1][1] + chance * 20_000)
+        squares = sum((o - e) ** 2 / e for o, e in cells)
+        assert not found and squares < len(cells) - 1 + 4 * (2 * (len(cells) - 1)) ** 0.5
+
+
+def test_rejection_step_by_step(spark):
+    """The same tries in plain Python."""
+    import math
+
+    def plain(m, p, rep):
+        s, ratio, mode = math.sqrt(m * p * (1 - p)), p / (1 - p), math.floor((m + 1) * p)
+        b = 1.15 + 2.53 * s
+        a, tail = -0.0873 + 0.0248 * b + 0.01 * p, lambda k: math.lgamma(k + 1) - (k + 0.5) * math.log(k + 1) + k + 1
+        for t in range(64):
+            u, v = uniforms_of("t", rep, 0, t)
+            u -= 0.5
+            us = 0.5 - abs(u)
+            k = math.floor((2 * a / us + b) * u + m * p + 0.5)
+            if us >= 0.07 and v <= 0.92 - 4.2 / b:
+                return k
+            if 0 <= k <= m:
+                height = (mode + 0.5) * math.log((mode + 1) / (ratio * (m - mode + 1))) + (m + 1) * math.log((m - mode + 1) / (m - k + 1)) + (k + 0.5) * math.log(ratio * (m - k + 1) / (k + 1))
+                if math.log(v * (2.83 + 5.1 / b) * s / (a / us**2 + b)) <= height + tail(mode) + tail(m - mode) - tail(k) - tail(m - k):
+                    return k
+
+    for m, p in ((200, 0.25), (5000, 0.4)):
+        reps = spark.range(500).select(F.col("id").alias("rep"), F.lit(m).cast("long").alias("m"))
+        assert {r.rep: r.k for r in inference.binomial(reps, "t", 0, p).collect()} == {rep: plain(m, p, rep) for rep in range(500)}
+
+
+def test_replicates_cost_the_same_for_any_number_of_rows(spark):
+    """Four thousand million rows, known by their counts, and as many values as a column may have; the plan has neither join nor shuffle."""
+    n = 4_000_000_000
+    counts = [(-1.0, n // 10), (0.0, 6 * n // 10), (1.0, 3 * n // 10)]
+    drawn = inference.resampled(spark.range(2000).withColumnRenamed("id", "rep"), counts, "big")
+    means, spread = [r["mean"] for r in drawn.collect()], ((0.4 - 0.2**2) / n) ** 0.5
+    assert statistics.mean(means) == pytest.approx(0.2, abs=4 * spread / 2000**0.5)
+    assert statistics.stdev(means) == pytest.approx(spread, rel=0.08)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Join", "Exchange", "Window", "Generate"))
+    many = inference.resampled(spark.range(300).withColumnRenamed("id", "rep"), [(float(v), 1000 + v) for v in range(64)], "many").agg(F.avg("mean")).first()[0]
+    assert many == pytest.approx(sum(v * (1000 + v) for v in range(64)) / sum(1000 + v for v in range(64)), abs=0.05)
 
 
 def test_resamples_are_as_wide_as_they_should_be(spark):
@@ -345,3 +408,80 @@ def test_stream_answers_once(spark, tmp_path):
         stream = spark.readStream.schema("query_id long, query string").parquet(f"{tmp_path}/in")
         answer_stream(stream, lambda q: q.withColumn("n", F.length("query")), f"{tmp_path}/out", f"{tmp_path}/checkpoint{n}", ["query_id"]).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+CSV_TEXTS = ["plain", "  lead trail ", 'say "hi", ok', '"', '""', "a\nb", "a\r\nb", "a\rb", "\r", "\n", "", "\\", 'a\\"b', "\t x", ",", 'x,"y"\r\n,z', " ", "end\\", None, '"quoted"', "a\r", "h,1\n2,t"]
+
+
+def test_csv_keeps_text(spark, tmp_path):
+    """Quotes, blanks at the ends, line ends of every kind, backslashes; empty and null fields are ''."""
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(CSV_TEXTS)], "id long, `a.text` string")
+    write_csv(rows.repartition(3), str(tmp_path / "x"), ["a.text", "id"])
+    got = read_csv(spark, str(tmp_path / "x"))
+    assert got.columns == ["a.text", "id"]
+    assert {int(r["id"]): r["a.text"] for r in got.collect()} == {k: t or "" for k, t in enumerate(CSV_TEXTS)}
+
+
+def test_quantiles_of_groups(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(g, rnd.choice([0.5, 0.5, rnd.random(), None])) for g in ("a", "b", None) for _ in range(500)] + [("one", 7.0), ("none", None), ("same", 2.0), ("same", 2.0), ("two", 1.0), ("two", 2.0)]
+    asked = {"low": 0.0, "q": 0.025, "half": 0.5, "far": 0.975, "high": 1.0}
+    got = {r["g"]: [r[n] for n in asked] for r in inference.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", asked).collect()}
+
+    def plain(values, q):
+        values, at = sorted(values), q * (len(values) - 1)
+        return values[int(at)] + (values[min(int(at) + 1, len(values) - 1)] - values[int(at)]) * (at - int(at))
+
+    groups = {g: [v for h, v in rows if h == g and v is not None] for g in ("a", "b", None, "one", "same", "two")}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert got[g] == pytest.approx([plain(values, q) for q in asked.values()], abs=1e-12)
+    assert inference.quantiles(spark.range(5), [], "id", {"x": 0.5}).collect()[0]["x"] == 2.0
+    assert inference.quantiles(spark.range(0), [], "id", {"x": 0.5}).count() == 0
+
+
+def test_quantiles_of_one_large_group(spark):
+    """A million different values of one seed, in the order of a hash."""
+    rows = spark.range(1_000_000).select(F.lit(42).alias("seed"), (F.pmod(F.col("id") * 7919, F.lit(1_000_000)) / 4).alias("v"))
+    got = inference.quantiles(rows, ["seed"], "v", {"p": 0.025, "m": 0.5, "t": 0.9999}).first()
+    assert (got.p, got.m, got.t) == pytest.approx((0.025 * 999_999 / 4, 0.5 * 999_999 / 4, 0.9999 * 999_999 / 4), abs=1e-6)
+
+
+def conversation(spark, n):
+    """Two actor turns a trajectory, each with a tool's answer; every third trajectory's are too short to count."""
+    return spark.range(n).select((F.col("id") * 10).alias("traj"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).select("traj", "pos", F.when(F.col("pos") % 2 == 0, "assistant").otherwise("tool").alias("role"), F.repeat(F.lit("c"), F.when(F.col("traj") % 30 == 0, 5).otherwise(200)).alias("content"), F.lit("t").alias("thought"), F.lit("run").alias("tool"), F.lit(None).cast("string").alias("arguments"))
+
+
+def test_collection_stops_at_the_trajectory_that_is_enough(spark):
+    turns = conversation(spark, 500)
+    # 2 * 3 * 7 = 42 episodes, two of each trajectory that counts
+    got = episodes.collected(turns, 10, 4, first=8).orderBy("number").collect()
+    counted = [10 * k for k in range(500) if k % 3][:21]
+    assert [r.traj for r in got] == [t for t in counted for _ in range(2)] and [r.number for r in got] == list(range(42))
+    # one more is wanted: the trajectory that holds it comes as a whole
+    assert episodes.collected(turns, 43, 0, 1.0, first=8).count() == 44
+    assert episodes.collected(turns, 100, 0, 50.0).count() == 666  # all there are
+    with pytest.raises(ValueError, match="only 666"):
+        episodes.collected(turns, 600, 100)
+    with pytest.raises(ValueError, match="only 0"):
+        episodes.collected(turns.limit(0), 1, 0)
+
+
+def test_collection_does_not_read_later_ranges(spark):
+    turns = conversation(spark, 5000)
+    trap = F.when(F.col("traj") >= 1000, F.raise_error(F.concat(F.lit("read "), F.col("traj").cast("string")))).otherwise(F.col("thought"))
+    assert episodes.collected(turns.withColumn("thought", trap), 10, 4, first=64).count() == 42
+
+
+def test_cut_by_sums(spark):
+    sizes = spark.createDataFrame([(k * k, 1 + k % 3) for k in range(200)], "k long, n long")
+    for total in (1, 2, 3, 150, 399):
+        upto, want = 0, None
+        for k in range(200):
+            upto += 1 + k % 3
+            if upto >= total:
+                want = k * k
+                break
+        assert episodes.cut_after(sizes, "k", "n", total, parts=5) == want
