@@ -5,24 +5,36 @@ Rows shuffled are rows + queries * blocks. A task holds one block and one batch
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def streamed(rows: DataFrame, queries: DataFrame, n_rows: int, block_rows: int, build: Callable, columns: list[str]) -> DataFrame:
-    """rows doc_id, queries query_id, both with the other columns -> query_id, doc_id, score.
+#: A block of fewer rows than this is not worth a task of its own.
+SMALL_BLOCK = 1_024
+
+
+def block_count(spark: SparkSession, rows: Column, most: int) -> Column:
+    """In how many blocks of up to `most` rows a table is dealt: enough to keep all cores busy while blocks are not small."""
+    cores = F.least(F.lit(spark.sparkContext.defaultParallelism), F.ceil(rows / F.least(F.lit(SMALL_BLOCK), F.lit(most))))
+    return F.greatest(F.lit(1), cores, F.ceil(rows / most)).cast("long")
+
+
+def streamed(rows: DataFrame, queries: DataFrame, block_rows: int, build: Callable, columns: list[str]) -> DataFrame:
+    """rows doc_id, queries query_id, both with the other columns, and with part where queries meet the rows of their own part only -> query_id, doc_id, score.
 
     build(record batch of the block's rows) -> answer(record batch of queries) -> (positions in the query batch, positions in the block, scores) as arrays.
     """
     kind = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *queries.schema.fields]}
-    blocks = max(1, math.ceil(n_rows / block_rows))
+    part = lambda df: F.coalesce(F.col("part").cast("string"), F.lit("")) if "part" in df.columns else F.lit("")
     none = lambda name: F.lit(None).cast(kind[name]).alias(name)
-    held = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "doc_id", none("query_id"), *columns)
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("asks"), none("doc_id"), "query_id", *columns)
-    dealt = held.unionByName(asked).repartition(blocks, "b").sortWithinPartitions("b", "asks")
+    held, asked = rows.select(part(rows).alias("part"), "doc_id", *columns), queries.select(part(queries).alias("part"), "query_id", *columns)
+    blocks = F.broadcast(held.groupBy("part").agg(F.count("*").alias("n")).select("part", block_count(rows.sparkSession, F.col("n"), block_rows).alias("blocks")))  # a row a part
+    name = lambda b: F.concat_ws(":", b, "part").alias("b")
+    held = held.join(blocks, "part").select(name(F.pmod(F.xxhash64("doc_id"), F.col("blocks"))), F.lit(False).alias("asks"), "doc_id", none("query_id"), *columns)
+    asked = asked.join(blocks, "part").select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "*").select(name(F.col("k")), F.lit(True).alias("asks"), none("doc_id"), "query_id", *columns)
+    dealt = held.unionByName(asked).repartition("b").sortWithinPartitions("b", "asks")
     return dealt.mapInArrow(_answered(build), f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, score double")
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.functions.hashing import hash52
 from sievekit.functions.ranks import dot
 from sievekit.functions.text import tokens
 from sievekit.operators.blocks import first_k, id_ranks, ranked, streamed
 
 BUCKETS = 64
-BLOCK_ROWS, PRODUCT_ROWS = 4_096, 256
+BLOCK_ROWS, PRODUCT_ROWS = 32_768, 64
 
 
 def unit(vector: Column) -> Column:
@@ -21,11 +22,53 @@ def unit(vector: Column) -> Column:
 
 
 def hashed_vectors(texts: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """key, embedding: counts of token hashes, normalised. Stands in for a model where none can be loaded. Texts without tokens have none. Counted within the row: no shuffle."""
-    hashed = F.transform(tokens(F.col(text)), lambda t: (hash52(t) % buckets).cast("int"))
-    listed = texts.select(key, F.explode(F.array(hashed)).alias("h")).where(F.size("h") > 0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter("h", lambda x: x == b)).cast("double"))
-    return listed.select(key, F.explode(F.array(raw)).alias("raw")).select(key, unit(F.col("raw")).alias("embedding"))
+    """key, embedding: counts of token hashes, normalised. Stands in for a model where none can be loaded. Texts without tokens have none. Counted in one pass over a row's tokens: no shuffle."""
+
+    def counted(batches):
+        from hashlib import md5
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            met = np.flatnonzero(sizes)
+            coded = lists.flatten().dictionary_encode()
+            # a word is hashed once a batch: the first 52 bits of its MD5, as hash52() has them
+            places = np.array([int(md5(w.encode()).hexdigest()[:13], 16) % buckets for w in coded.dictionary.to_pylist()], dtype=np.int64)
+            cells = np.repeat(np.arange(len(met)), sizes[met]) * buckets + places[coded.indices.to_numpy(zero_copy_only=False)] if len(met) else np.zeros(0, dtype=np.int64)
+            counts = np.bincount(cells, minlength=len(met) * buckets).reshape(len(met), buckets).astype(np.float64)
+            vectors = counts / np.sqrt((counts**2).sum(axis=1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(met)), pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), buckets).cast(pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return texts.select(key, tokens(F.col(text)).alias("terms")).mapInArrow(counted, f"{key} {texts.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
+def modelled_vectors(texts: DataFrame, model: Callable, key: str = "doc_id", text: str = "text", batch_rows: int = 64) -> DataFrame:
+    """key, embedding by a model: model() is called once a task (it loads what it needs there) and gives a function from a list of texts to a table of vectors, one a text. Vectors are normalised; null texts are empty ones."""
+
+    def embedded(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        encode = model()
+        for batch in batches:
+            for first in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(first, batch_rows)
+                raw = np.asarray(encode([t or "" for t in part.column(1).to_pylist()]), dtype=np.float64)
+                if raw.shape[:1] != (part.num_rows,) or raw.ndim != 2:
+                    raise ValueError(f"the model gave an array of shape {raw.shape} for {part.num_rows} texts")
+                norms = np.linalg.norm(raw, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)), pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return texts.select(key, F.col(text).cast("string").alias("text")).mapInArrow(embedded, f"{key} {texts.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
+def tabled_vectors(texts: DataFrame, table: DataFrame, key: str = "doc_id", table_key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key, embedding from a table of vectors computed before, normalised; texts that it lacks have none."""
+    held = table.select(F.col(table_key).alias(key), F.col(vector).cast("array<double>").alias("raw")).where("raw is not null")
+    return texts.select(key).join(held, key).select(key, unit(F.col("raw")).alias("embedding"))
 
 
 def _products(k: int):
@@ -56,8 +99,9 @@ def _products(k: int):
     return build
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, n_vectors: int | None = None) -> DataFrame:
-    """vectors doc_id, embedding; queries query_id, vector, all of one length -> query_id, doc_id, score, rank: the k largest inner products, ties to the smaller doc_id. Rows without a vector take no part."""
-    held = vectors.where("embedding is not null").select("doc_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("v"))
-    return ranked(streamed(held, asked, vectors.count() if n_vectors is None else n_vectors, BLOCK_ROWS, _products(k), ["v"]), k)
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """vectors doc_id, embedding; queries query_id, vector, all of one length -> query_id, doc_id, score, rank: the k largest inner products, ties to the smaller doc_id. Rows without a vector take no part. With a column part on both sides, queries meet their own part only."""
+    part = ["part"] if "part" in vectors.columns else []
+    held = vectors.where("embedding is not null").select(*part, "doc_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("vector is not null").select(*part, "query_id", F.col("vector").cast("array<double>").alias("v"))
+    return ranked(streamed(held, asked, BLOCK_ROWS, _products(k), ["v"]), k)

@@ -16,7 +16,7 @@ MODES = ("selective", "always", "traces", "paraphrases", "dense", "random")
 THRESHOLD, RANDOM_RATE = 0.65, 0.46
 
 
-def expands(mode: str, top1: Column, query_id: Column, threshold: float = THRESHOLD, rate: float = RANDOM_RATE, seed: int = 42) -> Column:
+def expands(mode: str, top1: Column, query_id: Column, threshold: float = THRESHOLD, rate: float = RANDOM_RATE, seed: Column | int = 42) -> Column:
     """Whether a query is expanded in a mode. A query without results has top1 0."""
     top1 = F.round(F.coalesce(top1, F.lit(0.0)), 6)
     if mode == "selective":
@@ -77,15 +77,33 @@ def gated_retrieval(original: DataFrame, variants: DataFrame, mode: str, dense:
         return plain
     wanted = gated.where("expanded").select("query_id")
     chosen = variants.where(F.col("kind").isin(*kinds)).join(wanted, "query_id")
-    lists = [as_list(original.join(wanted, "query_id", "left_semi"), 0)]
-    number = F.when(F.col("kind") == "trace", F.col("ord") * 2 + 1).otherwise(F.col("ord") + 1_000)
-    asked = chosen.select(F.struct("query_id", number.alias("list_ord")).alias("key"), "kind", "text")
-    text = lambda part: part.select(F.concat_ws(":", "key.query_id", "key.list_ord").alias("query_id"), F.col("text").alias("query"))
-    back = lambda found, step: found.select(F.split("query_id", ":")[0].cast("long").alias("query_id"), (F.split("query_id", ":")[1].cast("int") + step).alias("list_ord"), "rank", "doc_id")
-    lists.append(back(dense(text(asked), 2 * k), 0))
-    if "trace" in kinds:
-        lists.append(back(sparse(text(asked.where("kind = 'trace'")), 2 * k), 1))
-    every = lists[0]
-    for more in lists[1:]:
-        every = every.unionByName(more)
+    every = as_list(original.join(wanted, "query_id", "left_semi"), 0).unionByName(variant_lists(chosen, dense, sparse, k).drop("kind"))
     return plain.unionByName(rrf(every, k).select("query_id", F.lit(True).alias("expanded"), "doc_id", "rank"))
+
+
+def variant_lists(variants: DataFrame, dense: Callable[[DataFrame, int], DataFrame], sparse: Callable[[DataFrame, int], DataFrame], k: int = 10) -> DataFrame:
+    """query_id, kind, list_ord, rank, doc_id: a dense list of depth 2k of each variant, and a sparse one of each trace. The scorers see a variant as a query of the id query_id:list_ord."""
+    number = F.when(F.col("kind") == "trace", F.col("ord") * 2 + 1).otherwise(F.col("ord") + 1_000)
+    asked = variants.select(F.concat_ws(":", "query_id", number).alias("query_id"), "kind", F.col("text").alias("query"))
+    back = lambda found, step: found.select(owner(F.col("query_id")).alias("query_id"), (F.split("query_id", ":")[1].cast("int") + step).alias("list_ord"), "rank", "doc_id")
+    lists = back(dense(asked.select("query_id", "query"), 2 * k), 0).unionByName(back(sparse(asked.where("kind = 'trace'").select("query_id", "query"), 2 * k), 1))
+    return lists.select("query_id", F.when(F.col("list_ord") < 1_000, "trace").otherwise("paraphrase").alias("kind"), "list_ord", "rank", "doc_id")
+
+
+def owner(query_id: Column) -> Column:
+    """The query that a variant's id belongs to; a query's own id is its own."""
+    return F.split(query_id.cast("string"), ":")[0].cast("long")
+
+
+def suite(original: DataFrame, lists: DataFrame, modes: tuple[str, ...], seed: Column, k: int = 10, threshold: float = THRESHOLD, rate: float = RANDOM_RATE) -> DataFrame:
+    """Every mode over one set of lists: original query_id, doc_id, score, rank at depth 2k; lists those of all variants -> mode, query_id, expanded, doc_id, rank. seed: a column of query_id, for the random mode. No list is made twice: a mode picks the kinds that it fuses, and fusion is keyed by mode and query."""
+    top1 = original.groupBy("query_id").agg(F.max("score").alias("top1"))
+    gates = [F.struct(F.lit(m).alias("mode"), expands(m, F.col("top1"), F.col("query_id"), threshold, rate, seed).alias("expanded")) for m in modes]
+    gated = top1.select("query_id", F.explode(F.array(*gates)).alias("g")).select("query_id", "g.*")
+    plain = original.join(gated.where("not expanded"), "query_id").where(F.col("rank") <= k).select("mode", "query_id", "expanded", "doc_id", "rank")
+    fuses = F.lit(False)
+    for m in modes:
+        fuses = fuses | ((F.col("mode") == m) & F.col("kind").isin("original", *variant_kinds(m)))
+    every = as_list(original, 0).withColumn("kind", F.lit("original")).unionByName(lists)
+    fused = rrf(every.join(gated.where("expanded"), "query_id").where(fuses).select(F.struct("mode", "query_id").alias("query_id"), "list_ord", "rank", "doc_id"), k)
+    return plain.unionByName(fused.select("query_id.mode", "query_id.query_id", F.lit(True).alias("expanded"), "doc_id", "rank"))

@@ -1,4 +1,12 @@
-"""BM25. Statistics of terms are aggregated over all documents; scoring deals documents, not terms, to tasks, so a common term is no hot key."""
+"""BM25 over an inverted index that is written once and read by any number of query sets.
+
+The index is cut into blocks of documents (by a hash of the id, BLOCK_ROWS of them), each with one row a term: how many postings, the largest part of a score
+(impact), and the postings by falling impact. A query set reads only the postings of terms that it asks for; only these are shuffled, with one row a query and block. A task holds
+the asked postings of one block, and queries stream past. A query's terms are taken by falling bound (weight times largest impact): once k documents have a score, a document
+that was not met yet is left out as soon as the terms to come cannot lift it to the k-th score, so the ends of long lists are read for documents met already only.
+
+A memory that consists of independent parts (a column of documents and queries) is one index: statistics, blocks and lists are the part's own.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.text import tokens
-from sievekit.operators.blocks import first_k, id_ranks, ranked, streamed
+from sievekit.operators.blocks import block_count, first_k, ranked
+from sievekit.sources.writers import scratch
 
 #: The defaults of the public Okapi implementation that results have to match.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
+#: Scores are compared at nine decimals; bounds keep this much room.
+SLACK = 1e-8
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -30,80 +41,213 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def term_weights(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf: negative idf is replaced by EPSILON times the mean idf of all terms."""
-    counted = frequencies.crossJoin(F.broadcast(stats))  # stats is one row
+    """term, df, idf: negative idf is replaced by EPSILON times the mean idf of all terms. With a column part on both sides, each part by itself."""
+    parted = "part" in frequencies.columns
+    counted = frequencies.join(F.broadcast(stats), "part") if parted else frequencies.crossJoin(F.broadcast(stats))  # one row (a part)
     raw = counted.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    mean = (raw.groupBy("part") if parted else raw).agg(F.avg("raw").alias("mean"))
+    both = raw.join(F.broadcast(mean), "part") if parted else raw.crossJoin(F.broadcast(mean))
+    return both.select(*(["part"] if parted else []), "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def _inverted(batches):
+    """part, b, doc_id, terms, avgdl, sorted by the first three -> part, b, ids (of the block, on a row without a term), term, n, top, places, impacts (by falling impact)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def block(part, b, tables):
+        whole = pa.concat_tables(tables).combine_chunks()
+        listed, ids = whole["terms"].combine_chunks(), whole["doc_id"].combine_chunks()
+        n, sizes = len(listed), np.diff(listed.offsets.to_numpy())
+        yield rows(part, b, [None], [n], [None], [None], [None], ids)
+        coded = listed.flatten().dictionary_encode()
+        words, avgdl = coded.dictionary, whole["avgdl"][0].as_py() or 1.0
+        keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+        terms, docs = keys // n, (keys % n).astype("<i4")
+        impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / avgdl))
+        order = np.lexsort((-impacts, terms))  # stable: keys are sorted by term and document
+        docs, impacts = docs[order], impacts[order].astype("<f8")
+        ends = np.append(0, np.cumsum(np.bincount(terms, minlength=len(words))))
+        for first in range(0, len(words), 50_000):
+            cuts = ends[first : first + 50_001]
+            a, z = int(cuts[0]), int(cuts[-1])
+            packed = lambda values, width: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(((cuts - a) * width).astype("<i4")), pa.py_buffer(values[a:z].tobytes())])
+            yield rows(part, b, words.slice(first, len(cuts) - 1), np.diff(cuts), impacts[cuts[:-1]], packed(docs, 4), packed(impacts, 8), None, ids.type)
+
+    def rows(part, b, terms, n, tops, places, impacts, ids, kind=None):
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if ids is not None else pa.nulls(len(terms), pa.list_(kind))
+        fixed = lambda x, t: pa.array([x] * len(n), t)
+        return pa.RecordBatch.from_arrays([fixed(part, pa.string()), fixed(b, pa.int32()), pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(tops, pa.float64()), pa.array(places, pa.binary()), pa.array(impacts, pa.binary()), listed], names=["part", "b", "term", "n", "top", "places", "impacts", "ids"])
+
+    now, held = None, []
+    for batch in batches:
+        for (part, b), own in _by_block(batch):
+            if now != (part, b):
+                if held:
+                    yield from block(*now, held)
+                now, held = (part, b), []
+            held.append(own)
+    if held:
+        yield from block(*now, held)
+
+
+def _by_block(batch):
+    """(part, b), rows of a batch that is sorted by both."""
+    import pyarrow as pa
+
+    table, keys = pa.Table.from_batches([batch]), list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    first = 0
+    for k in range(1, len(keys) + 1):
+        if k == len(keys) or keys[k] != keys[first]:
+            yield keys[first], table.slice(first, k - first)
+            first = k
+
+
+class Postings:
+    """The asked terms' postings of one block."""
+
+    def __init__(self, n: int):
+        self.n, self.terms, self.sorted = n, {}, {}
+
+    def add(self, term: str, top: float, places: bytes, impacts: bytes):
+        import numpy as np
+
+        self.terms[term] = (top, np.frombuffer(places, dtype="<i4"), np.frombuffer(impacts, dtype="<f8"))
 
+    def met_in(self, term: str, docs):
+        """Impacts of a term for such of the documents (places) as it has, and which these are."""
+        import numpy as np
 
-def _index(k: int, avgdl: float):
-    """A block's inverted table: postings sorted by term, each with its part of the score."""
+        if term not in self.sorted:
+            order = np.argsort(self.terms[term][1])
+            self.sorted[term] = (self.terms[term][1][order], self.terms[term][2][order])
+        places, impacts = self.sorted[term]
+        at = np.minimum(np.searchsorted(places, docs), len(places) - 1)
+        found = places[at] == docs
+        return docs[found], impacts[at[found]]
 
-    def build(block):
+    def best(self, terms: list, weights: list, k: int):
+        """(places, scores) of the k best documents that hold a term, ties to the smaller place; how many entries were read and how many there are."""
         import numpy as np
+
+        lists = sorted(((w * self.terms[t][0], w, t) for t, w in zip(terms, weights) if t in self.terms), key=lambda x: -x[0])
+        total, met, read, bounded = np.zeros(self.n), np.zeros(self.n, dtype=bool), 0, all(w >= 0 for w in weights)
+        rest = sum(bound for bound, _, _ in lists)
+        for bound, weight, term in lists:
+            _, places, impacts = self.terms[term]
+            rest, cut, seen = rest - bound, len(places), None
+            if bounded:
+                seen = np.flatnonzero(met)
+                if len(seen) >= k:
+                    kth = np.partition(total[seen], len(seen) - k)[len(seen) - k]
+                    # entries from the cut on cannot lift a document that was not met yet to the k-th score
+                    cut = int(np.searchsorted(-impacts * weight, rest - kth + SLACK, side="right"))
+            if cut < len(places):
+                if 8 * len(seen) < len(places) - cut:
+                    own, gained = self.met_in(term, seen)
+                    head = ~met[places[:cut]]
+                    new, more = places[:cut][head], impacts[:cut][head]
+                    own, gained, read = np.append(own, new), np.append(gained, more), read + len(seen) + cut
+                else:
+                    kept = np.append(np.ones(cut, dtype=bool), met[places[cut:]])
+                    own, gained, read = places[kept], impacts[kept], read + len(places)
+            else:
+                own, gained, read = places, impacts, read + len(places)
+            total[own] += weight * gained
+            met[own] = True
+        found = np.flatnonzero(met)
+        best = found[first_k(total[found], found, k)]
+        return best, total[best], read, sum(len(self.terms[t][1]) for _, _, t in lists)
+
+
+def _answered(k: int):
+    """part, b, kind (0 ids, 1 postings, 2 queries), term, top, places, impacts, ids, query_id, terms, weights -> query_id, doc_id, score, read, held."""
+
+    def answered(batches):
         import pyarrow as pa
 
-        listed = block["terms"].combine_chunks()
-        n = len(listed)
-        sizes = np.diff(listed.offsets.to_numpy())
-        coded = listed.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        place = dict(zip(words, range(len(words))))
-        keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        terms, docs = keys // n, keys % n
-        starts = np.searchsorted(terms, np.arange(len(place) + 1))
-        parts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / avgdl))
-        ids = id_ranks(block["doc_id"].combine_chunks())
-
-        def answer(asked):
-            at, found, scores = [], [], []
-            for j, (terms_asked, weights) in enumerate(zip(asked["terms"].to_pylist(), asked["weights"].to_pylist())):
-                total, met = np.zeros(n), np.zeros(n, dtype=bool)
-                for word, weight in zip(terms_asked, weights):
-                    if (t := place.get(word)) is not None:
-                        own = docs[starts[t] : starts[t + 1]]
-                        total[own] += weight * parts[starts[t] : starts[t + 1]]
-                        met[own] = True
-                rows = np.flatnonzero(met)
-                best = rows[first_k(total[rows], ids[rows], k)]
-                at += [j] * len(best)
-                found += best.tolist()
-                scores += total[best].tolist()
-            return pa.array(at, pa.int64()), pa.array(found, pa.int64()), scores
-
-        return answer
-
-    return build
+        now, block, ids = None, None, None
+        for batch in batches:
+            for key, own in _by_block(batch):
+                if now != key:
+                    now, block, ids = key, None, None
+                rows = own.select(["kind", "term", "top", "places", "impacts"]).to_pylist()
+                asked = own.select(["query_id", "terms", "weights"])
+                at, place, scores, read, held = [], [], [], [], []
+                for j, row in enumerate(rows):
+                    if row["kind"] == 0:
+                        ids = own["ids"].combine_chunks().slice(j, 1).flatten()
+                        block = Postings(len(ids))
+                    elif row["kind"] == 1:
+                        block.add(row["term"], row["top"], row["places"], row["impacts"])
+                    elif block is not None:
+                        places, best, entries, every = block.best(asked["terms"][j].as_py(), asked["weights"][j].as_py(), k)
+                        at += [j] * len(places)
+                        place += places.tolist()
+                        scores += best.tolist()
+                        read += [entries] * len(places)
+                        held += [every] * len(places)
+                if at:
+                    yield pa.RecordBatch.from_arrays([asked["query_id"].combine_chunks().take(pa.array(at)), ids.take(pa.array(place)), pa.array(scores, pa.float64()), pa.array(read, pa.int64()), pa.array(held, pa.int64())], names=["query_id", "doc_id", "score", "read", "held"])
+
+    return answered
 
 
 class Index:
-    """What scoring needs of a corpus, computed once for any number of query sets: the statistics of terms, kept, and the number of documents and their mean length."""
-
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
-        self.n_docs, self.avgdl = corpus_stats(docs).first()
-        stats = docs.sparkSession.createDataFrame([(self.n_docs, self.avgdl)], "n_docs long, avgdl double")
-        self.weights = term_weights(document_frequencies(docs), stats).persist()
+    """docs doc_id, text, and with `part` the column that names the memory a document belongs to. Written to path: stats, blocks, terms; a new scratch folder if none is given."""
+
+    def __init__(self, docs: DataFrame, path: str | None = None, part: str | None = None):
+        spark, self.part = docs.sparkSession, part
+        self.path = path or scratch(spark)
+        name = F.coalesce(F.col(part).cast("string"), F.lit("")) if part else F.lit("")
+        held = docs.select(name.alias("part"), "doc_id", tokens(F.col("text")).alias("terms"))
+        stats = held.groupBy("part").agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
+        stats = stats.withColumn("blocks", block_count(spark, F.col("n_docs"), BLOCK_ROWS))
+        stats.write.mode("errorifexists").parquet(f"{self.path}/stats")
+        self.stats = spark.read.schema(stats.schema).parquet(f"{self.path}/stats")  # a row a part
+        b = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+        dealt = held.join(F.broadcast(self.stats), "part").select("part", b.alias("b"), "doc_id", "terms", "avgdl").repartition("part", "b").sortWithinPartitions("part", "b", "doc_id")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        blocks = dealt.mapInArrow(_inverted, f"part string, b int, term string, n long, top double, places binary, impacts binary, ids array<{kind}>")
+        blocks.write.mode("errorifexists").parquet(f"{self.path}/blocks")
+        self.blocks = spark.read.schema(blocks.schema).parquet(f"{self.path}/blocks")
+        weights = term_weights(self.blocks.where("term is not null").groupBy("part", "term").agg(F.sum("n").alias("df")), self.stats.select("part", "n_docs"))
+        weights.write.mode("errorifexists").parquet(f"{self.path}/terms")
+        self.weights = spark.read.schema(weights.schema).parquet(f"{self.path}/terms")
+
+    @property
+    def n_docs(self) -> int:
+        return self.stats.agg(F.sum("n_docs")).first()[0] or 0
+
+    def scored(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, doc_id, score, and of the block that it comes from how many entries were read and held: up to k rows a query and block. Query terms that repeat count again."""
+        part = F.coalesce(F.col(self.part).cast("string"), F.lit("")) if self.part else F.lit("")
+        asked = queries.select(part.alias("part"), "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("part", "query_id", "term").agg(F.count("*").alias("qf"))
+        # asked terms and their weights are broadcast where adaptive execution finds them small, and shuffled otherwise
+        vocabulary = asked.select("part", "term").distinct()
+        weighted = asked.join(self.weights.join(vocabulary, ["part", "term"], "left_semi"), ["part", "term"])
+        lists = weighted.groupBy("part", "query_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("qf") * F.col("idf")).alias("w")))).alias("x"))
+        kinds = {f.name: f.dataType.simpleString() for f in [*self.blocks.schema.fields, *queries.schema.fields]}
+        none = lambda *names: [F.lit(None).cast(kinds[n]).alias(n) for n in names]
+        empty = [F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<double>").alias("weights")]
+        ids = self.blocks.where("term is null").select("part", "b", F.lit(0).alias("kind"), *none("term", "top", "places", "impacts"), "ids", *none("query_id"), *empty)
+        found = self.blocks.where("term is not null").join(vocabulary, ["part", "term"], "left_semi").select("part", "b", F.lit(1).alias("kind"), "term", "top", "places", "impacts", *none("ids", "query_id"), *empty)
+        streamed = lists.join(F.broadcast(self.stats.select("part", "blocks")), "part").select("part", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("b"), F.lit(2).alias("kind"), *none("term", "top", "places", "impacts", "ids"), "query_id", F.col("x.term").alias("terms"), F.col("x.w").alias("weights"))
+        dealt = ids.unionByName(found).unionByName(streamed).repartition("part", "b").sortWithinPartitions("part", "b", "kind")
+        return dealt.mapInArrow(_answered(k), f"query_id {kinds['query_id']}, doc_id {self.blocks.schema['ids'].dataType.elementType.simpleString()}, score double, read long, held long")
 
     def matched(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, doc_id, score, rank: the k best documents that share a term with the query. Query terms that repeat count again."""
-        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-        weighted = asked.join(self.weights, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("qf") * F.col("idf")).alias("w")))).alias("x"))
-        lists = weighted.select("query_id", F.col("x.term").alias("terms"), F.col("x.w").alias("weights"))
-        held = self.docs.select("doc_id", tokens(F.col("text")).alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
-        found = streamed(held, lists, self.n_docs, BLOCK_ROWS, _index(k, float(self.avgdl or 1.0)), ["terms", "weights"])
-        return ranked(found, k)
+        """query_id, doc_id, score, rank: the k best documents (of the query's part) that share a term with the query."""
+        return ranked(self.scored(queries, k).drop("read", "held"), k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, path: str | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: k rows a query; where fewer documents match, those without a score follow by id with score 0."""
-    best = Index(docs).matched(queries, k).persist()  # at most k rows a query, read for the lists and for what they lack
-    found = best.groupBy("query_id").agg(F.count("*").alias("found"), F.collect_list("doc_id").alias("ids"))
-    short = queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).where(F.col("found") < k)
+    best = Index(docs, path).matched(queries, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("found"))
     # the k smallest ids (2k, as up to k of them may have matched) are enough to fill from
-    few = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    filler = short.crossJoin(F.broadcast(few)).where(~F.coalesce(F.array_contains("ids", F.col("doc_id")), F.lit(False)))
-    place = Window.partitionBy("query_id").orderBy("doc_id")
-    filler = filler.withColumn("rank", F.col("found") + F.row_number().over(place)).where(F.col("rank") <= k)
-    return best.select("query_id", "doc_id", "score", "rank").unionByName(filler.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.col("rank").cast("int").alias("rank")))
+    first = docs.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
+    every = queries.select("query_id").distinct().join(best, "query_id", "left").crossJoin(F.broadcast(first))  # first is one row
+    held = F.coalesce(F.transform("found", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["score"].alias("score"))), F.array())
+    filler = F.filter("first", lambda i: ~F.coalesce(F.array_contains(F.transform("found", lambda x: x["doc_id"]), i), F.lit(False)))
+    whole = F.slice(F.concat(held, F.transform(filler, lambda i: F.struct(i.alias("doc_id"), F.lit(0.0).alias("score")))), 1, k)
+    return every.select("query_id", F.posexplode(whole).alias("at", "x")).select("query_id", "x.doc_id", "x.score", (F.col("at") + 1).alias("rank"))

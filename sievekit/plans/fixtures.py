@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions.hashing import hash52
 from sievekit.functions.text import tokens
+from sievekit.sources.writers import scratch as scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where a session on one machine names none, as in tests. A cluster that names none is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sievekit-")
-    return f"{base.rstrip('/')}/sievekit-{uuid.uuid4().hex}"
-
-
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, query (words 5 to 16 of every 20th document, which is its target; all documents are searched)."""
     docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 20 == 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievekit.functions.ranks import dot
 from sievekit.functions.text import tokens
 from sievekit.operators import dense, fusion, gate, metrics, sparse
-from sievekit.plans.fixtures import KNOWN, PAIRS, h, known_items, pairs, table, tok
+from sievekit.plans.fixtures import KNOWN, PAIRS, h, known_items, pairs, scratch, table, tok
 from sievekit.plans.registry import query
 
 
@@ -128,8 +128,8 @@ li AS (SELECT query_id, rank, doc_id FROM dn UNION ALL SELECT query_id, rank, do
 
 def both_lists(spark, sf_dir, depth):
     d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
-    index = sparse.Index(d)
-    return dense.dense_topk(dense.hashed_vectors(d), text_vectors(q), depth, index.n_docs), index.matched(q, depth)
+    index = sparse.Index(d, scratch(spark))
+    return dense.dense_topk(written(dense.hashed_vectors(d), f"{index.path}/vectors"), text_vectors(q), depth), index.matched(q, depth)
 
 
 @query("hybrid_rrf", f"WITH {HYBRID}, {rrf_sql('fu', 'li', 10)} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM fu")
@@ -180,15 +180,16 @@ SELECT query_id, expanded, doc_id, CAST(rank AS INTEGER) AS rank FROM dn JOIN ga
 
 
 class Retriever:
-    """What all modes share: the corpus's vectors and index, and the original lists (2k rows a query, kept: gate, fallback and fusion read them)."""
+    """What all modes share: the corpus's vectors and index, and the original lists (2k rows a query: gate, fallback and fusion read them), each a written table."""
 
     def __init__(self, spark, sf_dir):
         d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
-        self.index, self.vectors, self.variants = sparse.Index(d), dense.hashed_vectors(d).persist(), variants(spark, sf_dir)
-        self.original = self.dense(q, 20).persist()
+        self.index, self.variants = sparse.Index(d, scratch(spark)), variants(spark, sf_dir)
+        self.vectors = written(dense.hashed_vectors(d), f"{self.index.path}/vectors")
+        self.original = written(self.dense(q, 20), f"{self.index.path}/original")
 
     def dense(self, queries, k):
-        return dense.dense_topk(self.vectors, text_vectors(queries), k, self.index.n_docs)
+        return dense.dense_topk(self.vectors, text_vectors(queries), k)
 
     def run(self, mode):
         return gate.gated_retrieval(self.original, self.variants, mode, self.dense, self.index.matched).select("query_id", "expanded", "doc_id", F.col("rank").cast("int").alias("rank"))
@@ -211,28 +212,60 @@ def run_method(spark, sf_dir):
     return metrics.summary(detailed, 10).select("method", "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_10")])
 
 
-SUITE = ("selective", "always", "dense")
-SEEDS = (42, 43)
+SUITE = ("selective", "always", "traces", "paraphrases", "random")
+SEEDS = 8
+
+
+def memory_of(i):
+    """The memory, named by its seed, that a document and the queries for it belong to: runs of 20 ids."""
+    return F.floor(i / 20) % SEEDS + 42
 
 
 def suite_sql() -> str:
-    one = lambda mode: f"""SELECT '{mode}' AS mode, query_id, bool_or(expanded) AS expanded, min(rank) FILTER (doc_id = query_id) AS place FROM ({mode_sql(mode)}) GROUP BY query_id"""
-    return f"""WITH r AS ({' UNION ALL '.join(one(m) for m in SUITE)}) SELECT mode, query_id // 20 % {len(SEEDS)} + {SEEDS[0]} AS seed, count(*) AS n_queries, round(avg(CAST(coalesce(place <= 1, false) AS INTEGER)), 6) AS recall_1,
-  round(avg(CAST(coalesce(place <= 10, false) AS INTEGER)), 6) AS recall_10, round(avg(CAST(expanded AS INTEGER)), 6) AS expansion FROM r GROUP BY ALL"""
+    seed = lambda i: f"({i} // 20 % {SEEDS} + 42)"
+    bm = lambda name, asked, depth: f"""{name}_q AS (SELECT seed, query_id, term, count(*) AS qf FROM (SELECT seed, query_id, unnest({tok('query')}) AS term FROM {asked}) GROUP BY ALL),
+{name}_s AS (SELECT query_id, doc_id, sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM {name}_q JOIN idf USING (seed, term) JOIN tf USING (seed, term) JOIN st USING (seed) GROUP BY ALL),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {depth})"""
+    dn = lambda name, asked, depth: f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM
+  (SELECT q.query_id, c.doc_id, list_inner_product(q.v, c.v) AS score FROM {asked} q JOIN hv c ON {seed("CAST(split_part(q.query_id, ':', 1) AS BIGINT)")} = {seed('c.doc_id')})) WHERE rank <= {depth})"""
+    gates = {"selective": "round(max(score), 6) < 0.65::DOUBLE", "random": f"{h(chr(39) + 'gate' + chr(39), seed('CAST(query_id AS BIGINT)'), 'query_id')} / 4503599627370496::DOUBLE < 0.46::DOUBLE"}
+    kinds = {"traces": "'original', 'trace'", "paraphrases": "'original', 'paraphrase'"}
+    return f"""WITH {KNOWN}, kt AS (SELECT CAST(query_id AS VARCHAR) AS query_id, query FROM kq),
+tk AS (SELECT doc_id, {seed('doc_id')} AS seed, {tok('text')} AS terms FROM documents), tf AS MATERIALIZED (SELECT seed, doc_id, dl, term, count(*) AS tf FROM (SELECT seed, doc_id, len(terms) AS dl, unnest(terms) AS term FROM tk) GROUP BY ALL),
+st AS MATERIALIZED (SELECT seed, count(*) AS n_docs, avg(len(terms)) AS avgdl FROM tk GROUP BY seed),
+rw AS MATERIALIZED (SELECT seed, term, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT seed, term, count(*) AS df FROM tf GROUP BY ALL) JOIN st USING (seed)),
+idf AS MATERIALIZED (SELECT seed, term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM rw JOIN (SELECT seed, avg(raw) AS mean FROM rw GROUP BY seed) USING (seed)),
+{hashed_sql('hv', 'documents', 'doc_id', 'text')}, {hashed_sql('hq', 'kt', 'query_id', 'query')}, {dn('dn', 'hq', 20)}, {VARIANTS},
+vs AS (SELECT query_id || ':' || CASE WHEN kind = 'trace' THEN ord * 2 + 1 ELSE ord + 1000 END AS query_id, {seed('query_id')} AS seed, kind, text AS query FROM va),
+vt AS (SELECT * FROM vs WHERE kind = 'trace'), {hashed_sql('vv', 'vs', 'query_id', 'query')}, {dn('vd', 'vv', 20)}, {bm('vb', 'vt', 20)},
+ga AS (SELECT query_id, unnest([{', '.join(f"{{'mode': '{m}', 'expanded': {gates.get(m, 'true')}}}" for m in SUITE)}], recursive := true) FROM dn GROUP BY query_id),
+li AS (SELECT query_id, 'original' AS kind, rank, doc_id FROM dn UNION ALL SELECT split_part(vd.query_id, ':', 1), kind, rank, doc_id FROM vd JOIN vs USING (query_id) UNION ALL SELECT split_part(query_id, ':', 1), 'trace', rank, doc_id FROM vb),
+fu AS (SELECT mode, query_id, doc_id, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT mode, query_id, doc_id, sum(1::DOUBLE / (60 + rank)) AS score FROM li JOIN ga USING (query_id) WHERE expanded AND ({' OR '.join(f"mode = '{m}' AND kind IN ({kinds.get(m, repr('original') + ', ' + repr('trace') + ', ' + repr('paraphrase'))})" for m in SUITE)}) GROUP BY ALL)),
+al AS (SELECT mode, query_id, expanded, doc_id, rank FROM dn JOIN ga USING (query_id) WHERE NOT expanded AND rank <= 10 UNION ALL SELECT mode, query_id, true, doc_id, rank FROM fu WHERE rank <= 10),
+pl AS (SELECT mode, CAST(query_id AS BIGINT) AS query_id, bool_or(expanded) AS expanded, min(rank) FILTER (doc_id = CAST(query_id AS BIGINT)) AS place FROM al GROUP BY ALL)
+SELECT mode, {seed('query_id')} AS seed, count(*) AS n_queries, round(avg(CAST(coalesce(place <= 1, false) AS INTEGER)), 6) AS recall_1, round(avg(CAST(coalesce(place <= 10, false) AS INTEGER)), 6) AS recall_10, round(avg(CAST(expanded AS INTEGER)), 6) AS expansion FROM pl GROUP BY ALL"""
 
 
 @query("run_suite", suite_sql())
 def run_suite(spark, sf_dir):
-    """Modes x seeds over one index: queries carry the seed of their partition."""
-    shared = Retriever(spark, sf_dir)
-    rows = None
-    for mode in SUITE:
-        run = shared.run(mode).withColumn("mode", F.lit(mode))
-        rows = run if rows is None else rows.unionByName(run)
+    """Five modes x eight independent memories: one index, cut by memory, whose blocks meet only the queries of their own; the original list and the variants' lists are made once for all modes."""
+    own = lambda i, name="memory": memory_of(gate.owner(F.col(i))).alias(name)
+    d, q = docs(spark, sf_dir), known_items(spark, sf_dir)
+    index = sparse.Index(d.withColumn("memory", memory_of(F.col("doc_id"))), scratch(spark), "memory")
+    vectors = written(dense.hashed_vectors(d), f"{index.path}/vectors").withColumn("part", memory_of(F.col("doc_id")))
+    nearest = lambda asked, k: dense.dense_topk(vectors, text_vectors(asked).withColumn("part", own("query_id")), k)
+    best = lambda asked, k: index.matched(asked.withColumn("memory", own("query_id")), k)
+    kept = lambda df, name: written(df, f"{index.path}/{name}")  # noqa: E731  (read by every mode)
+    original, lists = kept(nearest(q, 20), "original"), kept(gate.variant_lists(variants(spark, sf_dir), nearest, best), "lists")
+    rows = gate.suite(original, lists, SUITE, memory_of(F.col("query_id")))
     placed = rows.groupBy("mode", "query_id").agg(F.bool_or("expanded").alias("expanded"), F.min(F.when(F.col("doc_id") == F.col("query_id"), F.col("rank"))).alias("place"))
-    seeded = placed.withColumn("seed", F.floor(F.col("query_id") / 20) % len(SEEDS) + SEEDS[0])
     hit = lambda k: F.round(F.avg(F.coalesce(F.col("place") <= k, F.lit(False)).cast("double")), 6)
-    return seeded.groupBy("mode", "seed").agg(F.count("*").alias("n_queries"), hit(1).alias("recall_1"), hit(10).alias("recall_10"), F.round(F.avg(F.col("expanded").cast("double")), 6).alias("expansion"))
+    return placed.groupBy("mode", memory_of(F.col("query_id")).alias("seed")).agg(F.count("*").alias("n_queries"), hit(1).alias("recall_1"), hit(10).alias("recall_10"), F.round(F.avg(F.col("expanded").cast("double")), 6).alias("expansion"))
+
+
+def written(df, path):
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @query("gates", f"""WITH {PAIRS} SELECT doc_id, top1 < 0.65::DOUBLE AS selective, true AS always, false AS dense, {h(chr(39) + 'gate' + chr(39), '42', 'doc_id')} / 4503599627370496::DOUBLE < 0.46::DOUBLE AS random FROM pairs""")
@@ -251,8 +284,6 @@ a AS (SELECT DISTINCT key FROM k WHERE query_id % 60 = 0), f AS (SELECT key, min
 SELECT k.query_id, CAST(count(v.text) AS INTEGER) AS n_texts, k.query_id IN (SELECT query_id FROM f) AND key NOT IN (SELECT key FROM a) AS asked FROM k LEFT JOIN f USING (key) LEFT JOIN v ON v.query_id = f.query_id GROUP BY 1, 3""")
 def expansion_cache(spark, sf_dir):
     """A cache that two runs share: the first asks for every third query, the second finds these and writes back what it had to ask for."""
-    from sievekit.plans.fixtures import scratch
-
     q, path = known_items(spark, sf_dir), scratch(spark)
     generated = variants(spark, sf_dir)
     gate.expanded(q.where("query_id % 60 = 0"), generated, path)
