@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievekit import sources
@@ -39,12 +39,15 @@ def snk_jsonl(spark, sf_dir):
 
 @query("src_jsonl_strict", "SELECT CASE WHEN doc_id % 7 <> 3 THEN doc_id END AS doc_id, CAST(2 * (row_number() OVER (ORDER BY doc_id) - 1) + 1 AS INTEGER) AS line, doc_id % 7 = 3 AS bad FROM documents")
 def src_jsonl_strict(spark, sf_dir):
-    """Line numbers and errors of one file whose every other line is blank and whose every seventh row is cut."""
+    """Line numbers and errors of files, one a task, whose every other line is blank and whose every seventh row is cut; the files follow each other in the order of the ids, so a line's number in all of them is its number in its file and the lines before it."""
     path = scratch(spark)
     line = F.to_json(F.struct("doc_id", "lang"))
     cut = F.when(F.col("doc_id") % 7 == 3, F.left(line, F.length(line) - 3)).otherwise(line)
-    rows(spark, sf_dir).coalesce(1).sortWithinPartitions("doc_id").select(F.concat(cut, F.lit("\n")).alias("value")).write.text(path)
-    return sources.read_jsonl_strict(spark, path, "doc_id long, lang string").select(F.when(F.col("_error").isNull(), F.col("doc_id")).alias("doc_id"), F.col("_source_line").alias("line"), F.col("_error").isNotNull().alias("bad"))
+    rows(spark, sf_dir).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.concat(cut, F.lit("\n")).alias("value")).write.text(path)
+    found = sources.read_jsonl_strict(spark, path, "doc_id long, lang string").select(F.when(F.col("_error").isNull(), F.col("doc_id")).alias("doc_id"), F.col("_source_line").alias("line"), F.col("_source_file").alias("file"), F.col("_error").isNotNull().alias("bad"))
+    files = sources.numbered_lines(spark, path).groupBy(F.col("path").alias("file")).agg(F.max("line").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    return found.join(files.select("file", before.alias("before")), "file").select("doc_id", (F.col("line") + F.col("before")).cast("int").alias("line"), "bad")
 
 
 TASKS = "SELECT event_id AS task_id, event_type AS text FROM events WHERE event_id < 200"
@@ -177,12 +180,11 @@ def snk_append(spark, sf_dir):
 
 @query("snk_checkpoint", "SELECT vec_id, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / 200) AS BIGINT) AS part FROM embeddings")
 def snk_checkpoint(spark, sf_dir):
-    """A commit for every 200 rows; each is a file of the table."""
-    path = scratch(spark)
-    sources.checkpointed(table(spark, sf_dir, "embeddings").select("vec_id").coalesce(1), path, "vec_id", 200)
-    files = spark.read.parquet(path).select("vec_id", F.col("_metadata.file_path").alias("file"))
-    parts = files.groupBy("file").agg(F.min("vec_id").alias("lo"))
-    return files.join(parts, "file").select("vec_id", F.floor(F.col("lo") / 200).alias("part"))
+    """A folder of the table for every 200 rows in the order of the ids, all written by one job; a run that is resumed writes the rest."""
+    path, e = scratch(spark), table(spark, sf_dir, "embeddings").select("vec_id")
+    sources.checkpointed(e.where("vec_id < 100"), path, "vec_id", 200)
+    sources.checkpointed(e, path, "vec_id", 200)
+    return spark.read.parquet(path).select("vec_id", F.col("bucket").cast("long").alias("part"))
 
 
 @query("snk_no_overwrite", "SELECT name, 'refused' AS second, CAST(count(*) AS BIGINT) AS n FROM documents, (VALUES ('csv'), ('json'), ('jsonl'), ('tex')) t(name) GROUP BY name")

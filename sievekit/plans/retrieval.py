@@ -279,13 +279,49 @@ def expansion_cache_misses(spark, sf_dir):
     return gate.cache_misses(q, q.where("query_id % 60 = 0").select(gate.cache_key(F.col("query")).alias("query_key"))).select("query_id")
 
 
-@query("expansion_cache", f"""WITH {KNOWN}, {VARIANTS}, k AS (SELECT kq.query_id, trim(query) AS key FROM kq), v AS (SELECT key, kind, ord, text, k.query_id FROM va JOIN k USING (query_id)),
-a AS (SELECT DISTINCT key FROM k WHERE query_id % 60 = 0), f AS (SELECT key, min(query_id) AS query_id FROM k GROUP BY 1)
-SELECT k.query_id, CAST(count(v.text) AS INTEGER) AS n_texts, k.query_id IN (SELECT query_id FROM f) AND key NOT IN (SELECT key FROM a) AS asked FROM k LEFT JOIN f USING (key) LEFT JOIN v ON v.query_id = f.query_id GROUP BY 1, 3""")
+def memo_sql(first: str) -> str:
+    """CTEs to told: query_id, kind, ord, text, asked of the second of two runs over one cache. The first one asks for every third query, and of the model's answers gets those that `first` holds for."""
+    some = lambda kind, extra="": f"SELECT key, list(text ORDER BY ord) AS x FROM f1 JOIN va ON va.query_id = f1.asker WHERE kind = '{kind}' AND {first} GROUP BY key"
+    more = lambda kind, old, least: f"SELECT key, any_value(coalesce(len({old}.x), 0)) AS have, list(text ORDER BY ord) AS x FROM f2 LEFT JOIN {old} USING (key) JOIN va ON va.query_id = f2.asker WHERE kind = '{kind}' AND {least} GROUP BY key"
+    rows = lambda kind, old, new: f"SELECT key, '{kind}' AS kind, unnest(range(len(x[1:2]))) AS ord, unnest(x[1:2]) AS text, false AS new FROM {old} UNION ALL SELECT key, '{kind}', have + unnest(range(len(x[1:2 - have]))), unnest(x[1:2 - have]), true FROM {new}"
+    return f"""{KNOWN}, {VARIANTS}, k AS (SELECT query_id, trim(query) AS key FROM kq), f1 AS (SELECT key, min(query_id) AS asker FROM k WHERE query_id % 60 = 0 GROUP BY 1), f2 AS (SELECT key, min(query_id) AS asker FROM k GROUP BY 1),
+t1 AS (SELECT key, x[1:2] AS x FROM ({some('trace')})), p1 AS (SELECT key, x[1:2] AS x FROM ({some('paraphrase')})), t2 AS ({more('trace', 't1', 'ord >= coalesce(len(t1.x), 0)')}), p2 AS ({more('paraphrase', 'p1', 'true')}),
+tx AS ({rows('trace', 't1', 't2')} UNION ALL {rows('paraphrase', 'p1', 'p2')}),
+told AS (SELECT k.query_id, tx.kind, tx.ord, tx.text, coalesce(tx.new AND k.query_id = f2.asker, k.query_id = f2.asker) AS asked FROM k JOIN f2 USING (key) LEFT JOIN tx USING (key))"""
+
+
+def two_runs(spark, sf_dir, first: str):
+    """Two runs that share a cache: the first asks for every third query and gets a part of the answers, the second finds these, asks for what is missing, and writes that back."""
+    q, path, generated = known_items(spark, sf_dir), scratch(spark), variants(spark, sf_dir)
+    gate.expanded(q.where("query_id % 60 = 0"), generated.where(first), path)
+    return q, gate.expanded(q, generated, path)
+
+
+@query("expansion_cache", f"WITH {memo_sql('true')} SELECT query_id, CAST(count(text) AS INTEGER) AS n_texts, asked FROM told GROUP BY query_id, asked")
 def expansion_cache(spark, sf_dir):
-    """A cache that two runs share: the first asks for every third query, the second finds these and writes back what it had to ask for."""
-    q, path = known_items(spark, sf_dir), scratch(spark)
-    generated = variants(spark, sf_dir)
-    gate.expanded(q.where("query_id % 60 = 0"), generated, path)
-    told = gate.expanded(q, generated, path)
+    told = two_runs(spark, sf_dir, "true")[1]
     return told.groupBy("query_id", "asked").agg(F.count("text").cast("int").alias("n_texts")).select("query_id", "n_texts", "asked")
+
+
+@query("expansion_topup", f"WITH {memo_sql('ord = 0')} SELECT query_id, kind, CAST(ord AS INTEGER) AS ord, md5(text) AS digest, asked FROM told")
+def expansion_topup(spark, sf_dir):
+    """Keys that hold one text of two keep it and get one more."""
+    told = two_runs(spark, sf_dir, "ord = 0")[1]
+    return told.select("query_id", "kind", "ord", F.md5(F.col("text").cast("binary")).alias("digest"), "asked")
+
+
+LEDGER = f"""{memo_sql('ord = 0')}, us AS (SELECT query_id, count(*) FILTER (kind = 'trace') AS n_traces, count(*) FILTER (kind = 'paraphrase') AS n_paraphrases,
+  count(*) FILTER (kind = 'trace' AND asked) + CASE WHEN count(*) FILTER (kind = 'paraphrase' AND asked) > 0 THEN 1 ELSE 0 END AS llm_calls, CAST(coalesce(sum(len({tok('text')})) FILTER (asked), 0) AS BIGINT) AS completion_tokens FROM told GROUP BY query_id),
+le AS (SELECT query_id, n_traces, n_paraphrases, n_traces + CASE WHEN n_paraphrases > 0 THEN 1 ELSE 0 END AS estimated_calls, llm_calls, llm_calls * len({tok('query')}) AS prompt_tokens, completion_tokens, llm_calls * len({tok('query')}) + completion_tokens AS total_tokens FROM us JOIN kq USING (query_id))"""
+
+
+@query("usage", f"WITH {LEDGER} SELECT * FROM le")
+def usage(spark, sf_dir):
+    """Calls and tokens of the second run by query, with texts that the first one left in the cache."""
+    return gate.usage(*two_runs(spark, sf_dir, "ord = 0"))
+
+
+@query("usage_cost", f"WITH {LEDGER} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in gate.USED)} FROM le")
+def usage_cost(spark, sf_dir):
+    means = gate.average_usage(gate.usage(*two_runs(spark, sf_dir, "ord = 0")))
+    return means.select("n", *[F.round(c, 6).alias(c) for c in gate.USED])

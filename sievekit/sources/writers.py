@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.operators.episodes import resumed, upserted
+from sievekit.operators.episodes import numbered, resumed, upserted
 
 
 def scratch(spark: SparkSession) -> str:
@@ -55,16 +55,18 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
 
 
 def checkpointed(rows: DataFrame, path: str, key: str, every: int) -> int:
-    """Appends rows in the order of a unique key, at most `every` of them a commit, and goes on after what the table holds: a run that breaks off loses no more than one commit's work. Returns the number of commits."""
-    commits = 0
-    while True:
-        spark = rows.sparkSession
-        last = spark.read.parquet(path).agg(F.max(key)).first()[0] if exists(spark, path) else None
-        rest = (rows if last is None else rows.where(F.col(key) > F.lit(last))).orderBy(key).limit(every)
-        if rest.isEmpty():
-            return commits
-        rest.write.mode("append").parquet(path)
-        commits += 1
+    """Appends rows in buckets of `every` keys, in the order of a unique key: a row's bucket is its place in that order over `every`, and a folder of the table. All buckets that lack rows are written by one job, a task to a range of buckets, and a
+    task's files are there once it is done: a run that breaks off leaves what its tasks finished, and the next one writes only rows whose key the table does not hold. Returns the number of buckets written to.
+
+    The number of jobs does not depend on the number of buckets. Rows that come later stand behind the others: their keys must be larger than those written before, or buckets grow beyond `every`.
+    """
+    spark = rows.sparkSession
+    placed = numbered(rows, [key]).withColumn("bucket", F.floor(F.col("number") / every)).drop("number")
+    rest = resumed(placed, spark.read.parquet(path), [key]) if exists(spark, path) else placed
+    n = rest.select("bucket").distinct().count()
+    if n:
+        rest.repartitionByRange("bucket").sortWithinPartitions("bucket", key).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("bucket").parquet(path)
+    return n
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

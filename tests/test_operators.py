@@ -485,3 +485,121 @@ def test_cut_by_sums(spark):
                 want = k * k
                 break
         assert episodes.cut_after(sizes, "k", "n", total, parts=5) == want
+
+
+def test_checkpoints_take_one_job_for_any_number_of_buckets(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 3).alias("id"), F.lit("x").alias("v")).repartition(5)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for every in (500, 10):
+        spark.sparkContext.setJobGroup(f"every{every}", "")
+        assert checkpointed(rows, f"{tmp_path}/{every}", "id", every) == 1000 // every
+        jobs.append(len(tracker.getJobIdsForGroup(f"every{every}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0]  # 100 buckets take no more than two
+    got = spark.read.parquet(f"{tmp_path}/10")
+    assert {(r.id, r.bucket) for r in got.collect()} == {(3 * k, k // 10) for k in range(1000)}
+    assert checkpointed(rows, f"{tmp_path}/10", "id", 10) == 0
+
+
+def answers(spark, texts):
+    return spark.createDataFrame([(q, kind, k, t) for (q, kind), x in texts.items() for k, t in enumerate(x)], "query_id long, kind string, ord int, text string")
+
+
+def held(told):
+    out = {}
+    for r in told.collect():
+        out.setdefault(r.query_id, []).append((r.kind, r.ord, r.text, r.asked))
+    return {q: sorted(x, key=str) for q, x in out.items()}
+
+
+def test_cache_tops_up_what_it_holds_in_part(spark, tmp_path):
+    queries = spark.createDataFrame([(1, "same "), (2, "same"), (3, "other"), (4, "fails")], "query_id long, query string")
+    full = answers(spark, {(1, "trace"): ["t0", "t1"], (1, "paraphrase"): ["p0", "p1"], (3, "trace"): ["u0", "u1", "u2"], (4, "trace"): [None, " "]})
+    path = f"{tmp_path}/cache"
+    gate.expanded(queries.where("query_id = 1"), full.where("ord = 0"), path)
+    got = held(gate.expanded(queries, full, path))
+    # the second trace is a call of its own; paraphrases come from one call, behind the cached one
+    assert got[1] == [("paraphrase", 0, "p0", False), ("paraphrase", 1, "p0", True), ("trace", 0, "t0", False), ("trace", 1, "t1", True)]
+    assert [x[:3] for x in got[2]] == [x[:3] for x in got[1]] and not any(x[3] for x in got[2])
+    assert got[3] == [("trace", 0, "u0", True), ("trace", 1, "u1", True)]
+    assert got[4] == [(None, None, None, True)]
+    # what failed is asked for again, what is there is not
+    again = held(gate.expanded(queries, answers(spark, {(4, "trace"): ["late"], (1, "trace"): ["never"]}), path))
+    assert again[4] == [("trace", 0, "late", True)] and [x[3] for x in again[1]] == [False] * 4
+    # fewer texts are wanted: the first ones
+    assert [x[2] for x in held(gate.expanded(queries, full, path, n_traces=1, n_paraphrases=0))[1]] == ["t0"]
+
+
+def test_cache_of_two_runs_at_once(spark, tmp_path):
+    """Both find the cache empty; each key keeps one list, that of the earlier run."""
+    path, queries = f"{tmp_path}/cache", spark.createDataFrame([(k, f"q{k % 5}") for k in range(10)], "query_id long, query string")
+    texts = lambda name: answers(spark, {(k, "trace"): [f"{name}{k}0", f"{name}{k}1"] for k in range(5)})
+    gate.expanded(queries, texts("a"), f"{tmp_path}/a")
+    gate.expanded(queries, texts("b"), f"{tmp_path}/b")
+    for run in ("b", "a"):
+        spark.read.parquet(f"{tmp_path}/{run}").write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 20
+    told = held(gate.expanded(queries, texts("c"), path, n_paraphrases=0))
+    assert {x[2] for rows in told.values() for x in rows} == {f"a{k}{j}" for k in range(5) for j in range(2)}
+    assert all(len(rows) == 2 and not any(x[3] for x in rows) for rows in told.values())
+
+
+def test_usage_is_attributed_and_adds_up(spark, tmp_path):
+    queries = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, "three"), (4, "none")], "query_id long, query string")
+    texts = answers(spark, {(1, "trace"): ["a b c", "d"], (1, "paraphrase"): ["e f"], (3, "trace"): ["g", "h i"], (3, "paraphrase"): ["j", "k"]})
+    path = f"{tmp_path}/cache"
+    gate.expanded(queries.where("query_id = 3"), texts.where("ord = 0"), path)
+    ledger = gate.usage(queries, gate.expanded(queries, texts, path))
+    names = ("n_traces", "n_paraphrases", "estimated_calls", "llm_calls", "prompt_tokens", "completion_tokens", "total_tokens")
+    observed, totals = gate.observed_usage(ledger)
+    rows = {r.query_id: tuple(r[n] for n in names) for r in observed.collect()}
+    assert rows == {1: (2, 1, 3, 3, 6, 6, 12), 2: (2, 1, 3, 0, 0, 0, 0), 3: (2, 2, 3, 2, 2, 3, 5), 4: (0, 0, 0, 0, 0, 0, 0)}
+    assert totals.get == {"queries": 4, "estimated_calls": 9, "llm_calls": 5, "prompt_tokens": 8, "completion_tokens": 9, "total_tokens": 17}
+    assert gate.average_usage(ledger).first().llm_calls == 1.25
+
+
+def test_long_lists_are_not_read_to_their_ends():
+    """A frequent word behind a rare one: documents that hold only the frequent one are left out once they cannot reach the k-th score."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    block, n = sparse.Postings(5000), 5000
+    lists = {"rare": rnd.choice(n, 40, replace=False), "often": rnd.choice(n, 4000, replace=False), "all": np.arange(n)}
+    score = np.zeros(n)
+    weights = {"rare": 5.0, "often": 0.5, "all": 0.01}
+    for term, places in lists.items():
+        impacts = np.sort(rnd.uniform(0.5, 2.5, len(places)))[::-1]
+        block.add(term, float(impacts[0]), places.astype("<i4").tobytes(), impacts.astype("<f8").tobytes())
+        score[places] += weights[term] * impacts
+    places, scores, read, every = block.best(list(weights), list(weights.values()), 10)
+    want = sorted(range(n), key=lambda i: (-round(score[i], 9), i))[:10]
+    assert places.tolist() == want and np.allclose(scores, score[want]) and read < every / 10
+    assert block.best(["all", "nowhere"], [-1.0, 2.0], 3)[0].tolist() == sorted(range(n), key=lambda i: (round(score_of(block, i), 9), i))[:3]
+
+
+def score_of(block, place):
+    _, places, impacts = block.terms["all"]
+    return float(impacts[list(places).index(place)])
+
+
+def test_parts_do_not_meet(spark):
+    docs = spark.createDataFrame([(1, "a", "cat dog"), (2, "a", "cat"), (3, "b", "cat"), (4, None, "cat cat"), (5, "b", "bird")], "doc_id long, memory string, text string")
+    queries = spark.createDataFrame([(7, "a", "cat"), (8, "b", "cat bird"), (9, "c", "cat")], "query_id long, memory string, query string")
+    got = sparse.Index(docs, part="memory").matched(queries, 5)
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == [(7, 1), (7, 2), (8, 3), (8, 5)]
+    vectors = spark.createDataFrame([(k, p, [1.0, float(k)]) for k, p in ((1, "a"), (2, "a"), (3, "b"))], "doc_id long, part string, embedding array<double>")
+    asked = spark.createDataFrame([(7, "a", [1.0, 1.0]), (8, "b", [1.0, 1.0])], "query_id long, part string, vector array<double>")
+    assert [(r.query_id, r.doc_id, r["rank"]) for r in dense.dense_topk(vectors, asked, 5).orderBy("query_id", "rank").collect()] == [(7, 2, 1), (7, 1, 2), (8, 3, 1)]
+
+
+def test_vectors_of_a_model_and_of_a_table(spark):
+    texts = spark.createDataFrame([(1, "aab"), (2, None), (3, "b")], "doc_id long, text string")
+
+    def model():
+        return lambda batch: [[t.count("a"), t.count("b")] for t in batch]
+
+    got = {r.doc_id: r.embedding for r in dense.modelled_vectors(texts, model).collect()}
+    assert got[1] == pytest.approx([2 / 5**0.5, 1 / 5**0.5]) and got[2] == [0.0, 0.0] and got[3] == [0.0, 1.0]
+    table = spark.createDataFrame([(1, [3.0, 4.0]), (3, None)], "vec_id long, embedding array<float>")
+    assert [(r.doc_id, r.embedding) for r in dense.tabled_vectors(texts, table).collect()] == [(1, [0.6, 0.8])]
+    assert {r.doc_id for r in dense.hashed_vectors(spark.createDataFrame([(1, "x y"), (2, " "), (3, None)], "doc_id long, text string")).collect()} == {1}
