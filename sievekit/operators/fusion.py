@@ -27,3 +27,10 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int = 10) -> DataFrame:
 def collected(ranked: DataFrame) -> DataFrame:
     """query_id, retrieved_ids in rank order."""
     return ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved_ids"))
+
+
+def agreement(dense: DataFrame, sparse: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, agrees: whether the first of a query's dense list is among the k first of its sparse one. Queries without a dense list have no row."""
+    first = dense.where(F.col("rank") == 1).select("query_id", "doc_id")
+    found = sparse.where(F.col("rank") <= k).select("query_id", "doc_id", F.lit(True).alias("found"))
+    return first.join(found, ["query_id", "doc_id"], "left").select("query_id", F.coalesce("found", F.lit(False)).alias("agrees"))

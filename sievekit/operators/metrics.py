@@ -40,6 +40,20 @@ def win_loss(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), *counts, (win - loss).alias("net"), (win / F.count("*")).alias("win_rate"), (loss / F.count("*")).alias("loss_rate"))
 
 
+def report(pairs: DataFrame, by: str) -> DataFrame:
+    """pairs with hit_a, hit_b, expanded: a row for each value of `by` and one for all (whole is true, `by` null): n, wins, losses, net, expansion, recall_a and recall_b over rows (micro), and macro_a and macro_b, the means of the groups' recalls.
+
+    One scan: rows are aggregated by group once, and grouping sets over these few rows give every level.
+    """
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    a, b = F.col("hit_a"), F.col("hit_b")
+    counts = {"wins": b & ~a, "losses": a & ~b, "hits_a": a, "hits_b": b, "expansions": F.col("expanded")}
+    groups = pairs.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("n"), *[F.sum(one(c)).alias(name) for name, c in counts.items()])
+    share = lambda name: F.sum(name) / F.sum("n")
+    levels = groups.groupingSets([["__by"], []], "__by").agg(F.grouping("__by").alias("level"), F.sum("n").alias("n"), F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), (F.sum("wins") - F.sum("losses")).alias("net"), share("expansions").alias("expansion"), share("hits_a").alias("recall_a"), share("hits_b").alias("recall_b"), F.avg(F.col("hits_a") / F.col("n")).alias("macro_a"), F.avg(F.col("hits_b") / F.col("n")).alias("macro_b"))
+    return levels.where(F.col("n") > 0).select(F.col("__by").alias(by), (F.col("level") == 1).alias("whole"), *[c for c in levels.columns if c not in ("__by", "level")])
+
+
 def headroom(pairs: DataFrame, by: list[str]) -> DataFrame:
     a, b = F.col("hit_a"), F.col("hit_b")
     return pairs.groupBy(*by).agg(rate(a).alias("base"), rate(b).alias("expanded"), rate(a | b).alias("oracle"), rate(b & ~a).alias("helpful"), rate(a & ~b).alias("harmful"), rate(a & b).alias("both"), (rate(a | b) - rate(a)).alias("headroom"))

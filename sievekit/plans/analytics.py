@@ -141,6 +141,19 @@ def agg_max_depth(spark, sf_dir):
     return lists.groupBy("seed").agg(F.max(F.size("ids")).alias("depth"))
 
 
+SHARES = {"expansion": "expanded", "recall_a": "hit_a", "recall_b": "hit_b"}
+
+
+@query("agg_report", f"""WITH {PAIRS}, s AS (SELECT seed, {', '.join(f'avg(CAST({c} AS INTEGER)) AS {n}' for n, c in SHARES.items())} FROM pairs GROUP BY 1),
+m AS (SELECT avg(recall_a) AS macro_a, avg(recall_b) AS macro_b FROM s)
+SELECT seed, grouping(seed) = 1 AS whole, count(*) AS n, count(*) FILTER (hit_b AND NOT hit_a) AS wins, count(*) FILTER (hit_a AND NOT hit_b) AS losses, count(*) FILTER (hit_b AND NOT hit_a) - count(*) FILTER (hit_a AND NOT hit_b) AS net,
+  {', '.join(f'round(avg(CAST({c} AS INTEGER)), 6) AS {n}' for n, c in SHARES.items())}, round(CASE WHEN grouping(seed) = 1 THEN (SELECT macro_a FROM m) ELSE avg(CAST(hit_a AS INTEGER)) END, 6) AS macro_a,
+  round(CASE WHEN grouping(seed) = 1 THEN (SELECT macro_b FROM m) ELSE avg(CAST(hit_b AS INTEGER)) END, 6) AS macro_b FROM pairs GROUP BY GROUPING SETS ((seed), ())""")
+def agg_report(spark, sf_dir):
+    """Per seed and pooled, micro and macro, from one scan."""
+    return rounded(metrics.report(pairs(spark, sf_dir), "seed"), "expansion", "recall_a", "recall_b", "macro_a", "macro_b")
+
+
 # resampling, at the replicate counts of the operators
 def deltas(spark, sf_dir):
     return pairs(spark, sf_dir).select("query_id", F.col("hit_b").cast("int").alias("hit"), (F.col("hit_b").cast("int") - F.col("hit_a").cast("int")).alias("delta"))

@@ -137,6 +137,12 @@ def hybrid_rrf(spark, sf_dir):
     return fusion.hybrid(*both_lists(spark, sf_dir, 20)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("bm25_agreement", f"WITH {HYBRID} SELECT query_id, EXISTS (SELECT 1 FROM bm WHERE bm.query_id = dn.query_id AND bm.doc_id = dn.doc_id AND bm.rank <= 10) AS agrees FROM dn WHERE rank = 1")
+def bm25_agreement(spark, sf_dir):
+    """Whether BM25's first ten hold the first of the dense list, from the lists themselves."""
+    return fusion.agreement(*both_lists(spark, sf_dir, 20))
+
+
 @query("rrf", f"""WITH {PAIRS}, li AS (SELECT doc_id AS query_id, doc_id % 97 AS doc_id, base AS rank FROM pairs UNION ALL SELECT doc_id, (doc_id + sparse) % 97, sparse FROM pairs UNION ALL SELECT doc_id, (doc_id + 3) % 97, "full" FROM pairs), {rrf_sql('fu', 'li', 2)}
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM fu""")
 def rrf(spark, sf_dir):

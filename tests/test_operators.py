@@ -603,3 +603,23 @@ def test_vectors_of_a_model_and_of_a_table(spark):
     table = spark.createDataFrame([(1, [3.0, 4.0]), (3, None)], "vec_id long, embedding array<float>")
     assert [(r.doc_id, r.embedding) for r in dense.tabled_vectors(texts, table).collect()] == [(1, [0.6, 0.8])]
     assert {r.doc_id for r in dense.hashed_vectors(spark.createDataFrame([(1, "x y"), (2, " "), (3, None)], "doc_id long, text string")).collect()} == {1}
+
+
+def test_report_of_groups_and_of_all(spark):
+    """Micro weighs rows, macro groups; a null group is a group; one scan gives every level."""
+    rows = spark.createDataFrame([(1, True, True, True), (1, False, True, False), (1, False, False, None), (2, True, False, True), (None, None, True, False)], "seed int, hit_a boolean, hit_b boolean, expanded boolean")
+    got = {(r.seed, r.whole): r for r in metrics.report(rows, "seed").collect()}
+    assert set(got) == {(1, False), (2, False), (None, False), (None, True)}
+    every = got[None, True]
+    assert (every.n, every.wins, every.losses, every.net) == (5, 1, 1, 0) and every.recall_a == pytest.approx(0.4) and every.recall_b == pytest.approx(0.6)
+    assert every.macro_a == pytest.approx((1 / 3 + 1 + 0) / 3) and every.macro_b == pytest.approx((2 / 3 + 0 + 1) / 3) and every.expansion == pytest.approx(0.4)
+    assert got[1, False].macro_a == got[1, False].recall_a == pytest.approx(1 / 3)
+    assert metrics.report(rows.limit(0), "seed").count() == 0
+    plan = metrics.report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("lang").alias("seed"), F.lit(True).alias("hit_a"), F.lit(False).alias("hit_b"), F.lit(True).alias("expanded")), "seed")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_agreement(spark):
+    lists = lambda rows: spark.createDataFrame(rows, "query_id long, doc_id long, rank int")
+    got = fusion.agreement(lists([(1, 5, 1), (1, 6, 2), (2, 7, 1), (3, 8, 1)]), lists([(1, 6, 1), (1, 5, 2), (2, 7, 3), (4, 1, 1)]), 2)
+    assert {r.query_id: r.agrees for r in got.collect()} == {1: True, 2: False, 3: False}
