@@ -1,7 +1,7 @@
 """Source divergence audit by sort-based streaming: how far the term frequencies of the sources of a language are apart.
 
-Rows (lang, term, source, document, docs, n) are repartitioned and sorted by their first four columns, and a run-length scan of the
-sorted rows gives the document frequency and the counts of each term. A map task first adds up consecutive documents of a source (`document` is
+Rows (lang, term, source, document, docs, n) are repartitioned and sorted by their first four columns (lang and term as one key, joined by a zero
+character, which no term has, so that sorting compares the term's first letters at once), and a run-length scan of the sorted rows gives the document frequency and the counts of each term. A map task first adds up consecutive documents of a source (`document` is
 the first of them, `docs` how many hold the term, `n` how often they do), so a frequent term is one row a task and source. What is left of it is dealt
 by a salt of the document to SALTS tasks, each of which scans its own runs; a second sort brings the partial runs together, again by runs.
 A run (lang, term) that enough documents hold is written as one row with its counts by source.
@@ -26,7 +26,7 @@ from sievekit.llm.common import staged
 
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Tasks that the rows of one frequent term are dealt to; terms that a map task holds before it writes them out; groups of all languages.
-SALTS, HELD, GROUPS = 16, 200_000, 50_000
+SALTS, HELD, GROUPS = 16, 500_000, 50_000
 SLICE = 1 << 20
 #: A-Z to lower case; letters and bytes over 0x7F stay, all others part terms.
 LETTERS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -46,7 +46,7 @@ def term_slices(text: str) -> Iterator[list[bytes]]:
 
 
 def _counted(batches):
-    """at, lang, source, text -> lang, term, source, document, docs, n: sums over consecutive documents of a task."""
+    """at, lang, source, text -> key (lang and term), source, document, docs, n: sums over consecutive documents of a task."""
     from collections import Counter
 
     import pyarrow as pa
@@ -56,11 +56,11 @@ def _counted(batches):
     def rows():
         for (lang, source), held in counts.items():
             df = docs[lang, source]
-            terms = list(held)
+            terms, head = list(held), lang.encode() + b"\0"
             fixed = lambda value, kind: pa.array([value] * len(terms), kind)
             yield pa.RecordBatch.from_arrays(
-                [fixed(lang, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), fixed(source, pa.string()), fixed(start[lang, source], pa.int64()), pa.array([df[t] for t in terms], pa.int64()), pa.array(list(held.values()), pa.int64())],
-                names=["lang", "term", "source", "document", "docs", "n"],
+                [pa.array([head + t for t in terms], pa.binary()).cast(pa.string()), fixed(source, pa.string()), fixed(start[lang, source], pa.int64()), pa.array([df[t] for t in terms], pa.int64()), pa.array(list(held.values()), pa.int64())],
+                names=["key", "source", "document", "docs", "n"],
             )
 
     for batch in batches:
@@ -130,30 +130,30 @@ def _sums(table, starts, name: str):
 
 
 def _partial(table):
-    """A row a run (lang, term, source)."""
+    """A row a run (key, source)."""
     import pyarrow as pa
 
-    starts = _starts(table, ["lang", "term", "source"])
+    starts = _starts(table, ["key", "source"])
     kept = table.take(pa.array(starts)).combine_chunks()
-    return pa.RecordBatch.from_arrays([*(kept[c].combine_chunks() for c in ("lang", "term", "source")), pa.array(_sums(table, starts, "docs")), pa.array(_sums(table, starts, "n"))], names=["lang", "term", "source", "docs", "n"])
+    return pa.RecordBatch.from_arrays([*(kept[c].combine_chunks() for c in ("key", "source")), pa.array(_sums(table, starts, "docs")), pa.array(_sums(table, starts, "n"))], names=["key", "source", "docs", "n"])
 
 
 def _whole(least: int) -> Callable:
-    """A row a run (lang, term) that at least so many documents hold: its sources and their counts."""
+    """A row a run (key) that at least so many documents hold: its sources and their counts."""
 
     def whole(table):
         import numpy as np
         import pyarrow as pa
 
         by_source = pa.Table.from_batches([_partial(table)])
-        starts = _starts(by_source, ["lang", "term"])
+        starts = _starts(by_source, ["key"])
         kept = np.flatnonzero(_sums(by_source, starts, "docs") >= least)
         bounds = np.append(starts, by_source.num_rows)
         rows = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in kept]) if len(kept) else np.zeros(0, dtype=np.int64)
         offsets = pa.array(np.append(0, np.cumsum(bounds[kept + 1] - bounds[kept])), pa.int32())
         first, every = by_source.take(pa.array(starts[kept])), by_source.take(pa.array(rows))
         listed = [pa.ListArray.from_arrays(offsets, every[c].combine_chunks()) for c in ("source", "n")]
-        return pa.RecordBatch.from_arrays([*(first[c].combine_chunks() for c in ("lang", "term")), *listed], names=["lang", "term", "sources", "counts"])
+        return pa.RecordBatch.from_arrays([first["key"].combine_chunks(), *listed], names=["key", "sources", "counts"])
 
     return whole
 
@@ -162,11 +162,12 @@ def kept_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text
     """lang, term, sources, counts: a row for each term that at least so many documents of a language hold."""
     empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     counted = docs.select(F.monotonically_increasing_id().alias("at"), empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
-    counted = counted.mapInArrow(_counted, "lang string, term string, source string, document long, docs long, n long")
+    counted = counted.mapInArrow(_counted, "key string, source string, document long, docs long, n long")
     salt = F.pmod(F.xxhash64("document"), F.lit(SALTS))
-    order = ["lang", "term", "source"]
-    partial = counted.repartition("lang", "term", salt).sortWithinPartitions(*order, "document").mapInArrow(_runs(order, _partial), "lang string, term string, source string, docs long, n long")
-    return partial.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(_runs(order[:2], _whole(least)), "lang string, term string, sources array<string>, counts array<long>")
+    partial = counted.repartition("key", salt).sortWithinPartitions("key", "source", "document").mapInArrow(_runs(["key", "source"], _partial), "key string, source string, docs long, n long")
+    whole = partial.repartition("key").sortWithinPartitions("key", "source").mapInArrow(_runs(["key"], _whole(least)), "key string, sources array<string>, counts array<long>")
+    term = F.substring_index("key", "\0", -1)
+    return whole.select(F.left("key", F.length("key") - F.length(term) - 1).alias("lang"), term.alias("term"), "sources", "counts")
 
 
 def frequencies(counts, total):

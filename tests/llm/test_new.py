@@ -119,7 +119,7 @@ def test_audit_against_plain(spark, held, cells, monkeypatch):
     rnd = random.Random(2)
     words = ["Alpha", "beta", "Ünder", "x\u0000y", "don't", "日本語", "ÀB", "[z]", "_u_", "é"] + [f"w{chr(97 + k)}" for k in range(20)]
     rows = [(rnd.choice(["en", "en", "de", None]), rnd.choice(["s1", "s1", "S2", "é", "", None]), " ".join(rnd.choice(words[: rnd.randint(3, 30)]) for _ in range(rnd.randint(0, 12)))) for _ in range(400)]
-    rows += [("xx", "only", "alone"), ("yy", "a", None), ("yy", "b", ""), ("zz", "b", "\x7f{}")] + [("en", "s1", "hot " * 50)] * 200
+    rows += [("xx", "only", "alone"), ("yy", "a", None), ("yy", "b", ""), ("zz", "b", "\x7f{}"), ("a\0b", "s", "alpha " * 5)] + [("a\0b", "t", "alpha beta"), ("a", "t", "b alpha")] * 5 + [("en", "s1", "hot " * 50)] * 200
     table = with_clashes(spark.createDataFrame(rows, "lang string, source string, text string").repartition(7))
     got = divergence.audit(table, least=5, top=6)
     assert sorted((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in got.collect()) == plain_audit(rows, 5, 6)
@@ -138,7 +138,7 @@ def test_audit_of_nothing_and_of_long_texts(spark, monkeypatch):
 def test_one_row_a_frequent_term_and_task(spark):
     """What the first shuffle moves grows with terms a task, not with documents."""
     rows = spark.range(20_000).select(F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit("the same few words").alias("text")).repartition(4)
-    assert rows.select(F.monotonically_increasing_id().alias("at"), "lang", "source", "text").mapInArrow(divergence._counted, "lang string, term string, source string, document long, docs long, n long").count() == 16
+    assert rows.select(F.monotonically_increasing_id().alias("at"), "lang", "source", "text").mapInArrow(divergence._counted, "key string, source string, document long, docs long, n long").count() == 16
 
 
 # forest
