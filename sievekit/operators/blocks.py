@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a few short columns that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: A block of fewer rows than this is not worth a task of its own.
 SMALL_BLOCK = 1_024
 
 
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for a broadcast if it has no more than so many rows (it is read to find out), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def block_count(spark: SparkSession, rows: Column, most: int) -> Column:
     """In how many blocks of up to `most` rows a table is dealt: enough to keep all cores busy while blocks are not small."""
     cores = F.least(F.lit(spark.sparkContext.defaultParallelism), F.ceil(rows / F.least(F.lit(SMALL_BLOCK), F.lit(most))))

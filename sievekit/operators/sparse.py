@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.text import tokens
-from sievekit.operators.blocks import block_count, first_k, ranked
+from sievekit.operators.blocks import block_count, few, first_k, ranked
 from sievekit.sources.writers import scratch
 
 #: The defaults of the public Okapi implementation that results have to match.
@@ -223,9 +223,9 @@ class Index:
         """query_id, doc_id, score, and of the block that it comes from how many entries were read and held: up to k rows a query and block. Query terms that repeat count again."""
         part = F.coalesce(F.col(self.part).cast("string"), F.lit("")) if self.part else F.lit("")
         asked = queries.select(part.alias("part"), "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("part", "query_id", "term").agg(F.count("*").alias("qf"))
-        # asked terms and their weights are broadcast where adaptive execution finds them small, and shuffled otherwise
-        vocabulary = asked.select("part", "term").distinct()
-        weighted = asked.join(self.weights.join(vocabulary, ["part", "term"], "left_semi"), ["part", "term"])
+        # few asked terms are broadcast, so that only their postings leave the tasks that scan the index
+        vocabulary = few(asked.select("part", "term").distinct())
+        weighted = asked.join(few(self.weights.join(vocabulary, ["part", "term"], "left_semi")), ["part", "term"])
         lists = weighted.groupBy("part", "query_id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("qf") * F.col("idf")).alias("w")))).alias("x"))
         kinds = {f.name: f.dataType.simpleString() for f in [*self.blocks.schema.fields, *queries.schema.fields]}
         none = lambda *names: [F.lit(None).cast(kinds[n]).alias(n) for n in names]
