@@ -1,9 +1,9 @@
 """Registered queries of the engine and their SQL oracles."""
 
-from sievekit.plans import analytics, checks, files, retrieval, texts
+from sievekit.plans import analytics, checks, files, retrieval, streams, texts
 from sievekit.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "checks", "files", "flagship", "retrieval", "texts"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "checks", "files", "flagship", "retrieval", "streams", "texts"]
 
 
 def flagship(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Small hand-made frames: ties, nulls, empty inputs and the traps of each operator."""
 
 import json
+import os
 import statistics
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sievekit.functions import ranks, text
 from sievekit.operators import calibrate, dense, episodes, fusion, gate, inference, metrics, sparse, validate
 from sievekit.sources import append_new, checkpointed, manifest, numbered_lines, read_any, read_csv, read_jsonl, read_jsonl_strict, result_files, seed_runs, tex_table, write_csv, write_json, write_jsonl, write_tex
-from sievekit.streaming import answer_stream
+from sievekit.streaming import answer_stream, evaluation
 
 
 def one(spark, column):
@@ -623,3 +624,42 @@ def test_agreement(spark):
     lists = lambda rows: spark.createDataFrame(rows, "query_id long, doc_id long, rank int")
     got = fusion.agreement(lists([(1, 5, 1), (1, 6, 2), (2, 7, 1), (3, 8, 1)]), lists([(1, 6, 1), (1, 5, 2), (2, 7, 3), (4, 1, 1)]), 2)
     assert {r.query_id: r.agrees for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def attempted(spark, folder, rows):
+    """One more file of attempts, and a run of the stream over what is new."""
+    columns = "method string, query_id string, at string, attempt long, hit long, calls long, tokens long"
+    spark.createDataFrame(rows, columns).withColumn("at", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
+    evaluated(spark, folder)
+
+
+def evaluated(spark, folder, **settings):
+    schema = "method string, query_id string, at timestamp, attempt long, hit long, calls long, tokens long"
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+    evaluation.evaluate_stream(stream, f"{folder}/out", f"{folder}/state", **settings).awaitTermination()
+
+
+def test_attempts_as_a_stream(spark, tmp_path):
+    """Retries replace, late rows and rows without a time go, ties and nulls have a result, and a batch that runs twice after a failure changes nothing."""
+    folder, day = str(tmp_path), "2024-01-01 "
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the last batch holds rows
+    provider = spark.conf.get(evaluation.PROVIDER)
+    attempted(spark, folder, [("m", "q", day + "10:00:00", 1, 0, 2, 30), ("m", "r", day + "10:00:00", 1, 1, 1, 5), ("m", "r", day + "10:00:00", 1, 0, 9, 9), (None, None, day + "10:00:00", None, None, None, None), ("m", "s", None, 1, 1, 1, 1)])
+    first = {r["method"]: r for r in evaluation.totals(spark, f"{folder}/out").collect()}
+    assert {k: tuple(r[c] for c in ("queries", "attempts", "hits", "calls", "tokens")) for k, r in first.items()} == {"m": (2, 3, 1, 3, 35), None: (1, 1, 0, 0, 0)}
+    attempted(spark, folder, [("m", "q", day + "15:00:00", 2, 1, 4, 40), ("m", "q", day + "09:30:00", 0, 0, 7, 7)])
+    attempted(spark, folder, [("m", "late", day + "09:00:00", 1, 1, 1, 1), ("m", "q", day + "14:30:00", 3, 0, 8, 8)])
+    told = lambda: sorted(tuple(r) for r in evaluation.totals(spark, f"{folder}/out").where("method = 'm'").collect())
+    assert told() == [("m", 2, 6, 2, 5, 45, 1.0)]
+    before = told()
+    commits = f"{folder}/state/commits"
+    last = max(int(name) for name in os.listdir(commits) if name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        if os.path.exists(f"{commits}/{name}"):
+            os.remove(f"{commits}/{name}")
+    evaluated(spark, folder)
+    assert told() == before
+    steps = [r["recall"] for r in evaluation.running(spark, f"{folder}/out").where("method = 'm'").orderBy("batch").collect()]
+    assert steps[0] == 0.5 and steps[-1] == 1.0
+    assert spark.conf.get(evaluation.PROVIDER) == provider
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
