@@ -4,9 +4,10 @@ Each slice of candidates keeps one list a dimension, sorted by component. A quer
 where the query's component is negative), so that its contributions only fall. All lists are read down to a common contribution,
 the frontier, which falls in steps: what a candidate has been met with so far is summed, a list that it was not met in yet
 adds the frontier at most (less, if the list's top is lower) and the list's last entry at least. That gives every candidate an upper and a
-lower bound. Reading stops when no more than a few candidates have an upper bound that reaches the k-th score found so far or the
-k-th lower bound; only these are looked up and their scores resolved. Slices of a block grow, so that the few entries of the first ones
-give the large ones a bound to stop at. Entries that no step reached are never multiplied.
+lower bound. Candidates stand in a buffer of a few times k; reading stops when no outsider can qualify, that is when all whose upper bound reaches
+the k-th score found so far and the k-th lower bound fit in it. Only then are scores resolved, those in the buffer. Where bounds never part
+that far, as for many ties at the k-th place, the last step reads every list to its end. Slices of a block grow, so that the first one gives the
+next a score to beat.
 
 Candidates are dealt to blocks once, by a hash. Every query goes to every block, where it is one row: queries stream past a block
 that a task holds (BLOCK_ROWS candidates), k rows a query come out, and a last ranking merges them. Queries are so much of the table as the caller
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 16_384
 #: Rows of the slices that a block is read in: the last holds the rest.
 SLICES = (1_024,)
-#: The frontiers of successive steps, in parts of the mean top of a query's lists; after the last one lists are read to their ends.
-FRONTIERS = (0.25, 0.1, 0.0, -0.1)
-#: Candidates that are resolved when so many are left, as a part of the slice, beside k.
-FEW = 1 / 8
+#: The frontiers of successive steps, in parts of the mean top of a query's lists. One more step reads what is left.
+FRONTIERS = (0.25, 0.1, 0.0, -0.1, -0.25, -0.5)
+#: Candidates that the buffer holds, in times k, whatever the number of rows.
+BUFFER = 8
 
 
 def integer_vectors(table: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -85,23 +86,21 @@ class SortedLists:
         floors = query * np.where(query >= 0, self.sorted[:, 0], self.sorted[:, -1])
         seen, met, sunk, depth = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(dims, dtype=np.int64)
         others = self.ids != own
-        alive, unit, whole = np.flatnonzero(others), float(np.abs(tops).mean()), bool(len(best) < k)
-        for part in FRONTIERS:
-            if len(alive) <= max(k, n * FEW):
+        alive, unit = np.flatnonzero(others), float(np.abs(tops).mean())
+        for frontier in (*(unit * part for part in FRONTIERS), float(floors.min()) - 1.0):
+            if len(alive) <= BUFFER * k:
                 break
-            frontier = unit * part
             reached = np.maximum(depth, self.depths(query, frontier))
             if (reached > depth).any():
                 rows, gained, lists = self.entries(query, depth, reached)
                 seen += np.bincount(rows, gained, n)
                 met += np.bincount(rows, minlength=n)
-                if whole:
-                    sunk += np.bincount(rows, floors[lists], n)
+                sunk += np.bincount(rows, floors[lists], n)
                 depth = reached
             # a list that was read shows the frontier at most from here on, another one its top
             upper = seen - met * frontier + np.minimum(tops, frontier).sum()
             bound = -best[k - 1][0] if len(best) >= k else -math.inf
-            if whole and others.sum() >= k:
+            if others.sum() >= k:
                 lower = (seen - sunk + floors.sum())[others]
                 bound = max(bound, np.partition(lower, len(lower) - k)[len(lower) - k])
             alive = alive[upper[alive] >= bound - 1e-6]
