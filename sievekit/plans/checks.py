@@ -241,11 +241,11 @@ def v_provenance(spark, sf_dir):
     return validate.provenance(inventory, d.where("source <> 'src6'").select(F.col("source").alias("table")), d.where("lang <> 'de'").select(F.col("lang").alias("source")))
 
 
-@query("percent_cells", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%.1f', 100 * (event_id % 64 / 64::DOUBLE)) END AS share, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%+.1f', 100 * (event_id % 64 / 64::DOUBLE - 0.25::DOUBLE)) END AS signed, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%.1f', 100 * (event_id % 64 / 64::DOUBLE)) || CASE WHEN event_id % 5 = 0 THEN '' ELSE ' $' || chr(92) || 'pm$ ' || printf('%.1f', 100 * (event_id % 9 / 16::DOUBLE)) END END AS spread FROM events WHERE event_id < 500")
+@query("percent_cells", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%.1f', 100 * (event_id % 64 / 64::DOUBLE)) END AS share, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%+.1f', 100 * (event_id % 64 / 64::DOUBLE - 0.25::DOUBLE)) END AS signed, CASE WHEN event_id % 6 = 0 THEN '--' ELSE printf('%.1f', 100 * (event_id % 64 / 64::DOUBLE)) || CASE WHEN event_id % 5 = 0 THEN '' ELSE ' $' || chr(92) || 'pm$ ' || printf('%.1f', 100 * (event_id % 9 / 16::DOUBLE)) END END AS spread FROM events")
 def percent_cells(spark, sf_dir):
     x = F.when(F.col("event_id") % 6 != 0, F.col("event_id") % 64 / 64.0)
     spread = F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 9 / 16.0)
-    rows = table(spark, sf_dir, "events").where("event_id < 500").select("event_id", x.alias("x"), spread.alias("s"))
+    rows = table(spark, sf_dir, "events").select("event_id", x.alias("x"), spread.alias("s"))
     return rows.select("event_id", percent("x").alias("share"), signed_percent(F.col("x") - 0.25).alias("signed"), percent_range(F.col("x"), F.col("s")).alias("spread"))
 
 

@@ -50,16 +50,19 @@ def src_jsonl_strict(spark, sf_dir):
     return found.join(files.select("file", before.alias("before")), "file").select("doc_id", (F.col("line") + F.col("before")).cast("int").alias("line"), "bad")
 
 
-TASKS = "SELECT event_id AS task_id, event_type AS text FROM events WHERE event_id < 200"
+#: Events that one JSON document of the test holds.
+A_FILE = 500
+TASKS = "SELECT event_id AS task_id, event_type AS text FROM events"
 
 
 @query("src_json", f"SELECT * FROM ({TASKS}) UNION ALL SELECT * FROM ({TASKS})")
 def src_json(spark, sf_dir):
-    """One document that is a list, and one with a list under tasks."""
+    """Documents that are a list, and documents with a list under tasks, a file for every 500 ids."""
     path = scratch(spark)
-    listed = table(spark, sf_dir, "events").where("event_id < 200").agg(F.collect_list(F.struct(F.col("event_id").alias("task_id"), F.col("event_type").alias("text"))).alias("tasks"))
-    listed.select(F.to_json("tasks").alias("value")).write.text(f"{path}/a")
-    listed.select(F.to_json(F.struct("tasks")).alias("value")).write.text(f"{path}/b")
+    task = F.struct(F.col("event_id").alias("task_id"), F.col("event_type").alias("text"))
+    listed = table(spark, sf_dir, "events").groupBy(F.expr(f"event_id div {A_FILE}").alias("file")).agg(F.collect_list(task).alias("tasks"))
+    listed.select("file", F.to_json("tasks").alias("value")).write.partitionBy("file").text(f"{path}/a")
+    listed.select("file", F.to_json(F.struct("tasks")).alias("value")).write.partitionBy("file").text(f"{path}/b")
     read = lambda part: sources.read_json_tasks(spark, f"{path}/{part}", "task_id: long, text: string")
     return read("a").unionByName(read("b"))
 
@@ -108,16 +111,13 @@ def src_dispatch(spark, sf_dir):
     return out
 
 
-@query("src_glob", "SELECT event_id, value FROM events WHERE event_id < 12 AND event_id % 3 <> 0")
+@query("src_glob", f"SELECT event_id, value FROM events WHERE event_id // {A_FILE} % 3 <> 0")
 def src_glob(spark, sf_dir):
-    """result.json files of a folder tree, retries left out."""
-    path = scratch(spark)
-    for r in table(spark, sf_dir, "events").where("event_id < 12").select("event_id", "value").collect():
-        folder = f"{path}/job_{r['event_id']}{'_retry' if r['event_id'] % 3 == 0 else ''}"
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/result.json")
-        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
-        out.write(bytearray(f'{{"event_id": {r["event_id"]}, "value": {r["value"]!r}}}', "utf-8"))
-        out.close()
+    """result.json files of a folder tree, a job for every 500 events; folders of retries, every third one, are left out."""
+    path, job = scratch(spark), F.expr(f"event_id div {A_FILE}")
+    jobs = table(spark, sf_dir, "events").groupBy(job.alias("job")).agg(F.to_json(F.collect_list(F.struct("event_id", "value"))).alias("body"))
+    folder = F.concat(F.lit("job_"), F.col("job"), F.when(F.col("job") % 3 == 0, "_retry").otherwise(""))
+    sources.write_result_files(jobs.select(folder.alias("folder"), "body"), path)
     return sources.result_files(spark, path, "event_id long, value double").select("event_id", "value")
 
 
@@ -149,22 +149,29 @@ def src_npy(spark, sf_dir):
     return sources.read_npy(spark, path).select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
-NAMES = "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_partkey <= 40"
+BRANDS = "SELECT p_brand || ' & ' || p_type AS brand, count(*) AS n, (SELECT count(*) FROM part) AS every FROM part GROUP BY 1"
+
+
+def brands(spark, sf_dir):
+    """A report over all parts: brand (a text with characters to be escaped), n, every (the number of parts)."""
+    p = table(spark, sf_dir, "part")
+    counts = p.groupBy(F.concat("p_brand", F.lit(" & "), "p_type").alias("brand")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(p.agg(F.count("*").alias("every"))))  # one row
 
 
-@query("src_tex", f"SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name, printf('%.1f', 100 * (p_partkey / 64::DOUBLE)) AS share FROM ({NAMES})")
+@query("src_tex", f"SELECT brand, CAST(n AS VARCHAR) AS n, printf('%.1f', 100 * (n / every::DOUBLE)) AS share FROM ({BRANDS})")
 def src_tex(spark, sf_dir):
     """snk_latex and back to cells: escaped names, and a share as the table shows it."""
-    path, p = scratch(spark), table(spark, sf_dir, "part").where("p_partkey <= 40")
-    sources.write_tex(p, path, ["key", "name", "share"], [F.col("p_partkey"), text.tex_escape(F.col("p_name")), text.percent(F.col("p_partkey") / 64.0)], ["p_partkey"])
-    cells = sources.tex_table(spark.read.text(path)).select("cells").where(F.get("cells", F.lit(0)) != "key")
-    return cells.select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(("key", "name", "share"))])
+    path = scratch(spark)
+    sources.write_tex(brands(spark, sf_dir), path, ["brand", "n", "share"], [text.tex_escape(F.col("brand")), F.col("n"), text.percent(F.col("n") / F.col("every"))], ["brand"])
+    cells = sources.tex_table(spark.read.text(path)).select("cells").where(F.get("cells", F.lit(0)) != "brand")
+    return cells.select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(("brand", "n", "share"))])
 
 
-@query("snk_latex", "SELECT '\\begin{tabular}{ll}' AS first, count(*) + 6 AS lines FROM part WHERE p_partkey <= 40")
+@query("snk_latex", f"SELECT '\\begin{{tabular}}{{ll}}' AS first, count(*) + 6 AS lines FROM ({BRANDS})")
 def snk_latex(spark, sf_dir):
-    path, p = scratch(spark), table(spark, sf_dir, "part").where("p_partkey <= 40")
-    sources.write_tex(p, path, ["key", "name"], [F.col("p_partkey"), text.tex_escape(F.col("p_name"))], ["p_partkey"])
+    path = scratch(spark)
+    sources.write_tex(brands(spark, sf_dir), path, ["brand", "n"], [text.tex_escape(F.col("brand")), F.col("n")], ["brand"])
     return sources.numbered_lines(spark, path).agg(F.min_by("value", "line").alias("first"), F.max("line").cast("long").alias("lines"))
 
 
@@ -235,12 +242,12 @@ def v_manifest(spark, sf_dir):
     return validate.same_files(told.unionByName(gone), found)
 
 
-@query("v_scan", "SELECT 'scan' AS \"check\", 'failure' AS severity, 'a.txt:' || CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR) AS key, '[Ll]icense' AS detail FROM documents QUALIFY regexp_matches(replace(text, chr(10), ' '), '[Ll]icense')")
+@query("v_scan", "SELECT 'scan' AS \"check\", 'failure' AS severity, 'a' || doc_id // 250 || '.txt:' || CAST(row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) AS VARCHAR) AS key, '[Ll]icense' AS detail FROM documents QUALIFY regexp_matches(replace(text, chr(10), ' '), '[Ll]icense')")
 def v_scan(spark, sf_dir):
-    """Lines of a file that a pattern is found in; the same lines in an excluded file do not count."""
+    """Lines of files, one for every 250 documents, that a pattern is found in; the same lines in an excluded file do not count."""
     path = scratch(spark)
-    lines = table(spark, sf_dir, "documents").coalesce(1).sortWithinPartitions("doc_id").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
-    for name in ("a.txt", "skipped.txt"):
-        lines.write.text(f"{path}/{name}")
-    files = sources.numbered_lines(spark, f"{path}/*").withColumn("path", F.regexp_replace("path", "/part-[^/]*$", ""))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('a', doc_id div 250, '.txt')").alias("file"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "doc_id").select("value", "file").write.partitionBy("file").text(path)
+    lines.select("value", F.lit("skipped.txt").alias("file")).write.mode("append").partitionBy("file").text(path)
+    files = sources.numbered_lines(spark, path).withColumn("path", F.regexp_extract("path", "file=([^/]*)", 1))
     return validate.scanned_files(files, "[Ll]icense", ["skipped.txt"])

@@ -103,6 +103,26 @@ def write_tex(rows: DataFrame, path: str, head: list[str], columns: list[Column]
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
+def write_result_files(rows: DataFrame, path: str) -> None:
+    """rows folder, body (strings): body as <path>/<folder>/result.json, written by the tasks that hold the rows through pyarrow's file systems. A task that runs again writes the same files again."""
+
+    def written(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+        n = 0
+        for batch in batches:
+            for folder, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{root}/{folder}", recursive=True)
+                with store.open_output_stream(f"{root}/{folder}/result.json") as out:
+                    out.write(body.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.where("folder IS NOT NULL AND body IS NOT NULL").select("folder", "body").mapInArrow(written, "n long").agg(F.sum("n")).collect()  # the action
+
+
 def write_npy(rows: DataFrame, path: str, key: str, vector: str) -> None:
     """Vectors as .npy arrays (little-endian doubles, C order) beside their keys, an array for each batch of a task; written as rows name, key list, bytes of the array, through Spark's commit protocol."""
 

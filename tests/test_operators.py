@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions import ranks, text
 from sievekit.operators import calibrate, dense, episodes, fusion, gate, inference, metrics, sparse, validate
-from sievekit.sources import append_new, checkpointed, manifest, numbered_lines, read_any, read_csv, read_jsonl, read_jsonl_strict, result_files, seed_runs, tex_table, write_csv, write_json, write_jsonl, write_tex
+from sievekit.sources import append_new, checkpointed, manifest, numbered_lines, read_any, read_csv, read_jsonl, read_jsonl_strict, result_files, seed_runs, tex_table, write_csv, write_json, write_jsonl, write_result_files, write_tex
 from sievekit.streaming import answer_stream, evaluation
 
 
@@ -663,3 +663,13 @@ def test_attempts_as_a_stream(spark, tmp_path):
     assert steps[0] == 0.5 and steps[-1] == 1.0
     assert spark.conf.get(evaluation.PROVIDER) == provider
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_result_files(spark, tmp_path):
+    """A file a folder, written again without harm; rows without a folder or body are left out, retries not read."""
+    rows = spark.createDataFrame([("a", '[{"x": 1}, {"x": 2}]'), ("b/c", '{"x": 3}'), ("d_retry", '{"x": 4}'), (None, '{"x": 5}'), ("e", None)], "folder string, body string")
+    for path in (str(tmp_path / "plain"), f"file://{tmp_path}/named"):
+        write_result_files(rows, path)
+        write_result_files(rows, path)
+        assert sorted(r["x"] for r in result_files(spark, path, "x long").collect()) == [1, 2, 3]
+    assert not os.path.exists(tmp_path / "plain" / "e")
