@@ -610,3 +610,52 @@ def test_near_classes_of_a_crowded_bucket(spark, tile, monkeypatch):
 def test_op5_names_classes(spark):
     own = QUERIES["op5_fingerprints"](spark, SF)
     assert "class_id" in own.columns and own.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def plain_features(text, lexicons):
+    """What toxicity.features() says of a text of ASCII letters, step by step."""
+    begins, whole, ends = (list(x) for x in lexicons)
+    lower = text.lower()
+    known = re.findall(r"[a-z]+", lower)
+    hits = [next((w[: len(b)] for b in sorted(begins, key=len) if w.startswith(b)), None) for w in known] if begins else []
+    hits = [h for h in hits if h is not None]
+    groups = lambda parts: [[p for p in parts if a <= len(p) < b] for a, b in zip(toxicity.LENGTHS, [*toxicity.LENGTHS[1:], 1 << 30])]
+    spoken = [bool(set(hits) & set(g)) for g in groups(begins)] + [bool(set(known) & set(g)) for g in groups(whole)] + [any(w.endswith(p) and len(p) in toxicity.END_LETTERS for w in known for p in g) for g in groups(ends)]
+    kinds, count = len(set(hits)), len(hits)
+    patterns = [kinds >= 2, count >= 3, count * 100 > len(known), count > 0 and bool(set(known) & set(toxicity.ADDRESS.split())), 2 * sum("A" <= c <= "Z" for c in text) > len(text), "!!" in text, count == 0]
+    return [*map(float, spoken), *map(float, patterns), np.log1p(kinds), np.log1p(count)]
+
+
+def test_whole_score_of_toxicity(spark):
+    """Voters, features and the score of a text against their plain versions, on every labelled text and on odd ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scorer = toxicity.train(docs, labels)
+    odd = [("",), ("!!",), ("AAAA bb",), ("a " * 5000,), *[(p + " you",) for lexicon in scorer.lexicons for p in lexicon[:4]], (" ".join(p for lexicon in scorer.lexicons for p in lexicon),)]
+    texts = docs.where("text is not null").select("text").unionByName(spark.createDataFrame(odd, "text string"))
+    rows = [r for r in texts.select("text", toxicity.features(F.col("text"), scorer.lexicons).alias("x"), scorer.score(F.col("text")).alias("score")).collect() if r["text"].isascii()]
+    assert len(rows) > 300
+    for r in rows:
+        assert list(r["x"]) == pytest.approx(plain_features(r["text"], scorer.lexicons))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(scorer.intercept + np.dot(scorer.weights, r["x"])))), abs=1e-9)
+
+
+def test_whole_score_of_quality(spark):
+    """The compiled ensemble against its rules on arrays, on every text."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    ensemble = quality.train(docs, labels)
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(quality.statistics(F.col("text")).alias("x"), ensemble.score(F.col("text")).alias("score")).collect()
+    x = np.array([r["x"] for r in rows])
+    assert ensemble.rules
+    z = ensemble.intercept + sum(w * rule.holds(x) for rule, w in ensemble.rules)
+    assert np.array([r["score"] for r in rows]) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+@pytest.mark.parametrize("name, label, caught, flagged", [("op6_toxicity", "toxic", 0.85, 0.02), ("op8_quality", "quality", 0.98, 0.05)])
+def test_decisions_on_held_out_rows(spark, name, label, caught, flagged):
+    """Both sides of the contract's threshold: the share of label 1 that is predicted, and that of label 0."""
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", label).toPandas()
+    assert rows.predicted[rows[label] == 1].mean() >= caught
+    assert rows.predicted[rows[label] == 0].mean() <= flagged
