@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER, EMPTY_BATCHES = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What an attempt adds to the totals of its method.
 FIGURES = ("hits", "calls", "tokens")
@@ -78,12 +78,16 @@ def evaluate_stream(attempts: DataFrame, path: str, checkpoint: str, late: str =
         sums = found.groupBy("method").agg(*[F.sum(c).alias(c) for c in ("queries", "attempts", *FIGURES)])
         sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # a stream takes the session's settings when it starts
+    # a stream takes the session's settings when it starts; batches without rows serve timers alone
+    settings = {PROVIDER: ROCKSDB} | ({EMPTY_BATCHES: "false"} if horizon_ms is None else {})
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         return changes.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def changes(spark: SparkSession, path: str) -> DataFrame:

@@ -642,7 +642,6 @@ def evaluated(spark, folder, **settings):
 def test_attempts_as_a_stream(spark, tmp_path):
     """Retries replace, late rows and rows without a time go, ties and nulls have a result, and a batch that runs twice after a failure changes nothing."""
     folder, day = str(tmp_path), "2024-01-01 "
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the last batch holds rows
     provider = spark.conf.get(evaluation.PROVIDER)
     attempted(spark, folder, [("m", "q", day + "10:00:00", 1, 0, 2, 30), ("m", "r", day + "10:00:00", 1, 1, 1, 5), ("m", "r", day + "10:00:00", 1, 0, 9, 9), (None, None, day + "10:00:00", None, None, None, None), ("m", "s", None, 1, 1, 1, 1)])
     first = {r["method"]: r for r in evaluation.totals(spark, f"{folder}/out").collect()}
@@ -662,7 +661,6 @@ def test_attempts_as_a_stream(spark, tmp_path):
     steps = [r["recall"] for r in evaluation.running(spark, f"{folder}/out").where("method = 'm'").orderBy("batch").collect()]
     assert steps[0] == 0.5 and steps[-1] == 1.0
     assert spark.conf.get(evaluation.PROVIDER) == provider
-    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def test_result_files(spark, tmp_path):
@@ -673,3 +671,14 @@ def test_result_files(spark, tmp_path):
         write_result_files(rows, path)
         assert sorted(r["x"] for r in result_files(spark, path, "x long").collect()) == [1, 2, 3]
     assert not os.path.exists(tmp_path / "plain" / "e")
+
+
+def test_state_goes_past_the_horizon(spark, tmp_path):
+    """Without a horizon a later attempt replaces; with one, state is dropped once the watermark is past it, and the later attempt is another query."""
+    columns, day = "method string, query_id string, at string, attempt long, hit long, calls long, tokens long", "2024-01-01 "
+    for folder, horizon, queries in ((f"{tmp_path}/kept", None, 2), (f"{tmp_path}/gone", 60_000, 3)):
+        for rows in ([("m", "q", day + "10:00:00", 1, 0, 1, 1)], [("m", "r", day + "20:00:00", 1, 0, 1, 1)], [("m", "q", day + "20:00:01", 2, 1, 1, 1)]):
+            spark.createDataFrame(rows, columns).withColumn("at", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
+            evaluated(spark, folder, horizon_ms=horizon)
+        got = evaluation.totals(spark, f"{folder}/out").first()
+        assert (got["queries"], got["attempts"], got["hits"]) == (queries, 3, 1)
