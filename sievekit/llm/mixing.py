@@ -4,21 +4,22 @@ A classifier fitted on a labelled table gives every document a posterior over do
 a nonnegative rate (its expected number of copies), so that the domains' expected token totals, sum of rate * tokens *
 posterior, come closest to the targets in least squares, moving rates from 1 as little as that needs.
 
-The fit is a projected gradient descent. Documents whose posteriors fall into one cell of a grid share a rate, and a cell's tokens and token-weighted posteriors, summed over
-all documents in one distributed aggregation, are all that the descent needs: the totals it works with are exact, and the cells are at most about CELLS
-however many documents there are. A step moves the rate of a cell against the gradient, per token (the gradient in the metric that weighs a rate by its cell's tokens), by one over the
-gradient's Lipschitz constant in that metric, the largest eigenvalue of a domains x domains matrix, and puts rates back to their bounds; it starts ahead of the last rates, by momentum, unless that would raise the error, which no step does.
+The fit is a projected gradient descent over the documents themselves, each with a rate of its own, with lazy projection: gradients add up, and a rate is 1 less its document's sum, put back to the bounds. Per token (in the metric
+that weighs a rate by its document's tokens) a document's gradient is its posterior times one vector, the domains' misses, so all that is carried from step to step is the sum of such vectors, one number a domain, and rates are
+written once, at the end. A step is one aggregation over all documents, in their tasks, of what several vectors would reach: the misses by one over the gradient's Lipschitz constant in that metric (the largest eigenvalue of a
+domains x domains matrix), and the misses in the metric of the documents that no bound holds, damped and lengthened by several factors. The best is taken. The first of them cannot raise the error, so no step does.
 
-Null texts are empty: no tokens, and the rate of their cell. Labels that are null or outside the targets'
+Null texts are empty: no tokens, and rate 1 (or the least). Labels that are null or outside the targets'
 domains do not teach. Ids that repeat in the labelled table count once (with the least domain); rows that repeat in the documents count each. A domain of
 targets that no label has is never predicted, and its target is missed: a target that is missed by more than MISSED is a warning. Without any usable labels all posteriors are equal.
-Empty tables give no rows. Very long texts are read whole. Columns of docs pass whatever their names.
+Empty tables give no rows. Very long texts are read whole. Columns of docs pass whatever their names. Copies are drawn by a hash of id and
+text: rows with both alike are drawn alike.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +30,12 @@ from sievekit.llm.quality import statistics
 from sievekit.llm.secrets import let
 from sievekit.llm.toxicity import mine_stems, trie_pattern, unlike
 
-#: Steps of the descent at most, and the share of the tokens by which totals may miss their targets when it stops.
-STEPS, CLOSE, MISSED = 20_000, 1e-9, 1e-3
+#: Steps of the descent at most, the share of the tokens by which totals may miss their targets when it stops, the share that is worth a warning,
+#: and the number of steps that have to lower the error by a millionth.
+STEPS, CLOSE, MISSED, WINDOW = 200, 1e-6, 1e-3, 6
+#: What dampens the metric of the documents inside their bounds (in Lipschitz constants), and multiples of the steps in that metric.
+DAMPED, LONGER = tuple(10.0**-j for j in range(11)), (1.0, 4.0)
 ROOM = 1.02
-#: Cells of the grid of posteriors, about.
-CELLS = 50_000
 #: The statistics that domains are told apart by, beside their stems: those that need no search through the text but one for symbols and one for bars.
 KNOWN_BY = ("chars", "words", "word_length", "symbols", "bars", "lines", "distinct_words", "distinct_lines")
 #: Labelled rows that teach at most, on average of the hash that picks them.
@@ -133,88 +135,117 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str
 
 
 def members(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tokens (words), posterior, cell."""
+    """doc_id, tokens (words), posterior."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(F.array(classifier.membership(body))).alias("m"))
-    return found.select("doc_id", "m.tokens", "m.posterior", cell_of(F.col("m.posterior"), len(classifier.domains)).alias("cell"))
-
-
-def grid(domains: int) -> int:
-    """Steps from 0 to 1 of the grid: as many as leave at most CELLS cells."""
-    steps = 1
-    while steps < 1024 and math.comb(steps + domains, max(domains - 1, 0)) <= CELLS:
-        steps += 1
-    return steps
-
-
-def cell_of(posterior: Column, domains: int) -> Column:
-    """A string that names the cell."""
-    return F.array_join(F.transform(posterior, lambda p: F.round(p * grid(domains)).cast("int").cast("string")), ",")
+    return found.select("doc_id", "m.tokens", "m.posterior")
 
 
 @dataclass
 class Fit:
-    cells: list[str]
-    rates: list[float]
+    start: float
+    taken: list[float]  # by domain: what the steps took from a rate in all, per unit of posterior
+    steps: int
+    least: float
+    most: float | None
     targets: list[float]
     reached: list[float]
     errors: list[float]  # half the squared miss before each step, and after the last
 
 
-def descend(tokens, sums, targets, least: float, most: float | None):
-    """(rates, errors) of cells with so many tokens and sums of tokens by domain."""
+def follow(posterior, start: float, taken, least: float, most: float | None):
+    """Rates of documents (rows of posterior)."""
     import numpy as np
 
-    rates = np.full(len(tokens), max(1.0, least))
-    used = tokens > 0
-    mean = sums[used] / tokens[used][:, None]
-    if not used.any():
-        return rates, []
-    step = 1 / np.linalg.eigvalsh(mean.T @ sums[used])[-1]
-    moved = lambda at: np.clip(at - step * (mean @ (at @ sums[used] - targets)), least, most)
-    error = lambda at: float(((at @ sums[used] - targets) ** 2).sum()) / 2
-    now = ahead = rates[used]
-    errors, t = [error(now)], 1.0
-    for _ in range(STEPS):
-        if np.abs(now @ sums[used] - targets).sum() <= CLOSE * targets.sum():
+    return np.clip(start - posterior @ np.asarray(taken), least, most)
+
+
+def reach(tokens, posterior, start: float, tries, least: float, most: float | None):
+    """tries x (domains + domains^2): the expected tokens by domain that so much taken leaves, and the metric of the documents that are then inside their bounds."""
+    import numpy as np
+
+    weighted, out = posterior * tokens[:, None], []
+    for taken in tries:
+        rates = follow(posterior, start, taken, least, most)
+        inside = (rates > least) & (rates < (np.inf if most is None else most))
+        out.append(np.concatenate([rates @ weighted, (posterior.T @ (weighted * inside[:, None])).ravel()]))
+    return np.stack(out)
+
+
+def measure(table: DataFrame, domains: int, start: float, tries, least: float, most: float | None):
+    """reach() summed over a table of tokens and posterior: a task sums up its documents, and only such sums are shuffled."""
+    import numpy as np
+
+    width = domains + domains * domains
+
+    def summed(batches):
+        import pyarrow as pa
+
+        total = np.zeros((len(tries), width))
+        for batch in batches:
+            tokens, posterior = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
+            total += reach(tokens, posterior, start, tries, least, most)
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["place", "value"])
+
+    rows = table.select(F.col("tokens").cast("double"), "posterior").mapInArrow(summed, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    found = np.zeros(len(tries) * width)
+    for r in rows:
+        found[r["place"]] = r["value"]
+    return found.reshape(len(tries), width)
+
+
+def descend(measured: Callable, totals, metric, targets):
+    """(taken, reached, errors). measured(tries) is what reach() gives; totals and metric: those of the start, with all documents inside."""
+    import numpy as np
+
+    k, inside = len(targets), metric
+    largest, taken = np.linalg.eigvalsh(metric)[-1], np.zeros(k)
+    errors = [float(((totals - targets) ** 2).sum()) / 2]
+    while largest > 0 and len(errors) <= STEPS and np.abs(totals - targets).sum() > CLOSE * targets.sum():
+        miss = totals - targets
+        tries = [taken + miss / largest] + [taken + by * np.linalg.solve(inside + d * largest * np.eye(k), miss) for d in DAMPED for by in LONGER]
+        found = measured(tries)
+        after = ((found[:, :k] - targets) ** 2).sum(axis=1) / 2
+        best = int(np.argmin(after))
+        if after[best] > errors[-1]:  # the optimum, as far as sums of so many numbers can tell
             break
-        new = moved(ahead)
-        if error(new) > errors[-1]:  # momentum went too far: the plain step from here, which cannot raise the error
-            new, t = moved(now), 1.0
-        t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, now, t = new + (t - 1) / t_next * (new - now), new, t_next
-        errors.append(error(now))
-        if len(errors) > 500 and errors[-500] - errors[-1] <= 1e-9 * errors[-1]:
+        taken, totals, inside = tries[best], found[best, :k], found[best, k:].reshape(k, k)
+        errors.append(float(after[best]))
+        if len(errors) > WINDOW and errors[-WINDOW] - errors[-1] <= 1e-6 * errors[-1]:
             break
-    rates[used] = now
-    return rates, errors
+    return taken, totals, errors
 
 
 def fit_rates(table: DataFrame, shares: list[float], total: float | None = None, least: float = 0.0, most: float | None = None) -> Fit:
-    """For a staged table of tokens, posterior and cell. total: the expected tokens of the mixture, by default those of the table, or, with least > 0, as many as the targets need."""
+    """For a staged table of tokens and posterior. total: the expected tokens of the mixture, by default those of the table, or, with least > 0, as many as the targets need."""
     import numpy as np
 
-    k = len(shares)
-    weight = F.col("tokens").cast("double")
-    found = table.groupBy("cell").agg(F.sum(weight).alias("t"), *[F.sum(weight * F.get("posterior", d)).alias(f"s{d}") for d in range(k)]).orderBy("cell").collect()  # at most about CELLS rows
-    tokens = np.array([r["t"] or 0.0 for r in found])
-    sums = np.array([[r[f"s{d}"] or 0.0 for d in range(k)] for r in found]).reshape(len(found), k)
-    natural, weights = sums.sum(axis=0), np.array(shares, dtype=float) / sum(shares)
+    k, start = len(shares), max(1.0, least)
+    first = measure(table, k, start, [[0.0] * k], -np.inf, np.inf)[0]
+    totals, metric = first[:k], first[k:].reshape(k, k)
+    natural, weights = totals / start, np.array(shares, dtype=float) / sum(shares)
     if total is None:
         # with rates of at least `least` a domain cannot shrink below that: the mixture grows until every target is a little over it, as texts that hold a little of a full domain have to grow as well
         total = float(natural.sum()) if least <= 0 else ROOM * float(max(least * n / w for n, w in zip(natural, weights) if w > 0))
     targets = weights * total
-    rates, errors = descend(tokens, sums, targets, least, most)
-    reached = rates @ sums if len(found) else np.zeros(k)
+    taken, reached, errors = descend(lambda tries: measure(table, k, start, tries, least, most), totals, metric, targets)
     if np.abs(reached - targets).sum() > MISSED * max(1.0, total):
         warnings.warn(f"expected tokens of the domains are {reached.round(1).tolist()}, not {targets.round(1).tolist()}", stacklevel=2)
-    return Fit([r["cell"] for r in found], rates.tolist(), targets.tolist(), reached.tolist(), errors)
+    return Fit(start, taken.tolist(), len(errors) - 1, least, most, targets.tolist(), reached.tolist(), errors)
+
+
+def rate(posterior: Column, tokens: Column, fit: Fit) -> Column:
+    """follow() as a Column. Without tokens there is no gradient: such documents keep the rate of the start."""
+    form = F.lit(fit.start)
+    for d, x in enumerate(fit.taken):
+        form = form - F.get(posterior, d) * F.lit(float(x))
+    form = F.greatest(form, F.lit(float(fit.least)))
+    return F.when(tokens > 0, form if fit.most is None else F.least(form, F.lit(float(fit.most)))).otherwise(F.lit(fit.start))
 
 
 def rated(table: DataFrame, fit: Fit) -> DataFrame:
-    """table with a cell -> with its rate; the rates are a row a cell and are broadcast."""
-    rates = table.sparkSession.createDataFrame(list(zip(fit.cells, fit.rates)), "cell string, rate double")
-    return table.join(F.broadcast(rates), "cell")
+    """table of tokens and posterior -> with each row's rate."""
+    return table.withColumn("rate", rate(F.col("posterior"), F.col("tokens"), fit))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", total: float | None = None, least: float = 0.0, most: float | None = None) -> DataFrame:
@@ -225,9 +256,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_i
     return rated(table, fit).select("doc_id", "tokens", *[F.get("posterior", k).alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
 
 
-def copies(rate: Column, key: Column) -> Column:
+def copies(rate: Column, *key: Column) -> Column:
     """A whole number whose expectation over keys is the rate: the fraction is decided by a hash of the key."""
-    part = F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    part = F.pmod(F.xxhash64(*key, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
@@ -236,9 +267,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id:
     domains = sorted(targets)
     classifier = train(docs, labelled, domains, doc_id, text)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
-    table = staged(docs.select(own, F.explode(F.array(classifier.membership(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).alias("m")).select("own", "m.tokens", "m.posterior", cell_of(F.col("m.posterior"), len(domains)).alias("cell")))
+    table = staged(docs.select(own, F.explode(F.array(classifier.membership(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).alias("m")).select("own", "m.tokens", "m.posterior"))
     fit = fit_rates(table, [targets[d] for d in domains], total, least, most)
-    number = copies(F.col("rate"), F.col("own").getField(doc_id))
+    number = copies(F.col("rate"), F.col("own").getField(doc_id), F.col("own").getField(text))
     return rated(table, fit).withColumn("copy", F.explode(F.sequence(F.lit(0), number))).where(F.col("copy") > 0).select("own.*")
 
 

@@ -105,7 +105,7 @@ def test_quality(odd, none, labels):
 def test_mixing(odd, none, labels):
     shares = {"prime": 0.5, "rough": 0.3, "toxic": 0.2}
     got = mixing.mixed(odd, mixing.label_domains(labels), shares).collect()
-    assert len(got) == len(ROWS) and all(r.rate >= 0 for r in got)
+    assert len(got) == len(ROWS) and all(r.rate >= 0 for r in got) and all(r.rate == 1 for r in got if r.tokens == 0)
     assert mixing.mixed(odd, mixing.label_domains(labels).limit(0), shares).count() == len(ROWS)
     assert mixing.mixed(none, mixing.label_domains(labels), shares).count() == 0
     more = mixing.mix(odd, mixing.label_domains(labels), shares, least=1.0)

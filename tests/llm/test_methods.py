@@ -448,7 +448,7 @@ def test_rates_meet_targets(spark, least):
     rng = np.random.default_rng(9)
     p = rng.dirichlet([0.3, 0.3, 0.3], size=400)
     tokens = rng.integers(0, 900, size=400)
-    table = spark.createDataFrame([(int(t), row.tolist()) for t, row in zip(tokens, p)], "tokens long, posterior array<double>").withColumn("cell", mixing.cell_of(F.col("posterior"), 3)).cache()
+    table = spark.createDataFrame([(int(t), row.tolist()) for t, row in zip(tokens, p)], "tokens long, posterior array<double>").repartition(3).cache()
     fit = mixing.fit_rates(table, [0.6, 0.3, 0.1], least=least)
     assert fit.reached == pytest.approx(fit.targets, rel=1e-3)
     assert all(b <= a * (1 + 1e-12) for a, b in zip(fit.errors, fit.errors[1:]))
@@ -456,15 +456,20 @@ def test_rates_meet_targets(spark, least):
     rates, tokens, p = (np.array([r[c] for r in rows]) for c in ("rate", "tokens", "posterior"))
     assert len(rows) == 400 and rates.min() >= least
     assert (rates * tokens) @ p == pytest.approx(fit.targets, rel=1e-3)
+    used = tokens > 0
+    assert rates[used] == pytest.approx(mixing.follow(p, 1.0, fit.taken, least, None)[used], abs=1e-9)
+    assert len(set(rates.round(9))) > (100 if least == 0 else 3)  # of its own, but where the bound holds it
 
 
 def test_descent_is_the_plain_one():
-    """The optimum of the plain descent (rate - step * gradient / tokens, put back to the bounds, without momentum), also where targets are out of reach; no step raises the error."""
+    """The optimum of the plain descent (rate - step * gradient / tokens, put back to the bounds each time), also where targets are out of reach; no step raises the error."""
     rng = np.random.default_rng(19)
     p, tokens = rng.dirichlet([0.5, 0.5, 0.5], size=30), rng.integers(1, 90, size=30).astype(float)
     sums = p * tokens[:, None]
     for targets in (np.array([900.0, 100.0, 1.0]), np.array([500.0, 300.0, 200.0])):
-        rates, errors = mixing.descend(tokens, sums, targets, 0.2, 3.0)
+        taken, reached, errors = mixing.descend(lambda tries: mixing.reach(tokens, p, 1.0, tries, 0.2, 3.0), sums.sum(axis=0), p.T @ sums, targets)
+        rates = mixing.follow(p, 1.0, taken, 0.2, 3.0)
+        assert rates @ sums == pytest.approx(reached)
         plain, step = np.ones(30), 1 / np.linalg.eigvalsh((sums / tokens[:, None]).T @ sums)[-1]
         for _ in range(20_000):
             plain = np.clip(plain - step * (sums @ (plain @ sums - targets)) / tokens, 0.2, 3.0)
@@ -498,6 +503,12 @@ def test_posterior_in_columns(spark):
     assert np.allclose(got, want)
 
 
+def test_copies_of_rows_without_an_id(spark):
+    """Rows of no id, or of one id, are drawn apart by their texts."""
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert rows.select(mixing.copies(F.lit(0.5), F.col("doc_id"), F.col("text")).alias("n")).agg(F.avg("n")).first()[0] == pytest.approx(0.5, abs=0.03)
+
+
 def test_copies_follow_rates(spark):
     got = spark.range(4000).select(mixing.copies(F.lit(1.25), F.col("id")).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
     assert got[0] == pytest.approx(1.25, abs=0.03) and (got[1], got[2]) == (1, 2)
