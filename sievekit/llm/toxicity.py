@@ -3,8 +3,9 @@
 Three lexicons that mark toxic texts are mined from a bounded sample of labelled rows, each from another view of the words: how they begin, whole words,
 and how they end. They make lexicon voters by view and length; pattern voters look at how hits stand in the text (several different ones, many, dense, next to a
 word of address, shouted, with marks of exclamation) and at texts without any hit. A voter speaks or is silent. A generative label model then sees the votes only, no labels: expectation
-maximisation estimates how often each voter speaks on toxic and on clean texts, and the correlations of voters within each class, which
-discount what dependent voters say together. A linear classifier is trained on its posterior labels and scores every text, as a Column.
+maximisation estimates how often each voter speaks on toxic and on clean texts, and correlation factors: within a class a voter may depend on one
+other voter, so that the likelihood of a text's votes is a product along a forest of voters. The forest is the one with most conditional mutual
+information, of the edges that pay for their parameters. A linear classifier is trained on its posterior labels and scores every text, as a Column.
 
 Null texts are empty and score as such. Null doc_ids are scored and in no fold. Repeated rows are scored each. Very long texts
 are read whole. With no labelled rows (or none of one class) no stem is found and every score is the prior. Empty
@@ -32,7 +33,7 @@ LEXICON_VOTERS, PATTERN_VOTERS = len(VIEWS) * len(LENGTHS), 7
 #: Words that address a reader, in the languages that texts come in.
 ADDRESS = "you your yours yourself thou tu toi vous votre te usted tú vosotros du dich dir ihr euch"
 THRESHOLD = 0.3
-ROUNDS = 60
+ROUNDS, FOREST_ROUNDS = 60, 6
 
 
 def unlike(sample: DataFrame) -> DataFrame:
@@ -107,41 +108,69 @@ def mine_stems(texts: DataFrame, in_docs: int, out_docs: int) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """P(voter speaks | class), a discount per voter for correlated ones, and the prior of class 1."""
+    """P(voter speaks | class, vote of the voter it depends on), and the prior of class 1. Voters that depend on none have the same rate for both votes."""
 
     prior: float
-    speaks: object  # 2 x voters
-    discount: object
+    parents: list[int]  # -1: none
+    given: object  # class x vote of the parent x voters
+    speaks: object  # class x voters, whatever the parent votes
 
     def posterior(self, votes):
         import numpy as np
 
-        # silence is evidence too, as far as the voter speaks on texts of one class more than on those of the other
-        spoken = np.log(self.speaks[1] / self.speaks[0]) / self.discount
-        silent = np.log((1 - self.speaks[1]) / (1 - self.speaks[0])) / self.discount
-        return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (spoken - silent) + silent.sum())
+        parent = np.where(np.array(self.parents) >= 0, votes[:, self.parents], 0).astype(int)
+        logs = []
+        for c in (0, 1):  # silence is evidence too, as far as the voter speaks on texts of one class more than on those of the other
+            rate = np.where(parent == 1, self.given[c][1], self.given[c][0])
+            logs.append(np.where(votes == 1, np.log(rate), np.log(1 - rate)).sum(axis=1))
+        return sigmoid(np.log(self.prior / (1 - self.prior)) + logs[1] - logs[0])
+
+
+def forest(votes, weights) -> list[int]:
+    """The parent of each voter (-1: none) in the forest of most mutual information within the classes (weights: class x documents); an edge has to gain more likelihood than its two parameters cost."""
+    import numpy as np
+
+    n, m = votes.shape
+    gain = np.zeros((m, m))
+    for w in weights:
+        total = max(float(w.sum()), 1e-9)
+        both = (votes * w[:, None]).T @ votes / total
+        one = np.diag(both)
+        for cell, a, b in ((both, one[:, None], one[None, :]), (one[:, None] - both, one[:, None], 1 - one[None, :]), (one[None, :] - both, 1 - one[:, None], one[None, :]), (1 - one[:, None] - one[None, :] + both, 1 - one[:, None], 1 - one[None, :])):
+            gain += total * np.where(cell > 1e-12, cell * np.log(np.maximum(cell, 1e-12) / np.maximum(a * b, 1e-12)), 0.0)
+    cost, parents, left = np.log(max(n, 2)), [-1] * m, set(range(m))
+    while left:
+        root = min(left)
+        left.remove(root)
+        inside = [root]
+        while left:
+            worth, a, b = max((gain[a, b], -a, -b) for a in inside for b in left)
+            if worth <= cost:
+                break
+            parents[-b] = -a
+            inside.append(-b)
+            left.remove(-b)
+    return parents
 
 
 def fit_label_model(votes, prior: float) -> LabelModel:
-    """votes: documents x voters of 0 and 1, without labels. Starts from the share of voters that speak."""
+    """votes: documents x voters of 0 and 1, without labels. Starts from the share of voters that speak; voters are independent at first, and depend on each other from half the rounds on."""
     import numpy as np
 
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     n, m = votes.shape
     q = np.where(votes[:, :LEXICON_VOTERS].any(axis=1), 0.9, 0.02)
-    model = LabelModel(prior, np.full((2, m), 0.5), np.ones(m))
+    model = LabelModel(prior, [-1] * m, np.full((2, 2, m), 0.5), np.full((2, m), 0.5))
     for k in range(ROUNDS):
         weights = np.stack([1 - q, q])
         model.speaks = np.clip((weights @ votes + 0.5) / (weights.sum(axis=1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
-        if k >= ROUNDS // 2:
-            model.discount = np.ones(m)
-            for c in (0, 1):  # correlations given the class
-                residual = (votes - model.speaks[c]) * np.sqrt(weights[c])[:, None]
-                cov = residual.T @ residual
-                spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                corr = cov / np.outer(spread, spread)
-                np.fill_diagonal(corr, 0)
-                model.discount = np.maximum(model.discount, 1 + (np.maximum(corr, 0) ** 2).sum(axis=0))
+        if k >= ROUNDS // 2 and k % FOREST_ROUNDS == 0:  # posteriors of a model without factors make up factors of their own, which later ones drop
+            model.parents = forest(votes, weights)
+        for j, parent in enumerate(model.parents):
+            for v in (0, 1):
+                when = weights * (votes[:, parent] == v) if parent >= 0 else weights
+                # two documents' worth of the voter's own rate, where the parent's vote is rare
+                model.given[:, v, j] = np.clip((when @ votes[:, j] + 2 * model.speaks[:, j]) / (when.sum(axis=1) + 2), 1e-4, 1 - 1e-4)
         q = model.posterior(votes)
     return model
 

@@ -409,7 +409,32 @@ def test_label_model_recovers_voters():
     free = [k for k in range(every) if k not in (lex, lex + 1)]
     assert np.abs(model.speaks[1][free] - speaks[1][free]).max() < 0.06 and np.abs(model.speaks[0][free] - speaks[0][free]).max() < 0.02
     assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.98
-    assert model.discount[lex] > 1.5 and max(model.discount[free]) < 1.5
+    # the pair is one factor, and it is the only one: the copy tells nothing that the other has not told
+    assert {(j, p) for j, p in enumerate(model.parents) if p >= 0} in ({(lex + 1, lex)}, {(lex, lex + 1)})
+    child = lex + 1 if model.parents[lex + 1] == lex else lex
+    assert model.given[1][1][child] > 0.99 and model.given[1][0][child] < 0.01
+
+
+def test_forest_of_voters_is_the_likeliest():
+    """Posteriors against a plain product of conditional rates; a chain of dependent voters comes back as a chain, in both classes."""
+    rng = np.random.default_rng(31)
+    n, every = 8000, toxicity.LEXICON_VOTERS + toxicity.PATTERN_VOTERS
+    truth = rng.random(n) < 0.3
+    votes = (rng.random((n, every)) < np.where(truth[:, None], 0.6, 0.05)).astype(float)
+    for j in (10, 11, 12):  # follows the voter before it three times in four
+        votes[:, j] = np.where(rng.random(n) < 0.75, votes[:, j - 1], votes[:, j])
+    model = toxicity.fit_label_model(votes, 0.3)
+    assert {frozenset((j, p)) for j, p in enumerate(model.parents) if p >= 0} == {frozenset((j - 1, j)) for j in (10, 11, 12)}
+    want = []
+    for row in votes[:50]:
+        like = [1 - model.prior, model.prior]
+        for c in (0, 1):
+            for j, p in enumerate(model.parents):
+                r = model.given[c][int(row[p]) if p >= 0 else 0][j]
+                like[c] *= r if row[j] else 1 - r
+        want.append(like[1] / sum(like))
+    assert model.posterior(votes[:50]) == pytest.approx(np.array(want), abs=1e-9)
+    assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.97
 
 
 def test_voters_against_held_out_truth(spark):
