@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -335,6 +336,36 @@ def test_topk_reads_less_than_all():
         assert lists.search(lists.values[own % 40], own, 5, [])[0] == best_of(lists.ids, lists.values, lists.values[own % 40], own, 5)
 
 
+def test_topk_reads_queries_together():
+    """Many queries by one product a depth: the answers of each are whole (ties, repeated ids, components beyond single precision, slices of a few rows), skewed lists are read in part, and a query costs a small part of what it costs alone."""
+    rng = np.random.default_rng(28)
+    for case in range(24):
+        n, dims, k = int(rng.integers(1, 2500)), int(rng.integers(1, 20)), int(rng.integers(1, 8))
+        values = np.floor(rng.choice([3, 256, 3e5]) * rng.normal(size=(n, dims)))
+        ids = rng.permutation(n) if case % 3 else rng.integers(0, n // 2 + 1, size=n)
+        best, read = topk.Block(ids, values).search_all(values[:12], ids[:12].tolist(), k)
+        assert best == [best_of(ids, values, values[q], ids[q], k) for q in range(min(n, 12))]
+        assert all(r <= values.size for r in read)
+    skewed = np.floor(256 * rng.normal(size=(6000, 16)) * 0.4 ** np.arange(16))
+    assert np.mean(topk.Block(np.arange(6000), skewed).search_all(skewed[:50], list(range(50)), 5)[1]) < 0.6 * skewed.size
+    flat = rng.normal(size=(8000, 64))
+    block = topk.Block(np.arange(8000), np.floor(256 * flat / np.linalg.norm(flat, axis=1, keepdims=True)))
+    queries = block.slices[0].values[:256]
+    start = time.perf_counter()
+    together = block.search_all(queries, list(range(256)), 5)[0]
+    middle = time.perf_counter()
+    assert together[:16] == [block.search(queries[q], q, 5)[0] for q in range(16)]
+    assert (middle - start) / 256 < (time.perf_counter() - middle) / 16 / 3
+
+
+def test_topk_gives_every_block_its_own_task(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    table = spark.range(900).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    asked = topk.top_k(table, F.col("vec_id") % 50 == 0)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 9" in plan and asked.count() == 90
+
+
 def test_topk_depths_and_entries():
     rng = np.random.default_rng(18)
     lists = topk.SortedLists(np.arange(300), rng.integers(-90, 90, size=(300, 8)))
