@@ -578,6 +578,28 @@ def test_long_lists_are_not_read_to_their_ends():
     assert block.best(["all", "nowhere"], [-1.0, 2.0], 3)[0].tolist() == sorted(range(n), key=lambda i: (round(score_of(block, i), 9), i))[:3]
 
 
+def test_a_block_starts_from_the_score_that_others_reach():
+    """Lists of any length are added whole and right; documents below the floor of other blocks are left out, those at it are not."""
+    import numpy as np
+
+    from sievekit.operators.blocks import floor_of
+
+    rnd = np.random.default_rng(5)
+    for n in (50, 3000):
+        block, score = sparse.Postings(n), np.zeros(n)
+        weights = {f"t{j}": float(rnd.uniform(0.1, 3)) for j in range(12)}
+        for j, (term, weight) in enumerate(weights.items()):
+            places = rnd.choice(n, max(1, n * (j + 1) // 13), replace=False)
+            impacts = np.sort(rnd.uniform(0.5, 2.5, len(places)))[::-1]
+            block.add(term, float(impacts[0]), places.astype("<i4").tobytes(), impacts.astype("<f8").tobytes())
+            score[places] += weight * impacts
+        want = sorted(range(n), key=lambda i: (-round(score[i], 9), i))[:10]
+        assert floor_of(score, 10) <= np.sort(score)[-10] and (score >= floor_of(score, 10)).sum() < 10 + n / 20
+        for floor, left in ((0.0, 10), (score[want[3]], 4), (1e9, 0)):
+            places, scores, _, _ = block.best(list(weights), list(weights.values()), 10, floor)
+            assert places[:left].tolist() == want[:left] and np.allclose(scores, score[places])
+
+
 def score_of(block, place):
     _, places, impacts = block.terms["all"]
     return float(impacts[list(places).index(place)])
