@@ -578,6 +578,31 @@ def test_long_lists_are_not_read_to_their_ends():
     assert block.best(["all", "nowhere"], [-1.0, 2.0], 3)[0].tolist() == sorted(range(n), key=lambda i: (round(score_of(block, i), 9), i))[:3]
 
 
+def test_products_leave_out_only_what_cannot_be_found():
+    """Near scores in single precision, exact ones in doubles: copies tie by id, numbers of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(6)
+    table = lambda i, v: pa.table({"doc_id": i, "v": pa.array(list(v), pa.list_(pa.float64()))})
+    for n, k, scale in ((5, 3, 1.0), (3000, 20, 1.0), (2500, 5, 1e-3), (2500, 5, 4096.0), (40, 60, 1.0)):
+        vectors, queries, ids = rnd.poisson(2, size=(n, 16)) * scale, rnd.normal(size=(70, 16)), rnd.permutation(n)
+        vectors[n // 2 :] = vectors[: n - n // 2]
+        at, places, scores = dense._products(k)(table(ids, vectors))(table(np.arange(70), queries))
+        for q in range(70):
+            want = np.round((vectors * queries[q]).sum(axis=1), 9)
+            assert places[at == q].tolist() == np.lexsort((ids, -want))[:k].tolist()
+            assert np.allclose(scores[at == q], want[places[at == q]])
+
+
+def test_blocks_are_tasks_of_their_own(spark):
+    from sievekit.operators.blocks import own_task
+
+    rows = spark.range(4_000).select(F.lit("").alias("part"), (F.col("id") % 40).alias("b"))
+    tasks = own_task(rows, "part", "b", 40).select("b", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() == 40 and tasks.select("task").distinct().count() == 40
+
+
 def test_a_block_starts_from_the_score_that_others_reach():
     """Lists of any length are added whole and right; documents below the floor of other blocks are left out, those at it are not."""
     import numpy as np
