@@ -603,6 +603,13 @@ def test_blocks_are_tasks_of_their_own(spark):
     assert tasks.count() == 40 and tasks.select("task").distinct().count() == 40
 
 
+def test_postings_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, " "), (3, None), (4, "c c a")], "doc_id long, text string")
+    got = sparse.postings(docs)
+    assert sorted(map(tuple, got.select("doc_id", "dl", "term", "tf").collect())) == [(1, 3, "a", 1), (1, 3, "b", 2), (4, 3, "a", 1), (4, 3, "c", 2)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_block_starts_from_the_score_that_others_reach():
     """Lists of any length are added whole and right; documents below the floor of other blocks are left out, those at it are not."""
     import numpy as np
