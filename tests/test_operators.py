@@ -578,6 +578,28 @@ def test_long_lists_are_not_read_to_their_ends():
     assert block.best(["all", "nowhere"], [-1.0, 2.0], 3)[0].tolist() == sorted(range(n), key=lambda i: (round(score_of(block, i), 9), i))[:3]
 
 
+def test_whole_number_sums_leave_out_only_what_cannot_be_found():
+    """Many long lists: documents are picked by sums in two bytes and scored in doubles, whatever the scale of the weights and however few rows are kept at a time."""
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for n, most, scale in ((3000, 512, 1.0), (3000, 3, 1.0), (40, 512, 1.0), (3001, 512, 1e-6), (3000, 512, 1e6)):
+        block, score = sparse.Postings(n), np.zeros(n)
+        block.exact.most, block.rounded.most = most, 2 * most
+        weights = {f"t{j}": float(rnd.uniform(1, 2)) * scale for j in range(20)}
+        for j, (term, weight) in enumerate(weights.items()):
+            places = rnd.choice(n, n * (j + 4) // 24, replace=False)
+            impacts = np.sort(rnd.integers(1, 6, len(places)) / 2)[::-1]
+            block.add(term, float(impacts[0]), places.astype("<i4").tobytes(), impacts.astype("<f8").tobytes())
+            score[places] += weight * impacts
+        for _ in range(2):
+            want = sorted(range(n), key=lambda i: (-round(score[i], 9), i))[:10]
+            places, scores, read, held = block.best(list(weights), list(weights.values()), 10)
+            assert places.tolist() == want and np.allclose(scores, score[want], rtol=1e-12) and read <= held
+            block.release()
+        assert n < 1000 or most == 3 or block.rounded.held is None and block.best(list(weights), list(weights.values()), 10)[2] and block.rounded.held.dtype.itemsize == 2
+
+
 def test_products_leave_out_only_what_cannot_be_found():
     """Near scores in single precision, exact ones in doubles: copies tie by id, numbers of any size."""
     import numpy as np
