@@ -758,3 +758,35 @@ def test_state_goes_past_the_horizon(spark, tmp_path):
             evaluated(spark, folder, horizon_ms=horizon)
         got = evaluation.totals(spark, f"{folder}/out").first()
         assert (got["queries"], got["attempts"], got["hits"]) == (queries, 3, 1)
+
+
+def test_a_bucket_of_keys_is_one_state(spark, tmp_path):
+    """Keys of a bucket are read and written once a batch, whatever their number; each keeps its own last attempt, and goes past the horizon by itself."""
+    import pandas as pd
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    state = State()
+    processor = evaluation.LastAttempt()
+    processor.init(type("Handle", (), {"getValueState": lambda self, name, schema: state})())
+    frame = lambda rows: pd.DataFrame(rows, columns=["bucket", "method", "query_id", "at", "at_micros", "attempt", "hits", "calls", "tokens"])
+    attempt = lambda method, q, at, n, hit: (0, method, str(q), None, at, n, hit, 1, 2)
+    first = [attempt(None if q % 2 else "m", q, 5, 1, 0) for q in range(300)]
+    told = lambda *parts: sorted(tuple(r) for part in processor.handleInputRows((0,), iter([frame(p) for p in parts]), None) for r in part.fillna("").itertuples(index=False))
+    assert told(first[:200], first[200:]) == [("", 150, 150, 0, 150, 300), ("m", 150, 150, 0, 150, 300)] and state.calls == 2
+    assert told([attempt("m", 2, 5, 2, 1), attempt("m", 4, 4, 9, 1), attempt("m", 600, 1, 1, 1), attempt("m", 600, 1, 1, 0)]) == [("m", 1, 4, 2, 1, 2)] and state.calls == 4
+
+    columns, folder, day = "method string, query_id string, at string, attempt long, hit long, calls long, tokens long", str(tmp_path), "2024-01-01 "
+    for rows in ([("m", "q", day + "10:00:00", 1, 0, 1, 1), ("m", "p", day + "19:59:59", 1, 0, 1, 1)], [("m", "r", day + "21:00:00", 1, 0, 1, 1)], [("m", "q", day + "21:00:01", 2, 1, 1, 1), ("m", "r", day + "21:00:02", 2, 1, 1, 1), ("m", "p", day + "21:00:01", 2, 1, 1, 1)]):
+        spark.createDataFrame(rows, columns).withColumn("at", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
+        evaluated(spark, folder, buckets=1, horizon_ms=3_000_000)
+    got = evaluation.totals(spark, f"{folder}/out").first()
+    assert (got["queries"], got["attempts"], got["hits"]) == (4, 6, 3)  # q is another query, p is not
