@@ -790,3 +790,18 @@ def test_a_bucket_of_keys_is_one_state(spark, tmp_path):
         evaluated(spark, folder, buckets=1, horizon_ms=3_000_000)
     got = evaluation.totals(spark, f"{folder}/out").first()
     assert (got["queries"], got["attempts"], got["hits"]) == (4, 6, 3)  # q is another query, p is not
+
+
+def test_paraphrases_need_no_index(spark):
+    """The sparse scorer is called for traces only."""
+    original = spark.createDataFrame([(1, 5, 0.1, 1)], "query_id long, doc_id long, score double, rank int")
+    variants = spark.createDataFrame([(1, "trace", 0, "a"), (1, "paraphrase", 0, "b")], "query_id long, kind string, ord int, text string")
+    found = lambda asked, k: asked.select("query_id", F.lit(7).cast("long").alias("doc_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    def never(asked, k):
+        raise AssertionError("asked")
+
+    got = gate.gated_retrieval(original, variants, "paraphrases", found, never).orderBy("rank").collect()
+    assert [(r.doc_id, r["rank"]) for r in got] == [(5, 1), (7, 2)]
+    with pytest.raises(AssertionError, match="asked"):
+        gate.gated_retrieval(original, variants, "selective", found, never)
