@@ -792,6 +792,75 @@ def test_a_bucket_of_keys_is_one_state(spark, tmp_path):
     assert (got["queries"], got["attempts"], got["hits"]) == (4, 6, 3)  # q is another query, p is not
 
 
+def test_a_block_answers_many_queries_as_one_by_one():
+    """Short and long lists, ties, floors, terms that are nowhere, weights that are zero, negative or beyond single precision: the plain sums' lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    for n in (1, 40, 5000):
+        sizes, words = rnd.integers(1, 40, n), [f"t{j}" for j in range(30)]
+        lists = {w: (p := np.sort(rnd.choice(n, max(1, n * j // 30), replace=False)), rnd.integers(1, 4, len(p)) * (70_000 if j == 7 else 1)) for j, w in enumerate(words)}
+        block = sparse.Block(pa.array(np.arange(n)), sizes, 20.0)
+        pack = lambda x: pa.array([v.astype("<i4").tobytes() for v in x], pa.binary())
+        for some in (words[:11], words[11:]):
+            block.add(pa.array(some), pack(lists[w][0] for w in some), pack(lists[w][1] for w in some))
+        asked = [[(w, float(x)) for w, x in zip(rnd.choice([*words, "nowhere"], 8, replace=False), rnd.uniform(0.1, 3, 8))] for _ in range(50)] + [[("t3", -1.0), ("t20", 2.0)], [("t9", 0.0)], [("t9", 1e-40), ("t4", 1.0)], [("nowhere", 1.0)], []]
+        impacts = lambda w: lists[w][1] * 2.5 / (lists[w][1] + 1.5 * (0.25 + 0.75 * sizes[lists[w][0]] / 20.0))
+        coded = pa.array([w for q in asked for w, _ in q]).dictionary_encode()
+        weights, counts = np.array([x for q in asked for _, x in q]), np.array([len(q) for q in asked])
+        want = []
+        for q in asked:
+            score, met = np.zeros(n), np.zeros(n, dtype=bool)
+            for w, x in q:
+                if w in lists:
+                    score[lists[w][0]] += x * impacts(w)
+                    met[lists[w][0]] = True
+            want.append([(i, score[i]) for i in sorted(np.flatnonzero(met), key=lambda i: (-round(score[i], 9), i))[:10]])
+        for place, left in ((None, 10), (3, 4)):
+            floors = np.array([w[place][1] if place is not None and len(w) > place and w[place][1] > 0 else 0.0 for w in want])
+            queries, places, scores = block.answers(coded.indices.to_numpy(), coded.dictionary, weights, counts, floors, 10)
+            for j, w in enumerate(want):
+                got, w = list(zip(places[queries == j].tolist(), scores[queries == j].tolist()))[: left if floors[j] else 10], w[: left if floors[j] else 10]
+                assert [i for i, _ in got] == [i for i, _ in w] and np.allclose([x for _, x in got], [x for _, x in w], rtol=1e-12)
+        assert n < 5000 or (len(block.long) > 20 and block.places.itemsize == 2)
+
+
+def test_a_block_is_inverted_in_bounded_memory(monkeypatch):
+    """A block's postings are the plain ones however few are sorted at a time; what is held beside the input is a few dozen bytes a posting at most."""
+    import tracemalloc
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(9)
+    table = lambda b, docs: pa.RecordBatch.from_arrays([pa.array([""] * len(docs)), pa.array([b] * len(docs), pa.int32()), pa.array(list(docs), pa.int64()), pa.array(list(docs.values()), pa.list_(pa.string()))], names=["part", "b", "doc_id", "terms"])
+    docs = {k: [f"w{x}" for x in rnd.zipf(1.3, rnd.integers(0, 300)) % 5000] for k in range(4000)}
+    cut = lambda first, last: {k: docs[k] for k in range(first, last)}
+    plain = {b: {} for b in (0, 1)}
+    for k, words in docs.items():
+        for w, c in Counter(words).items():
+            plain[int(k >= 2500)].setdefault(w, []).append((k - 2500 * int(k >= 2500), c))
+    for at_a_time in (1_000_000, 500):
+        monkeypatch.setattr(sparse, "SORTED", at_a_time)
+        got, numbers = {0: {}, 1: {}}, lambda x: np.frombuffer(x, "<i4").tolist()
+        for rows in sparse._inverted(iter([table(0, cut(0, 2100)), table(0, cut(2100, 2500)), table(1, cut(2500, 4000))])):
+            for r in rows.to_pylist():
+                if r["term"] is None:
+                    assert (r["ids"], numbers(r["tf"])) == (list(cut(*((0, 2500), (2500, 4000))[r["b"]])), [len(docs[i]) for i in r["ids"]]) and r["words"] == sum(numbers(r["tf"]))
+                else:
+                    got[r["b"]][r["term"]] = list(zip(numbers(r["places"]), numbers(r["tf"])))
+        assert got == plain
+    monkeypatch.setattr(sparse, "SORTED", 20_000)
+    batches = [table(0, cut(k, k + 1000)) for k in range(0, 4000, 1000)]
+    tracemalloc.start()
+    made = sum(r["n"].to_numpy()[1:].sum() if r["n"][0].as_py() == 4000 and r["ids"][0].is_valid else r["n"].to_numpy().sum() for r in sparse._inverted(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == sum(len(set(w)) for w in docs.values()) and peak < 50 * made
+
+
 def test_paraphrases_need_no_index(spark):
     """The sparse scorer is called for traces only."""
     original = spark.createDataFrame([(1, 5, 0.1, 1)], "query_id long, doc_id long, score double, rank int")
