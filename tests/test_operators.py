@@ -874,3 +874,78 @@ def test_paraphrases_need_no_index(spark):
     assert [(r.doc_id, r["rank"]) for r in got] == [(5, 1), (7, 2)]
     with pytest.raises(AssertionError, match="asked"):
         gate.gated_retrieval(original, variants, "selective", found, never)
+
+
+def test_blocks_that_a_task_holds_give_their_best_together(spark, monkeypatch):
+    """A query leaves a task with its k best of all blocks there, not of each; and no row that goes to the workers has a null list (Spark's Arrow writer goes over these again with every row)."""
+    monkeypatch.setattr(sparse, "BLOCK_ROWS", 50)
+    docs = spark.createDataFrame([(i, f"a w{i % 7} " + "x " * (i % 90)) for i in range(900)], "doc_id long, text string")
+    index, asked = sparse.Index(docs), spark.createDataFrame([(1, "w3"), (2, "a w5 x")], "query_id long, query string")
+    tasks = -(-index.stats.first()["blocks"] // sparse.GROUP_BLOCKS)
+    assert index.stats.first()["blocks"] == 18 and tasks == 5
+    scored = index.scored(asked, 2).collect()
+    assert len(scored) <= 2 * 2 * tasks
+    every = index.scored(asked, 900).collect()
+    for q in (1, 2):
+        best = sorted((-round(r.score, 9), r.doc_id) for r in every if r.query_id == q)[:2]
+        assert [(r.doc_id, r["rank"]) for r in index.matched(asked, 2).where(f"query_id = {q}").orderBy("rank").collect()] == [(i, k + 1) for k, (_, i) in enumerate(best)]
+
+    def nulls(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([float(sum(batch[c].null_count for c in ("ids", "terms", "weights")))])], names=["query_id", "doc_id", "score"])
+
+    monkeypatch.setattr(sparse, "_answered", lambda k: nulls)
+    assert {r.score for r in index.scored(asked, 2).collect()} == {0.0}
+
+
+def test_sums_in_two_bytes_lose_nothing():
+    """Weights that differ by far in one query and between queries, and more lists than roundings up leave room for."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(8)
+    n, words = 3000, [f"t{j}" for j in range(6000)]
+    lists = [np.sort(rnd.choice(n, size, replace=False)) for size in [*rnd.integers(500, 2900, 20), *rnd.integers(1, 30, 5980)]]
+    tf, sizes = [rnd.integers(1, 60, len(p)) for p in lists], rnd.integers(1, 30_000, n)
+    block, pack = sparse.Block(pa.array(np.arange(n)), sizes, 300.0), lambda x: pa.array([v.astype("<i4").tobytes() for v in x], pa.binary())
+    block.add(pa.array(words), pack(lists), pack(tf))
+    asked = [(rnd.choice(6000, 24, replace=False), 10.0 ** rnd.uniform(-e, e, 24)) for e in (0, 1, 4, 9) for _ in range(20)] + [(np.concatenate([np.arange(20), rnd.choice(6000, 9, replace=False)]), np.full(29, 1e-3)), (np.arange(6000), np.full(6000, 2.0))]
+    coded = pa.array([words[j] for own, _ in asked for j in own]).dictionary_encode()
+    weights, counts = np.concatenate([w for _, w in asked]), np.array([len(w) for _, w in asked])
+    score = np.zeros((len(asked), n))
+    for q, (own, w) in enumerate(asked):
+        for j, x in zip(own, w):
+            score[q, lists[j]] += x * tf[j] * 2.5 / (tf[j] + 1.5 * (0.25 + 0.75 * sizes[lists[j]] / 300.0))
+    for floors in (np.zeros(len(asked)), np.sort(score, axis=1)[:, -4] * (1 - 1e-12)):
+        queries, places, scores = block.answers(coded.indices.to_numpy(), coded.dictionary, weights, counts, floors, 10)
+        for q in range(len(asked)):
+            want = np.sort(score[q][score[q] > 0])[::-1][: 4 if floors[q] else 10]
+            own = queries == q
+            assert np.allclose(scores[own][: len(want)], want, rtol=1e-9) and np.allclose(score[q, places[own]], scores[own], rtol=1e-9)
+
+
+def test_words_are_split_and_hashed_as_in_columns(spark):
+    """Splitting and MD5 many words at a time: white space of ASCII only, empty texts, words of one block and of more."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from sievekit.functions.hashing import md5_52
+
+    texts = ["A  b\x0bc\x0cd\te\nf\r\ng", " x ", "", "   ", None, "\x1cq z y w \x85v", "İß ΑΣ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.tokens(F.col("t")).alias("w"), text.lowered(F.col("t")).alias("l")).orderBy("i").collect()
+    assert text.split_words(pa.array([r.l for r in rows])).to_pylist() == [r.w for r in rows]
+    assert text.split_words(pa.array(["q", "", "a b"]).slice(1)).to_pylist() == [[], ["a", "b"]]
+    words = ["", *("é" * j for j in range(1, 40)), *(("ab" * 60)[:j] for j in range(1, 120))] * 100
+    want = [int(hashlib.md5(w.encode()).hexdigest()[:13], 16) for w in words]
+    assert md5_52(pa.array(words)).tolist() == want and md5_52(pa.array(words).slice(3, 50)).tolist() == want[3:53] and md5_52(pa.array([], pa.string())).tolist() == []
+
+
+def test_the_kth_of_rows_in_any_order():
+    import numpy as np
+
+    from sievekit.operators.blocks import kth_of
+
+    assert kth_of(np.array([2, 0, 2, 0, 0, 3]), np.array([1.0, 5.0, 4.0, 7.0, 6.0, 9.0]), 5, 2).tolist() == [6.0, -np.inf, 1.0, -np.inf, -np.inf]
